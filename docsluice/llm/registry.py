@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import repetition
+from . import quality, repetition, simhash, winnowing
 
 QUERIES = {
+    "op3_quality_scores": quality.op3_quality_scores,
+    "op6_simhash_near_duplicates": simhash.op6_simhash_near_duplicates,
     "op8_repetition_rules": repetition.op8_repetition_rules,
+    "op10_decontamination": winnowing.op10_decontamination,
 }
-SQL: dict[str, str] = {}
+SQL = {"op10_decontamination": winnowing.SQL}
 
 
 def queries() -> dict:
