@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -175,25 +175,29 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return df.withColumnRenamed("id", id_col)
 
 
+def _clean(ix, text_col: str) -> Column:
+    """Whether a text shares no span with the indexed test items."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            rows = list(s)
+            out = np.ones(len(rows), dtype=bool)
+            for a, z in W.slices(rows):
+                b = W.pack([t.lower() for t in rows[a:z]], W.ALNUM)
+                for p, _, _ in hits(b, ix.value):
+                    out[a + b.doc[p]] = False
+            yield pd.Series(out)
+
+    return clean(utf8(text_col))
+
+
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of documents whose text shares no span with the benchmark; columns stay as they are."""
     sc = documents.sparkSession.sparkContext
     kept = documents
-    for items, texts in _blocks(benchmark, "item_id", "text"):
-        ix = sc.broadcast(index(items, texts))
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], ix=ix) -> Iterator[pd.Series]:
-            for s in batches:
-                rows = list(s)
-                out = np.ones(len(rows), dtype=bool)
-                for a, z in W.slices(rows):
-                    b = W.pack([t.lower() for t in rows[a:z]], W.ALNUM)
-                    for p, _, _ in hits(b, ix.value):
-                        out[a + b.doc[p]] = False
-                yield pd.Series(out)
-
-        kept = kept.where(clean(utf8(text_col)))
+    for block in _blocks(benchmark, "item_id", "text"):
+        kept = kept.where(_clean(sc.broadcast(index(*block)), text_col))
     return kept
 
 
