@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,10 +77,6 @@ def shard_of(key: Column, bounds: list) -> Column:
     """Index of the shard of a key: how many boundaries are at or below it. Null keys are in shard 0."""
     if not bounds:
         return F.lit(0)
-    # width_bucket-like search over an ordered literal array, in the JVM
-    import pandas as pd
-    import numpy as np
-
     edges = np.array(bounds)
 
     @F.pandas_udf("int")
