@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality, repetition, simhash, tokens, winnowing
+from . import quality, repetition, simhash, tokens, warc, winnowing
 
 QUERIES = {
+    "op2_warc_archive": warc.op2_warc_archive,
     "op3_quality_scores": quality.op3_quality_scores,
     "op6_simhash_near_duplicates": simhash.op6_simhash_near_duplicates,
     "op8_repetition_rules": repetition.op8_repetition_rules,
     "op9_token_files": tokens.op9_token_files,
     "op10_decontamination": winnowing.op10_decontamination,
 }
-SQL = {"op10_decontamination": winnowing.SQL}
+SQL = {"op2_warc_archive": warc.SQL, "op10_decontamination": winnowing.SQL}
 
 
 def queries() -> dict:
