@@ -133,17 +133,27 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def learnable(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(i, y): the labels that may be learnt from, one for each id."""
+    return (
+        labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+        .where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out("i"))
+        .groupBy("i").agg(F.min("y").alias("y"))
+    )
+
+
+def share_bad(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> float:
+    """The share of label 0 among the learnable labels, 0 if there are none."""
+    return learnable(labels, id_col, label_col).agg(F.avg(1 - F.col("y"))).first()[0] or 0.0
+
+
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on at most SAMPLE_PER_LABEL labelled documents of each label, those of the smallest id hashes.
 
     A document with several labels counts as its lowest; null ids and labels are left out. The chosen
     ids are at most 2 * SAMPLE_PER_LABEL and so may be broadcast; only their features reach the driver.
     """
-    given = (
-        labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
-        .where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out("i"))
-        .groupBy("i").agg(F.min("y").alias("y"))
-    )
+    given = learnable(labels, id_col, label_col)
     counts = {r["y"]: r["count"] for r in given.groupBy("y").count().collect()}
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     order = [F.xxhash64("i", F.lit(3)), F.col("i")]

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from . import quality, repetition, simhash, tokens, warc, winnowing
+import corpus_pipeline
+
+from . import chat, mixing, quality, repetition, simhash, tokens, warc, winnowing
 
 QUERIES = {
     "op2_warc_archive": warc.op2_warc_archive,
     "op3_quality_scores": quality.op3_quality_scores,
+    "op4_chat_format": chat.op4_chat_format,
+    "op5_mixture": mixing.op5_mixture,
     "op6_simhash_near_duplicates": simhash.op6_simhash_near_duplicates,
     "op8_repetition_rules": repetition.op8_repetition_rules,
     "op9_token_files": tokens.op9_token_files,
     "op10_decontamination": winnowing.op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
-SQL = {"op2_warc_archive": warc.SQL, "op10_decontamination": winnowing.SQL}
+SQL = {"op2_warc_archive": warc.SQL, "op4_chat_format": chat.SQL, "op10_decontamination": winnowing.SQL}
+
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def queries() -> dict:
