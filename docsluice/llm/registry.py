@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, mixing, quality, repetition, simhash, tokens, warc, winnowing
+from . import chat, mixing, pii, quality, repetition, simhash, tokens, warc, winnowing
 
 QUERIES = {
     "op2_warc_archive": warc.op2_warc_archive,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_mixture": mixing.op5_mixture,
     "op6_simhash_near_duplicates": simhash.op6_simhash_near_duplicates,
+    "op7_personal_data": pii.op7_personal_data,
     "op8_repetition_rules": repetition.op8_repetition_rules,
     "op9_token_files": tokens.op9_token_files,
     "op10_decontamination": winnowing.op10_decontamination,
