@@ -31,7 +31,7 @@ _TOKEN = "[A-Za-z0-9+/_-]"
 MORE = {
     "handle": r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]++(?:\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?[A-Za-z0-9-]++)++",
     "number": r"[0-9(](?<![0-9A-Za-z.+(-][0-9(])[0-9 ().-]{6,19}[0-9](?![0-9A-Za-z])",
-    "secret": rf"{_TOKEN}(?<![A-Za-z0-9+/_=-]{_TOKEN})(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{9,255}}+",
+    "secret": rf"{_TOKEN}(?<!{_TOKEN}{_TOKEN})(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{9,255}}+",
 }
 #: What a text must have for a generator to find anything: a cheap test that loses nothing.
 NEEDS = {"email": "@", "phone": "+"}

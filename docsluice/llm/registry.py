@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, mixing, pii, quality, repetition, simhash, tokens, warc, winnowing
+from . import chat, licences, mixing, pii, quality, repetition, simhash, tokens, warc, winnowing
 
 QUERIES = {
+    "op1_licence_scan": licences.op1_licence_scan,
     "op2_warc_archive": warc.op2_warc_archive,
     "op3_quality_scores": quality.op3_quality_scores,
     "op4_chat_format": chat.op4_chat_format,
