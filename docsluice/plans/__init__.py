@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS: tuple[str, ...] = ()
+AREAS = ("aggregates", "windows")
 
 
 def load() -> None:
