@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("aggregates", "windows")
+AREAS = ("aggregates", "windows", "filters")
 
 
 def load() -> None:

@@ -16,7 +16,7 @@ _RANK = "CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' TH
 @query("r5_01_rank_by_length", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents")
 def rank_by_length(spark, d):
     w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return table(spark, d, "documents").select("source", "doc_id", F.row_number().over(w).alias("place"))
+    return table(spark, d, "documents").select("source", "doc_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("r5_02_rank_by_distance", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT label, vec_id, list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) AS s FROM embeddings, q)
@@ -27,7 +27,7 @@ def rank_by_distance(spark, d):
     e = table(spark, d, "embeddings")
     q = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
     w = Window.partitionBy("label").orderBy(F.desc("s"), "vec_id")
-    return e.select("label", "vec_id", F.round(dot("embedding", q), 9).alias("s")).select("label", "vec_id", F.row_number().over(w).alias("place"))
+    return e.select("label", "vec_id", F.round(dot("embedding", q), 9).alias("s")).select("label", "vec_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("r5_03_sequence_violations", f"""WITH e AS (SELECT user_id, event_id, event_type, {_RANK} AS r, ts FROM events WHERE event_type IN ('signup', 'view', 'click', 'purchase')),
