@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("aggregates", "windows", "filters")
+AREAS = ("aggregates", "windows", "filters", "topk")
 
 
 def load() -> None:
