@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("aggregates", "windows", "filters", "topk")
+AREAS = ("aggregates", "windows", "filters", "topk", "joins")
 
 
 def load() -> None:
