@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("aggregates", "windows", "filters", "topk", "joins")
+AREAS = ("aggregates", "windows", "filters", "topk", "joins", "scalars")
 
 
 def load() -> None:
