@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("aggregates", "windows", "filters", "topk", "joins", "scalars")
+AREAS = ("aggregates", "windows", "filters", "topk", "joins", "scalars", "graph_streams")
 
 
 def load() -> None:
