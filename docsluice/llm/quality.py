@@ -142,11 +142,6 @@ def learnable(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quali
     )
 
 
-def share_bad(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> float:
-    """The share of label 0 among the learnable labels, 0 if there are none."""
-    return learnable(labels, id_col, label_col).agg(F.avg(1 - F.col("y"))).first()[0] or 0.0
-
-
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on at most SAMPLE_PER_LABEL labelled documents of each label, those of the smallest id hashes.
 
@@ -188,22 +183,30 @@ def score(model: Model, text_col: str = "text") -> Column:
 
 
 def quantile(scores: DataFrame, column: str, level: float) -> float:
-    """Largest lower bin edge with at most `level` of the scores below it; counts go to BINS + 1 bins at most."""
+    """Upper edge of the first bin at which at least `level` of the scores are below; counts go to BINS + 1 bins at most."""
     counts = scores.groupBy(F.floor(F.col(column) * BINS).alias("bin")).count().where("bin is not null").collect()
     total, below = sum(r["count"] for r in counts), 0
+    if level <= 0:
+        return 0.0
     for r in sorted(counts):
-        if below + r["count"] > level * total:
-            return r["bin"] / BINS
         below += r["count"]
+        if below >= level * total:
+            return (r["bin"] + 1) / BINS
     return 1.0
 
 
 def keep_by_quantile(documents: DataFrame, model: Model, level: float, text_col: str = "text") -> DataFrame:
-    """The rows of documents without the lowest `level` of scores; a row that scores CUT or more always stays."""
+    """The rows of documents without the lowest `level` of scores (with all that share the last bin of these); a row
+    that scores CUT or more always stays."""
     cut = min(quantile(documents.select(score(model, text_col).alias("s")), "s", level), CUT)
     return documents.where(score(model, text_col) >= F.lit(cut))
 
 
+def keep_predicted(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of documents that are predicted to be good: those that score CUT or more, whatever their share."""
+    return documents.where(score(model, text_col) >= F.lit(CUT))
+
+
 def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents: no shuffle of texts."""
     documents = read(spark, sf_dir, "documents")
