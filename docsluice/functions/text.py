@@ -46,7 +46,7 @@ def is_noise(c: Column, most_special: float = 0.1) -> Column:
 
 
 #: Letters that a scan puts for digits, next to digits.
-DIGIT_RULES = [(r"(?<=[0-9]),OOO", ",000"), (r"(?<=[0-9]),OO", ",00"), (r"(?<=[0-9])O", "0"), (r"O(?=[0-9])", "0"), (r"(?<=[0-9])[lI]", "1"), (r"[lI](?=[0-9])", "1"), (r"(?<=[0-9])S(?=[0-9])|(?<=Rs\. )S(?=[0-9])", "5"), (r"(?<=[0-9])B(?=[0-9])", "8")]
+DIGIT_RULES = [(r"(?<=[0-9])O", "0"), (r"O(?=[0-9])", "0"), (r"(?<=[0-9]),OOO", ",000"), (r"(?<=[0-9]),OO", ",00"), (r"(?<=[0-9])[lI]", "1"), (r"[lI](?=[0-9])", "1"), (r"(?<=[0-9])S(?=[0-9])|(?<=Rs\. )S(?=[0-9])", "5"), (r"(?<=[0-9])B(?=[0-9])", "8")]
 
 
 def correct_digits(c: Column) -> Column:
