@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .retrieval import tokens
@@ -23,15 +23,26 @@ def line_chunks(docs: DataFrame, chars: int = 400) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.transform(starts, lambda s: F.substr(t, s, F.lit(chars)))).alias("chunk", "chunk_text"))
 
 
+def neighbours(text: str) -> Column:
+    """Distinct hashes of the pairs of neighbouring words of a text."""
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
+
+    return F.get(F.transform(F.array(tokens(text)), pairs), F.lit(0))
+
+
 def link_boxes(chunks: DataFrame, boxes: DataFrame) -> DataFrame:
     """(doc_id, chunk, first_place, last_place, page, shared): the run of boxes that a chunk's words are in.
 
-    Words of chunk and boxes meet by an equi join inside the document. A window of WINDOW boxes scores the
-    chunk's distinct words in it; the best window (the first of equals) is kept if it has LEAST_WORDS. The
-    page is the one with the most of the window's shared words, the lowest of equals.
+    Pairs of neighbouring words of chunk and boxes meet by an equi join inside the document (single words
+    would meet in every chunk and box of a long document). A window of WINDOW boxes scores the chunk's distinct
+    pairs in it; the best window (the first of equals) is kept if it has LEAST_WORDS. The page is the one with
+    the most of the window's shared pairs, the lowest of equals.
     """
-    cw = chunks.select("doc_id", "chunk", F.explode(F.array_distinct(tokens("chunk_text"))).alias("w"))
-    bw = boxes.select("doc_id", "place", "page", F.explode(F.array_distinct(tokens("box"))).alias("w"))
+    cw = chunks.select("doc_id", "chunk", F.explode(neighbours("chunk_text")).alias("w"))
+    bw = boxes.select("doc_id", "place", "page", F.explode(neighbours("box")).alias("w"))
     hit = cw.join(bw, ["doc_id", "w"])
     starts = F.explode(F.sequence(F.greatest(F.col("place") - WINDOW + 1, F.lit(0)), F.col("place")))
     windows = hit.select("doc_id", "chunk", "w", "page", starts.alias("first_place"))

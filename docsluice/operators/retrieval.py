@@ -65,8 +65,9 @@ def lexical(df: DataFrame, id_col: str, text_col: str, q: str, limit: int, mode:
             score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("n") / F.lit(float(stats["mean"] or 1.0))))
         hit = hit.withColumn("score", score)
     for cond in some if every else []:
-        hit = hit.where(cond)
-    top = hit.where("score > 0").select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
+        hit = hit.withColumn("score", F.when(cond, F.col("score")).otherwise(0.0))
+    # the filter comes after the limit: pushed below it, it would split every text twice
+    top = hit.select("id", "score").orderBy(F.desc("score"), "id").limit(limit).where("score > 0")
     return top.withColumn("lexical_rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # at most `limit` rows
 
 

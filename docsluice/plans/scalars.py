@@ -264,12 +264,15 @@ def toc_pages(spark, d):
 
 @query("r8_46_quote_check", "SELECT item_id, count(*) AS n_exact FROM (SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM benchmark) b JOIN (SELECT trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents) d ON contains(t, q) GROUP BY 1")
 def quote_check(spark, d):
-    """Quotes found word for word: a document and a quote meet by the quote's first five words, then containment."""
-    five = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 5), " ")
-    b = table(spark, d, "benchmark").select("item_id", X.normalise(F.col("text")).alias("q")).withColumn("k", five(F.col("q")))
-    t = table(spark, d, "documents").select("doc_id", X.normalise(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
-    keys = t.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " ")))).alias("k"))
-    return keys.join(b, "k").where(F.contains("t", F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n_exact"))
+    """Quotes found word for word: documents and quotes meet by the hash of the quote's first five words, without their
+    texts; the candidates are then checked for the whole quote."""
+    def runs(c):
+        return F.get(F.transform(F.array(F.split(c, " ")), lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.xxhash64(F.slice(w, i, F.lit(5))))), F.lit(0))
+
+    b = table(spark, d, "benchmark").select("item_id", X.normalise(F.col("text")).alias("q"))
+    t = table(spark, d, "documents").select("doc_id", X.normalise(F.col("text")).alias("t"))
+    pairs = t.select("doc_id", F.explode(F.array_distinct(runs(F.col("t")))).alias("k")).join(b.select("item_id", F.get(runs(F.col("q")), F.lit(0)).alias("k")), "k").select("doc_id", "item_id").distinct()
+    return pairs.join(t, "doc_id").join(b, "item_id").where(F.contains("t", F.col("q"))).groupBy("item_id").agg(F.count("*").alias("n_exact"))
 
 
 @query("r8_50_intent", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)license|version') THEN 0.9 WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 0.6 ELSE 0.0 END::DOUBLE AS citation FROM conversations")
