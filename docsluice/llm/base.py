@@ -89,8 +89,12 @@ def shard_of(key: Column, bounds: list) -> Column:
     return found(key)
 
 
+#: Most shards of one output. Beyond it shards grow instead, so the boundaries that the driver sorts stay few.
+MOST_SHARDS = 16_384
+
+
 def shard_count(total_bytes: int | None, shard_bytes: int) -> int:
-    return max(1, math.ceil((total_bytes or 0) / shard_bytes))
+    return min(MOST_SHARDS, max(1, math.ceil((total_bytes or 0) / shard_bytes)))
 
 
 def utf8(column: str) -> Column:

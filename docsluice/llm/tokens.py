@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -45,16 +46,22 @@ def frame(payload: bytes) -> bytes:
     return b"".join((head, struct.pack("<I", masked(zlib.crc32(head))), payload, struct.pack("<I", masked(zlib.crc32(payload)))))
 
 
-def unframe(data: memoryview, offset: int) -> bytes:
-    """The payload of the frame at an offset; both checksums must hold."""
-    head = bytes(data[offset : offset + 8])
-    (n,) = struct.unpack("<Q", head)
-    if struct.unpack("<I", data[offset + 8 : offset + 12])[0] != masked(zlib.crc32(head)):
+def unframe(stream: BinaryIO, offset: int) -> bytes:
+    """The payload of the frame that a stream stands at; both checksums must hold."""
+    head = stream.read(12)
+    if len(head) < 12 or struct.unpack("<I", head[8:])[0] != masked(zlib.crc32(head[:8])):
         raise ValueError(f"damaged length at {offset}")
-    payload = bytes(data[offset + 12 : offset + 12 + n])
-    if struct.unpack("<I", data[offset + 12 + n : offset + 16 + n])[0] != masked(zlib.crc32(payload)):
+    n = struct.unpack("<Q", head[:8])[0]
+    rest = stream.read(n + 4)
+    if len(rest) < n + 4 or struct.unpack("<I", rest[n:])[0] != masked(zlib.crc32(rest[:n])):
         raise ValueError(f"damaged payload at {offset}")
-    return payload
+    return rest[:n]
+
+
+def seek_one(file: BinaryIO, offset: int) -> bytes:
+    """The payload at an offset of the index: a shuffled read."""
+    file.seek(offset)
+    return unframe(file, offset)
 
 
 class Encoder:
@@ -242,9 +249,9 @@ def read_tokens(manifest: DataFrame, path: str, width: int) -> DataFrame:
             for shard, start in zip(pdf["shard"].tolist(), pdf["start"].tolist(), strict=True):
                 with files.open_input_file(f"{at}/shard-{shard:06d}.idx") as f:
                     entries = np.frombuffer(f.read(), dtype=ENTRY)
-                with files.open_input_file(f"{at}/shard-{shard:06d}.bin") as f:
-                    data = memoryview(f.read())
-                crc = [zlib.crc32(np.frombuffer(unframe(data, int(o)), dtype=f"<u{width}").astype("<u4").tobytes()) for o in entries["offset"]]
+                # frames lie in the order of the index: one pass with a small buffer, whatever the file's size
+                with files.open_input_stream(f"{at}/shard-{shard:06d}.bin", compression=None, buffer_size=1 << 20) as f:
+                    crc = [zlib.crc32(np.frombuffer(unframe(f, int(o)), dtype=f"<u{width}").astype("<u4").tobytes()) for o in entries["offset"]]
                 n = entries["n"].astype(np.int64)
                 yield pd.DataFrame({"doc_id": pd.Series(entries["id"]).astype("Int64").mask(pd.Series(entries["null"] == 1)), "start": start + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": crc})
 

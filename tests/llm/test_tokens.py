@@ -1,3 +1,4 @@
+import io
 import zlib
 
 import numpy as np
@@ -41,13 +42,26 @@ def test_cache_is_bounded(monkeypatch):
 
 
 def test_frames_detect_damage():
-    data = bytearray(T.frame(b"abc") + T.frame(b""))
-    assert T.unframe(memoryview(data), 0) == b"abc" and T.unframe(memoryview(data), 19) == b""
+    data = T.frame(b"abc") + T.frame(b"")
+    assert T.seek_one(io.BytesIO(data), 0) == b"abc" and T.seek_one(io.BytesIO(data), 19) == b""
     for at in (0, 9, 13, 16):
         worse = bytearray(data)
         worse[at] ^= 1
         with pytest.raises(ValueError):
-            T.unframe(memoryview(worse), 0)
+            T.unframe(io.BytesIO(worse), 0)
+    with pytest.raises(ValueError):
+        T.unframe(io.BytesIO(data[:14]), 0)
+
+
+def test_shuffled_reads_by_the_index(spark):
+    path = T.new_dir(spark, "test-tokens")
+    T.write_tokens(spark.createDataFrame(ROWS, "doc_id long, text string"), path, PATH)
+    files, root = T.store(path)
+    entries = np.frombuffer(files.open_input_file(f"{root}/shard-000000.idx").read(), dtype=T.ENTRY)
+    with files.open_input_file(f"{root}/shard-000000.bin") as f:
+        for e in entries[::-1]:
+            ids = np.frombuffer(T.seek_one(f, int(e["offset"])), dtype="<u2")
+            assert len(ids) == e["n"] and ids[-1] == T.END_ID
 
 
 ROWS = [(9, "last"), (-5, "first by id"), (3, None), (None, "no id"), (4, "same"), (4, "same"), (4, "another"), (7, "Ünï 日本"), (8, "long " * 3000)]
