@@ -214,3 +214,42 @@ def markdown_table(rows: Column, width: int) -> Column:
 def severity(kind: Column, confidence: Column) -> Column:
     """Below 0.6 low; dates and amounts from 0.8 high; else medium."""
     return F.when(confidence < 0.6, "low").when(kind.isin("date_mismatch", "amount_mismatch") & (confidence >= 0.8), "high").otherwise("medium")
+
+
+# ---- acts and mentions
+
+def clean_act(c: Column) -> Column:
+    """An act's name without what running text puts behind it: cut after Act, Code or Rules and a year that follows."""
+    cut = F.regexp_extract(c, r"(?i)^(.*?\b(?:act|code|rules)\b(?:,? (?:of )?[0-9]{4})?)", 1)
+    return F.regexp_replace(F.trim(F.when(cut != "", cut).otherwise(c)), r"[\s.,;:]+$", "")
+
+
+def canonical_act(c: Column, known: dict[str, str]) -> Column:
+    """The known act of a name: by its key, by its key without a year, each also without a leading article."""
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    bare = F.create_map(*[F.lit(x) for k, v in known.items() for x in (k.rstrip("0123456789").rstrip("_"), v)])
+    key = F.regexp_replace(act_key(c), "_of_([0-9]{4})$", "_$1")
+    return F.coalesce(F.try_element_at(table, key), F.try_element_at(bare, F.regexp_replace(key, "_[0-9]{4}$", "")))
+
+
+#: Pattern and confidence of what names a person or an organisation.
+MENTIONS = [(r"\b(?:Mr|Mrs|Ms|Dr|Shri|Smt|Justice)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*", 0.9), (r"\b(?:\p{Lu}\p{L}+ )+(?:Ltd|Limited|LLP|Inc|Bank|Corporation)\b", 0.8)]
+
+
+def mentions(c: Column) -> Column:
+    """array<struct<mention, confidence>>, by pattern, distinct."""
+    found = [F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda m: F.struct(m.alias("mention"), F.lit(s).alias("confidence"))) for p, s in MENTIONS]
+    return F.array_distinct(F.concat(*found))
+
+
+def match_spans(c: Column, pattern: str) -> Column:
+    """array<struct<start, end>> of a pattern's matches in code points, from the lengths of what lies between."""
+    pieces, hits = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    first = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["pos"] + F.length(x["gap"])
+        end = start + F.length(x["m"])
+        return F.struct(end.alias("pos"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
+
+    return F.aggregate(F.transform(hits, lambda m, i: F.struct(m.alias("m"), F.get(pieces, i).alias("gap"))), first, step, lambda a: a["out"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("aggregates", "windows", "filters", "topk", "joins", "scalars", "graph_streams")
+AREAS = ("aggregates", "windows", "filters", "topk", "joins", "scalars", "graph_streams", "mentions")
 
 
 def load() -> None:

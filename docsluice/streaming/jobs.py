@@ -51,3 +51,29 @@ def recover_stale(df: DataFrame, status: str, since: str, attempts: str, as_of:
     stale = (F.col(status) == "P") & (F.col(since) < F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {minutes} MINUTE"))
     again = F.col(attempts) < most
     return df.withColumns({"next_status": F.when(stale & again, "O").when(stale, "X").otherwise(F.col(status)), "next_attempts": F.when(stale & again, F.col(attempts) + 1).otherwise(F.col(attempts))})
+
+
+def streamed_limit(df: DataFrame, key: str, at: str, id_col: str, most: int, seconds: int) -> DataFrame:
+    """rate_decisions on a stream: each key's state is the times of its last `seconds`, so bounded by its rate.
+
+    The events of a micro-batch are taken in the order of time and id; an event that comes a batch late counts
+    from then on.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def update(keys, batches, state):
+        times = list(state.get[0]) if state.exists else []
+        pdf = pd.concat(list(batches))
+        pdf = pdf.sort_values(["at", "id"])
+        counts = []
+        for t in pdf["at"].tolist():
+            times = [x for x in times if x >= t - seconds * 1_000_000]
+            times.append(t)
+            counts.append(len(times))
+        state.update((times,))
+        yield pd.DataFrame({key: [keys[0]] * len(counts), id_col: pdf["id"].to_numpy(), "in_window": counts, "allowed": [c <= most for c in counts]})
+
+    part = df.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(id_col).alias("id"))
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    return part.groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {id_col} {kind[id_col]}, in_window long, allowed boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
