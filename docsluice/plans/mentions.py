@@ -20,14 +20,14 @@ def _folder(spark) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/docsluice/{uuid.uuid4().hex}"
 
 
-@query("r1_09_json_source", "SELECT r_name AS name, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
+@query("r1_09_json_source", "SELECT n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def json_source(spark, d):
     """Reference data kept as one JSON document, read back and joined."""
     path = _folder(spark)
-    rows = table(spark, d, "region").select(F.struct("r_regionkey", "r_name").alias("r"))
-    rows.agg(F.to_json(F.struct(F.sort_array(F.collect_list("r")).alias("regions"))).alias("value")).write.text(path)
-    regions = tables.reference_data(spark, path).select(F.explode("regions").alias("r")).select("r.r_regionkey", "r.r_name")
-    return table(spark, d, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("name")).agg(F.count("*").alias("n"))
+    rows = table(spark, d, "nation").select(F.struct("n_nationkey", "n_name").alias("r"))
+    rows.agg(F.to_json(F.struct(F.sort_array(F.collect_list("r")).alias("nations"))).alias("value")).write.text(path)
+    nations = tables.reference_data(spark, path).select(F.explode("nations").alias("r")).select("r.n_nationkey", "r.n_name")
+    return table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("r8_22_name_parts", "SELECT c_custkey, 'dr' AS title, CASE c_custkey % 2 WHEN 0 THEN 'n' ELSE 'anna' END AS first, 'customer' || c_custkey AS last, CASE c_custkey % 2 WHEN 0 THEN 3 ELSE 2 END AS n FROM customer")

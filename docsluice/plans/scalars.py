@@ -311,10 +311,10 @@ def escape(spark, d):
     return table(spark, d, "pages").select("page_id", X.escape_boundaries(F.col("html")).alias("safe"))
 
 
-@query("r8_57_markdown", "SELECT r_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || r_regionkey::VARCHAR || ' | ' || r_name || ' |' AS md FROM region")
+@query("r8_57_markdown", "SELECT c_custkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_custkey::VARCHAR || ' | ' || c_name || ' |' AS md FROM customer")
 def markdown(spark, d):
-    rows = F.array(F.array(F.lit("key"), F.lit("name"), F.lit("cut")), F.array(F.col("r_regionkey").cast("string"), F.col("r_name")))
-    return table(spark, d, "region").select("r_regionkey", X.markdown_table(rows, 2).alias("md"))
+    rows = F.array(F.array(F.lit("key"), F.lit("name"), F.lit("cut")), F.array(F.col("c_custkey").cast("string"), F.col("c_name")))
+    return table(spark, d, "customer").select("c_custkey", X.markdown_table(rows, 2).alias("md"))
 
 
 @query("r8_58_array_replace", "SELECT l_orderkey, array_to_string(list_sort(list_transform(list_filter(list_distinct(list(l_suppkey)), lambda x: x <> 7), lambda x: CASE WHEN x = 5 THEN 6 ELSE x END)), ',') AS s FROM lineitem GROUP BY 1")
