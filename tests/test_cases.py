@@ -241,3 +241,20 @@ def test_acts_and_mentions(spark):
     assert column(spark, ["The Sale of Goods Act of 1930", "sale of goods act", "other act"], lambda c: X.canonical_act(c, known)) == ["A", "A", None]
     assert column(spark, ["paid by Dr. Anna Rao"], lambda c: X.mentions(c)["mention"]) == [["Dr. Anna Rao"]]
     assert column(spark, ["é you are now x you are now "], lambda c: X.match_spans(c, X.INJECTION[2])["start"]) == [[2, 16]]
+
+
+def test_display_and_noise(spark):
+    assert column(spark, ["a\u0007b c d\n\te", "plain"], X.clean_for_display) == ["abc d\n\te", "plain"]
+    assert column(spark, ["aaaaaaa", "x ** y", "│ box", "€€€€ a", "A fine sentence, (really) so.", ""], X.is_noise) == [True, True, True, True, False, False]
+
+
+def test_parents_and_children(spark):
+    text = " ".join(f"w{i}." if i % 9 == 8 else f"w{i}" for i in range(900))
+    rows = C.parent_child(spark.createDataFrame([(1, text), (2, "few words"), (3, None)], "doc_id long, text string"), "doc_id", "text", (300, 20), (120, 10), 100).collect()
+    parents = sorted((r.parent_index, r.chunk) for r in rows if r.doc_id == 1 and r.chunk_type == "parent")
+    assert parents == [(k, p) for k, p in enumerate(C.split(text, 300, 20)) if len(p.split()) >= 100]
+    children = sorted((r.child_index, r.parent_index, r.chunk) for r in rows if r.doc_id == 1 and r.chunk_type == "child")
+    want = [(k, c) for k, p in parents for c in C.split(p, 120, 10) if len(c.split()) >= 100 or len(C.split(p, 120, 10)) == 1]
+    assert children == [(i, k, c) for i, (k, c) in enumerate(want)]
+    assert sorted((r.chunk_type, r.chunk) for r in rows if r.doc_id == 2) == [("child", "few words"), ("parent", "few words")]
+    assert not [r for r in rows if r.doc_id == 3]
