@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .retrieval import tokens
@@ -17,10 +17,10 @@ def line_boxes(docs: DataFrame) -> DataFrame:
 
 
 def line_chunks(docs: DataFrame, chars: int = 400) -> DataFrame:
-    """Chunks of at most `chars` characters, in order."""
+    """Chunks of at most `chars` characters, in order; cut by one pattern, so in time linear in the text."""
     t = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)), F.lit(chars))
-    return docs.select("doc_id", F.posexplode(F.transform(starts, lambda s: F.substr(t, s, F.lit(chars)))).alias("chunk", "chunk_text"))
+    cut = F.when(t == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0)))
+    return docs.select("doc_id", F.posexplode(cut).alias("chunk", "chunk_text"))
 
 
 def neighbours(text: str) -> Column:
@@ -33,21 +33,36 @@ def neighbours(text: str) -> Column:
     return F.get(F.transform(F.array(tokens(text)), pairs), F.lit(0))
 
 
+def runs(pairs: DataFrame) -> DataFrame:
+    """(doc_id, w, first_place, last_place): ranges of windows' first boxes, whose windows have a word pair.
+
+    A box at p is in the windows that start at p - WINDOW + 1 to p. Places with no more than WINDOW between them give one range, so
+    a pair that fills a document has one row, and no window holds a pair twice.
+    """
+    by = Window.partitionBy("doc_id", "w").orderBy("place")
+    new = F.col("place") - F.lag("place").over(by) > WINDOW
+    numbered = pairs.select("doc_id", "w", "place", new.alias("new")).withColumn("run", F.sum(F.when(F.col("new"), 1).otherwise(0)).over(by))
+    return numbered.groupBy("doc_id", "w", "run").agg(F.greatest(F.min("place") - WINDOW + 1, F.lit(0)).alias("first_place"), F.max("place").alias("last_place")).drop("run")
+
+
 def link_boxes(chunks: DataFrame, boxes: DataFrame) -> DataFrame:
     """(doc_id, chunk, first_place, last_place, page, shared): the run of boxes that a chunk's words are in.
 
     Pairs of neighbouring words of chunk and boxes meet by an equi join inside the document (single words
     would meet in every chunk and box of a long document). A window of WINDOW boxes scores the chunk's distinct
     pairs in it; the best window (the first of equals) is kept if it has LEAST_WORDS. The page is the one with
-    the most of the window's shared pairs, the lowest of equals.
+    the most of the window's shared pairs, the lowest of equals. (doc_id, chunk) and (doc_id, place) are keys.
+
+    Scores rise where a pair's range of windows begins and fall behind its end, so the running sum of both
+    has the score of every window without a row for each pair and window.
     """
     cw = chunks.select("doc_id", "chunk", F.explode(neighbours("chunk_text")).alias("w"))
     bw = boxes.select("doc_id", "place", "page", F.explode(neighbours("box")).alias("w"))
-    hit = cw.join(bw, ["doc_id", "w"])
-    starts = F.explode(F.sequence(F.greatest(F.col("place") - WINDOW + 1, F.lit(0)), F.col("place")))
-    windows = hit.select("doc_id", "chunk", "w", "page", starts.alias("first_place"))
-    scored = windows.groupBy("doc_id", "chunk", "first_place").agg(F.count_distinct("w").alias("shared"))
-    best = scored.groupBy("doc_id", "chunk").agg(F.max(F.struct("shared", -F.col("first_place"))).alias("b")).select("doc_id", "chunk", (-F.col("b.col2")).alias("first_place"), F.col("b.shared").alias("shared")).where(F.col("shared") >= LEAST_WORDS)
-    pages = windows.join(best.select("doc_id", "chunk", "first_place"), ["doc_id", "chunk", "first_place"]).groupBy("doc_id", "chunk", "page").agg(F.count("*").alias("n"))
+    edges = F.explode(F.array(F.struct(F.col("first_place").alias("at"), F.lit(1).alias("by")), F.struct((F.col("last_place") + 1).alias("at"), F.lit(-1).alias("by")))).alias("e")
+    steps = cw.join(runs(bw), ["doc_id", "w"]).select("doc_id", "chunk", edges).select("doc_id", "chunk", "e.*")
+    scored = steps.withColumn("shared", F.sum("by").over(Window.partitionBy("doc_id", "chunk").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    best = scored.groupBy("doc_id", "chunk").agg(F.max(F.struct("shared", -F.col("at"))).alias("b")).select("doc_id", "chunk", (-F.col("b.col2")).alias("first_place"), F.col("b.shared").alias("shared")).where(F.col("shared") >= LEAST_WORDS)
+    inside = best.select("doc_id", "chunk", F.explode(F.sequence("first_place", F.col("first_place") + WINDOW - 1)).alias("place"))
+    pages = cw.join(inside, ["doc_id", "chunk"]).join(bw, ["doc_id", "w", "place"]).groupBy("doc_id", "chunk", "page").agg(F.count("*").alias("n"))
     modal = pages.groupBy("doc_id", "chunk").agg((-F.max(F.struct("n", -F.col("page")))["col2"]).alias("page"))
     return best.join(modal, ["doc_id", "chunk"]).select("doc_id", "chunk", "first_place", (F.col("first_place") + WINDOW - 1).alias("last_place"), "page", "shared")
