@@ -167,7 +167,20 @@ def page_range_join(spark, d):
     return J.range_join(points, ranges, "k", "c_custkey", "s", "e").select("p_partkey", "c_custkey")
 
 
-@query("r3_23_chunk_boxes")
+@query(
+    "r3_23_chunk_boxes",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+c AS (SELECT doc_id, (s - 1) // 400 AS chunk, regexp_extract_all(lower(substr(replace(x, chr(10), ' '), s, 400)), '[\p{L}\p{N}]+') AS w FROM (SELECT doc_id, x, unnest(range(1, greatest(length(x), 1) + 1, 400)) AS s FROM d)),
+b AS (SELECT doc_id, i - 1 AS place, (i - 1) // 5 AS page, regexp_extract_all(lower(l[i]), '[\p{L}\p{N}]+') AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(x, chr(10)) AS l FROM d))),
+cw AS (SELECT DISTINCT doc_id, chunk, w[i] || ' ' || w[i + 1] AS p FROM (SELECT *, unnest(range(1, len(w))) AS i FROM c)),
+bw AS (SELECT DISTINCT doc_id, place, page, w[i] || ' ' || w[i + 1] AS p FROM (SELECT *, unnest(range(1, len(w))) AS i FROM b)),
+h AS (SELECT doc_id, chunk, p, page, unnest(range(greatest(place - 5, 0), place + 1)) AS f FROM cw JOIN bw USING (doc_id, p)),
+k AS (SELECT doc_id, chunk, f, count(DISTINCT p) AS shared FROM h GROUP BY doc_id, chunk, f QUALIFY row_number() OVER (PARTITION BY doc_id, chunk ORDER BY shared DESC, f) = 1),
+g AS (SELECT doc_id, chunk, page, count(*) AS n FROM h JOIN k USING (doc_id, chunk, f) GROUP BY doc_id, chunk, page QUALIFY row_number() OVER (PARTITION BY doc_id, chunk ORDER BY n DESC, page) = 1)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(f AS INTEGER) AS first_place, CAST(f + 5 AS INTEGER) AS last_place, page, shared FROM k JOIN g USING (doc_id, chunk) WHERE shared >= 3
+""",
+)
 def chunk_boxes(spark, d):
     """Lines of a document linked to its chunks: sliding windows of lines, partial ratio, then word overlap."""
     from docsluice.operators.linking import link_boxes, line_boxes, line_chunks

@@ -76,7 +76,13 @@ def display_clean(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.clean_for_display(F.col("text")).alias("clean"))
 
 
-@query("r8_09_noise")
+@query(
+    "r8_09_noise",
+    r"""
+SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(text, '(?s).')), lambda c: contains(text, repeat(c, 6)))) > 0 OR regexp_matches(text, '\*{2,}|[\x{2500}-\x{257F}]')
+    OR (length(text) > 0 AND length(regexp_replace(text, '[\p{L}\p{N}_ \t\n\x{0B}\f\r.,;:!?''"()-]', '', 'g')) / length(text) > 0.1) AS noise FROM documents
+""",
+)
 def noise(spark, d):
     return table(spark, d, "documents").select("doc_id", X.is_noise(F.col("text")).alias("noise"))
 
@@ -146,7 +152,14 @@ def first_dates(spark, d):
     return lines.select("o_custkey", F.size(found).cast("long").alias("n"))
 
 
-@query("r8_21_name_similarity")
+@query(
+    "r8_21_name_similarity",
+    r"""
+WITH s AS (SELECT s_nationkey, s_suppkey, lower(s_name) AS n FROM supplier),
+p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, jaro_winkler_similarity(a.n, b.n) AS j, a.n[1] = b.n[1] AS same FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)
+SELECT a, b, round(0.5 * j + 0.3 * least(1, 1.5 * j) + CASE WHEN same THEN 0.2 ELSE 0 END, 6) AS score FROM p
+""",
+)
 def name_similarity(spark, d):
     """Weighted similarity of names of one nation; components and initials are tested on cases."""
     from docsluice.operators.entities import name_score_column
