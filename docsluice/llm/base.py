@@ -81,12 +81,10 @@ def shard_of(key: Column, bounds: list) -> Column:
 
     @F.pandas_udf("int")
     def found(keys: pd.Series) -> pd.Series:
-        out = np.zeros(len(keys), dtype=np.int32)
-        there = keys.notna().to_numpy()
-        out[there] = np.searchsorted(edges, keys[there].to_numpy().astype(edges.dtype), side="right")
-        return pd.Series(out)
+        return pd.Series(np.searchsorted(edges, keys.to_numpy().astype(edges.dtype), side="right").astype(np.int32))
 
-    return found(key)
+    # pandas would turn whole numbers beside nulls into floats, so no null goes in
+    return F.when(key.isNull(), F.lit(0)).otherwise(found(F.coalesce(key, F.lit(bounds[0]))))
 
 
 #: Most shards of one output. Beyond it shards grow instead, so the boundaries that the driver sorts stay few.
@@ -97,6 +95,17 @@ def shard_count(total_bytes: int | None, shard_bytes: int) -> int:
     return min(MOST_SHARDS, max(1, math.ceil((total_bytes or 0) / shard_bytes)))
 
 
+def carried(df: DataFrame, id_col: str) -> tuple[Column, str, str]:
+    """(column, its type, type to cast back to) of an id on its way through pandas.
+
+    Whole numbers go as strings: beside nulls pandas would make them floats, which are exact up to 2 ** 53 only.
+    """
+    kind = df.select(id_col).schema[0].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(id_col).cast("string"), "string", kind
+    return F.col(id_col), kind, kind
+
+
 def utf8(column: str) -> Column:
     """The bytes of a text column, null as empty: saves Python a decode and an encode of each text."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import read, utf8
+from .base import carried, read, utf8
 
 #: Window length -> largest share of word characters inside repeated windows. Long windows repeat less by
 #: chance, so their limits are lower; a short text in which one line stands twice stays below all of them.
@@ -74,7 +74,7 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null and empty texts have no words: zero everywhere, base_failed. Null ids stay null, repeated
     rows give repeated results; texts of any length are measured whole.
     """
-    name = df.select(id_col).schema[0]
+    key, way, kind = carried(df, id_col)
     columns = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,8 +84,8 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 found = _measure(texts[a:z])
                 yield pd.DataFrame({"id": pdf["id"].iloc[a:z].reset_index(drop=True)} | {c: found[c] for c in columns})
 
-    part = df.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    return part.mapInPandas(run, f"id {name.dataType.simpleString()}, {SCHEMA}").withColumnRenamed("id", id_col)
+    part = df.select(key.alias("id"), utf8(text_col).alias("text"))
+    return part.mapInPandas(run, f"id {way}, {SCHEMA}").select(F.col("id").cast(kind).alias(id_col), *columns)
 
 
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

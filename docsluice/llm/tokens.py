@@ -186,19 +186,20 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
     n, size = part.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
     bounds = splitters(part, "id", shard_count(size, shard_bytes), n)
     dealt = part.withColumn("shard", shard_of(F.col("id"), bounds)).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("id").asc_nulls_first(), "text")
+    dealt = dealt.select("shard", F.col("id").cast("string").alias("id"), "text")  # exact in pandas beside nulls
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
         end = np.array([end_id], dtype=encode.dtype).tobytes()
         out = None
         for pdf in batches:
-            for shard, doc_id, text, null in zip(pdf["shard"].tolist(), pdf["id"].tolist(), pdf["text"].tolist(), pdf["id"].isna().tolist(), strict=True):
+            for shard, doc_id, text in zip(pdf["shard"].tolist(), pdf["id"].tolist(), pdf["text"].tolist(), strict=True):
                 if out is None or shard != out.shard:
                     if out is not None:
                         yield pd.DataFrame([out.close()])
                     out = ShardWriter(path, shard)
                 ids = encode(text) + end
-                out.add(None if null else int(doc_id), ids, len(ids) // encode.dtype.itemsize)
+                out.add(None if doc_id is None else int(doc_id), ids, len(ids) // encode.dtype.itemsize)
         if out is not None:
             yield pd.DataFrame([out.close()])
 

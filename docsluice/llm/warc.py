@@ -123,12 +123,13 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     rows = pages.select("*", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionByName(marks.distinct())
     rows = rows.withColumn("shard", shard_of(F.col("id"), bounds)).repartitionById(len(bounds) + 1, F.col("shard"))
     rows = rows.sortWithinPartitions(F.col("shard"), F.col("id").asc_nulls_first(), "kind", "digest", "url")
+    # ids go as strings, which stay exact in pandas beside nulls
+    rows = rows.select("shard", F.col("id").cast("string").alias("id"), "kind", "digest", "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, now, marked, seen = None, None, {}, set()
         for pdf in batches:
-            ids = [None if x is pd.NA else int(x) for x in pdf["id"].astype("Int64")]
-            refers = [None if x is pd.NA else int(x) for x in pdf["refers_to"].astype("Int64")]
+            ids, refers = ([None if x is None else int(x) for x in pdf[c].tolist()] for c in ("id", "refers_to"))
             for shard, i, kind, digest, url, payload, target in zip(pdf["shard"].tolist(), ids, pdf["kind"].tolist(), pdf["digest"].tolist(), pdf["url"].tolist(), pdf["payload"].tolist(), refers, strict=True):
                 if out is None or out.shard != shard:
                     if out is not None:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import read, utf8
+from .base import carried, read, utf8
 
 SPAN, GRAM = 10, 5
 WINDOW_HASHES = SPAN - GRAM + 1
@@ -164,15 +164,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     block passes over all documents in the same stage, so neither table bounds the other.
     """
     sc = documents.sparkSession.sparkContext
-    kind = documents.select(id_col).schema[0].dataType.simpleString()
+    key, way, kind = carried(documents, id_col)
     spans = "spans array<struct<first: long, until: long, item: string>>"
-    df = documents.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    df = documents.select(key.alias("id"), utf8(text_col).alias("text"))
     blocks = [sc.broadcast(index(*x)) for x in _blocks(benchmark, item_col, item_text_col)] or [sc.broadcast(index([], []))]
     for k, ix in enumerate(blocks):
         last = k == len(blocks) - 1
-        out = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, {spans}" if last else f"id {kind}, text binary, {spans}"
+        out = f"id {way}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, {spans}" if last else f"id {way}, text binary, {spans}"
         df = df.mapInPandas(_scan(ix, k == 0, last), out)
-    return df.withColumnRenamed("id", id_col)
+    return df.select(F.col("id").cast(kind).alias(id_col), *df.columns[1:])
 
 
 def _clean(ix, text_col: str) -> Column:
