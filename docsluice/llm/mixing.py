@@ -16,7 +16,8 @@ from .base import read, save
 
 OTHER = "(other)"
 AXES = ("source", "lang", "topic")
-#: Production targets: shares of tokens. What an axis leaves unnamed goes to its other values together.
+#: Production targets: shares of tokens. What an axis leaves unnamed goes to its other values together; if it leaves
+#: nothing, they keep the share that they have (see shares).
 TARGETS = {
     "source": {f"src{i}": 0.05 for i in range(20)},
     "lang": {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13},
@@ -62,11 +63,20 @@ class Fit:
     error: float  #: largest distance of an expected marginal share from its target
 
 
-def shares(named: dict[str, float], levels: list[str], present: np.ndarray) -> np.ndarray:
-    """Target shares of the levels: what is left of one goes to OTHER, absent levels get nothing, the rest is scaled to one."""
+def shares(named: dict[str, float], levels: list[str], mass: np.ndarray) -> np.ndarray:
+    """Target shares of the levels: what is left of one goes to OTHER, absent levels get nothing, the rest is scaled to one.
+
+    Where the named values leave nothing, OTHER keeps the share of the tokens that it has, and the named ones share the rest.
+    """
     left = max(0.0, 1.0 - sum(named.values()))
-    t = np.array([named.get(x, left if x == OTHER else 0.0) for x in levels]) * present
-    return t / t.sum() if t.sum() else np.where(present, 1.0 / max(1, present.sum()), 0.0)
+    t = np.array([named.get(x, left if x == OTHER else 0.0) for x in levels]) * (mass > 0)
+    if OTHER not in named and left < 1e-9 and mass.sum():
+        k = levels.index(OTHER)
+        own = mass[k] / mass.sum()
+        t[k] = 0.0
+        t = t / t.sum() * (1 - own) if t.sum() else t
+        t[k] = own
+    return t / t.sum() if t.sum() else np.where(mass > 0, 1.0 / max(1, (mass > 0).sum()), 0.0)
 
 
 def rake(tokens: dict[tuple, float], targets: dict[str, dict[str, float]], share: float, most_rounds: int = 3000, tolerance: float = 1e-9) -> Fit:
@@ -75,7 +85,8 @@ def rake(tokens: dict[tuple, float], targets: dict[str, dict[str, float]], share
     A probability is the product of one factor of each axis, at most 1; each step scales the factors of one
     axis so that its expected sums meet the targets. Levels without tokens leave the targets, which are then
     scaled to one. Where some level has too few tokens for its target, all of them are kept, the others
-    keep to their targets as well as they can, and the error says how far off the result is.
+    keep to their targets as well as they can, and the error says how far off the result is. A cell without
+    tokens weighs on no target and gets `share`, unless a target of zero names one of its levels.
     """
     levels = [sorted({*targets[a], OTHER}) for a in AXES]
     at = [{x: i for i, x in enumerate(v)} for v in levels]
@@ -87,7 +98,7 @@ def rake(tokens: dict[tuple, float], targets: dict[str, dict[str, float]], share
         return Fit([(*key, 0.0) for key in sorted(tokens)], 0, 0.0)
     mass /= mass.sum()
     sums = [tuple(j for j in range(3) if j != k) for k in range(3)]
-    want = [share * shares(targets[a], levels[k], mass.sum(axis=sums[k]) > 0) for k, a in enumerate(AXES)]
+    want = [share * shares(targets[a], levels[k], mass.sum(axis=sums[k])) for k, a in enumerate(AXES)]
     factor = [np.where(w > 0, share ** (1 / 3), 0.0) for w in want]
     kept = lambda: np.minimum(1.0, factor[0][:, None, None] * factor[1][None, :, None] * factor[2][None, None, :])
     error, rounds = np.inf, 0
@@ -99,7 +110,8 @@ def rake(tokens: dict[tuple, float], targets: dict[str, dict[str, float]], share
         p = kept()
         error = max(np.abs((p * mass).sum(axis=sums[k]) - want[k]).max() for k in range(3))
         rounds += 1
-    return Fit([(*key, float(p[place[key]])) for key in sorted(tokens)], rounds, float(error))
+    unwanted = lambda key: any(targets[a].get(x) == 0 for a, x in zip(AXES, key, strict=True))
+    return Fit([(*key, share if not mass[place[key]] and not unwanted(key) else float(p[place[key]])) for key in sorted(tokens)], rounds, float(error))
 
 
 def draw(id_col: str, seed: str = SEED) -> Column:
@@ -112,7 +124,9 @@ def probabilities(measured: DataFrame, targets: dict[str, dict[str, float]], sha
     """(source, lang, topic, probability) of each cell. Cells reach the driver already summed; there are at
     most the product of the targets' named levels, each plus one, whatever the data."""
     rows = measured.groupBy(*AXES).agg(F.sum("n_tokens").alias("n")).collect()
-    cells = rake({tuple(r[a] for a in AXES): float(r["n"]) for r in rows}, targets, share).cells
+    tokens = {tuple(r[a] for a in AXES): float(r["n"]) for r in rows}
+    # a table without any token has nothing to rake: its rows are sampled at the base share
+    cells = rake(tokens, targets, share).cells if any(tokens.values()) else [(*key, share) for key in sorted(tokens)]
     return measured.sparkSession.createDataFrame(cells, "source string, lang string, topic string, probability double")
 
 

@@ -61,3 +61,18 @@ def test_topics_and_empty_table(spark):
 
 def test_query_covers_every_document(spark, sf_dir):
     assert M.op5_mixture(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_production_targets_keep_null_and_unknown_values(spark):
+    rows = [(i, "w " * 50, ("src1", "src2", None, "crawl-9")[i % 4], ("en", "de", None, "it")[i // 4 % 4]) for i in range(1600)]
+    df = spark.createDataFrame([*rows, (5000, "", "src3", "fr"), (5001, None, None, "fr")], "doc_id long, text string, source string, lang string")
+    got = M.mix(df).collect()
+    assert all(r.probability > 0 for r in got)
+    taken = [r for r in got if r.sampled]
+    total = sum(r.n_tokens * r.probability for r in got)
+    share = lambda axis: sum(r.n_tokens * r.probability for r in got if r[axis] == M.OTHER) / total
+    assert share("source") == pytest.approx(0.5, abs=1e-6) and share("lang") == pytest.approx(0.5, abs=1e-6)
+    assert {(r.source, r.lang) for r in taken} >= {(M.OTHER, M.OTHER), (M.OTHER, "en"), ("src1", M.OTHER)}
+    assert {r.doc_id: r.probability for r in got}[5000] == M.SHARE == {r.doc_id: r.probability for r in got}[5001]
+    assert {r.doc_id for r in M.sample(df).collect()} == {r.doc_id for r in taken}
+    assert {r.probability for r in M.mix(df.where("doc_id >= 5000")).collect()} == {M.SHARE}
