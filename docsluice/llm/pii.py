@@ -31,11 +31,13 @@ _TOKEN = "[A-Za-z0-9+/_-]"
 MORE = {
     "handle": r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]++(?:\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?[A-Za-z0-9-]++)++",
     "number": r"[0-9(](?<![0-9A-Za-z.+(-][0-9(])[0-9 ().-]{6,19}[0-9](?![0-9A-Za-z])",
-    "secret": rf"{_TOKEN}(?<!{_TOKEN}{_TOKEN})(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{9,255}}+",
+    "secret": rf"{_TOKEN}(?<!{_TOKEN}{_TOKEN})(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{9,}}+",
 }
 #: What a text must have for a generator to find anything: a cheap test that loses nothing.
 NEEDS = {"email": "@", "phone": "+"}
 CONTEXT = 24
+#: Length from which on the features tell spans apart no more.
+LONGEST = 256
 _SPAN = "struct<start:bigint,end:bigint,text:string,before:string,after:string>"
 
 SECRET_CUES = r"(?i)(passw|pwd|secret|token|api.?key|access.?key|bearer|private.?key|credential)"
@@ -91,11 +93,13 @@ def valid(kind: str, span: Column) -> Column:
 def features(c: Column) -> list[Column]:
     """Format and context of a candidate; also the order of the model's columns."""
     t, n = c["text"], F.length(c["text"])
+    # of a longer span the trees know no more than that it is long; the span itself is whole
+    clipped = F.least(n, F.lit(LONGEST))
     share = lambda pattern: (n - F.length(F.regexp_replace(t, pattern, ""))) / n
     flag = lambda cond: F.when(cond, 1.0).otherwise(0.0)
     return [
-        n.cast("double"), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[^0-9A-Za-z]"), flag(t.rlike("^[0-9a-f]+$")), flag(t.rlike("^[A-Z]{4}[0-9A-Z]+$")),
-        F.size(F.array_distinct(F.split(F.lower(t), ""))) / n, flag(c["before"].rlike(r"[=:]\s?[\"']?$")), flag(c["before"].rlike(SECRET_CUES)), flag(c["before"].rlike(PHONE_CUES)), flag(c["before"].rlike(PLAIN_CUES)),
+        clipped.cast("double"), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[^0-9A-Za-z]"), flag(t.rlike("^[0-9a-f]+$")), flag(t.rlike("^[A-Z]{4}[0-9A-Z]+$")),
+        F.size(F.array_distinct(F.split(F.lower(t), ""))) / clipped, flag(c["before"].rlike(r"[=:]\s?[\"']?$")), flag(c["before"].rlike(SECRET_CUES)), flag(c["before"].rlike(PHONE_CUES)), flag(c["before"].rlike(PLAIN_CUES)),
         flag(t.rlike(r"^\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$")), flag(t.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")), F.length(_digits(t)).cast("double"), flag(t.rlike("[A-Za-z]{4,}")), flag(c["after"].rlike("^[./@=]")),
     ]
 

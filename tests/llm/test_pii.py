@@ -85,3 +85,13 @@ def test_whole_table(spark, sf_dir):
         text = ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
         assert rows[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest() and rows[i].spans.startswith(text)
         assert [rows[i][f"n_{k}"] for k in P.BASE] == [sum(s[0] == k for s in spans) for k in P.BASE]
+
+
+def test_long_keys_are_redacted_whole(spark):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (200, 400, 1000, 5000)]
+    df = spark.createDataFrame([(i, f"some words token={k} and more") for i, k in enumerate(keys)], "doc_id long, text string")
+    found = P.redact(P.personal_data(df)).orderBy("doc_id").collect()
+    for r, k in zip(found, keys, strict=True):
+        assert (11 + 6, 17 + len(k)) in [(s.start, s.end) for s in r.added]
+        assert r.redacted == "some words token=[secret] and more"
