@@ -165,10 +165,10 @@ INJECTION = [
 ]
 
 
-def injection_hits(c: Column, first: int = 10_000) -> Column:
-    """How many of the patterns occur in the beginning of a text, the part that the rule looks at."""
-    head = F.substring(F.coalesce(c, F.lit("")), 1, first)
-    return sum((F.when(head.rlike(p), 1).otherwise(0) for p in INJECTION), F.lit(0))
+def injection_hits(c: Column) -> Column:
+    """How many of the patterns occur in a text, wherever in it."""
+    whole = F.coalesce(c, F.lit(""))
+    return sum((F.when(whole.rlike(p), 1).otherwise(0) for p in INJECTION), F.lit(0))
 
 
 def injection_risk(hits: Column) -> list[Column]:
