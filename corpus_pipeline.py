@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsluice.llm import mixing, quality, simhash, tokens, winnowing
+from docsluice.llm import mixing, overlap, quality, simhash, tokens, winnowing
 from docsluice.llm.base import read, save
 
 
@@ -15,7 +15,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """Links are those of op6's purpose, not of its digest: five-word shingles, Jaccard similarity of 0.8 or more, exactly."""
+    return simhash.keep_one(docs, find=overlap.near_duplicates)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ its own members. Identical fingerprints are one node, whatever their number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -206,12 +206,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("p").alias("fingerprint"), F.when(F.col("named"), F.col("c")).otherwise(F.col("id")).alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without near-duplicates: of each component the row with the smallest id.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of df without near-duplicates: of each component that `find` names the row with the smallest id.
 
     Of equal rows one stays. Rows without an id cannot be named and stay.
     """
-    reps = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+    reps = find(df.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col(id_col) == F.col("component_id"))
     kept = df.join(save(reps.select(id_col).distinct(), "reps"), id_col, "left_semi").dropDuplicates([id_col, text_col])
     return kept.unionByName(df.where(F.col(id_col).isNull()))
 
