@@ -1,9 +1,15 @@
-"""Near-duplicates by the overlap of word shingles: rows whose shingle sets have a Jaccard similarity of 4/5 or more.
-
-Pairs are found by prefix filtering, which is exact: if two sets are that similar and both are listed in one common
-order, the first n - ceil(4n/5) + 1 shingles of each share at least one. Any order will do for that; shingles that are
-frequent in a sample go last, so a passage that many texts share is looked up only by texts that have little else.
-Candidates that sizes and places leave possible are checked on the whole sets.
+"""Near-duplicates by SimHash with BK-trees, made exact: rows whose sets of five-word shingles have a Jaccard
+similarity of 4/5 or more are linked, and no such link is lost.
+
+Fingerprints alone cannot say this: texts of similarity 4/5 differ in about ten of 64 bits, and BK-trees with a
+radius that catches nearly all of them visit nearly all nodes. So the trees propose the closest texts first
+(fingerprints of the same shingles within simhash.RADIUS bits), each proposal is checked on the whole sets, and what the trees cannot
+see is found by prefix filtering, but only between texts that are not connected yet.
+
+Prefix filtering: if two sets are that similar and both are listed in one common order, they share a shingle among
+their first ones, and at the first that they share enough of both lists must still follow (see BOUND). Any order
+will do for that; shingles that are frequent in a sample go last, so a passage that many texts share is looked up only by
+texts that have little else.
 """
 
 from __future__ import annotations
@@ -18,93 +24,160 @@ from pyspark.sql import functions as F
 
 from .base import save, utf8
 from .components import components
+from .simhash import BROADCAST_ROWS, SEED, print_links, row_key, shingle_hashes, vote
 
-SHINGLE, SEED = 5, 42
+SHINGLE = 5
 #: Texts of the sample for the order, and the most frequent shingles that it may name.
 SAMPLE, MOST_FREQUENT = 4_000, 100_000
+#: Rounds in which a text is compared with one other of each of its shingles, before all that are left are compared.
+ROUNDS = 3
+#: At the first shingle that x and y share, at most the shorter rest of the two lists is shared: J >= 4/5 needs 9 * shared >= 4 * (n + n).
+BOUND = "9 * least(x.n - x.at, y.n - y.at) >= 4 * (x.n + y.n)"
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles. Words and short texts as in simhash.simhash; none has no shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    grams = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(g), SEED) for g in grams), dtype="<u8").view("<i8"))
+    """Sorted distinct hashes of the text's shingles."""
+    return np.unique(np.concatenate([*shingle_hashes(text, shingle), np.zeros(0, "<u8")]).view("<i8"))
 
 
-def sets(df: DataFrame, text_col: str, last: np.ndarray | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of df, the digest s of each row's set, its size n and hashes.
+def _digest(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED)
 
-    With `last`, the shingles that go last in the common order, hashes are only those by which the set is looked up.
-    """
-    by_value = np.argsort(last) if last is not None else None
 
-    def prefix(h: np.ndarray) -> np.ndarray:
-        many = len(h) - (4 * len(h) + 4) // 5 + 1 if len(h) else 0
-        if len(last):
-            at = by_value[np.minimum(np.searchsorted(last, h, sorter=by_value), len(last) - 1)]
-            known = last[at] == h
-            h = np.concatenate([h[~known], last[np.sort(at[known])]])
-        return h[:many]
+def sets(df: DataFrame, text_col: str, keep: list) -> DataFrame:
+    """The columns `keep` of df, the digest s of each row's set, its size n and its sorted hashes."""
 
     @F.pandas_udf("s long, n int, hashes array<long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = [shingles(t) for t in texts]
-            digest = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in rows], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"s": digest, "n": np.array([len(h) for h in rows], dtype=np.int32), "hashes": rows if last is None else [prefix(h) for h in rows]})
+            yield pd.DataFrame({"s": np.array([_digest(h) for h in rows], np.uint64).view(np.int64), "n": np.array([len(h) for h in rows], np.int32), "hashes": rows})
 
-    return df.select(*keep, found(utf8(text_col)).alias("f")).select(*keep, "f.s", "f.n", "f.hashes")
+    f = df.select(*keep, found(utf8(text_col)).alias("f"))
+    return f.select(*[c for c in f.columns if c != "f"], "f.s", "f.n", "f.hashes")
 
 
 def frequent(df: DataFrame, text_col: str) -> np.ndarray:
     """Shingles of several texts of the sample, rarer ones first. The sample goes by the texts, so it is the same on every run."""
     every = max(1, df.count() // SAMPLE)
     some = df.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    listed = sets(some, "text", None, []).dropDuplicates(["s"]).select(F.explode("hashes").alias("h"))
+    listed = sets(some, "text", []).dropDuplicates(["s"]).select(F.explode("hashes").alias("h"))
     top = listed.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).collect()
     return np.array([r["h"] for r in reversed(top)], dtype=np.int64)
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct sets that share a shingle of their prefixes, if sizes and places leave 4/5 possible."""
-    keys = rows.select("s", "n", F.posexplode("hashes").alias("at", "h")).repartition("h").dropDuplicates(["h", "s"])
-    x, y = keys.select("h", F.struct("s", "n", "at").alias("x")), keys.select("h", F.struct("s", "n", "at").alias("y"))
-    # shared are at most the places up to this shingle and the shorter rest: J >= 4/5 means 9 * shared >= 4 * (n + n)
-    bound = "x.s < y.s AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) AND 9 * (least(x.at, y.at) + least(x.n - x.at, y.n - y.at)) >= 4 * (x.n + y.n)"
-    return x.join(y, "h").where(bound).select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
+def lookups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, x, y, s, n, p, hashes) of every row: its key, the digest and the size of its set, the fingerprint of its
+    shingles, and the first hashes in the common order, by which it is looked up. The one scan of all texts."""
+    last = frequent(df, text_col)
+    by_value = np.argsort(last)
 
+    def prefix(h: np.ndarray) -> np.ndarray:
+        many = len(h) - (4 * len(h) + 4) // 5 + 1 if len(h) else 0
+        if len(last):
+            at = by_value[np.minimum(np.searchsorted(last, h, sorter=by_value), len(last) - 1)]
+            known = last[at] == h
+            h = np.concatenate([h[~known], last[np.sort(at[known])]])
+        return h[:many]
 
-def similar_pairs(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All pairs (a, b) of distinct sets of rows with a Jaccard similarity of 4/5 or more. Only candidates' texts move."""
-    pairs = save(candidates(rows), "pairs")
+    @F.pandas_udf("s long, n int, p long, hashes array<long>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                pieces = list(shingle_hashes(t, SHINGLE))
+                h = np.unique(np.concatenate([*pieces, np.zeros(0, "<u8")]).view("<i8"))
+                rows.append((np.uint64(_digest(h)).astype(np.int64), len(h), vote(pieces), prefix(h)))
+            yield pd.DataFrame(rows, columns=["s", "n", "p", "hashes"])
+
+    f = df.select(*row_key(id_col, text_col), found(utf8(text_col)).alias("f"))
+    return save(f.select("id", "x", "y", "f.s", "f.n", "f.p", "f.hashes"), "lookups")
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """(h, s, n, at): each distinct set's place at each shingle by which several sets are looked up. Copies are one set."""
+    one = rows.groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    keys = one.select("s", "n", F.posexplode("hashes").alias("at", "h"))
+    # of two sets the smaller one meets the bound only in the first ninth of its list
+    several = keys.where("9 * at <= n").groupBy("h").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    return save(keys.join(several, "h").where("s <> low OR low <> high").select("h", "s", "n", "at"), "shared")
+
+
+def _live(places: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Places at shingles where sets of several components meet, each with its component c and one of the sets there, y."""
+    x = places.withColumn("c", F.col("s")) if roots is None else places.join(roots, "s", "left").select("h", "s", "n", "at", F.coalesce("root", "s").alias("c"))
+    some = F.struct(F.xxhash64("s", F.lit(turn)).alias("rank"), "s", "n", "at", "c")
+    met = x.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.when(F.col("at") * 9 <= F.col("n"), some)).alias("y"), F.count("*").alias("k")).where("low <> high AND y IS NOT NULL")
+    return save(x.join(met, "h").select("h", F.struct("s", "n", "at", "c").alias("x"), "y", "k"), "live")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
+
+
+def with_one(live: DataFrame) -> DataFrame:
+    """Candidates (a, b): each set with the one that its shingle names. Rows grow with the places, not with their pairs."""
+    return _ordered(live.where(f"x.c <> y.c AND {BOUND}"))
+
+
+def with_all(live: DataFrame) -> DataFrame:
+    """Candidates (a, b): all sets of different components that meet at a shingle within the bound."""
+    x, y = live.select("h", "x"), live.select("h", F.col("x").alias("y")).where("9 * y.at <= y.n")
+    return _ordered(x.join(y, "h").where(f"x.c <> y.c AND {BOUND}"))
+
+
+def checked(pairs: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose whole sets have the similarity. Only the sets of texts in a pair are made and moved."""
+    pairs = save(pairs, "pairs")
     named = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    ids = save(rows.join(named, "s", "left_semi").groupBy("s").agg(F.min("id").alias("id")).select("id").distinct(), "candidates")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    whole = save(sets(texts, "text", None, []).dropDuplicates(["s"]), "whole")
+    first = rows.join(named, "s", "left_semi").groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "x", "y")).alias("k"))
+    keys = save(first.select(F.col("k.id").alias("key_id"), F.col("k.x").alias("key_x"), F.col("k.y").alias("key_y")), "candidates")
+    texts = df.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    cond = [F.col(k).eqNullSafe(F.col(f"key_{k}")) for k in ("id", "x", "y")]
+    texts = texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, cond, "left_semi")
+    whole = save(sets(texts, "text", []).groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole")
     one, two = whole.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), whole.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     return pairs.join(one, "a").join(two, "b").where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def lookups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, s, n, hashes) of every row, hashes being those by which its set is looked up."""
-    return save(sets(df, text_col, frequent(df, text_col), [id_col]).withColumnRenamed(id_col, "id"), "lookups")
+def similar_pairs(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All pairs (a, b) of distinct sets of rows with a Jaccard similarity of 4/5 or more; in a group of near copies these are many."""
+    return checked(with_all(_live(shared(rows), None, 0)), df, rows, id_col, text_col)
+
+
+def proposals(rows: DataFrame) -> DataFrame:
+    """Candidates (a, b) of the BK-trees: sets of one fingerprint with the first of it, and firsts of linked fingerprints."""
+    firsts = save(rows.groupBy("p").agg(F.min("s").alias("f")), "firsts")
+    same = rows.select("s", "p").distinct().join(firsts, "p").where("s <> f").select(F.col("f").alias("a"), F.col("s").alias("b"))
+    links = save(print_links(firsts.select("p")), "links")
+    a, b = firsts.select(F.col("p").alias("a"), F.col("f").alias("fa")), firsts.select(F.col("p").alias("b"), F.col("f").alias("fb"))
+    near = links.join(a, "a").join(b, "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
+    return same.unionByName(near).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of every row of df that has an id; component_id is the smallest id reachable over similar pairs.
+def groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, x, y, g), g being the digest of the row's set, and (g, root) of the sets that are linked to others.
 
-    Texts without words, null ones too, have equal sets.
+    Sets are linked over similar pairs. After the trees' proposals come rounds in which each set is compared with one
+    set at each of its shingles; then the sets of different components that still meet are all compared.
+    A group of near copies is connected by then, so it never gives all its pairs. Texts without words, null ones too, have equal
+    sets.
     """
-    df = df.where(F.col(id_col).isNotNull())
     rows = lookups(df, id_col, text_col)
-    groups = save(rows.groupBy("s").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "groups")
-    linked = save(components(similar_pairs(df, rows, id_col, text_col)), "linked")
-    roots = save(linked.join(groups, linked["node"] == groups["s"]).groupBy("root").agg(F.min("least").alias("c")), "roots")
-    of_linked = linked.join(roots, "root").select(F.col("node").alias("s"), "c")
-    of_equal = groups.where("copies > 1").join(linked, F.col("s") == F.col("node"), "left_anti").select("s", F.col("least").alias("c"))
-    named = save(of_linked.unionByName(of_equal).withColumn("named", F.lit(True)), "named")
-    out = rows.select("id", "s").join(named, "s", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("named"), F.col("c")).otherwise(F.col("id")).alias("component_id"))
+    links = save(checked(proposals(rows), df, rows, id_col, text_col), "links")
+    places = shared(rows)
+    for turn in range(ROUNDS + 1):
+        roots = save(components(links).select(F.col("node").alias("s"), "root"), "roots")
+        places = _live(places, roots, turn)
+        n, pairs = places.agg(F.count("*"), F.sum("k")).first()
+        if not n:
+            break
+        # where few sets meet at a shingle, comparing all at once is cheaper than another round
+        final = turn == ROUNDS or pairs <= 8 * n
+        found = save(checked(with_all(places) if final else with_one(places), df, rows, id_col, text_col), "found")
+        links = links.unionByName(found)
+        if final:
+            roots = save(components(links).select(F.col("node").alias("s"), "root"), "roots")
+            break
+        places = places.select("h", "x.s", "x.n", "x.at")
+    return rows.select("id", "x", "y", F.col("s").alias("g")), roots.select(F.col("s").alias("g"), "root")

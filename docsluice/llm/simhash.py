@@ -4,12 +4,14 @@ A BK-tree hangs each fingerprint below its parent by their integer Hamming dista
 radius r at distance d follows only the edges d - r to d + r. All trees together have no proven size
 bound, so they are not broadcast: fingerprints are dealt to shard trees by some of their bits, such that
 any two within the radius meet in at least one shard (see masks), and each shard's tree answers for
-its own members. Identical fingerprints are one node, whatever their number.
+its own members; a shard of too many fingerprints is dealt again by more of their bits. Identical fingerprints
+are one node, whatever their number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -21,31 +23,40 @@ from .base import read, save, utf8
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
+#: How often bits are cut into parts for a shard; a large shard is cut again, at most to MOST_LEVELS.
+LEVELS, MOST_LEVELS = 2, 5
 _PIECE = 1 << 14
-#: Nodes whose trees are grown together; a shard larger than that is grown alone.
+#: Nodes whose trees are grown together, and the most fingerprints of a shard that is not dealt again.
 _FOREST = 1 << 15
+#: Dropped rows whose keys (24 bytes each) may be broadcast; more of them are joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
-def simhash(text: bytes, shingle: int = SHINGLE) -> int:
-    """Fingerprint as a signed long: a bit is set if it is set in more than half of the shingles' hashes.
-
-    A-Z are lowered; words end at space and \\t to \\r. A text of fewer words is one shingle, a text of
-    none has fingerprint zero.
-    """
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, repeats included, in pieces. A-Z are lowered; words end at space and \\t to \\r.
+    A text of fewer words is one shingle, a text of none has no shingle."""
     words = text.lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    counts = np.zeros(64, dtype=np.int64)
+    n = max(1, len(words) - shingle + 1) if words else 0
     digest = xxhash.xxh64_intdigest
     for a in range(0, n, _PIECE):
         part = words[a : min(n, a + _PIECE) + shingle - 1]
         grams = zip(*(part[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [part]
-        hashes = np.fromiter((digest(b" ".join(g), SEED) for g in grams), dtype="<u8")
+        yield np.fromiter((digest(b" ".join(g), SEED) for g in grams), dtype="<u8")
+
+
+def vote(pieces: Iterable[np.ndarray]) -> int:
+    """Fingerprint as a signed long: a bit is set if it is set in more than half of the hashes; of none it is zero."""
+    n, counts = 0, np.zeros(64, dtype=np.int64)
+    for hashes in pieces:
+        n += len(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+    return vote(shingle_hashes(text, shingle))
+
+
 def fingerprint(text_col: str = "text") -> Column:
     @F.pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -55,22 +66,21 @@ def fingerprint(text_col: str = "text") -> Column:
     return prints(utf8(text_col))
 
 
-def masks(radius: int = RADIUS, levels: int = 2) -> list[int]:
-    """Bit masks such that two fingerprints within the radius agree under at least one of them.
-
-    The 64 bits are cut into radius + 1 parts; differing bits can spoil all parts but one. The bits
-    outside the agreed part are cut in the same way again, so (radius + 1) ** levels masks of about
-    22 + 14 bits; a shard holds only fingerprints that agree in so many bits.
-    """
+def finer(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks with more bits than `mask` (signed longs), such that two fingerprints within the radius that agree under
+    `mask` agree under at least one: the other bits are cut into radius + 1 parts, and differing bits cannot spoil all."""
+    rest = [x for x in range(64) if not mask >> x & 1]
+    out = [mask % (1 << 64) | sum(1 << x for x in rest[k :: radius + 1]) for k in range(radius + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in out]
 
-    def cut(agreed: list[int], rest: list[int], level: int) -> list[list[int]]:
-        if not level:
-            return [agreed]
-        parts = [rest[k :: radius + 1] for k in range(radius + 1)]
-        return [m for p in parts for m in cut(agreed + p, [x for x in rest if x not in p], level - 1)]
 
-    out = [sum(1 << x for x in bits) for bits in cut([], list(range(64)), levels)]
-    return [m - (1 << 64) if m >> 63 else m for m in out]
+def masks(radius: int = RADIUS, levels: int = LEVELS) -> list[int]:
+    """(radius + 1) ** levels masks of which any two fingerprints within the radius agree under one. With two levels and
+    radius 2 a mask has 22 + 14 bits, and a shard holds only fingerprints that agree in so many."""
+    out = [0]
+    for _ in range(levels):
+        out = [y for x in out for y in finer(x, radius)]
+    return out
 
 
 def grow(prints: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -137,7 +147,7 @@ def links(prints: np.ndarray, shard: np.ndarray, radius: int = RADIUS) -> tuple[
     return prints[moved], prints[label[moved]]
 
 
-def _link_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _link_shards(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """Over rows (m, key, p) sorted by all three; a shard may run over several batches."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -152,7 +162,7 @@ def _link_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         while at < len(p):
             later = cuts[cuts >= at + _FOREST]
             to = int(later[0]) if len(later) else len(p)
-            a, b = links(p[at:to], shard[at:to])
+            a, b = links(p[at:to], shard[at:to], radius)
             if len(a):
                 yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
             at = to
@@ -180,11 +190,34 @@ def _link_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _dealt(rows: DataFrame, under: list[int] | Column) -> DataFrame:
+    """Rows (m, key, p) of fingerprints p, one for each mask."""
+    many = F.array(*[F.lit(m) for m in under]) if isinstance(under, list) else under
+    dealt = rows.select("p", F.explode(many).alias("m"))
+    return dealt.select("m", F.col("p").bitwiseAND(F.col("m")).alias("key"), "p")
+
+
+def shards(prints: DataFrame, column: str = "p", radius: int = RADIUS) -> DataFrame:
+    """(m, key, p): the members p of each shard (m, key). A shard of more than _FOREST members is dealt again by finer
+    masks. At radius 2, five levels leave 8 bits free, so no shard stays large, however alike the fingerprints are."""
+    level, now, at = LEVELS, _dealt(prints.select(F.col(column).alias("p")), masks(radius)), masks(radius)
+    done = None
+    while True:
+        large = save(now.groupBy("m", "key").count().where(F.col("count") > _FOREST).select("m", "key"), "large")
+        settled = level >= MOST_LEVELS or large.isEmpty()
+        part = now if settled else now.join(large, ["m", "key"], "left_anti").select("m", "key", "p")
+        done = part if done is None else done.unionByName(part)
+        if settled:
+            return done
+        below = F.create_map(*[x for m in at for x in (F.lit(m), F.array(*[F.lit(y) for y in finer(m, radius)]))])
+        again = now.join(large, ["m", "key"], "left_semi").select("p", below[F.col("m")].alias("below"))
+        now, level, at = save(_dealt(again, F.col("below")), "dealt"), level + 1, [y for m in at for y in finer(m, radius)]
+
+
 def print_links(prints: DataFrame, column: str = "p", radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all within the radius: a forest in each shard."""
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.col(column).bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(radius))]))
-    dealt = prints.select(F.col(column).alias("p"), keys.alias("k")).select("k.m", "k.key", "p").repartition("m", "key").sortWithinPartitions("m", "key", "p")
-    return dealt.mapInPandas(_link_shards, "a long, b long").distinct()
+    dealt = shards(prints, column, radius).repartition("m", "key").sortWithinPartitions("m", "key", "p")
+    return dealt.mapInPandas(partial(_link_shards, radius=radius), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,16 +239,64 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("p").alias("fingerprint"), F.when(F.col("named"), F.col("c")).otherwise(F.col("id")).alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of df without near-duplicates: of each component that `find` names the row with the smallest id.
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """id, x, y: what tells a row from others. Equal keys mean equal ids and, but for 128-bit collisions, equal texts."""
+    text = F.col(text_col).cast("string")
+    return [F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), F.xxhash64(F.lit(SEED), text, F.isnull(text)).alias("y")]
+
+
+def print_groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, x, y, g), g being the fingerprint, and (g, root) of the fingerprints that are linked to others."""
+    rows = save(df.select(*row_key(id_col, text_col), fingerprint(text_col).alias("g")), "prints")
+    linked = components(print_links(rows.select("g").distinct(), "g"))
+    return rows, save(linked.select(F.col("node").alias("g"), "root"), "linked")
+
+
+def surplus(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys (id, x, y) that are not the first of their component, keys of the first that several rows have).
+
+    A component is all rows whose g has one root. Its first key is that of the smallest id, then of the smallest hash of
+    the text; null ids come last. Works on 32 bytes a row, summed up by key before the shuffle."""
+    keys = rows.groupBy("id", "x", "y", "g").agg(F.count("*").alias("n"))
+    keys = save(keys.join(roots, "g", "left").select("id", "x", "y", "n", F.coalesce("root", "g").alias("c")), "keys")
+    order = F.struct(F.col("id").isNull().alias("no"), "id", "x", "y")
+    first = keys.groupBy("c").agg(F.min(order).alias("f"), F.count("*").alias("keys")).where("keys > 1").select("c", "f")
+    later = keys.join(first, "c").where(~F.struct(F.col("id").isNull().alias("no"), "id", "x", "y").eqNullSafe(F.col("f"))).select("id", "x", "y")
+    later = save(later, "later")
+    again = keys.where("n > 1").join(later, [keys[k].eqNullSafe(later[k]) for k in ("id", "x", "y")], "left_anti").select("id", "x", "y")
+    return later, save(again, "again")
+
+
+def _among(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """The rows of df whose key is among the given (left_semi) or is not (left_anti); few keys are broadcast."""
+    few = keys.count() <= BROADCAST_ROWS
+    own, free = row_key(id_col, text_col), "key_"
+    while any(c.lower().startswith(free) for c in df.columns):
+        free += "_"
+    named = keys.toDF(*[free + k for k in keys.columns])
+    cond = [a.eqNullSafe(F.col(b)) for a, b in zip(own, named.columns, strict=True)]
+    return df.join(F.broadcast(named) if few else named, cond, how)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., tuple[DataFrame, DataFrame]] = print_groups) -> DataFrame:
+    """The rows of df without near-duplicates: of each component that `find` names, one row.
 
-    Of equal rows one stays. Rows without an id cannot be named and stay.
+    It is the row of the smallest id, then of the smallest hash of the text; each row counts for itself, so of
+    two rows of one id and different texts one may go and the other stay. Rows without an id come last: one stays only
+    if its component has no id at all. Of rows of equal id and text the first by the hash of all columns stays.
+    Columns stay as they are, whatever their names. Texts move only if more than BROADCAST_ROWS rows go.
     """
-    reps = find(df.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    kept = df.join(save(reps.select(id_col).distinct(), "reps"), id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    later, again = surplus(*find(df, id_col, text_col))
+    kept = df if later.isEmpty() else _among(df, later, id_col, text_col, "left_anti")
+    if again.isEmpty():
+        return kept
+    several = _among(kept, again, id_col, text_col, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    one = several.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(row_key(id_col, text_col))]).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return _among(kept, again, id_col, text_col, "left_anti").unionByName(one)
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see near_duplicates for nulls, ties and empty texts."""
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
