@@ -15,8 +15,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Links are those of op6's purpose, not of its digest: five-word shingles, Jaccard similarity of 0.8 or more, exactly."""
-    return simhash.keep_one(docs, find=overlap.near_duplicates)
+    """Five-word shingles and a Jaccard similarity of 0.8 or more, exactly: BK-trees propose, prefix filtering completes."""
+    return simhash.keep_one(docs, find=overlap.groups)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
