@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -37,9 +38,11 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a local one is made.
+    Only where the session names none and all runs in one process, as in tests, a local one is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="docsluice-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -87,12 +90,13 @@ def shard_of(key: Column, bounds: list) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(found(F.coalesce(key, F.lit(bounds[0]))))
 
 
-#: Most shards of one output. Beyond it shards grow instead, so the boundaries that the driver sorts stay few.
-MOST_SHARDS = 16_384
+#: Most ranges of one output, each the work of one task. Beyond it a task writes several files one after the other, so
+#: files keep their size, the driver sorts few boundaries, and the one shuffle has no more blocks than Spark can track.
+MOST_TASKS = 16_384
 
 
 def shard_count(total_bytes: int | None, shard_bytes: int) -> int:
-    return min(MOST_SHARDS, max(1, math.ceil((total_bytes or 0) / shard_bytes)))
+    return min(MOST_TASKS, max(1, math.ceil((total_bytes or 0) / shard_bytes)))
 
 
 def carried(df: DataFrame, id_col: str) -> tuple[Column, str, str]:
@@ -109,3 +113,35 @@ def carried(df: DataFrame, id_col: str) -> tuple[Column, str, str]:
 def utf8(column: str) -> Column:
     """The bytes of a text column, null as empty: saves Python a decode and an encode of each text."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
+
+
+#: What tells a row of a table of texts from others: its id and 128 bits of its text.
+KEY = ["id", "x", "y"]
+#: Values of 8 bytes that may be broadcast; more are joined by shuffle.
+BROADCAST_VALUES = 3 << 20
+
+
+def few(values: int) -> bool:
+    return values <= BROADCAST_VALUES
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """id, x, y: equal keys mean equal ids and, but for 128-bit collisions, equal texts (null and empty ones differ)."""
+    text = F.col(text_col).cast("string")
+    return [F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), F.xxhash64(F.lit(42), text, F.isnull(text)).alias("y")]
+
+
+def same_key(prefix: str) -> list[Column]:
+    """Join condition of two keys, of which one has a prefix to its names; null ids are equal."""
+    return [F.col(k).eqNullSafe(F.col(prefix + k)) for k in KEY]
+
+
+def among(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """The rows of df whose key is among the given (left_semi) or is not (left_anti), columns as they are, whatever their
+    names. Few keys are broadcast, so texts stay where they are; many are joined by shuffle."""
+    free = "key_"
+    while any(c.lower().startswith(free) for c in df.columns):
+        free += "_"
+    named = keys.toDF(*[free + k for k in keys.columns])
+    cond = [a.eqNullSafe(F.col(b)) for a, b in zip(row_key(id_col, text_col), named.columns, strict=True)]
+    return df.join(F.broadcast(named) if few(3 * keys.count()) else named, cond, how)

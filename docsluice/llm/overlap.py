@@ -22,15 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import save, utf8
+from .base import few, row_key, same_key, save, utf8
 from .components import components
-from .simhash import BROADCAST_ROWS, SEED, print_links, row_key, shingle_hashes, vote
+from .simhash import SEED, print_links, shingle_hashes, vote
 
 SHINGLE = 5
 #: Texts of the sample for the order, and the most frequent shingles that it may name.
 SAMPLE, MOST_FREQUENT = 4_000, 100_000
-#: Rounds in which a text is compared with one other of each of its shingles, before all that are left are compared.
-ROUNDS = 3
+#: Sets at one shingle that are all compared at once. Where more meet, each is first compared with one of them: once, and again,
+#: up to ROUNDS times, while a set still meets more than CROWD others on average.
+AT_ONCE, CROWD, ROUNDS = 8, 64, 4
+#: Parts of the hashes' range in which a set's hashes are counted; the sum of the smaller counts bounds what two sets share.
+PARTS = 128
 #: At the first shingle that x and y share, at most the shorter rest of the two lists is shared: J >= 4/5 needs 9 * shared >= 4 * (n + n).
 BOUND = "9 * least(x.n - x.at, y.n - y.at) >= 4 * (x.n + y.n)"
 
@@ -67,8 +70,9 @@ def frequent(df: DataFrame, text_col: str) -> np.ndarray:
 
 
 def lookups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, x, y, s, n, p, hashes) of every row: its key, the digest and the size of its set, the fingerprint of its
-    shingles, and the first hashes in the common order, by which it is looked up. The one scan of all texts."""
+    """(id, x, y, s, n, p, counts, hashes) of every row: its key, the digest and the size of its set, the fingerprint of
+    its shingles, how many hashes lie in each part of their range, and the first hashes in the common order, by which
+    the set is looked up. The one scan of all texts."""
     last = frequent(df, text_col)
     by_value = np.argsort(last)
 
@@ -80,18 +84,19 @@ def lookups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             h = np.concatenate([h[~known], last[np.sort(at[known])]])
         return h[:many]
 
-    @F.pandas_udf("s long, n int, p long, hashes array<long>")
+    @F.pandas_udf("s long, n int, p long, counts array<int>, hashes array<long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 pieces = list(shingle_hashes(t, SHINGLE))
                 h = np.unique(np.concatenate([*pieces, np.zeros(0, "<u8")]).view("<i8"))
-                rows.append((np.uint64(_digest(h)).astype(np.int64), len(h), vote(pieces), prefix(h)))
-            yield pd.DataFrame(rows, columns=["s", "n", "p", "hashes"])
+                counts = np.bincount(h.view(np.uint64) >> np.uint64(57), minlength=PARTS).astype(np.int32)
+                rows.append((np.uint64(_digest(h)).astype(np.int64), len(h), vote(pieces), counts, prefix(h)))
+            yield pd.DataFrame(rows, columns=["s", "n", "p", "counts", "hashes"])
 
     f = df.select(*row_key(id_col, text_col), found(utf8(text_col)).alias("f"))
-    return save(f.select("id", "x", "y", "f.s", "f.n", "f.p", "f.hashes"), "lookups")
+    return save(f.select("id", "x", "y", "f.s", "f.n", "f.p", "f.counts", "f.hashes"), "lookups")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -126,15 +131,23 @@ def with_all(live: DataFrame) -> DataFrame:
     return _ordered(x.join(y, "h").where(f"x.c <> y.c AND {BOUND}"))
 
 
+def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs that their sets' counts leave possible; no similar pair is lost. Moves PARTS small numbers for a set."""
+    named = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    counts = save(rows.select("s", "n", "counts").join(named, "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("counts").alias("k")), "counts")
+    one, two = (counts.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}")) for x in "ab")
+    most = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return pairs.join(one, "a").join(two, "b").where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def checked(pairs: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose whole sets have the similarity. Only the sets of texts in a pair are made and moved."""
-    pairs = save(pairs, "pairs")
+    """The pairs whose whole sets have the similarity. Only the sets of texts in a possible pair are made and moved."""
+    pairs = save(possible(save(pairs, "pairs"), rows), "possible")
     named = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
     first = rows.join(named, "s", "left_semi").groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "x", "y")).alias("k"))
     keys = save(first.select(F.col("k.id").alias("key_id"), F.col("k.x").alias("key_x"), F.col("k.y").alias("key_y")), "candidates")
     texts = df.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    cond = [F.col(k).eqNullSafe(F.col(f"key_{k}")) for k in ("id", "x", "y")]
-    texts = texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, cond, "left_semi")
+    texts = texts.join(F.broadcast(keys) if few(3 * keys.count()) else keys, same_key("key_"), "left_semi")
     whole = save(sets(texts, "text", []).groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole")
     one, two = whole.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), whole.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     return pairs.join(one, "a").join(two, "b").where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
@@ -158,9 +171,9 @@ def proposals(rows: DataFrame) -> DataFrame:
 def groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, x, y, g), g being the digest of the row's set, and (g, root) of the sets that are linked to others.
 
-    Sets are linked over similar pairs. After the trees' proposals come rounds in which each set is compared with one
-    set at each of its shingles; then the sets of different components that still meet are all compared.
-    A group of near copies is connected by then, so it never gives all its pairs. Texts without words, null ones too, have equal
+    Sets are linked over similar pairs. After the trees' proposals, sets that meet at a shingle with few others are all compared;
+    where many meet, each is compared with one of them, then, if components still differ, with another one; what is
+    left after that is all compared. A group of near copies is connected by then, so it never gives all its pairs. Texts without words, null ones too, have equal
     sets.
     """
     rows = lookups(df, id_col, text_col)
@@ -168,16 +181,18 @@ def groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
     places = shared(rows)
     for turn in range(ROUNDS + 1):
         roots = save(components(links).select(F.col("node").alias("s"), "root"), "roots")
-        places = _live(places, roots, turn)
-        n, pairs = places.agg(F.count("*"), F.sum("k")).first()
-        if not n:
+        live = _live(places, roots, turn)
+        crowded = live.where(F.col("k") > AT_ONCE)
+        n, crowd = crowded.agg(F.count("*"), F.avg("k")).first()
+        final = turn and (turn == ROUNDS or (crowd or 0) <= CROWD)
+        pairs = with_all(crowded) if final else with_one(crowded)
+        if not turn:  # in later turns these are done
+            pairs = pairs.unionByName(with_all(live.where(F.col("k") <= AT_ONCE))).distinct()
+        elif not n:
             break
-        # where few sets meet at a shingle, comparing all at once is cheaper than another round
-        final = turn == ROUNDS or pairs <= 8 * n
-        found = save(checked(with_all(places) if final else with_one(places), df, rows, id_col, text_col), "found")
-        links = links.unionByName(found)
-        if final:
-            roots = save(components(links).select(F.col("node").alias("s"), "root"), "roots")
+        links = links.unionByName(save(checked(pairs, df, rows, id_col, text_col), "found"))
+        places = crowded.select("h", "x.s", "x.n", "x.at")
+        if final or not n:
             break
-        places = places.select("h", "x.s", "x.n", "x.at")
+    roots = save(components(links).select(F.col("node").alias("s"), "root"), "roots")
     return rows.select("id", "x", "y", F.col("s").alias("g")), roots.select(F.col("s").alias("g"), "root")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import read, save, utf8
+from .base import among, read, row_key, same_key, save, utf8
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -28,8 +28,6 @@ LEVELS, MOST_LEVELS = 2, 5
 _PIECE = 1 << 14
 #: Nodes whose trees are grown together, and the most fingerprints of a shard that is not dealt again.
 _FOREST = 1 << 15
-#: Dropped rows whose keys (24 bytes each) may be broadcast; more of them are joined by shuffle.
-BROADCAST_ROWS = 1 << 20
 
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -239,12 +237,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("p").alias("fingerprint"), F.when(F.col("named"), F.col("c")).otherwise(F.col("id")).alias("component_id"))
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """id, x, y: what tells a row from others. Equal keys mean equal ids and, but for 128-bit collisions, equal texts."""
-    text = F.col(text_col).cast("string")
-    return [F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), F.xxhash64(F.lit(SEED), text, F.isnull(text)).alias("y")]
-
-
 def print_groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, x, y, g), g being the fingerprint, and (g, root) of the fingerprints that are linked to others."""
     rows = save(df.select(*row_key(id_col, text_col), fingerprint(text_col).alias("g")), "prints")
@@ -263,37 +255,26 @@ def surplus(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = keys.groupBy("c").agg(F.min(order).alias("f"), F.count("*").alias("keys")).where("keys > 1").select("c", "f")
     later = keys.join(first, "c").where(~F.struct(F.col("id").isNull().alias("no"), "id", "x", "y").eqNullSafe(F.col("f"))).select("id", "x", "y")
     later = save(later, "later")
-    again = keys.where("n > 1").join(later, [keys[k].eqNullSafe(later[k]) for k in ("id", "x", "y")], "left_anti").select("id", "x", "y")
+    again = keys.where("n > 1").join(later.toDF("later_id", "later_x", "later_y"), same_key("later_"), "left_anti").select("id", "x", "y")
     return later, save(again, "again")
 
 
-def _among(df: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """The rows of df whose key is among the given (left_semi) or is not (left_anti); few keys are broadcast."""
-    few = keys.count() <= BROADCAST_ROWS
-    own, free = row_key(id_col, text_col), "key_"
-    while any(c.lower().startswith(free) for c in df.columns):
-        free += "_"
-    named = keys.toDF(*[free + k for k in keys.columns])
-    cond = [a.eqNullSafe(F.col(b)) for a, b in zip(own, named.columns, strict=True)]
-    return df.join(F.broadcast(named) if few else named, cond, how)
-
-
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., tuple[DataFrame, DataFrame]] = print_groups) -> DataFrame:
     """The rows of df without near-duplicates: of each component that `find` names, one row.
 
     It is the row of the smallest id, then of the smallest hash of the text; each row counts for itself, so of
     two rows of one id and different texts one may go and the other stay. Rows without an id come last: one stays only
     if its component has no id at all. Of rows of equal id and text the first by the hash of all columns stays.
-    Columns stay as they are, whatever their names. Texts move only if more than BROADCAST_ROWS rows go.
+    Columns stay as they are, whatever their names. Texts move only if more rows go than base.few allows for.
     """
     later, again = surplus(*find(df, id_col, text_col))
-    kept = df if later.isEmpty() else _among(df, later, id_col, text_col, "left_anti")
+    kept = df if later.isEmpty() else among(df, later, id_col, text_col, "left_anti")
     if again.isEmpty():
         return kept
-    several = _among(kept, again, id_col, text_col, "left_semi")
+    several = among(kept, again, id_col, text_col, "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     one = several.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(row_key(id_col, text_col))]).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
-    return _among(kept, again, id_col, text_col, "left_anti").unionByName(one)
+    return among(kept, again, id_col, text_col, "left_anti").unionByName(one)
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,28 +2,30 @@
 
 Of each run of WINDOW_HASHES consecutive hashes of GRAM words the smallest (the rightmost of equals) is a
 fingerprint. Two texts that share GRAM + WINDOW_HASHES - 1 = SPAN words in a row share a fingerprint at the
-same place of that span. Test fingerprints are joined with those of the documents; each hit is extended
-in both directions word by word, and a shared run of SPAN words or more marks its words.
+same place of that span. Fingerprints of documents are joined with those of the test items; around each hit the runs of
+SPAN words are then joined with those of the items, so every shared span is found and nothing else. Items of fewer
+words are one window of their own length, and their own fingerprint.
+
+Both joins are equi joins on 64-bit hashes of words, so Spark broadcasts a small benchmark and shuffles a large one; a frequent
+fingerprint costs its places once, never its pairs.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import carried, read, utf8
+from .base import KEY, among, few, read, row_key, same_key, save, utf8
 
 SPAN, GRAM = 10, 5
 WINDOW_HASHES = SPAN - GRAM + 1
-#: Bytes of test texts whose index is broadcast at once; more are taken in blocks, one after the other.
-BLOCK_BYTES = 32 << 20
+#: Fingerprints of a benchmark (8 bytes each) that tasks may hold, to drop others before the join. It saves time only.
+MOST_KNOWN = 1 << 20
 
 
 def winnow(b: W.Batch) -> tuple[np.ndarray, np.ndarray]:
@@ -41,167 +43,162 @@ def winnow(b: W.Batch) -> tuple[np.ndarray, np.ndarray]:
     return at[chosen], h[chosen]
 
 
-@dataclass
-class Index:
-    """Fingerprints of a block of test items, their words, and the items of fewer than SPAN words by length."""
-
-    items: list[str]
-    hashes: np.ndarray  #: sorted fingerprints
-    places: np.ndarray  #: index into words, for each
-    words: np.ndarray
-    doc: np.ndarray  #: item of each word
-    first: np.ndarray  #: first word of each item, and the end
-    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  #: length -> sorted hashes, items
-
-
-def index(items: list[str], texts: list[bytes]) -> Index:
-    b = W.pack([t.lower() for t in texts], W.ALNUM)
-    n = b.words_in()
-    first = np.concatenate([[0], np.cumsum(n)])
-    at, h = winnow(b)
-    order = np.argsort(h, kind="stable")
-    out = Index(items, h[order], at[order], b.hashes, b.doc, first)
-    for length in sorted({int(x) for x in n if 0 < x < SPAN}):
-        at, h = W.grams(b, length)
-        mine = n[b.doc[at]] == length
-        at, h = at[mine], h[mine]
-        order = np.argsort(h, kind="stable")
-        out.short[length] = (h[order], b.doc[at[order]])
-    return out
-
-
-def _pairs(sorted_hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) with h[i] == sorted_hashes[j]."""
-    lo, hi = np.searchsorted(sorted_hashes, h, "left"), np.searchsorted(sorted_hashes, h, "right")
-    some = np.flatnonzero(hi > lo)
-    n = hi[some] - lo[some]
-    return np.repeat(some, n), np.repeat(lo[some], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-
-
-def hits(b: W.Batch, ix: Index) -> Iterator[tuple[int, int, int]]:
-    """(first word, end, item) of every maximal run of words that text and item share, of SPAN words or
-    more, and of every place of a shorter whole item. Runs may repeat and overlap."""
-    at, h = winnow(b)
-    i, j = _pairs(ix.hashes, h)
-    place, other = at[i], ix.places[j]
-    order = np.lexsort((place, place - other))
-    last_diagonal, done = None, -1
-    doc_first = np.searchsorted(b.doc, np.arange(b.n + 1))
-    for p, q in zip(place[order].tolist(), other[order].tolist(), strict=True):
-        if p - q == last_diagonal and p < done:
-            continue  # inside the run that was just extended
-        d, item = b.doc[p], ix.doc[q]
-        back = min(p - doc_first[d], q - ix.first[item])
-        ahead = min(doc_first[d + 1] - p, ix.first[item + 1] - q)
-        left = b.hashes[p - back : p][::-1] == ix.words[q - back : q][::-1]
-        right = b.hashes[p : p + ahead] == ix.words[q : q + ahead]
-        start = p - (int(np.argmin(left)) if not left.all() else back)
-        end = p + (int(np.argmin(right)) if not right.all() else ahead)
-        last_diagonal, done = p - q, max(end, p + 1)
-        if end - start >= SPAN:
-            yield int(start), int(end), int(item)
-    for length, (known, owner) in ix.short.items():
-        at, h = W.grams(b, length)
-        i, j = _pairs(known, h)
-        for p, item in zip(at[i].tolist(), owner[j].tolist(), strict=True):
-            yield p, p + length, item
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[str], list[bytes]]]:
-    """Test items in blocks of BLOCK_BYTES of text, streamed by the driver; null ids read as 'null'."""
-    items, texts, size = [], [], 0
-    part = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), utf8(text_col))
-    for item, text in part.toLocalIterator():
-        items.append(item)
-        texts.append(bytes(text))
-        size += len(text) + 1
-        if size >= BLOCK_BYTES:
-            yield items, texts
-            items, texts, size = [], [], 0
-    if items:
-        yield items, texts
-
-
-def _scan(ix, first: bool, last: bool):
-    """The pass of one block of test items over all texts; spans found so far travel along."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = ix.value
-        for pdf in batches:
-            texts = list(pdf["text"])
-            for a, z in W.slices(texts):
-                part = pdf.iloc[a:z]
-                b = W.pack([t.lower() for t in texts[a:z]], W.ALNUM)
+def windows(b: W.Batch, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of each run of n words; hashes of different lengths differ."""
+    at, h = W.grams(b, n)
+    return at, W.mix(h + np.uint64(n))
+
+
+def _by_text(b: W.Batch, at: np.ndarray, *values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The values of each text of a batch, given the ascending word indexes that they belong to."""
+    cuts = np.searchsorted(b.doc[at], np.arange(b.n + 1)) if len(at) else np.zeros(b.n + 1, np.int64)
+    return (tuple(v[a:z] for v in values) for a, z in zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _packed(texts: list[bytes]) -> Iterator[tuple[W.Batch, int, int]]:
+    for a, z in W.slices(texts):
+        yield W.pack([t.lower() for t in texts[a:z]], W.ALNUM), a, z
+
+
+def items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, length, prints, windows) of each test item with a word: the length of its windows, its fingerprints and windows.
+
+    Items without words are left out; a null id reads as 'null'."""
+
+    @F.pandas_udf("length int, prints array<long>, windows array<long>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            out = []
+            for b, _, _ in _packed(list(s)):
                 n = b.words_in()
-                begins = np.concatenate([[0], np.cumsum(n)])
-                spans = [[] for _ in n] if first else [[tuple(s) for s in row] for row in part["spans"].map(lambda x: [(s["first"], s["until"], s["item"]) for s in x])]
-                for p, e, item in hits(b, block):
-                    d = b.doc[p]
-                    spans[d].append((int(p - begins[d]), int(e - begins[d]), block.items[item]))
-                spans = [sorted(set(s)) for s in spans]
-                if not last:
-                    yield pd.DataFrame({"id": part["id"].to_numpy(), "text": texts[a:z], "spans": [[{"first": p, "until": e, "item": i} for p, e, i in s] for s in spans]})
-                    continue
-                n_hit, n_items, digest = [], [], []
-                for s in spans:
-                    covered, end = 0, 0
-                    for p, e, _ in s:
-                        covered += max(0, e - max(p, end))
-                        end = max(end, e)
-                    items = sorted({i for *_, i in s})
-                    n_hit.append(covered)
-                    n_items.append(len(items))
-                    digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "n_words": n, "n_hit": n_hit, "n_items": n_items, "items_sha256": digest, "contaminated": [x > 0 for x in n_hit], "spans": [[{"first": p, "until": e, "item": i} for p, e, i in s] for s in spans]})
-
-    return run
+                at, h = winnow(b)
+                prints = [x[0] for x in _by_text(b, at, h)]
+                whole = {k: [x[0] for x in _by_text(b, *windows(b, k))] for k in sorted({min(int(x), SPAN) for x in n if x})}
+                for i, k in enumerate(min(int(x), SPAN) for x in n):
+                    own = np.unique(whole[k][i]) if k else h[:0]
+                    out.append((k, (np.unique(prints[i]) if k == SPAN else own).view(np.int64), own.view(np.int64)))
+            yield pd.DataFrame(out, columns=["length", "prints", "windows"])
 
+    f = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), cut(utf8(text_col)).alias("f"))
+    return save(f.select("item", "f.length", "f.prints", "f.windows").where("length > 0"), "items")
 
-def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per row of documents: words, words inside shared spans, items, spans. No shuffle.
 
-    Null and empty texts have no words. Test items are indexed in blocks of bounded size, and each
-    block passes over all documents in the same stage, so neither table bounds the other.
-    """
-    sc = documents.sparkSession.sparkContext
-    key, way, kind = carried(documents, id_col)
-    spans = "spans array<struct<first: long, until: long, item: string>>"
-    df = documents.select(key.alias("id"), utf8(text_col).alias("text"))
-    blocks = [sc.broadcast(index(*x)) for x in _blocks(benchmark, item_col, item_text_col)] or [sc.broadcast(index([], []))]
-    for k, ix in enumerate(blocks):
-        last = k == len(blocks) - 1
-        out = f"id {way}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, {spans}" if last else f"id {way}, text binary, {spans}"
-        df = df.mapInPandas(_scan(ix, k == 0, last), out)
-    return df.select(F.col("id").cast(kind).alias(id_col), *df.columns[1:])
-
-
-def _clean(ix, text_col: str) -> Column:
-    """Whether a text shares no span with the indexed test items."""
-
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _prints(lengths: list[int], known) -> Callable[[Column], Column]:
+    """Words of a text and the distinct fingerprints by which it is looked up; with `known` only those that are in it."""
+
+    @F.pandas_udf("n_words long, prints array<long>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        keep = None if known is None else known.value
         for s in batches:
-            rows = list(s)
-            out = np.ones(len(rows), dtype=bool)
-            for a, z in W.slices(rows):
-                b = W.pack([t.lower() for t in rows[a:z]], W.ALNUM)
-                for p, _, _ in hits(b, ix.value):
-                    out[a + b.doc[p]] = False
+            n_words, prints = [], []
+            for b, _, _ in _packed(list(s)):
+                n_words.append(b.words_in())
+                own = [[] for _ in range(b.n)]
+                for at, h in [winnow(b), *(windows(b, k) for k in lengths)]:
+                    h = h.view(np.int64)
+                    if keep is not None and len(h):
+                        ok = keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h if len(keep) else np.zeros(len(h), bool)
+                        at, h = at[ok], h[ok]
+                    if len(h):
+                        for i, (x,) in enumerate(_by_text(b, at, h)):
+                            if len(x):
+                                own[i].append(x)
+                prints += [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in own]
+            yield pd.DataFrame({"n_words": np.concatenate([*n_words, np.zeros(0, np.int64)]), "prints": prints})
+
+    return found
+
+
+def _near(lengths: list[int]) -> Callable[[Column, Column], Column]:
+    """The windows of a text around its fingerprints `prints`: array<struct<w, first, until>>."""
+
+    @F.pandas_udf("array<struct<w: long, first: long, until: long>>")
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, prints in batches:
+            out = []
+            for b, a, _ in _packed(list(texts)):
+                at, h = winnow(b)
+                start, whole = windows(b, SPAN)
+                parts = zip(_by_text(b, at, at, h.view(np.int64)), _by_text(b, start, start, whole.view(np.int64)), strict=True)
+                first = np.searchsorted(b.doc, np.arange(b.n))
+                rows = []
+                for i, ((p, x), (q, w)) in enumerate(parts):
+                    hit = p[np.isin(x, prints.iloc[a + i])]
+                    ok = np.isin(q, (hit[:, None] - np.arange(WINDOW_HASHES)).ravel())
+                    rows.append([(w[ok], q[ok] - first[i], q[ok] - first[i] + SPAN)])
+                for k in lengths:
+                    start, whole = windows(b, k)
+                    for i, (q, w) in enumerate(_by_text(b, start, start, whole.view(np.int64))):
+                        ok = np.isin(w, prints.iloc[a + i])
+                        rows[i].append((w[ok], q[ok] - first[i], q[ok] - first[i] + k))
+                out += [[{"w": int(w), "first": int(p), "until": int(e)} for part in r for w, p, e in zip(*part, strict=True)] for r in rows]
             yield pd.Series(out)
 
-    return clean(utf8(text_col))
+    return found
 
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of documents whose text shares no span with the benchmark; columns stay as they are."""
+def hits(documents: DataFrame, tests: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((id, x, y, n_words) of every row, (id, x, y, w, first, until) of the windows of rows that are windows of an item)."""
     sc = documents.sparkSession.sparkContext
-    kept = documents
-    for block in _blocks(benchmark, "item_id", "text"):
-        kept = kept.where(_clean(sc.broadcast(index(*block)), text_col))
-    return kept
+    lengths = sorted(r[0] for r in tests.where(F.col("length") < SPAN).select("length").distinct().collect())
+    listed = tests.select(F.explode("prints").alias("h")).distinct()
+    known = None
+    if listed.count() <= MOST_KNOWN:
+        known = sc.broadcast(np.sort(np.array([r[0] for r in listed.collect()], dtype=np.int64)))
+    f = documents.select(*row_key(id_col, text_col), _prints(lengths, known)(utf8(text_col)).alias("f"))
+    rows = save(f.select(*KEY, "f.n_words", "f.prints"), "scanned")
+    looked = rows.select(*KEY, F.explode("prints").alias("h")).distinct().join(listed, "h")
+    near = save(looked.groupBy(*KEY).agg(F.collect_set("h").alias("prints")), "candidates")
+    size = near.agg(F.sum(F.size("prints") + 4)).first()[0] or 0
+    named = near.toDF(*[f"near_{c}" for c in near.columns])
+    texts = documents.select(*row_key(id_col, text_col), utf8(text_col).alias("text")).join(F.broadcast(named) if few(size) else named, same_key("near_"))
+    found = texts.select(*KEY, F.explode(_near(lengths)(F.col("text"), F.col("near_prints"))).alias("v")).select(*KEY, "v.*").distinct()
+    known_windows = tests.select(F.explode("windows").alias("w")).distinct()
+    return rows.select(*KEY, "n_words"), save(found.join(known_windows, "w", "left_semi").select(*KEY, "w", "first", "until"), "hits")
+
+
+def stretches(hit: DataFrame) -> DataFrame:
+    """(id, x, y, n_hit, spans): the words inside hits, and the stretches (first, until) that they form."""
+    order = Window.partitionBy(*KEY).orderBy("first", "until")
+    placed = hit.select(*KEY, "first", "until").distinct().withColumn("before", F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = placed.withColumn("run", F.sum(F.when(F.col("first") <= F.col("before"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = placed.groupBy(*KEY, "run").agg(F.min("first").alias("first"), F.max("until").alias("until"))
+    return runs.groupBy(*KEY).agg(F.sum(F.col("until") - F.col("first")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("first", "until"))).alias("spans"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per row of documents: words, words inside shared windows, items, their digest, stretches of hit words.
+
+    Null and empty texts have no words; items without words hit nothing. Repeated rows get the same result each, rows without
+    an id theirs. Other columns of documents are not looked at. Texts are not shuffled unless very many rows are hit.
+    """
+    tests = items(benchmark, item_col, item_text_col)
+    rows, hit = hits(documents, tests, id_col, text_col)
+    owners = hit.select(*KEY, "w").distinct().join(tests.select("item", F.explode("windows").alias("w")).distinct(), "w").select(*KEY, "item").distinct()
+    named = owners.groupBy(*KEY).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    spans = stretches(hit)
+    found = spans.join(named.toDF(*[f"own_{c}" for c in named.columns]), same_key("own_"))
+    found = save(found.select(*[F.col(k).alias(f"hit_{k}") for k in KEY], "n_hit", "spans", F.col("own_items").alias("items")), "found")
+    out = rows.join(found, same_key("hit_"), "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.coalesce("items", none), ",").cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<first:bigint,until:bigint>>")).alias("spans"),
+    )
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of documents whose text shares no window with the benchmark; columns stay as they are.
+
+    Null and empty texts stay, repeated rows stay or go together, rows without an id are judged like any other.
+    """
+    _, hit = hits(documents, items(benchmark), id_col, text_col)
+    gone = save(hit.select(*KEY).distinct(), "gone")
+    return documents if gone.isEmpty() else among(documents, gone, id_col, text_col, "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of benchmark items in every document; see contamination for nulls, empty texts and repeated rows."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from docsluice.llm import base
 from docsluice.llm import overlap as O
 from docsluice.llm import simhash as S
 from docsluice.llm.components import components
@@ -108,9 +109,9 @@ def test_keep_one_decides_for_each_row(spark):
     rows = [(0, b, "p"), (1, a, "q"), (1, b, "r"), (2, a, "s"), (None, c, "t"), (None, c, "t"), (None, a, "u"), (3, c + "".join(f" v{i}" for i in range(60)), "v"), (4, None, "w"), (4, None, "w"), (None, None, "w"), (5, "  ", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, g string").selectExpr("*", "1 AS id", "2 AS root", "map('k', g) AS `a.b`")
     want = [("p", 0), ("q", 1), ("t", None), ("v", 3), ("w", 4)]
-    for most in (S.BROADCAST_ROWS, 0):  # by broadcast and by shuffle
+    for most in (base.BROADCAST_VALUES, 0):  # by broadcast and by shuffle
         with pytest.MonkeyPatch.context() as m:
-            m.setattr(S, "BROADCAST_ROWS", most)
+            m.setattr(base, "BROADCAST_VALUES", most)
             for find in (S.print_groups, O.groups):
                 out = S.keep_one(df, find=find)
                 assert out.columns == df.columns and sorted((r.g, r.doc_id) for r in out.collect()) == want

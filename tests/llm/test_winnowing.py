@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from docsluice.llm import base
 from docsluice.llm import winnowing as N
 
 
@@ -34,9 +35,11 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("block", [1, 1 << 20])
-def test_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(N, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_against_brute_force(spark, monkeypatch, most):
+    """With and without what tasks hold to drop fingerprints early, by broadcast and by shuffle."""
+    monkeypatch.setattr(N, "MOST_KNOWN", most)
+    monkeypatch.setattr(base, "BROADCAST_VALUES", most)
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").selectExpr("*", "0 AS spans", "1 AS n_hit")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted(((r.doc_id or 0), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in N.contamination(docs, items).collect())
@@ -53,18 +56,25 @@ def test_empty_tables(spark):
     assert N.without_contaminated(docs, none).count() == len(DOCS)
 
 
-def test_every_shared_span_is_found():
+def test_every_shared_span_is_found(spark):
     import random
 
     random.seed(3)
     item = [f"i{k}" for k in range(40)]
-    ix = N.index(["q"], [" ".join(item).encode()])
-    from docsluice.llm import words as W
-
-    for _ in range(200):
+    rows, want = [], {}
+    for k in range(200):
         a = random.randrange(31)
         n = random.randrange(10, 41 - a)
         text = [f"d{random.randrange(50)}" for _ in range(random.randrange(30))] + item[a : a + n] + [f"d{random.randrange(50)}" for _ in range(5)]
-        spans = set(N.hits(W.pack([" ".join(text).encode()], W.ALNUM), ix))
+        rows.append((k, " ".join(text)))
         start = len(text) - 5 - n
-        assert spans == {(start, start + n, 0)}
+        want[k] = [(start, start + n)]
+    out = N.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("q", " ".join(item))], "item_id string, text string"))
+    assert {r.doc_id: [tuple(x) for x in r.spans] for r in out.collect()} == want
+
+
+def test_one_word_many_times_is_linear(spark):
+    """Equal words give one fingerprint at every place; places are counted, not their pairs."""
+    docs = spark.createDataFrame([(1, "the " * 200_000), (2, "the " * 9)], "doc_id long, text string")
+    out = {r.doc_id: r for r in N.contamination(docs, spark.createDataFrame([(1, "the " * 20_000), (2, "the " * 10)], "item_id long, text string")).collect()}
+    assert out[1].n_hit == 200_000 and out[1].n_items == 2 and not out[2].contaminated
