@@ -2,7 +2,8 @@
 
 A document's strength is a linear function of its text features. The weights minimise the logistic
 loss on feature differences of (better, worse) pairs of labelled documents; two more numbers map the
-strength to a probability. Documents are then kept above a quantile of all scores.
+strength to a probability. Documents are then kept above a quantile of all scores: the one that cuts off as many
+documents as the calibrated scores expect to be bad.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import read, utf8
+from .base import KEY, among, read, row_key, save, utf8
 
 #: Bounds of the fit: labelled documents of each label, and partners that each of them is paired with.
 SAMPLE_PER_LABEL, PARTNERS = 10_000, 8
-#: Scores from this on are predicted to be good.
+#: Scores from this on are predicted to be good; no quantile cuts them off.
 CUT = 0.3
 #: Scores are counted in so many equal bins to find an exact quantile of the bins.
 BINS = 10_000
@@ -162,9 +163,9 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 yield pd.DataFrame({"i": pdf["i"].iloc[a:z].to_numpy(), "y": pdf["y"].iloc[a:z].to_numpy(), "x": list(features(rows[a:z]))})
 
     kind = texts.schema["i"].dataType.simpleString()
-    got = texts.mapInPandas(run, f"i {kind}, y int, x array<double>").toPandas()
-    # repeated documents: the first by value; a fixed order makes the fit the same on every run
-    got = got.assign(k=[tuple(x) for x in got["x"]]).sort_values(["i", "k"]).drop_duplicates("i")
+    # repeated documents: the first by value, so at most one row for each chosen id reaches the driver
+    got = texts.mapInPandas(run, f"i {kind}, y int, x array<double>").groupBy("i").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas()
+    got = got.sort_values("i")  # a fixed order makes the fit the same on every run
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
     y = got["y"].to_numpy()
     return fit_pairs(x[y == 1], x[y == 0], share)
@@ -182,9 +183,7 @@ def score(model: Model, text_col: str = "text") -> Column:
     return scored(utf8(text_col))
 
 
-def quantile(scores: DataFrame, column: str, level: float) -> float:
-    """Upper edge of the first bin at which at least `level` of the scores are below; counts go to BINS + 1 bins at most."""
-    counts = scores.groupBy(F.floor(F.col(column) * BINS).alias("bin")).count().where("bin is not null").collect()
+def _cut(counts: list, level: float) -> float:
     total, below = sum(r["count"] for r in counts), 0
     if level <= 0:
         return 0.0
@@ -195,21 +194,54 @@ def quantile(scores: DataFrame, column: str, level: float) -> float:
     return 1.0
 
 
-def keep_by_quantile(documents: DataFrame, model: Model, level: float, text_col: str = "text") -> DataFrame:
-    """The rows of documents without the lowest `level` of scores (with all that share the last bin of these); a row
-    that scores CUT or more always stays."""
-    cut = min(quantile(documents.select(score(model, text_col).alias("s")), "s", level), CUT)
-    return documents.where(score(model, text_col) >= F.lit(cut))
+def _bins(scores: DataFrame, column: str) -> DataFrame:
+    return scores.groupBy(F.floor(F.col(column) * BINS).alias("bin")).agg(F.count("*").alias("count"), F.sum(1 - F.col(column)).alias("bad")).where("bin is not null")
+
+
+def quantile(scores: DataFrame, column: str, level: float) -> float:
+    """Upper edge of the first bin at which at least `level` of the scores are below; counts go to BINS + 1 bins at most."""
+    return _cut(_bins(scores, column).select("bin", "count").collect(), level)
+
+
+def threshold(scores: DataFrame, column: str, level: float | None = None) -> float:
+    """The quantile of the scores from which on documents are kept, CUT at most.
+
+    level: the share of documents to cut off. Without one it is the share that the scores, which are calibrated
+    probabilities, expect to be bad; it is taken over all documents. CUT is the floor of what is kept: a row that is predicted to be
+    good stays, however large the level. No scores: CUT.
+    """
+    counts = _bins(scores, column).collect()
+    total = sum(r["count"] for r in counts)
+    if not total:
+        return CUT
+    expected = round(sum(r["bad"] for r in sorted(counts)) / total, 9)
+    return min(_cut(counts, expected if level is None else level), CUT)
+
+
+def keep_by_quantile(documents: DataFrame, model: Model, level: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of documents that score at or above threshold(), columns as they are.
+
+    Null and empty texts score like any other text without words; equal texts stay or go together; all rows that share the quantile's bin
+    go together too. Texts are scored once; rows that go are named by id and hash, rows without an id by the hash.
+    """
+    scored = save(documents.select(*row_key(id_col, text_col), score(model, text_col).alias("score")), "scored")
+    gone = save(scored.where(F.col("score") < threshold(scored, "score", level)).select(*KEY).distinct(), "gone")
+    return documents if gone.isEmpty() else among(documents, gone, id_col, text_col, "left_anti")
 
 
 def keep_predicted(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of documents that are predicted to be good: those that score CUT or more, whatever their share."""
+    """The rows of documents that are predicted to be good: those that score CUT or more, whatever their share. Null and
+    empty texts score like any text without words; repeated rows stay or go together; columns stay as they are."""
     return documents.where(score(model, text_col) >= F.lit(CUT))
 
 
 def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents: no shuffle of texts."""
+    """Scores of all documents, whether each is predicted to be good, and whether it is above the quantile (kept).
+
+    Null and empty texts have a score like any other, rows without an id are never held out, repeated rows score alike.
+    No shuffle of texts.
+    """
     documents = read(spark, sf_dir, "documents")
     model = train(documents, read(spark, sf_dir, "labels"))
-    scored = documents.select("doc_id", held_out().alias("held_out"), score(model).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    scored = save(documents.select("doc_id", held_out().alias("held_out"), score(model).alias("score")), "scored")
+    return scored.withColumns({"predicted": (F.col("score") >= CUT).cast("int"), "kept": F.col("score") >= threshold(scored, "score")})

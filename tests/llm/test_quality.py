@@ -56,8 +56,50 @@ def test_keep_by_quantile(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
     assert sorted(r.doc_id for r in Q.keep_predicted(docs, m).collect()) == list(range(40))
+    assert sorted(r.doc_id for r in Q.keep_by_quantile(docs, m).collect()) == list(range(40))
+    # the quantile decides below CUT, CUT above it; ties in a bin go together
+    few = Q.keep_by_quantile(docs, m, 0.02)
+    assert 40 <= few.count() < 50 and {r.doc_id for r in few.collect()} >= set(range(40))
+    assert Q.keep_by_quantile(docs, m, 0.9).count() == 40 and Q.keep_by_quantile(docs, m, 0.0).count() == 50
+    odd = docs.limit(0).unionByName(spark.createDataFrame([(None, None, "k"), (1, "", "k"), (1, "", "k"), (None, bad, "k")], "doc_id long, text string, extra string"))
+    assert Q.keep_by_quantile(odd, m).columns == docs.columns and Q.keep_by_quantile(docs.limit(0), m).count() == 0
     scores = docs.select(Q.score(m).alias("s"))
     assert Q.quantile(scores, "s", 0.0) == 0
     assert Q.quantile(scores.limit(0), "s", 0.5) == 1.0
     tied = spark.createDataFrame([(0.11111,)] * 3 + [(0.9,)], "s double")
     assert Q.quantile(tied, "s", 0.5) == 0.1112 and Q.quantile(tied, "s", 0.8) == 0.9001
+
+
+def test_threshold_against_plain_loops(spark):
+    """The cut is the edge of the bin in which the sorted scores reach the expected share of bad ones."""
+    rng = np.random.default_rng(3)
+    for high in (0.2, 1.0):
+        values = (rng.random(500) * high).round(6).tolist()
+        expected = sum(1 - v for v in values) / len(values)
+        edges = sorted(int(np.floor(v * Q.BINS)) for v in values)
+        want = min((edges[int(np.ceil(expected * len(values))) - 1] + 1) / Q.BINS, Q.CUT)
+        assert Q.threshold(spark.createDataFrame([(v,) for v in values], "s double"), "s") == want
+    assert Q.threshold(spark.createDataFrame([], "s double"), "s") == Q.CUT
+
+
+def test_repeated_labelled_rows_reach_the_driver_once(spark):
+    docs = spark.createDataFrame([(1, "a good text here")] * 500 + [(3, "### $$$")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    one, many = Q.train(docs.dropDuplicates(), labels), Q.train(docs, labels)
+    assert np.array_equal(one.weight, many.weight) and one.offset == many.offset
+
+
+def test_pairs_against_plain_gradient_descent():
+    """Bradley-Terry weights by Newton's method are those that plain descent on the same pairs' logistic loss finds."""
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(0.4, 1, (40, 2)), rng.normal(-0.4, 1, (40, 2))
+    m = Q.fit_pairs(good, bad, 0.5)
+    a, b = ((x - m.mean) / m.scale for x in (good, bad))
+    pairs = [(a[i % 40], b[(i * 7 + 13 * j + i // 40) % 40]) for j in range(Q.PARTNERS) for i in range(40)]
+    w = np.zeros(2)
+    for _ in range(600):
+        g = w.copy()  # the ridge
+        for x, y in pairs:
+            g -= (x - y) / (1 + np.exp(w @ (x - y))) / Q.PARTNERS
+        w -= 0.02 * g
+    assert np.allclose(w, m.weight, atol=1e-4)
