@@ -42,6 +42,36 @@ def as_events(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     return c.select("conv_id", at.cast("long").alias("seq"), F.lit("message").alias("event"), at.cast("string").alias("message_id"), "role", "text")
 
 
+def streamed(finished: DataFrame) -> DataFrame:
+    """A log of finished messages (as_events) told as it may have come about; folding it gives the same messages.
+
+    Every text arrives in three pieces: a message and two deltas. Every third message begins as a draft, a text and a delta,
+    that an edit takes back before the pieces come. Every fourth is answered by a question that is
+    taken back when the message is regenerated. Which is which goes by the message's place in its conversation.
+    """
+    text, at = F.coalesce("text", F.lit("")), F.col("seq")
+    cut = F.ceil(F.length(text) / 3).cast("int")
+    piece = [F.substring(text, F.lit(1), cut), F.substring(text, cut + 1, cut), F.substr(text, 2 * cut + 1)]
+    draft, again = at % 3 == 1, at % 4 == 2
+
+    def event(k: int, kind: str, said: Column, name: Column = F.col("message_id"), role: Column = F.lit(None).cast("string")) -> Column:
+        return F.struct((at * 10 + k).alias("seq"), F.lit(kind).alias("event"), name.alias("message_id"), role.alias("role"), said.alias("text"))
+
+    other = F.concat(F.col("message_id"), F.lit("?"))
+    steps = [
+        (F.lit(True), event(0, "message", F.when(draft, F.lit("no, ")).when(again, F.lit("other words")).otherwise(piece[0]), role=F.col("role"))),
+        (draft, event(1, "delta", F.lit("not this"))),
+        (draft, event(2, "edit", F.when(again, F.lit("still not")).otherwise(piece[0]))),
+        (again, event(3, "message", F.lit("say it otherwise"), other, F.lit("user"))),
+        (again, event(4, "delta", F.lit(", please"), other)),
+        (again, event(5, "regenerate", piece[0])),
+        (F.lit(True), event(6, "delta", piece[1])),
+        (F.lit(True), event(7, "delta", piece[2])),
+    ]
+    told = F.explode(F.filter(F.array(*[F.when(cond, e) for cond, e in steps]), lambda e: e.isNotNull()))
+    return finished.select("conv_id", told.alias("e")).select("conv_id", "e.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, message_id, at, role, text) of the messages that stand at the end of each log.
 
@@ -106,10 +136,11 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and a small one of control strings, written formatted and read back."""
+    """All conversations and a small one of control strings, as a log of streamed, edited and regenerated messages that is
+    folded, written formatted and read back. See as_events for nulls and ties, fold for what a log may hold."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
-    out = parse(save(render(fold(as_events(rows.unionByName(tricky)))), "formatted"))
+    out = parse(save(render(fold(streamed(as_events(rows.unionByName(tricky))))), "formatted"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),

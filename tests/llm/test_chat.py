@@ -62,3 +62,12 @@ def test_query_has_the_control_conversation_and_no_python(spark, sf_dir):
     table = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()]
     want = brute(table)
     assert {c: (r.n_turns, r.turns_sha256, r.loss_sha256) for c, r in rows.items() if c != -7} == {c: (n, s, sha(x)) for c, (n, s, x) in want.items()}
+
+
+def test_a_streamed_log_folds_to_the_finished_messages(spark):
+    df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    log = C.streamed(C.as_events(df))
+    kinds = {r.event: r["count"] for r in log.groupBy("event").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["message"] > len(ROWS)
+    got = C.parse(C.render(C.fold(log))).collect()
+    assert {r.conv_id: (len(r.turns), sha("".join(f"{t.role}\n{t.text}\n" for t in r.turns)), r.loss_text) for r in got} == brute(ROWS)
