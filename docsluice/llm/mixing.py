@@ -114,24 +114,31 @@ def rake(tokens: dict[tuple, float], targets: dict[str, dict[str, float]], share
     return Fit([(*key, share if not mass[place[key]] and not unwanted(key) else float(p[place[key]])) for key in sorted(tokens)], rounds, float(error))
 
 
-def draw(id_col: str, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the id alone: 52 bits of a hash. Null ids all draw the same."""
-    hexed = F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, 13)
+def draw(id_col: str, text_col: str = "text", seed: str = SEED) -> Column:
+    """A number in [0, 1) from the id alone: 52 bits of a hash. Rows without an id draw by their text, so only equal texts draw alike."""
+    own = F.col(id_col).cast("string")
+    by_text = F.when(own.isNull(), F.md5(F.col(text_col).cast("string").cast("binary")))  # null of a null text, and then left out
+    hexed = F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(own, F.lit("null")), by_text).cast("binary")), 1, 13)
     return F.conv(hexed, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def probabilities(measured: DataFrame, targets: dict[str, dict[str, float]], share: float) -> DataFrame:
-    """(source, lang, topic, probability) of each cell. Cells reach the driver already summed; there are at
-    most the product of the targets' named levels, each plus one, whatever the data."""
+def fit(measured: DataFrame, targets: dict[str, dict[str, float]], share: float) -> Fit:
+    """The raked cells of a measured table. Cells reach the driver already summed; there are at most the product of
+    the targets' named levels, each plus one, whatever the data."""
     rows = measured.groupBy(*AXES).agg(F.sum("n_tokens").alias("n")).collect()
     tokens = {tuple(r[a] for a in AXES): float(r["n"]) for r in rows}
     # a table without any token has nothing to rake: its rows are sampled at the base share
-    cells = rake(tokens, targets, share).cells if any(tokens.values()) else [(*key, share) for key in sorted(tokens)]
-    return measured.sparkSession.createDataFrame(cells, "source string, lang string, topic string, probability double")
+    return rake(tokens, targets, share) if any(tokens.values()) else Fit([(*key, share) for key in sorted(tokens)], 0, 0.0)
+
+
+def probabilities(spark: SparkSession, fitted: Fit) -> DataFrame:
+    """(source, lang, topic, probability) of each cell."""
+    return spark.createDataFrame(fitted.cells, "source string, lang string, topic string, probability double")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] = TARGETS, columns: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:
-    """One row per row of df: id, cell, tokens, weight (probability over share), probability, sampled or not.
+    """One row per row of df: id, cell, tokens, weight (probability over share), probability, sampled or not, and error:
+    how far the expected share of some level stays from its target, the same in every row; 0 if all targets are met.
 
     Null texts have no tokens; null and unnamed values of an axis are OTHER; a text without
     tokens is sampled like its cell. Repeated rows draw alike. columns: the columns of the axes; an axis without one is derived.
@@ -139,27 +146,36 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets:
     on = {"source": "source", "lang": "lang"} if columns is None else columns
     cell = axes(df, targets, on, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    measured = save(df.select(F.col(id_col).alias("id"), *[cell[a].alias(a) for a in AXES], token_count(text).alias("n_tokens")), "measured")
-    p = probabilities(measured, targets, share)
-    out = measured.join(F.broadcast(p), list(AXES)).select(F.col("id").alias(id_col), *AXES, "n_tokens", (F.col("probability") / share).alias("weight"), "probability")
-    return out.withColumn("sampled", draw(id_col) < F.col("probability"))
+    measured = save(df.select(F.col(id_col).alias("id"), *[cell[a].alias(a) for a in AXES], token_count(text).alias("n_tokens"), draw(id_col, text_col).alias("draw")), "measured")
+    fitted = fit(measured, targets, share)
+    p = probabilities(df.sparkSession, fitted)
+    out = measured.join(F.broadcast(p), list(AXES)).select(F.col("id").alias(id_col), *AXES, "n_tokens", (F.col("probability") / share).alias("weight"), "probability", "draw")
+    return out.select("*", (F.col("draw") < F.col("probability")).alias("sampled"), F.lit(round(fitted.error, 9)).alias("error")).drop("draw")
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] = TARGETS, columns: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:
-    """The sampled rows of df, columns as they are. Texts are read twice and never shuffled."""
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] = TARGETS, columns: dict[str, str] | None = None, share: float = SHARE, most_error: float | None = None) -> DataFrame:
+    """The sampled rows of df, columns as they are; nulls, empty texts and repeated rows as in mix. Texts are read twice and never shuffled.
+
+    most_error: raise an error if some level's expected share stays further from its target than this, instead of
+    sampling as well as can be.
+    """
     on = {"source": "source", "lang": "lang"} if columns is None else columns
     cell = axes(df, targets, on, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     measured = df.select(*[cell[a].alias(a) for a in AXES], token_count(text).alias("n_tokens"))
-    p = probabilities(measured, targets, share)
+    fitted = fit(measured, targets, share)
+    if most_error is not None and fitted.error > most_error:
+        raise ValueError(f"a target is missed by {fitted.error:.4f} of all tokens, more than {most_error}")
+    p = probabilities(df.sparkSession, fitted)
     own = {c.lower() for c in df.columns}
     k = 0
     while any(x.startswith(f"mix{k}_") for x in own):
         k += 1
     p = p.select(*[F.col(c).alias(f"mix{k}_{c}") for c in (*AXES, "probability")])
     cond = [cell[a] == p[f"mix{k}_{a}"] for a in AXES]
-    return df.join(F.broadcast(p), cond, "inner").where(draw(id_col) < F.col(f"mix{k}_probability")).select(*[df[c] for c in df.columns])
+    return df.join(F.broadcast(p), cond, "inner").where(draw(id_col, text_col) < F.col(f"mix{k}_probability")).select(*[df[c] for c in df.columns])
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, probability and draw of every document, with the fit's error; see mix for nulls, empty texts and repeated rows."""
     return mix(read(spark, sf_dir, "documents"))

@@ -76,3 +76,38 @@ def test_production_targets_keep_null_and_unknown_values(spark):
     assert {r.doc_id: r.probability for r in got}[5000] == M.SHARE == {r.doc_id: r.probability for r in got}[5001]
     assert {r.doc_id for r in M.sample(df).collect()} == {r.doc_id for r in taken}
     assert {r.probability for r in M.mix(df.where("doc_id >= 5000")).collect()} == {M.SHARE}
+
+
+def test_rake_against_plain_scaling():
+    """Cells scaled axis by axis in plain loops until their marginals hold: the same probabilities."""
+    rng = np.random.default_rng(9)
+    targets = {"source": {"a": 0.5, "b": 0.3}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"x": 0.7, "y": 0.3}}
+    tokens = {(s, g, t): float(rng.integers(500, 1500)) for s in ("a", "b", M.OTHER) for g in ("en", "de") for t in ("x", "y")}
+    want = [{"a": 0.5, "b": 0.3, M.OTHER: 0.2}, {"en": 0.6, "de": 0.4}, {"x": 0.7, "y": 0.3}]
+    total = sum(tokens.values())
+    cell = {c: n / total for c, n in tokens.items()}
+    for _ in range(200):
+        for k in range(3):
+            for level, target in want[k].items():
+                now = sum(v for c, v in cell.items() if c[k] == level)
+                for c in cell:
+                    if c[k] == level:
+                        cell[c] *= target / now
+    got = {c[:3]: c[3] for c in M.rake(tokens, targets, 0.25).cells}
+    for c in tokens:
+        assert got[c] == pytest.approx(0.25 * cell[c] / (tokens[c] / total), rel=1e-6)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    rows = [(i, "w " * 20, "b", "en") for i in range(200)] + [(1000, "w w", "a", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = M.mix(df, targets={"source": {"a": 0.9, "b": 0.1}, "lang": {}, "topic": {}}).collect()
+    assert len({r.error for r in got}) == 1 and got[0].error > 0.1
+    assert M.mix(df, targets={"source": {}, "lang": {}, "topic": {}}).first().error == 0
+    with pytest.raises(ValueError, match="a target is missed"):
+        M.sample(df, targets={"source": {"a": 0.9, "b": 0.1}, "lang": {}, "topic": {}}, most_error=0.01)
+
+
+def test_rows_without_an_id_draw_by_their_text(spark):
+    df = spark.createDataFrame([(None, f"text {i} " * 9, "a", "en") for i in range(400)], "doc_id long, text string, source string, lang string")
+    assert 100 < M.sample(df).count() < 300
