@@ -52,3 +52,24 @@ def test_whole_table(spark, sf_dir):
 def test_training_on_an_empty_table(spark):
     m = L.train(spark.createDataFrame([], "doc_id long, text string"))
     assert found(spark, m, ["Released under the MIT License."]) == ["MIT"]
+
+
+def test_identifier_lines_and_more_licences(spark, model):
+    cases = [(f, f"// SPDX-License-Identifier: {x}") for f, names in L.SPDX.items() for x in names]
+    cases += [("GPL", "Licensed under the GNU General Public License, version 2."), ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file)"), ("AGPL", "Licensed under the GNU Affero General Public License, version 3.")]
+    got = found(spark, model, [t for _, t in cases])
+    assert [(f, t, g) for (f, t), g in zip(cases, got) if f != g] == []
+
+
+def test_wording_that_no_fit_has_seen(spark, sf_dir, monkeypatch):
+    """Held-out accuracy: of each family with several sentences one is left out; more than half of these (11 of 18 when this was written) are still taken for licences,
+    and hardly any paragraph of the documents is."""
+    left = {f: t[1] for f, t in L.TEMPLATES.items() if len(t) > 2 and not t[1].startswith("SPDX")}
+    monkeypatch.setattr(L, "TEMPLATES", {f: [x for x in t if x != left.get(f)] for f, t in L.TEMPLATES.items()})
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    m = L.train(docs)
+    got = found(spark, m, list(left.values()))
+    assert len(left) > 8 and sum(g != "unknown" for g in got) >= 0.5 * len(got), list(zip(left, got))
+    lines = {x for r in docs.collect() for x in (r.text or "").split("\n") if "licen" not in x.lower() and "rights" not in x.lower() and x.strip()}
+    wrong = [g for g in found(spark, m, sorted(lines)[:2000]) if g != "unknown"]
+    assert len(wrong) <= 20
