@@ -89,4 +89,5 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; null and empty texts have no words and fail the base rule."""
     return repetition(read(spark, sf_dir, "documents"))

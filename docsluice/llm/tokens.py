@@ -6,8 +6,9 @@ all little-endian. Beside it lies an index file of fixed-size entries: flag (1:
 id, offset of the frame, number of ids. Any document can so be read by one seek, in any order. Masking (rotate
 by 15 bits, add a constant) keeps a checksum of stored checksums from being trivial.
 
-Shards are ranges of document ids. A task writes temporary names that no other attempt uses; the manifest,
-a table written by Spark, names the files of the attempts that counted; then they are renamed.
+Shards are ranges of document ids, written by one task each, in several parts if a range is large. A task writes
+temporary names that no other attempt uses; the manifest, a table written by Spark, names the files of the attempts
+that counted; then they are renamed.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import new_dir, read, save, shard_count, shard_of, splitters
+from .base import MOST_TASKS, new_dir, read, save, shard_count, shard_of, splitters
 
-#: Bytes of text in a shard. A shard is written by one task as one pair of files.
-SHARD_BYTES = 24 << 20
+#: Bytes of text that a shard aims at, and bytes of a data file from which on the next document begins another one.
+SHARD_BYTES, FILE_BYTES = 24 << 20, 48 << 20
 #: Words whose ids a worker remembers; then it forgets all and starts anew.
 CACHE_WORDS = 400_000
 MASK_DELTA = 0xA282EAD8
@@ -149,10 +150,10 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
 class ShardWriter:
     """One data file and its index under names of this attempt."""
 
-    def __init__(self, root: str, shard: int):
+    def __init__(self, root: str, shard: int, part: int):
         self.files, at = store(root)
-        self.name = f"{shard:06d}-{uuid.uuid4().hex}"
-        self.at, self.shard = at, shard
+        self.name = f"{shard:06d}-{part:04d}-{uuid.uuid4().hex}"
+        self.at, self.shard, self.part = at, shard, part
         self.files.create_dir(f"{at}/tmp", recursive=True)
         self.data = self.files.open_output_stream(f"{at}/tmp/{self.name}.bin")
         self.entries: list[tuple] = []
@@ -169,18 +170,22 @@ class ShardWriter:
         self.data.close()
         with self.files.open_output_stream(f"{self.at}/tmp/{self.name}.idx") as f:
             f.write(np.array(self.entries, dtype=ENTRY).tobytes())
-        return {"shard": self.shard, "name": self.name, "docs": len(self.entries), "tokens": self.tokens, "bytes": self.offset}
+        return {"shard": self.shard, "part": self.part, "name": self.name, "docs": len(self.entries), "tokens": self.tokens, "bytes": self.offset}
 
 
-MANIFEST = "shard int, name string, docs long, tokens long, bytes long"
+MANIFEST = "shard int, part int, name string, docs long, tokens long, bytes long"
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode every text, write the files in ascending id order, return the manifest (one row a shard).
+def file_name(shard: int, part: int) -> str:
+    return f"shard-{shard:06d}" + (f"-{part:04d}" if part else "")
+
+
+def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Encode every text, write the files in ascending id order, return the manifest (one row a pair of files).
 
     Null texts are empty and have the end id only; rows without an id come first; rows with equal ids are in
     the order of their texts, equal rows are all written. The manifest has the number of ids before each
-    shard (start). An empty table writes nothing. Texts are shuffled once.
+    file (start). An empty table writes nothing. Texts are shuffled once.
     """
     part = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n, size = part.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
@@ -194,10 +199,10 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
         out = None
         for pdf in batches:
             for shard, doc_id, text in zip(pdf["shard"].tolist(), pdf["id"].tolist(), pdf["text"].tolist(), strict=True):
-                if out is None or shard != out.shard:
+                if out is None or shard != out.shard or out.offset >= file_bytes:
                     if out is not None:
                         yield pd.DataFrame([out.close()])
-                    out = ShardWriter(path, shard)
+                    out = ShardWriter(path, shard, out.part + 1 if out is not None and shard == out.shard else 0)
                 ids = encode(text) + end
                 out.add(None if doc_id is None else int(doc_id), ids, len(ids) // encode.dtype.itemsize)
         if out is not None:
@@ -216,15 +221,15 @@ def commit(manifest: DataFrame, path: str) -> DataFrame:
     def rename(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, at = store(path)
         for pdf in batches:
-            for shard, name in zip(pdf["shard"], pdf["name"], strict=True):
+            for shard, part, name in zip(pdf["shard"].tolist(), pdf["part"].tolist(), pdf["name"].tolist(), strict=True):
                 for kind in ("bin", "idx"):
-                    source, target = f"{at}/tmp/{name}.{kind}", f"{at}/shard-{shard:06d}.{kind}"
+                    source, target = f"{at}/tmp/{name}.{kind}", f"{at}/{file_name(shard, part)}.{kind}"
                     if files.get_file_info(source).type != fs.FileType.NotFound:
                         files.move(source, target)
             yield pdf
 
-    before = F.coalesce(F.sum("tokens").over(_ordered()), F.lit(0))  # one row a shard: small, in one task
-    done = manifest.repartition("shard").mapInPandas(rename, MANIFEST).withColumn("start", before).drop("name")
+    before = F.coalesce(F.sum("tokens").over(_ordered()), F.lit(0))  # one row a file: small, in one task
+    done = manifest.repartition("shard", "part").mapInPandas(rename, MANIFEST).withColumn("start", before).drop("name")
     done.write.mode("overwrite").parquet(f"{path}/manifest")
     files, at = store(path)
     if files.get_file_info(f"{at}/tmp").type == fs.FileType.Directory:
@@ -235,7 +240,7 @@ def commit(manifest: DataFrame, path: str) -> DataFrame:
 def _ordered():
     from pyspark.sql import Window
 
-    return Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def read_tokens(manifest: DataFrame, path: str, width: int) -> DataFrame:
@@ -247,17 +252,18 @@ def read_tokens(manifest: DataFrame, path: str, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, at = store(path)
         for pdf in batches:
-            for shard, start in zip(pdf["shard"].tolist(), pdf["start"].tolist(), strict=True):
-                with files.open_input_file(f"{at}/shard-{shard:06d}.idx") as f:
+            for shard, part, start in zip(pdf["shard"].tolist(), pdf["part"].tolist(), pdf["start"].tolist(), strict=True):
+                stem = f"{at}/{file_name(shard, part)}"
+                with files.open_input_file(f"{stem}.idx") as f:
                     entries = np.frombuffer(f.read(), dtype=ENTRY)
                 # frames lie in the order of the index: one pass with a small buffer, whatever the file's size
-                with files.open_input_stream(f"{at}/shard-{shard:06d}.bin", compression=None, buffer_size=1 << 20) as f:
+                with files.open_input_stream(f"{stem}.bin", compression=None, buffer_size=1 << 20) as f:
                     crc = [zlib.crc32(np.frombuffer(unframe(f, int(o)), dtype=f"<u{width}").astype("<u4").tobytes()) for o in entries["offset"]]
                 n = entries["n"].astype(np.int64)
                 yield pd.DataFrame({"doc_id": pd.Series(entries["id"]).astype("Int64").mask(pd.Series(entries["null"] == 1)), "start": start + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": crc})
 
-    part = manifest.select("shard", "start")
-    return part.repartition(max(1, part.count()), "shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    part = manifest.select("shard", "part", "start")
+    return part.repartition(min(MOST_TASKS, max(1, part.count())), "shard", "part").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_path() -> str:
@@ -271,9 +277,11 @@ def id_width(tokenizer: str) -> int:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, written and read back; see write_tokens for nulls, empty texts, ties and repeated rows."""
     return write_and_read(read(spark, sf_dir, "documents"))
 
 
 def write_and_read(documents: DataFrame) -> DataFrame:
+    """Token files of documents under a new folder, read back: (doc_id, start, n_tokens, ids_crc32)."""
     path, tokenizer = new_dir(documents.sparkSession, "tokens"), tokenizer_path()
     return read_tokens(write_tokens(documents, path, tokenizer), path, id_width(tokenizer))

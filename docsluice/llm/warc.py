@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import new_dir, read, save, shard_count, shard_of, splitters, utf8
+from .base import MOST_TASKS, new_dir, read, save, shard_count, shard_of, splitters, utf8
 from .tokens import store
 
 #: Bytes of payload in a shard, compressed bytes at which a file is closed, payloads below which are never revisits.
@@ -217,10 +217,11 @@ def read_warc(manifest: DataFrame, path: str) -> DataFrame:
                 yield out.assign(**{c: pd.array([None if x is None or x == "None" else int(x) for x in out[c]], dtype="Int64") for c in ("page_id", "refers_to")})
 
     part = manifest.select("shard", "part")
-    return part.repartition(max(1, part.count()), "shard", "part").mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return part.repartition(min(MOST_TASKS, max(1, part.count())), "shard", "part").mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived and read back; see write_warc for nulls, ties and repeated rows."""
     path = new_dir(spark, "warc")
     return read_warc(write_warc(read(spark, sf_dir, "pages"), path), path)
 

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from docsluice.llm.repetition import LEAST_WORDS, repetition
+from docsluice.llm.repetition import COVERAGE, LEAST_WORDS, LINE_COVERAGE, repetition
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
 TEXTS = [
@@ -54,6 +54,44 @@ def test_empty_table(spark):
     assert repetition(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def verdict(text):
+    """Coverage of characters in repeated windows and lines, counted word by word, and what they mean together."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    chars = max(1, sum(map(len, words)))
+    out = {}
+    for n in COVERAGE:
+        where = {}
+        for i in range(len(words) - n + 1):
+            where.setdefault(tuple(words[i : i + n]), []).append(i)
+        inside = {i + k for at in where.values() if len(at) > 1 for i in at for k in range(n)}
+        out[f"cover_{n}"] = sum(len(words[i]) for i in inside) / chars
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        own = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if own and line in seen:
+            again += sum(map(len, own))
+        seen.add(line)
+    out["cover_lines"] = again / chars
+    out["kept"] = not brute(text)[-1] and out["cover_lines"] <= LINE_COVERAGE and all(out[f"cover_{n}"] <= limit for n, limit in COVERAGE.items())
+    return out
+
+
+def test_coverage_and_verdict_against_brute_force(spark, sf_dir):
+    """On real texts, with a share of them repeated in part so that every limit decides some rows."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10_000 + i, (t or "") + "\n" + (t or "")[: len(t or "") * (i % 5) // 6]) for i, t in rows]
+    got = {r.doc_id: r for r in repetition(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = set()
+    for i, t in rows:
+        want = verdict(t)
+        assert got[i].kept == want["kept"], i
+        for k in want:
+            assert got[i][k] == pytest.approx(want[k]), (i, k)
+        kept.add(want["kept"])
+    assert kept == {True, False}
+
+
 @pytest.mark.parametrize("n", [3, 5, 8, 10])
 def test_coverage_counts_characters(spark, n):
     unit = [f"word{i}" for i in range(n)]

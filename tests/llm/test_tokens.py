@@ -85,6 +85,23 @@ def test_round_trip(spark, shard_bytes):
     assert "tmp" not in names and len([n for n in names if n.endswith(".bin")]) == manifest.count()
 
 
+def test_a_large_range_is_written_in_several_files(spark, monkeypatch):
+    """However few tasks there may be, files keep their size: one shard rolls on, ids and starts go on over its files."""
+    from docsluice.llm import base
+
+    monkeypatch.setattr(base, "MOST_TASKS", 1)
+    rows = [(i, f"text number {i} of some length") for i in range(60)]
+    path = T.new_dir(spark, "test-tokens")
+    manifest = T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, shard_bytes=100, file_bytes=100)
+    assert {r.shard for r in manifest.collect()} == {0} and manifest.count() > 5 and manifest.agg({"bytes": "max"}).first()[0] < 200
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in T.read_tokens(manifest, path, 2).collect())
+    want, at = [], 0
+    for i, t in rows:
+        want.append((i, at, len(library(t)) + 1))
+        at += want[-1][2]
+    assert got == want
+
+
 def test_files_are_the_same_on_every_run(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     digests = []
