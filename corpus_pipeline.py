@@ -9,9 +9,9 @@ from docsluice.llm.base import read, save
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject. It learns from the labels of these documents. A
-    quantile of the scores would keep some of them where there are more than it allows for."""
-    return quality.keep_predicted(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    """Documents that the quality classifier does not reject. It learns from the labels of these documents; the quantile
+    is the share that the scores expect to be bad, and nothing that is predicted to be good goes."""
+    return quality.keep_by_quantile(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
