@@ -8,6 +8,7 @@ The spans of the fixed formats always stay. All positions are code points, ends
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -36,6 +37,8 @@ MORE = {
 #: What a text must have for a generator to find anything: a cheap test that loses nothing.
 NEEDS = {"email": "@", "phone": "+"}
 CONTEXT = 24
+#: Characters of a text that are cut off at once where spans are replaced.
+CHUNK = 4096
 #: Length from which on the features tell spans apart no more.
 LONGEST = 256
 _SPAN = "struct<start:bigint,end:bigint,text:string,before:string,after:string>"
@@ -45,23 +48,55 @@ PHONE_CUES = r"(?i)(phone|tel\b|tel[.:]|mobile|cell|call|fax|ssn|social|passport
 PLAIN_CUES = r"(?i)(isbn|version|page|order|item|part|model|commit|vol|no\.|figure|table|total|price|year|build|file|id )"
 
 
+#: Entries of a list that are summed up one by one. The state of a fold is copied at every step, so no fold here has a list for its
+#: state that grows with the matches: n entries cost about n * PART + (n / PART) ** 2 steps.
+PART = 128
+
+
+def _bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once: a one-element array binds a value inside an expression."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """The values of a list so far, put together by an associative op: running sums or maxima, each with its own value."""
+    total = lambda xs: F.aggregate(xs, zero, op)
+
+    def inside(part: Column, before: Column) -> Column:
+        return F.transform(part, lambda _, i: op(before, total(F.slice(part, F.lit(1), i + 1))))
+
+    def over(parts: Column) -> Column:
+        sums = F.transform(parts, total)
+        return _bound(sums, lambda t: F.flatten(F.transform(parts, lambda part, k: _bound(total(F.slice(t, F.lit(1), k)), lambda before: inside(part, before)))))
+
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int")), lambda k: F.slice(v, k * PART + 1, F.lit(PART)))
+
+    return _bound(values, lambda v: F.when(F.size(v) == 0, v).otherwise(_bound(cut(v), over)))
+
+
+def _greatest(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
+def _least(x: Column, y: Column) -> Column:
+    return F.least(x, y)
+
+
 def located(text: Column, matches: Column, pattern: str) -> Column:
     """Spans of the matches, from the lengths of the pieces between them; with context on both sides."""
-    pieces = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), F.left(x["next"], F.lit(CONTEXT)).alias("after"))
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], span).alias("out"))
+    def spans(pieces: Column) -> Column:
+        sizes = F.transform(matches, lambda m, i: (F.length(F.get(pieces, i)) + F.length(m)).cast("bigint"))
+
+        def span(m: Column, i: Column, end: Column) -> Column:
+            start = (end - F.length(m)).alias("start")
+            return F.struct(start, end.alias("end"), m.alias("text"), F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after"))
 
-    def zipped(p: Column) -> Column:
-        return F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(p, i).alias("gap"), F.get(p, i + 1).alias("next")))
+        ends = running(sizes, lambda x, y: x + y, F.lit(0).cast("bigint"))
+        return _bound(ends, lambda e: F.transform(matches, lambda m, i: span(m, i, F.get(e, i))))
 
-    # one-element arrays bind a value once inside the expression
-    found = F.get(F.transform(F.array(pieces), lambda p: F.aggregate(zipped(p), first, step, lambda acc: acc["out"])), F.lit(0))
-    return F.when(F.size(matches) == 0, F.array().cast(f"array<{_SPAN}>")).otherwise(found)
+    return F.when(F.size(matches) == 0, F.array().cast(f"array<{_SPAN}>")).otherwise(_bound(F.split(text, pattern, -1), spans))
 
 
 def _digits(c: Column) -> Column:
@@ -162,17 +197,45 @@ PRECISION = 0.98
 _OUT = "struct<kind:string,start:bigint,end:bigint,score:double>"
 
 
+def _by_start(spans: Column) -> Column:
+    """Marked spans by start; of equal starts those of the fixed formats first."""
+    return F.array_sort(spans, lambda a, b: F.when(a["s"]["start"] < b["s"]["start"], -1).when(a["s"]["start"] > b["s"]["start"], 1).when(a["fixed"] == b["fixed"], 0).when(a["fixed"], -1).otherwise(1))
+
+
+def _clear(base: Column, chosen: Column) -> Column:
+    """The chosen spans that touch no base span, by start: before one no base span reaches into it, behind its start none begins in it."""
+    far, none = F.lit(1 << 62).cast("bigint"), F.lit(0).cast("bigint")
+    mark = lambda spans, fixed: F.transform(spans, lambda s: F.struct(F.lit(fixed).alias("fixed"), s.alias("s")))
+
+    def free(xs: Column) -> Column:
+        reach = running(F.transform(xs, lambda x: F.when(x["fixed"], x["s"]["end"]).otherwise(none)), _greatest, none)
+        following = F.reverse(running(F.reverse(F.transform(xs, lambda x: F.when(x["fixed"], x["s"]["start"]).otherwise(far))), _least, far))
+        ok = lambda x, i, r, n: ~x["fixed"] & (F.get(r, i) <= x["s"]["start"]) & (F.get(n, i) >= x["s"]["end"])
+        return _bound(reach, lambda r: _bound(following, lambda n: F.transform(F.filter(xs, lambda x, i: ok(x, i, r, n)), lambda x: x["s"])))
+
+    return _bound(_by_start(F.concat(mark(base, True), mark(chosen, False))), free)
+
+
 def _sweep(spans: Column) -> Column:
-    """Of overlapping spans, in order of their starts, the one of the higher score; the earlier of equals."""
-    first = F.array().cast(f"array<{_OUT}>")
+    """Of overlapping spans, in order of their starts, the one of the higher score; the earlier of equals. Spans are by start.
+
+    Spans that start behind all ends before them begin a new group, so only the spans of one group are folded one after the other."""
+    first = F.struct(F.lit(None).cast(_OUT).alias("last"), F.array().cast(f"array<{_OUT}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        apart = acc["last"].isNull() | (x["start"] >= acc["last"]["end"])
+        out = F.when(apart & acc["last"].isNotNull(), F.array_append(acc["out"], acc["last"])).otherwise(acc["out"])
+        return F.struct(F.when(apart | (x["score"] > acc["last"]["score"]), x).otherwise(acc["last"]).alias("last"), out.alias("out"))
+
+    def best(group: Column) -> Column:
+        return F.when(F.size(group) == 1, group).otherwise(F.aggregate(group, first, step, lambda acc: F.array_append(acc["out"], acc["last"])))
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        apart = (F.size(kept) == 0) | (s["start"] >= last["end"])
-        better = s["score"] > last["score"]
-        return F.when(apart, F.array_append(kept, s)).when(better, F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), s)).otherwise(kept)
+    def groups(xs: Column, ends: Column) -> Column:
+        heads = F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(ends, i - 1)), i)), lambda i: i.isNotNull())
+        return _bound(heads, lambda h: F.transform(h, lambda at, k: best(F.slice(xs, at + 1, F.coalesce(F.get(h, k + 1), F.size(xs)) - at))))
 
-    return F.aggregate(F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)), first, step)
+    ends = lambda xs: running(F.transform(xs, lambda x: x["end"]), _greatest, F.lit(0).cast("bigint"))
+    return _bound(spans, lambda xs: F.when(F.size(xs) == 0, xs).otherwise(_bound(ends(xs), lambda e: F.flatten(groups(xs, e)))))
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,8 +264,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     base, chosen = [checked(k) for k in BASE], [selected(k) for k in MORE]
     out = out.select("id", "text", F.concat(*base).alias("base"), F.concat(*chosen).alias("chosen"))
-    free = F.filter("chosen", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    added = F.array_sort(_sweep(free), lambda a, b: F.when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).when(a["start"] < b["start"], -1).otherwise(1))
+    added = F.array_sort(_sweep(_clear(F.col("base"), F.col("chosen"))), lambda a, b: F.when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).when(a["start"] < b["start"], -1).otherwise(1))
     added = F.when(F.size("chosen") == 0, F.array().cast(f"array<{_OUT}>")).otherwise(added)
     return out.select(F.col("id").alias(id_col), F.col("text"), "base", added.alias("added"))
 
@@ -213,15 +275,23 @@ def redact(found: DataFrame) -> DataFrame:
     Of overlapping spans the one that starts first is named; what the others have beyond it is cut too.
     """
     spans = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).otherwise(1))
-    first = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("out"))
+    size = F.length("text")
+
+    def cut(chunks: Column, a: Column, z: Column) -> Column:
+        """Characters a to z, from the chunks that hold them."""
+        first, last = F.floor(a / CHUNK).cast("int"), F.floor((z - 1) / CHUNK).cast("int")
+        return F.when(z <= a, "").otherwise(F.substr(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), (a - first * CHUNK + 1).cast("int"), (z - a).cast("int")))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr("text", (acc["pos"] + 1).cast("int"), (F.greatest(s["start"], acc["pos"]) - acc["pos"]).cast("int"))
-        label = F.when(s["start"] >= acc["pos"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.array(gap, label)).alias("out"))
+    def replaced(xs: Column, ends: Column, chunks: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(ends, i - 1))
+        label = lambda s, i: F.when(s["start"] >= before(i), F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+        parts = F.transform(xs, lambda s, i: F.concat(cut(chunks, before(i), F.greatest(s["start"], before(i))), label(s, i)))
+        return F.concat(F.array_join(parts, ""), cut(chunks, F.get(ends, F.size(ends) - 1), size.cast("bigint")))
 
-    whole = F.aggregate(spans, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("text", (acc["pos"] + 1).cast("int"))))
-    return found.withColumn("redacted", whole)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(size / CHUNK).cast("int")), lambda k: F.substr("text", k * CHUNK + 1, F.lit(CHUNK)))
+    ends = lambda xs: running(F.transform(xs, lambda x: x["end"]), _greatest, F.lit(0).cast("bigint"))
+    whole = _bound(spans, lambda xs: _bound(ends(xs), lambda e: _bound(chunks, lambda c: replaced(xs, e, c))))
+    return found.withColumn("redacted", F.when(F.size("base") + F.size("added") == 0, F.col("text")).otherwise(whole))
 
 
 def joined(spans: Column) -> Column:
@@ -229,11 +299,12 @@ def joined(spans: Column) -> Column:
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, with counts of the fixed formats, of added spans and of all; see personal_data."""
     found = personal_data(read(spark, sf_dir, "documents"))
 
     def count(k: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
 
-    counts = [count(k) for k in BASE]
+    counts = [*[count(k) for k in BASE], F.size("added").cast("long").alias("n_added"), F.size(F.concat("base", "added")).cast("long").alias("n_spans")]
     found = found.select("doc_id", *counts, joined(F.col("base")).alias("b"), joined(F.concat("base", "added")).alias("spans"))
-    return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(F.col("b").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(F.col("b").cast("binary"), 256).alias("base_sha256"), "spans", "n_added", "n_spans")

@@ -95,3 +95,33 @@ def test_long_keys_are_redacted_whole(spark):
     for r, k in zip(found, keys, strict=True):
         assert (11 + 6, 17 + len(k)) in [(s.start, s.end) for s in r.added]
         assert r.redacted == "some words token=[secret] and more"
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    lines = {n: "\n".join(f"call +1 ({200 + i % 700}) 555-{i % 10_000:04d} or x{i}@y.zz, token = \"{i:040x}\"" for i in range(n)) for n in (10, 4_000, 16_000)}
+    took = {}
+    for n, text in lines.items():
+        began = time.time()
+        found = P.redact(P.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+        took[n] = time.time() - began
+        assert [tuple(s)[:3] for s in found.base] == brute(text) and len(found.base) == 2 * n
+        assert [text[s.start : s.end] for s in found.added] == re.findall('"([0-9a-f]{40})"', text)
+        assert found.redacted.count("[phone]") == found.redacted.count("[email]") == found.redacted.count("[secret]") == n
+    assert took[16_000] < 12 * max(1.0, took[4_000]), took
+
+
+def test_recall_and_precision_of_added_spans_on_the_table(spark):
+    """The documents' own secrets are keys in quotes behind `token =`; all are found whole, and little else."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    planted = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer('token = "([0-9a-f]{40})"', t or "")}
+    rows = P.op7_personal_data(spark, folder).collect()
+    added = set()
+    for r in rows:
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert r.n_spans == len(spans) and r.n_added == len(spans) - sum(r[f"n_{k}"] for k in P.BASE)
+        added |= {(r.doc_id, int(a), int(z)) for k, a, z in spans if k not in P.BASE}
+    assert len(planted) > 5 and planted <= added
+    assert len(planted) / len(added) > 0.9, sorted(texts[i][a:z] for i, a, z in added - planted)
