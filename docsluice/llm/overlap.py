@@ -2,9 +2,9 @@
 similarity of 4/5 or more are linked, and no such link is lost.
 
 Fingerprints alone cannot say this: texts of similarity 4/5 differ in about ten of 64 bits, and BK-trees with a
-radius that catches nearly all of them visit nearly all nodes. So the trees propose the closest texts first
-(fingerprints of the same shingles within simhash.RADIUS bits), each proposal is checked on the whole sets, and what the trees cannot
-see is found by prefix filtering, but only between texts that are not connected yet.
+radius that catches nearly all of them visit nearly all nodes. So the trees propose the closest texts
+(fingerprints of the same shingles within simhash.RADIUS bits), prefix filtering proposes what the trees cannot see, and each
+proposal is checked on the whole sets. Where many texts meet, only those that are not connected yet are compared further.
 
 Prefix filtering: if two sets are that similar and both are listed in one common order, they share a shingle among
 their first ones, and at the first that they share enough of both lists must still follow (see BOUND). Any order
@@ -171,28 +171,28 @@ def proposals(rows: DataFrame) -> DataFrame:
 def groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, x, y, g), g being the digest of the row's set, and (g, root) of the sets that are linked to others.
 
-    Sets are linked over similar pairs. After the trees' proposals, sets that meet at a shingle with few others are all compared;
-    where many meet, each is compared with one of them, then, if components still differ, with another one; what is
+    Sets are linked over similar pairs. First those that the trees propose and those that meet at a shingle with few others are all
+    compared; where many meet, each is compared with one of them, then, if components still differ, with another one; what is
     left after that is all compared. A group of near copies is connected by then, so it never gives all its pairs. Texts without words, null ones too, have equal
     sets.
     """
     rows = lookups(df, id_col, text_col)
-    links = save(checked(proposals(rows), df, rows, id_col, text_col), "links")
-    places = shared(rows)
+    places, roots, links = shared(rows), None, None
     for turn in range(ROUNDS + 1):
-        roots = save(components(links).select(F.col("node").alias("s"), "root"), "roots")
         live = _live(places, roots, turn)
         crowded = live.where(F.col("k") > AT_ONCE)
         n, crowd = crowded.agg(F.count("*"), F.avg("k")).first()
-        final = turn and (turn == ROUNDS or (crowd or 0) <= CROWD)
+        final = not n or (turn and (turn == ROUNDS or crowd <= CROWD))
+        if turn and not n:
+            break
         pairs = with_all(crowded) if final else with_one(crowded)
         if not turn:  # in later turns these are done
-            pairs = pairs.unionByName(with_all(live.where(F.col("k") <= AT_ONCE))).distinct()
-        elif not n:
+            pairs = proposals(rows).unionByName(with_all(live.where(F.col("k") <= AT_ONCE))).unionByName(pairs).distinct()
+        found = save(checked(pairs, df, rows, id_col, text_col), "found")
+        links = found if links is None else links.unionByName(found)
+        if not turn or not found.isEmpty():
+            roots = save(components(links).select(F.col("node").alias("s"), "root"), "roots")
+        if final:
             break
-        links = links.unionByName(save(checked(pairs, df, rows, id_col, text_col), "found"))
         places = crowded.select("h", "x.s", "x.n", "x.at")
-        if final or not n:
-            break
-    roots = save(components(links).select(F.col("node").alias("s"), "root"), "roots")
     return rows.select("id", "x", "y", F.col("s").alias("g")), roots.select(F.col("s").alias("g"), "root")
