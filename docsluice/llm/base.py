@@ -60,6 +60,16 @@ def save(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that save() wrote and that nothing will read again. What depends on one must be saved before."""
+    for df in tables:
+        path = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
+        if path and "/docsluice/" in path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def splitters(df: DataFrame, key: str, shards: int, rows: int, oversample: int = 16) -> list:
     """Boundaries that cut the ordered keys into about `shards` parts of about equal row counts.
 

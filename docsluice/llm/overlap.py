@@ -19,21 +19,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import few, row_key, same_key, save, utf8
+from .base import discard, few, row_key, same_key, save, utf8
 from .components import components
 from .simhash import SEED, print_links, shingle_hashes, vote
 
 SHINGLE = 5
 #: Texts of the sample for the order, and the most frequent shingles that it may name.
 SAMPLE, MOST_FREQUENT = 4_000, 100_000
-#: Sets at one shingle that are all compared at once. Where more meet, each is first compared with one of them: once, and again,
-#: up to ROUNDS times, while a set still meets more than CROWD others on average.
-AT_ONCE, CROWD, ROUNDS = 8, 64, 4
-#: Parts of the hashes' range in which a set's hashes are counted; the sum of the smaller counts bounds what two sets share.
-PARTS = 128
+#: Where sets meet at a shingle each is first compared with one of them: once, and again, up to ROUNDS times, while a set still meets
+#: more than CROWD others on average. Then all that are left are compared.
+CROWD, ROUNDS = 64, 4
+#: Hashes a part of the hashes' range, of which a set has a power of two: LEAST_PARTS to MOST_PARTS. The sum of the smaller
+#: counts in all parts bounds what two sets share.
+PART, LEAST_PARTS, MOST_PARTS = 2, 32, 1 << 14
 #: At the first shingle that x and y share, at most the shorter rest of the two lists is shared: J >= 4/5 needs 9 * shared >= 4 * (n + n).
 BOUND = "9 * least(x.n - x.at, y.n - y.at) >= 4 * (x.n + y.n)"
 
@@ -47,6 +48,12 @@ def _digest(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), SEED)
 
 
+def counts(h: np.ndarray) -> np.ndarray:
+    """How many hashes lie in each part of their range."""
+    bits = int(np.clip(len(h) // PART, LEAST_PARTS, MOST_PARTS)).bit_length() - 1
+    return np.bincount((h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int16)
+
+
 def sets(df: DataFrame, text_col: str, keep: list) -> DataFrame:
     """The columns `keep` of df, the digest s of each row's set, its size n and its sorted hashes."""
 
@@ -84,15 +91,14 @@ def lookups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             h = np.concatenate([h[~known], last[np.sort(at[known])]])
         return h[:many]
 
-    @F.pandas_udf("s long, n int, p long, counts array<int>, hashes array<long>")
+    @F.pandas_udf("s long, n int, p long, counts array<smallint>, hashes array<long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 pieces = list(shingle_hashes(t, SHINGLE))
                 h = np.unique(np.concatenate([*pieces, np.zeros(0, "<u8")]).view("<i8"))
-                counts = np.bincount(h.view(np.uint64) >> np.uint64(57), minlength=PARTS).astype(np.int32)
-                rows.append((np.uint64(_digest(h)).astype(np.int64), len(h), vote(pieces), counts, prefix(h)))
+                rows.append((np.uint64(_digest(h)).astype(np.int64), len(h), vote(pieces), counts(h), prefix(h)))
             yield pd.DataFrame(rows, columns=["s", "n", "p", "counts", "hashes"])
 
     f = df.select(*row_key(id_col, text_col), found(utf8(text_col)).alias("f"))
@@ -102,7 +108,7 @@ def lookups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def shared(rows: DataFrame) -> DataFrame:
     """(h, s, n, at): each distinct set's place at each shingle by which several sets are looked up. Copies are one set."""
     one = rows.groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-    keys = one.select("s", "n", F.posexplode("hashes").alias("at", "h"))
+    keys = one.select("s", "n", F.posexplode("hashes").alias("at", "h")).repartition("h")
     # of two sets the smaller one meets the bound only in the first ninth of its list
     several = keys.where("9 * at <= n").groupBy("h").agg(F.min("s").alias("low"), F.max("s").alias("high"))
     return save(keys.join(several, "h").where("s <> low OR low <> high").select("h", "s", "n", "at"), "shared")
@@ -110,6 +116,7 @@ def shared(rows: DataFrame) -> DataFrame:
 
 def _live(places: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
     """Places at shingles where sets of several components meet, each with its component c and one of the sets there, y."""
+    places = places.select("h", "x.s", "x.n", "x.at") if "x" in places.columns else places
     x = places.withColumn("c", F.col("s")) if roots is None else places.join(roots, "s", "left").select("h", "s", "n", "at", F.coalesce("root", "s").alias("c"))
     some = F.struct(F.xxhash64("s", F.lit(turn)).alias("rank"), "s", "n", "at", "c")
     met = x.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.when(F.col("at") * 9 <= F.col("n"), some)).alias("y"), F.count("*").alias("k")).where("low <> high AND y IS NOT NULL")
@@ -131,18 +138,32 @@ def with_all(live: DataFrame) -> DataFrame:
     return _ordered(x.join(y, "h").where(f"x.c <> y.c AND {BOUND}"))
 
 
-def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs that their sets' counts leave possible; no similar pair is lost. Moves PARTS small numbers for a set."""
+def _counts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(s, n, k) of the sets of a pair."""
     named = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    counts = save(rows.select("s", "n", "counts").join(named, "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("counts").alias("k")), "counts")
-    one, two = (counts.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}")) for x in "ab")
-    most = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    return pairs.join(one, "a").join(two, "b").where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    return save(rows.select("s", "n", "counts").join(named, "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("counts").alias("k")), "counts")
+
+
+def possible(pairs: DataFrame, counted: DataFrame) -> DataFrame:
+    """The pairs that their sets' counts leave possible; no similar pair is lost. Similar sets have equal numbers of parts, or
+    one has twice those of the other. Moves a small number for every few shingles."""
+
+    def folded(k: Column, to: Column) -> Column:
+        return F.when(F.size(k) == to, k).otherwise(F.transform(F.sequence(F.lit(0), to - 1), lambda i: (F.get(k, 2 * i) + F.get(k, 2 * i + 1)).cast("smallint")))
+
+    one, two = (counted.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}")) for x in "ab")
+    near = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
+    parts = F.least(F.size("ka"), F.size("kb"))
+    most = F.aggregate(F.zip_with(folded(F.col("ka"), parts), folded(F.col("kb"), parts), lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return pairs.join(one, "a").join(two, "b").where(near).where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def checked(pairs: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose whole sets have the similarity. Only the sets of texts in a possible pair are made and moved."""
-    pairs = save(possible(save(pairs, "pairs"), rows), "possible")
+    proposed = save(pairs, "pairs")
+    counted = _counts(proposed, rows)
+    pairs = save(possible(proposed, counted), "possible")
+    discard(proposed, counted)
     named = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
     first = rows.join(named, "s", "left_semi").groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "x", "y")).alias("k"))
     keys = save(first.select(F.col("k.id").alias("key_id"), F.col("k.x").alias("key_x"), F.col("k.y").alias("key_y")), "candidates")
@@ -150,7 +171,9 @@ def checked(pairs: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_
     texts = texts.join(F.broadcast(keys) if few(3 * keys.count()) else keys, same_key("key_"), "left_semi")
     whole = save(sets(texts, "text", []).groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole")
     one, two = whole.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), whole.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    return pairs.join(one, "a").join(two, "b").where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    out = save(pairs.join(one, "a").join(two, "b").where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "similar")
+    discard(pairs, keys, whole)
+    return out
 
 
 def similar_pairs(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -171,28 +194,27 @@ def proposals(rows: DataFrame) -> DataFrame:
 def groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, x, y, g), g being the digest of the row's set, and (g, root) of the sets that are linked to others.
 
-    Sets are linked over similar pairs. First those that the trees propose and those that meet at a shingle with few others are all
-    compared; where many meet, each is compared with one of them, then, if components still differ, with another one; what is
-    left after that is all compared. A group of near copies is connected by then, so it never gives all its pairs. Texts without words, null ones too, have equal
+    Sets are linked over similar pairs. First those that the trees propose are compared, and each set with one of those that it
+    meets at a shingle; where components still differ and many meet, again; then all that still meet are compared. A group of near copies is connected by then, so it never gives all its pairs. Texts without words, null ones too, have equal
     sets.
     """
     rows = lookups(df, id_col, text_col)
     places, roots, links = shared(rows), None, None
     for turn in range(ROUNDS + 1):
-        live = _live(places, roots, turn)
-        crowded = live.where(F.col("k") > AT_ONCE)
-        n, crowd = crowded.agg(F.count("*"), F.avg("k")).first()
-        final = not n or (turn and (turn == ROUNDS or crowd <= CROWD))
+        before, live = places, _live(places, roots, turn)
+        discard(before)
+        n, crowd = live.agg(F.count("*"), F.avg("k")).first()
         if turn and not n:
             break
-        pairs = with_all(crowded) if final else with_one(crowded)
-        if not turn:  # in later turns these are done
-            pairs = proposals(rows).unionByName(with_all(live.where(F.col("k") <= AT_ONCE))).unionByName(pairs).distinct()
-        found = save(checked(pairs, df, rows, id_col, text_col), "found")
+        final = turn and (turn == ROUNDS or crowd <= CROWD)
+        pairs = with_all(live) if final else with_one(live)
+        found = checked(pairs if turn else proposals(rows).unionByName(pairs).distinct(), df, rows, id_col, text_col)
         links = found if links is None else links.unionByName(found)
         if not turn or not found.isEmpty():
             roots = save(components(links).select(F.col("node").alias("s"), "root"), "roots")
         if final:
             break
-        places = crowded.select("h", "x.s", "x.n", "x.at")
-    return rows.select("id", "x", "y", F.col("s").alias("g")), roots.select(F.col("s").alias("g"), "root")
+        places = live
+    small = save(rows.select("id", "x", "y", F.col("s").alias("g")), "rows")
+    discard(live, rows)
+    return small, roots.select(F.col("s").alias("g"), "root")
