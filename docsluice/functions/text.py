@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import fixed as V
+
 L = "[\\p{L}\\p{N}_]"
 
 
@@ -16,23 +20,16 @@ def _each(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 # ---- cleaning
 
-#: Ordered steps: what a scan leaves behind, and what stands for it.
+#: What a scan leaves behind, and what stands for it, in order.
 OCR_STEPS = [
-    (r"[\x{FEFF}\x{200B}-\x{200D}\x{2028}\x{2029}]+", ""),
-    (r"[\x{2500}-\x{257F}]+", " "),
-    (r"[\x{0300}-\x{036F}]+(?![\p{L}\p{N}_])", ""),
-    (r"(?<=[a-zA-Z0-9\s.,;:!?-])[\x{0900}-\x{09FF}\x{0A80}-\x{0AFF}]{1,5}(?=[a-zA-Z0-9\s.,;:!?-])", " "),
-    (r"(?s)(.)\1{5,}", "$1$1"),
-    (r"\*{2,}", " "),
-    (r"(?:[.:*'\"]{2,}\s*){2,}", " "),
-    (r"(?<![a-zA-Z])[.:*'\"_,;!?\s-]{6,}(?![a-zA-Z])", " "),
-]
-AGGRESSIVE_STEP = (r"[^\p{L}\p{N}_\s.,;:!?'\"(){}\[\]@#$%&*+=/<>-]{3,}", " ")
-LAST_STEPS = [(r"[ \t]{3,}", " "), (r"\n{4,}", "\n\n"), (r"^\s+|\s+$", "")]
+    (V.PDF_ARTIFACTS, ""), (V.BOX_DRAWING, " "), (V.ORPHAN_DIACRITICS, ""), (V.MIXED_SCRIPT_NOISE, " "), (V.REPEATED_CHARS, "$1$1"),
+    (V.ASTERISK_NOISE, " "), (V.REPEATED_PUNCTUATION, " "), (V.PUNCTUATION_GIBBERISH, " "),
+]
+LAST_STEPS = [(V.EXCESSIVE_WHITESPACE, " "), (V.EXCESSIVE_NEWLINES, "\n\n"), (r"^\s+|\s+$", "")]
 
 
 def clean_ocr(c: Column, aggressive: bool = False) -> Column:
-    return _each(c, [*OCR_STEPS, *([AGGRESSIVE_STEP] if aggressive else []), *LAST_STEPS])
+    return _each(c, [*OCR_STEPS, *([(V.SPECIAL_CHAR_GARBAGE, " ")] if aggressive else []), *LAST_STEPS])
 
 
 def clean_for_display(c: Column) -> Column:
@@ -45,12 +42,9 @@ def is_noise(c: Column, most_special: float = 0.1) -> Column:
     return c.rlike(r"(?s)(.)\1{5,}|\*{2,}|[\x{2500}-\x{257F}]") | ((F.length(c) > 0) & (special / F.length(c) > most_special))
 
 
-#: Letters that a scan puts for digits, next to digits.
-DIGIT_RULES = [(r"(?<=[0-9])O", "0"), (r"O(?=[0-9])", "0"), (r"(?<=[0-9]),OOO", ",000"), (r"(?<=[0-9]),OO", ",00"), (r"(?<=[0-9])[lI]", "1"), (r"[lI](?=[0-9])", "1"), (r"(?<=[0-9])S(?=[0-9])|(?<=Rs\. )S(?=[0-9])", "5"), (r"(?<=[0-9])B(?=[0-9])", "8")]
-
-
 def correct_digits(c: Column) -> Column:
-    return _each(c, DIGIT_RULES)
+    """The ordered rules, twice: what a first pass mends (1O) lets a second one see more (1O,OOO is 10,000)."""
+    return _each(c, [*V.OCR_DIGITS, *V.OCR_DIGITS])
 
 
 def is_critical(c: Column) -> Column:
@@ -60,9 +54,7 @@ def is_critical(c: Column) -> Column:
 
 # ---- dates and amounts
 
-NUMERIC_DATE = r"(?<![0-9])([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})(?![0-9])"
-NAMED_DATE = r"(?i)(?<![0-9])([0-9]{1,2})(?:st|nd|rd|th)? (?:day )?(?:of )?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*,? ([0-9]{4})(?![0-9])"
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+NUMERIC_DATE = V.DATE_NUMERIC
 
 
 def calendar_date(year: Column, month: Column, day: Column, lenient: bool = False) -> Column:
@@ -73,18 +65,22 @@ def calendar_date(year: Column, month: Column, day: Column, lenient: bool = Fals
 
 
 def dates(c: Column, lenient: bool = False) -> Column:
-    """Distinct dates of a text, numeric ones (day first) before named ones, in the order of the text."""
+    """Distinct dates of a text by family: numeric (day first), "dated" ones, written ones, ISO; in each in the order of the
+    text. A day that the calendar lacks is no date unless lenient."""
+    month_of = F.create_map(*[F.lit(x) for kv in V.MONTHS.items() for x in kv])
+
+    def family(pattern: str, year: int, month: int, day: int) -> Column:
+        part = lambda m, k: F.regexp_extract(m, pattern, k)
 
-    def numeric(m: Column) -> Column:
-        part = lambda k: F.regexp_extract(m, NUMERIC_DATE, k).cast("int")
-        return calendar_date(part(3), part(2), part(1), lenient)
+        def one(m: Column) -> Column:
+            named = F.try_element_at(month_of, F.lower(part(m, month)))
+            number = F.coalesce(named, F.when(part(m, month).rlike("^[0-9]+$"), part(m, month))).cast("int")
+            return calendar_date(part(m, year).cast("int"), number, part(m, day).cast("int"), lenient)
 
-    def named(m: Column) -> Column:
-        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(m, NAMED_DATE, 2))).cast("int")
-        return calendar_date(F.regexp_extract(m, NAMED_DATE, 3).cast("int"), month, F.regexp_extract(m, NAMED_DATE, 1).cast("int"), lenient)
+        return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), one)
 
-    found = lambda p, f: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), f)
-    return F.array_distinct(F.filter(F.concat(found(NUMERIC_DATE, numeric), found(NAMED_DATE, named)), lambda d: d.isNotNull()))
+    found = F.concat(family(V.DATE_NUMERIC, 3, 2, 1), family(V.DATE_LEGAL, 3, 2, 1), family(V.DATE_WRITTEN, 3, 2, 1), family(V.DATE_ISO, 1, 2, 3))
+    return F.array_distinct(F.filter(found, lambda d: d.isNotNull()))
 
 
 def parse_date(c: Column) -> Column:
@@ -139,16 +135,38 @@ def year_of(c: Column) -> Column:
     return F.when(y != "", y.cast("int"))
 
 
-CITATION = r"(?i)\b(?:sections?|sec\.|s\.|u/s\.?) ?([0-9]+)(?: ?\(([0-9]+)\))?(?: ?\(([a-z])\))?(?: of)?(?: the)? ([A-Z][A-Za-z&, ]*?(?:Act|Code|Rules))(?:,? ([0-9]{4}))?"
+def citations(c: Column) -> Column:
+    """array<struct<section, subsection, clause, act, year, raw, confidence>> of the references in a text, by pattern: section of
+    an act, short form, u/s, range, read with; each in the order of the text. A range and a pair that is read together
+    give two citations; those of a pair have no act."""
 
+    def of(pattern: str, sections: tuple[int, ...], act: int | None, year: int | None = None) -> Column:
+        part = lambda m, k: F.regexp_extract(m, pattern, k)
+        null = F.lit(None).cast("string")
+
+        def one(m: Column, k: int) -> Column:
+            number = part(m, k)
+            inner = lambda p: F.nullif(F.regexp_extract(number, p, 1), F.lit(""))
+            return F.struct(
+                F.regexp_extract(number, r"(?i)^(\d+[A-Z]{0,2})", 1).alias("section"), inner(r"\(\s*(\d+)\s*\)").alias("subsection"), inner(r"(?i)\(\s*([a-z])\s*\)").alias("clause"),
+                (F.regexp_replace(F.trim(F.regexp_replace(part(m, act), r"\s+", " ")), "[ .,]+$", "") if act else null).alias("act"), (F.nullif(part(m, year), F.lit("")) if year else null).alias("year"), F.trim(m).alias("raw"), F.lit(V.CITATION_CONFIDENCE).alias("confidence"),
+            )
+
+        return F.flatten(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda m: F.array(*[one(m, k) for k in sections])))
+
+    return F.concat(of(V.CITE_SECTION, (1,), 2, 3), of(V.CITE_SHORT, (1,), 2), of(V.CITE_UNDER, (1,), 2), of(V.CITE_RANGE, (1, 2), 3), of(V.CITE_READ_WITH, (1, 2), None))
 
-def citations(c: Column) -> Column:
-    """array<struct<section, subsection, clause, act, year>> of the references in a text."""
-    def one(m: Column) -> Column:
-        part = lambda k: F.nullif(F.regexp_extract(m, CITATION, k), F.lit(""))
-        return F.struct(part(1).alias("section"), part(2).alias("subsection"), part(3).alias("clause"), F.trim(part(4)).alias("act"), part(5).alias("year"))
 
-    return F.transform(F.regexp_extract_all(c, F.lit(CITATION), F.lit(0)), one)
+def section_starts(c: Column) -> Column:
+    """Distinct section numbers of a text's headers, by pattern; where it has no header, of its references. Spaces are dropped."""
+    found = lambda p: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", ""))
+    headers = F.array_distinct(F.concat(*[found(p) for p in V.SECTION_HEADERS]))
+    return F.when(F.size(headers) > 0, headers).otherwise(F.array_distinct(found(V.SECTION_REFERENCE)))
+
+
+def has_contents_keyword(c: Column) -> Column:
+    low = F.lower(c)
+    return F.exists(F.array(*map(F.lit, V.TOC_KEYWORDS)), lambda k: F.contains(low, k))
 
 
 def act_validity(act: Column, known: list[str]) -> Column:
@@ -159,10 +177,7 @@ def act_validity(act: Column, known: list[str]) -> Column:
 
 # ---- safety
 
-INJECTION = [
-    r"(?i)ignore (?:all )?(?:the )?(?:previous|prior|above) instructions", r"(?i)disregard (?:all )?(?:previous|prior|your)", r"(?i)you are now ", r"(?i)new instructions?:", r"(?i)system prompt", r"(?i)</?(?:system|assistant|user)>",
-    r"(?i)act as (?:an? )", r"(?i)pretend (?:to be|you)", r"(?i)reveal your", r"(?i)do not follow", r"(?i)override (?:the )?(?:rules|safety)",
-]
+INJECTION = [f"(?i){p}" for p in V.INJECTION]
 
 
 def injection_hits(c: Column) -> Column:
@@ -177,22 +192,44 @@ def injection_risk(hits: Column) -> list[Column]:
     return [risk.alias("risk"), sure.alias("confidence")]
 
 
-#: Questions that ask for a prediction or advice, and the kind of each; the first that fits counts.
-GUARDS = [("prediction", r"(?i)\bwill (?:i|we|he|she|they) (?:win|lose)\b|\bchances of\b"), ("advice", r"(?i)\bshould (?:i|we) (?:sue|file|appeal|settle)\b"), ("drafting", r"(?i)\b(?:draft|write) (?:a|an|my) (?:petition|notice|appeal)\b")]
+def injection_spans(c: Column) -> Column:
+    """array<struct<start, end, pattern, context>> of all patterns' matches, leftmost first, in code points, with up to 30
+    characters of context on each side."""
+    spans = match_spans(c, "(?im)" + "|".join(f"(?:{p})" for p in V.INJECTION))
+    n = V.INJECTION_CONTEXT
+    cut = lambda a, z: F.substr(c, (a + 1).cast("int"), (z - a).cast("int"))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), cut(s["start"], s["end"]).alias("pattern"), cut(F.greatest(F.lit(0), s["start"] - n), F.least(F.length(c), s["end"] + n)).alias("context")))
 
 
 def guard(c: Column) -> Column:
-    return F.coalesce(*[F.when(c.rlike(p), F.lit(kind)) for kind, p in GUARDS])
+    """What a question asks for that must not be answered: the kind of the first pattern that fits, else null."""
+    return F.coalesce(*[F.when(c.rlike(f"(?i){p}"), F.lit(kind)) for kind, p in V.GUARDS])
 
 
-#: Phrases that state more than is known, and what is said instead.
-POLICING = [(r"(?i)\bproves that\b", "suggests that"), (r"(?i)\bestablishes that\b", "indicates that"), (r"(?i)\bis liable for\b", "regarding potential liability for"), (r"(?i)\bis responsible for\b", "regarding responsibility for"), (r"(?i)\bcourt will (?:rule|decide|hold)\b", "court may consider"), (r"(?i)\bclearly shows\b", "appears to show")]
+#: Quotations and named sources, which are left as they are. Of regions that overlap the one that starts first counts.
+PROTECTED = "|".join(f"(?:{p})" for p in (V.DOUBLE_QUOTE, V.SINGLE_QUOTE, V.CITED_SOURCE, V.BLOCK_QUOTE))
+
+
+def outside(c: Column, protected: str, change: Callable[[Column], Column]) -> Column:
+    """A text with a change made everywhere but inside matches of `protected`."""
+    kept = F.regexp_extract_all(c, F.lit(protected), F.lit(0))
+    return F.array_join(F.zip_with(F.transform(F.split(c, protected, -1), change), kept, lambda x, k: F.concat(x, F.coalesce(k, F.lit("")))), "")
 
 
 def police(c: Column) -> Column:
-    """Replacements outside double quotes: the text is split at quotes, every other piece is left alone."""
-    pieces = F.split(c, '"')
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, _each(p, POLICING)).otherwise(p)), '"')
+    """Phrases that state more than is known are replaced, outside quotations and named sources."""
+    return outside(c, PROTECTED, lambda x: _each(x, [(f"(?i){p}", to) for p, to in V.POLICING]))
+
+
+def intents(c: Column) -> Column:
+    """map<engine, confidence> of the engines with a pattern that fits, each with the highest of its confidences."""
+    best = [F.struct(F.lit(e).alias("key"), F.greatest(F.lit(0.0), *[F.when(c.rlike(f"(?i){p}"), w).otherwise(0.0) for p, w in ps]).alias("value")) for e, ps in V.INTENTS.items()]
+    return F.map_from_entries(F.filter(F.array(*best), lambda x: x["value"] > 0))
+
+
+def contradiction_of(evidence: Column) -> Column:
+    """The kind of contradiction that a kind of evidence means; null where a model must decide."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in V.CONTRADICTIONS.items() for x in kv]), F.lower(evidence))
 
 
 def escape_boundaries(c: Column) -> Column:
@@ -232,14 +269,23 @@ def canonical_act(c: Column, known: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, key), F.try_element_at(bare, F.regexp_replace(key, "_[0-9]{4}$", "")))
 
 
-#: Pattern and confidence of what names a person or an organisation.
-MENTIONS = [(r"\b(?:Mr|Mrs|Ms|Dr|Shri|Smt|Justice)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*", 0.9), (r"\b(?:\p{Lu}\p{L}+ )+(?:Ltd|Limited|LLP|Inc|Bank|Corporation)\b", 0.8)]
-
-
 def mentions(c: Column) -> Column:
-    """array<struct<mention, confidence>>, by pattern, distinct."""
-    found = [F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda m: F.struct(m.alias("mention"), F.lit(s).alias("confidence"))) for p, s in MENTIONS]
-    return F.array_distinct(F.concat(*found))
+    """array<struct<mention, kind, confidence>>: persons with a title, organisations, institutions, other proper nouns of
+    two to four words. A mention counts once, whatever its case, under the first family that finds it."""
+
+    def of(pattern: str, group: int, kind: str, sure: float, longer: int = 0) -> Column:
+        found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), lambda m: F.struct(F.trim(m).alias("mention"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence")))
+        return F.filter(found, lambda m: F.length(m["mention"]) > longer)
+
+    # the titles' case does not matter, that of the names does
+    titled = of(r"((?i:" + "|".join(V.TITLES) + r")\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})", 1, "person", 0.9)
+    firms = [of(rf"([A-Z][A-Za-z\s&]+\s*{x})", 1, "org", 0.85, 3) for x in V.ORG_INDICATORS]
+    courts = of(r"(?i)((?:" + "|".join(V.INSTITUTIONS) + r")[^,\.]*)", 1, "institution", 0.85, 5)
+    names = F.filter(of(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b", 1, "person", 0.6, 5), lambda m: ~F.lower(m["mention"]).isin(*V.COMMON_PHRASES))
+    every = F.concat(titled, *firms, courts, names)
+    keys = F.transform(every, lambda m: F.lower(m["mention"]))
+    first = lambda k: F.filter(every, lambda m, i: F.array_position(k, F.lower(m["mention"])) == i + 1)
+    return F.get(F.transform(F.array(keys), first), F.lit(0))
 
 
 def match_spans(c: Column, pattern: str) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsluice.functions import fixed as V
+from docsluice.functions import text as X
+
 from .retrieval import query_terms, tokens
 
 
@@ -89,3 +92,34 @@ def sort_keys(asked: str, allowed: set[str], default: str, descending: bool) ->
 def confidence_route(c: Column, text: Column) -> Column:
     """Below 0.50 human review, below 0.85 a model check, else none; blank text is skipped."""
     return F.when(F.trim(text) == "", F.lit(None).cast("string")).when(c < 0.5, "human").when(c < 0.85, "model")
+
+
+def contents_pages(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
+    """(document, first_page, last_page) of each document's table of contents: from the first to the last page with a
+    keyword among the first twenty; 1 to 10 where none has one."""
+    hit = F.when((F.col(page) <= V.TOC_PAGES) & X.has_contents_keyword(F.col(text)), F.col(page))
+    return pages.groupBy(document).agg(F.coalesce(F.min(hit), F.lit(V.TOC_DEFAULT[0])).cast("long").alias("first_page"), F.coalesce(F.max(hit), F.lit(V.TOC_DEFAULT[1])).cast("long").alias("last_page"))
+
+
+def quotes_found(quotes: DataFrame, documents: DataFrame, quote_id: str, quote: str, doc_id: str, text: str, words: int = 5) -> DataFrame:
+    """(quote_id, doc_id) where the normalised quote stands word for word in the normalised text. Quotes without a word are left out.
+
+    Both sides meet by the hash of a run of words: of `words` words, or of all words of a shorter quote, by its length. Only runs that some
+    quote begins with are kept (a Bloom filter drops most others before the shuffle, at no loss where Spark thinks it pays), only texts of candidates are compared.
+    """
+    def run(w: Column, i: Column, n: Column) -> Column:
+        return F.xxhash64(F.slice(w, i, n))
+
+    q = quotes.select(F.col(quote_id).alias("q_id"), X.normalise(F.col(quote)).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
+    q = q.withColumn("n", F.least(F.size("w"), F.lit(words))).select("q_id", "q", "n", run(F.col("w"), F.lit(1), F.col("n")).alias("k"))
+    lengths = sorted(r[0] for r in q.select("n").distinct().collect())  # `words` values at most
+    t = documents.select(F.col(doc_id).alias("d_id"), X.normalise(F.col(text)).alias("t"))
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), run(F.col("w"), i, F.lit(n)).alias("k")))
+
+    runs = F.flatten(F.array(*[of(n) for n in lengths])) if lengths else F.array().cast("array<struct<n:int,k:bigint>>")
+    looked = t.select("d_id", F.split("t", " ").alias("w")).select("d_id", F.explode(F.array_distinct(runs)).alias("r")).select("d_id", "r.n", "r.k")
+    pairs = looked.join(q.select("q_id", "n", "k"), ["n", "k"]).select("q_id", "d_id").distinct()
+    found = pairs.join(q.select("q_id", "q"), "q_id").join(t, "d_id").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))))
+    return found.select(F.col("q_id").alias(quote_id), F.col("d_id").alias(doc_id))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,42 @@ def link_boxes(chunks: DataFrame, boxes: DataFrame) -> DataFrame:
     pages = cw.join(inside, ["doc_id", "chunk"]).join(bw, ["doc_id", "w", "place"]).groupBy("doc_id", "chunk", "page").agg(F.count("*").alias("n"))
     modal = pages.groupBy("doc_id", "chunk").agg((-F.max(F.struct("n", -F.col("page")))["col2"]).alias("page"))
     return best.join(modal, ["doc_id", "chunk"]).select("doc_id", "chunk", "first_place", (F.col("first_place") + WINDOW - 1).alias("last_place"), "page", "shared")
+
+
+def _tiers(box: Column, phrase: str, patterns: list[str], least: int) -> tuple[Column, Column]:
+    """(tier, words in common) of a box: 0 holds the whole phrase, 1 a part of it that a pattern picks out, 2 shares `least` words or
+    more; else null. Case does not matter."""
+    low, said = F.lower(F.coalesce(box, F.lit(""))), phrase.lower().strip()
+    parts = [m[0] for p in patterns if (m := re.search(p, said))]
+    words = list(dict.fromkeys(said.split()))
+    common = F.size(F.array_intersect(F.array_distinct(F.split(low, r"\s+")), F.array(*map(F.lit, words))))
+    part = F.lit(False)
+    for p in parts:
+        part = part | F.contains(low, F.lit(p))
+    overlap = common >= least if len(words) >= least else F.lit(False)
+    return F.when(F.contains(low, F.lit(said)), 0).when(part, 1).when(overlap, 2), common
+
+
+def search_boxes(boxes: DataFrame, keys: list[str], text: str, order: list[str], phrase: str, patterns: list[str] | None = None, least: int = 3, most: int | None = None) -> DataFrame:
+    """The boxes of each group `keys` that a phrase is found in, with tier and words in common: those of the first tier that
+    finds any, whole and part in order, overlaps by words in common; the first `most` of them. An empty phrase finds none."""
+    if not phrase.strip():
+        return boxes.limit(0).withColumns({"tier": F.lit(None).cast("int"), "common": F.lit(None).cast("int")})
+    tier, common = _tiers(F.col(text), phrase, patterns or [], least)
+    hit = boxes.withColumns({"tier": tier, "common": common}).where("tier IS NOT NULL")
+    best = hit.groupBy(*keys).agg(F.min("tier").alias("best"))
+    hit = hit.join(best, keys).where("tier = best").drop("best")
+    if most is None:
+        return hit
+    rank = Window.partitionBy(*keys).orderBy(F.when(F.col("tier") == 2, -F.col("common")).otherwise(0), *order)
+    return hit.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= most).drop("place")
+
+
+def phrase_page(boxes: DataFrame, keys: list[str], text: str, page: str, order: list[str], phrase: str, patterns: list[str] | None = None, least: int = 3) -> DataFrame:
+    """(keys, page) of every group of boxes: the page of the first box of the best tier; null if none is found, or if the page
+    is no positive number."""
+    found = search_boxes(boxes, keys, text, order, phrase, patterns, least)
+    rank = F.struct(F.when(F.col("tier") == 2, -F.col("common")).otherwise(0).alias("c"), *order)
+    first = found.groupBy(*keys).agg(F.min_by(F.col(page), rank).alias("page"))
+    every = boxes.select(*keys).distinct().join(first, keys, "left")
+    return every.select(*keys, F.when(F.col("page") > 0, F.col("page")).alias("page"))

@@ -49,20 +49,25 @@ def lexical(df: DataFrame, id_col: str, text_col: str, q: str, limit: int, mode:
     normalisation, whose corpus statistics are one aggregate row. every: all terms must occur.
     """
     terms = query_terms(q)
-    hit = df.select(F.col(id_col).alias("id"), tokens(text_col).alias("w"))
+    low = F.lower(F.col(text_col))
+    # a text that has no term as a string has none as a word: it is not split at all
+    found = df.where(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))) if terms else df.where(F.lit(False))
+    hit = found.select(F.col(id_col).alias("id"), tokens(text_col).alias("w"))
     hit = hit.select("id", F.size("w").alias("n"), *[_count(F.col("w"), t).alias(f"f{i}") for i, t in enumerate(terms)])
     some = [F.col(f"f{i}") > 0 for i in range(len(terms))]
     if not terms:
-        hit = hit.where(F.lit(False)).withColumn("score", F.lit(0.0))
+        hit = hit.withColumn("score", F.lit(0.0))
     elif mode == "tf":
         hit = hit.withColumn("score", sum((F.col(f"f{i}") for i in range(len(terms))), F.lit(0)).cast("double"))
     else:
-        stats = hit.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
+        # lengths are counted without splitting the texts
+        every_text = df.agg(F.count("*").alias("docs"), F.avg(F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+"))).alias("mean")).first()
+        stats = hit.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
         score = F.lit(0.0)
         for i in range(len(terms)):
-            idf = math.log(1 + (stats["docs"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5))
+            idf = math.log(1 + (every_text["docs"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5))
             f = F.col(f"f{i}").cast("double")
-            score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("n") / F.lit(float(stats["mean"] or 1.0))))
+            score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("n") / F.lit(float(every_text["mean"] or 1.0))))
         hit = hit.withColumn("score", score)
     for cond in some if every else []:
         hit = hit.withColumn("score", F.when(cond, F.col("score")).otherwise(0.0))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from docsluice.catalog import query
@@ -42,27 +40,31 @@ def nested_words(spark, d):
     return pages.select("conv_id", "p.turn", F.posexplode("p.words").alias("place", "word")).withColumn("place", F.col("place").cast("long"))
 
 
-@query("r1_11_html_tables", "SELECT page_id, len(regexp_extract_all(html, '<table')) AS n_tables, len(regexp_extract_all(html, '<tr')) AS n_rows, len(regexp_extract_all(html, '<t[dh][ >]')) AS n_cells FROM pages")
+@query(
+    "r1_11_html_tables",
+    r"""
+WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<table[^>]*>.*?</table>')) AS t, generate_subscripts(regexp_extract_all(html, '(?is)<table[^>]*>.*?</table>'), 1) - 1 AS no FROM pages),
+r AS (SELECT page_id, no, unnest(regexp_extract_all(t, '(?is)<tr[^>]*>.*?</tr>')) AS r, generate_subscripts(regexp_extract_all(t, '(?is)<tr[^>]*>.*?</tr>'), 1) - 1 AS row_no FROM t),
+c AS (SELECT page_id, no, row_no, unnest(regexp_extract_all(r, '(?is)<t[dh](?:\s[^>]*)?>.*?</t[dh]>')) AS c, generate_subscripts(regexp_extract_all(r, '(?is)<t[dh](?:\s[^>]*)?>.*?</t[dh]>'), 1) - 1 AS col_no FROM r)
+SELECT page_id, no::INTEGER AS table_no, row_no::INTEGER AS row_no, col_no::INTEGER AS col_no, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(c, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS cell FROM c
+""",
+)
 def html_tables(spark, d):
-    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    return table(spark, d, "pages").select("page_id", count("<table").alias("n_tables"), count("<tr").alias("n_rows"), count("<t[dh][ >]").alias("n_cells"))
-
-
-def _out(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/docsluice-{uuid.uuid4().hex}"
+    """Every cell of every table of the pages, with its place in the grid."""
+    return tables.html_cells(table(spark, d, "pages"), "page_id", "html")
 
 
 @query("r1_12_batch_insert", "SELECT doc_id, source, n_chars FROM documents")
 def batch_insert(spark, d):
     """Appended by partition of the tenant and read back."""
-    path = _out(spark)
+    path = tables.own_folder(spark)
     sinks.append(table(spark, d, "documents").select("doc_id", "source", "n_chars"), path, ["source"])
     return spark.read.parquet(path).select("doc_id", "source", "n_chars")
 
 
 @query("r1_13_parallel_insert", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1")
 def parallel_insert(spark, d):
-    path = _out(spark)
+    path = tables.own_folder(spark)
     sinks.append(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), path)
     return spark.read.parquet(path).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
@@ -96,7 +98,7 @@ def coalescing_update(spark, d):
 @query("r1_18_export_sections", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def export_sections(spark, d):
     """A report section written as CSV and read back."""
-    path = _out(spark)
+    path = tables.own_folder(spark)
     table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).write.option("header", True).csv(path)
     return spark.read.schema("lang string, n long, chars long").option("header", True).csv(path)
 
@@ -116,11 +118,22 @@ def namespace_filter(spark, d):
     return table(spark, d, "documents").where(tables.namespace_filter("source", "src1", "doc_id", [1, 21, 41, 42], "lang", "en")).select("doc_id")
 
 
-@query("r2_04_checked_vector_search", "SELECT vec_id FROM embeddings WHERE vec_id <= 4")
+@query(
+    "r2_04_checked_vector_search",
+    """
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+s AS (SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * e[i]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS similarity FROM embeddings, q)
+SELECT vec_id, similarity FROM s WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 10
+""",
+)
 def checked_vector_search(spark, d):
-    """Parameters are validated before anything runs."""
-    P.check_search(64, 64, 0.5, 10)
-    return table(spark, d, "embeddings").where("vec_id <= 4").select("vec_id")
+    """Parameters are validated before anything runs; then the nearest vectors of the first one, above a threshold."""
+    from docsluice.operators import retrieval
+
+    e = table(spark, d, "embeddings")
+    q = list(e.orderBy("vec_id").select("embedding").first()[0])
+    P.check_search(len(q), 64, 0.1, 10)
+    return retrieval.vector(e, "vec_id", "embedding", q, 10, least=0.1, digits=6).select(F.col("id").alias("vec_id"), "similarity")
 
 
 @query("r2_05_row_policy", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
@@ -185,9 +198,9 @@ def contradiction_list(spark, d):
     return table(spark, d, "events").where("event_type = 'error'").select("event_id", s.alias("severity")).orderBy(P.severity_rank(F.col("severity")).desc(), "event_id").limit(200)
 
 
-@query("r2_16_anomaly_filter", "SELECT event_id FROM events WHERE event_type = 'error' AND value >= 80 AND user_id % 2 = 1")
+@query("r2_16_anomaly_filter", "SELECT event_id FROM events WHERE event_type = 'error' AND value >= 80 AND props IS NOT NULL")
 def anomaly_filter(spark, d):
-    return table(spark, d, "events").where("event_type = 'error' AND value >= 80 AND user_id % 2 = 1").select("event_id")
+    return table(spark, d, "events").where("event_type = 'error' AND value >= 80 AND props IS NOT NULL").select("event_id")
 
 
 @query("r2_17_tag_filter", "SELECT p_partkey FROM part WHERE list_has_all(string_split(p_name, ' '), ['red'])")

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsluice.catalog import query
 from docsluice.operators import entities as E
-from docsluice.sources.tables import table
+from docsluice.sources.tables import own_folder, table
 from docsluice.streaming import jobs as S
 
 
-def _folder(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/docsluice/{uuid.uuid4().hex}"
-
-
 def _save(df: DataFrame) -> DataFrame:
-    path = _folder(df.sparkSession)
+    path = own_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -117,14 +111,23 @@ def sessions(spark, d):
 def streamed_windows(spark, d):
     """Daily counts of the event stream; the days that the watermark has not passed are not yet out."""
     w = S.windowed_counts(S.stream_table(spark, d, "events"), "ts", "event_type", "1 day", "1 hour")
-    return S.run_to_table(w, _folder(spark)).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
-
-
-@query("r10_04_pronouns", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refers_to FROM events")
+    return S.run_to_table(w, own_folder(spark)).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query(
+    "r10_04_pronouns",
+    """
+WITH e AS (SELECT *, CASE event_type WHEN 'click' THEN 'male' WHEN 'view' THEN 'female' WHEN 'error' THEN 'document' ELSE 'unknown' END AS kind FROM events), w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM e)
+SELECT event_id, last_value(CASE WHEN kind IN ('male', 'unknown') THEN event_id END IGNORE NULLS) OVER x AS he, last_value(CASE WHEN kind IN ('female', 'unknown') THEN event_id END IGNORE NULLS) OVER x AS she,
+    last_value(event_id) OVER x AS they, last_value(CASE WHEN kind IN ('document', 'unknown') THEN event_id END IGNORE NULLS) OVER x AS it
+FROM w WINDOW x AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+""",
+)
 def pronouns(spark, d):
-    """The most recent mention of the wanted type before each row."""
-    e = table(spark, d, "events")
-    return e.select("event_id", S.carried(e, "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("refers_to"))
+    """Whom he, she, they and it mean before each row: the most recent mention of a kind that the pronoun may stand for."""
+    kind = F.create_map(*[F.lit(x) for x in ("click", "male", "view", "female", "error", "document")])
+    e = table(spark, d, "events").withColumn("kind", F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("unknown")))
+    return e.select("event_id", *[S.referent(p, "user_id", ["ts", "event_id"], F.col("kind"), F.col("event_id")).alias(p) for p in ("he", "she", "they", "it")])
 
 
 @query("r10_05_rolling_history", "SELECT event_id, count(*) OVER w AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) OVER w AS DOUBLE) AS total FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")

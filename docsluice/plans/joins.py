@@ -10,9 +10,10 @@ from docsluice.operators import timeline as T
 from docsluice.sources.tables import table
 
 
-@query("r3_01_fusion_join", "SELECT coalesce(l.doc_id, d.doc_id) AS id, l.quality, d.n_chars FROM (SELECT * FROM labels WHERE doc_id % 3 <> 0) l FULL OUTER JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) d ON l.doc_id = d.doc_id")
+@query("r3_01_fusion_join", "SELECT coalesce(l.doc_id, d.doc_id) AS id, l.quality, d.n_chars FROM (SELECT * FROM labels WHERE toxic = 0) l FULL OUTER JOIN (SELECT * FROM documents WHERE n_chars > 500) d ON l.doc_id = d.doc_id")
 def fusion_join(spark, d):
-    a, b = table(spark, d, "labels").where("doc_id % 3 <> 0"), table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", "n_chars")
+    """Both sides of the join have rows that the other lacks."""
+    a, b = table(spark, d, "labels").where("toxic = 0"), table(spark, d, "documents").where("n_chars > 500").select("doc_id", "n_chars")
     return a.join(b, "doc_id", "full_outer").select(F.col("doc_id").alias("id"), "quality", "n_chars")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder under the one that driver and executors share (spark.checkpoint.dir). Only where a session in one
+    process names none, as in tests, it is under the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/docsluice/{uuid.uuid4().hex}"
+
+
 def for_tenant(df: DataFrame, column: str, tenant: object) -> DataFrame:
     """The rows of one tenant. A missing tenant is an error, never an empty or a full result."""
     if tenant is None:
@@ -33,3 +45,19 @@ def namespace_filter(tenant_col: str, tenant: object, doc_col: str | None = None
 def reference_data(spark: SparkSession, path: str) -> DataFrame:
     """A JSON file of reference data (one document), small enough to join by broadcast if Spark finds it so."""
     return spark.read.option("multiLine", True).json(path)
+
+
+def html_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, table_no, row_no, col_no, cell) of the tables in HTML texts: the grid of each, tags dropped, entities undone,
+    spaces collapsed. Tables inside tables end the outer one early; null texts have none."""
+
+    def cut(c: Column, pattern: str) -> Column:
+        return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+
+    t = pages.select(F.col(id_col), F.posexplode(cut(F.col(html_col), "(?is)<table[^>]*>.*?</table>")).alias("table_no", "t"))
+    r = t.select(id_col, "table_no", F.posexplode(cut(F.col("t"), "(?is)<tr[^>]*>.*?</tr>")).alias("row_no", "r"))
+    c = r.select(id_col, "table_no", "row_no", F.posexplode(cut(F.col("r"), r"(?is)<t[dh](?:\s[^>]*)?>.*?</t[dh]>")).alias("col_no", "c"))
+    plain = F.regexp_replace("c", "<[^>]*>", " ")
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    return c.select(id_col, "table_no", "row_no", "col_no", F.trim(F.regexp_replace(plain, r"\s+", " ")).alias("cell"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docsluice.functions.fixed import PRONOUNS
+
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table folder as a file stream with the table's schema."""
@@ -40,12 +42,19 @@ def windowed_counts(df: DataFrame, at: str, key: str, size: str, late: str) -> D
     return df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, size).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
 
-def carried(df: DataFrame, key: str, order: str, value: Column) -> Column:
-    """The last value that is not null before each row of its key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def carried(key: str, order: list[str], value: Column) -> Column:
+    """The last value that is not null before each row of its key. order must tell all rows of a key apart."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.last(value, ignorenulls=True).over(w)
 
 
+def referent(pronoun: str, key: str, order: list[str], kind: Column, mention: Column) -> Column:
+    """What a pronoun means at each row: the last mention before it of a kind that the pronoun may stand for; any kind
+    for they and for words that are no known pronoun."""
+    kinds = PRONOUNS.get(pronoun.lower())
+    return carried(key, order, F.when(F.lower(kind).isin(*kinds), mention) if kinds else mention)
+
+
 def recover_stale(df: DataFrame, status: str, since: str, attempts: str, as_of: str, minutes: int, most: int) -> DataFrame:
     """Processing longer than `minutes` at as_of: queued again with one more attempt, failed after `most`."""
     stale = (F.col(status) == "P") & (F.col(since) < F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {minutes} MINUTE"))
@@ -53,27 +62,38 @@ def recover_stale(df: DataFrame, status: str, since: str, attempts: str, as_of:
     return df.withColumns({"next_status": F.when(stale & again, "O").when(stale, "X").otherwise(F.col(status)), "next_attempts": F.when(stale & again, F.col(attempts) + 1).otherwise(F.col(attempts))})
 
 
-def streamed_limit(df: DataFrame, key: str, at: str, id_col: str, most: int, seconds: int) -> DataFrame:
-    """rate_decisions on a stream: each key's state is the times of its last `seconds`, so bounded by its rate.
+def streamed_limit(df: DataFrame, key: str, at: str, id_col: str, most: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """rate_decisions on a stream. A key's state is the sorted times of its last `seconds` before the watermark, so it is
+    bounded by the key's rate, and it goes once the watermark has passed all of them.
 
-    The events of a micro-batch are taken in the order of time and id; an event that comes a batch late counts
-    from then on.
+    The events of a micro-batch are taken in the order of time and id. An event that comes late, but not behind the watermark,
+    is counted with those up to its own time only; decisions on later events that are already out do not change.
     """
+    from bisect import bisect_left, bisect_right, insort
+
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    span = seconds * 1_000_000
+
     def update(keys, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches))
-        pdf = pdf.sort_values(["at", "id"])
+        pdf = pdf.sort_values(["at_us", "id"])
         counts = []
-        for t in pdf["at"].tolist():
-            times = [x for x in times if x >= t - seconds * 1_000_000]
-            times.append(t)
-            counts.append(len(times))
+        for t in pdf["at_us"].tolist():
+            insort(times, t)
+            counts.append(bisect_right(times, t) - bisect_left(times, t - span))
+        mark = state.getCurrentWatermarkMs() * 1000
+        times = times[bisect_left(times, mark - span) :]  # no event before the watermark is still to come
         state.update((times,))
+        state.setTimeoutTimestamp(max((times[-1] if times else mark) + span, mark + 1_000_000) // 1000 + 1)
         yield pd.DataFrame({key: [keys[0]] * len(counts), id_col: pdf["id"].to_numpy(), "in_window": counts, "allowed": [c <= most for c in counts]})
 
-    part = df.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(id_col).alias("id"))
+    timed = df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    part = timed.select(key, at, F.unix_micros(at).alias("at_us"), F.col(id_col).alias("id"))
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    return part.groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {id_col} {kind[id_col]}, in_window long, allowed boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    return part.groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {id_col} {kind[id_col]}, in_window long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
