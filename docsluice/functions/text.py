@@ -273,19 +273,26 @@ def mentions(c: Column) -> Column:
     """array<struct<mention, kind, confidence>>: persons with a title, organisations, institutions, other proper nouns of
     two to four words. A mention counts once, whatever its case, under the first family that finds it."""
 
-    def of(pattern: str, group: int, kind: str, sure: float, longer: int = 0) -> Column:
-        found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), lambda m: F.struct(F.trim(m).alias("mention"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence")))
-        return F.filter(found, lambda m: F.length(m["mention"]) > longer)
+    def of(pattern: str, group: int, kind: str, sure: float, longer: int = 0, needs: str | None = None) -> Column:
+        found = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+        found = F.when(c.rlike(needs), found).otherwise(F.array().cast("array<string>")) if needs else found  # a cheap test that loses nothing
+        said = F.transform(found, lambda m: F.struct(F.trim(m).alias("mention"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence")))
+        return F.filter(said, lambda m: F.length(m["mention"]) > longer)
 
     # the titles' case does not matter, that of the names does
-    titled = of(r"((?i:" + "|".join(V.TITLES) + r")\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})", 1, "person", 0.9)
-    firms = [of(rf"([A-Z][A-Za-z\s&]+\s*{x})", 1, "org", 0.85, 3) for x in V.ORG_INDICATORS]
-    courts = of(r"(?i)((?:" + "|".join(V.INSTITUTIONS) + r")[^,\.]*)", 1, "institution", 0.85, 5)
-    names = F.filter(of(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b", 1, "person", 0.6, 5), lambda m: ~F.lower(m["mention"]).isin(*V.COMMON_PHRASES))
-    every = F.concat(titled, *firms, courts, names)
-    keys = F.transform(every, lambda m: F.lower(m["mention"]))
-    first = lambda k: F.filter(every, lambda m, i: F.array_position(k, F.lower(m["mention"])) == i + 1)
-    return F.get(F.transform(F.array(keys), first), F.lit(0))
+    titles, courts = "(?i:" + "|".join(V.TITLES) + ")", "(?i)(?:" + "|".join(V.INSTITUTIONS) + ")"
+    every = F.concat(
+        of(rf"({titles}\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,3}})", 1, "person", 0.9, needs=titles),
+        *[of(rf"([A-Z][A-Za-z\s&]+\s*{x})", 1, "org", 0.85, 3, needs=x) for x in V.ORG_INDICATORS],
+        of(rf"{courts}[^,\.]*", 0, "institution", 0.85, 5),
+        F.filter(of(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b", 1, "person", 0.6, 5), lambda m: ~F.lower(m["mention"]).isin(*V.COMMON_PHRASES)),
+    )
+
+    def once(ms: Column) -> Column:
+        keys = F.transform(ms, lambda m: F.lower(m["mention"]))
+        return F.get(F.transform(F.array(keys), lambda k: F.filter(ms, lambda m, i: F.array_position(k, F.lower(m["mention"])) == i + 1)), F.lit(0))
+
+    return F.get(F.transform(F.array(every), once), F.lit(0))  # one-element arrays bind a value once
 
 
 def match_spans(c: Column, pattern: str) -> Column:

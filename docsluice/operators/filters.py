@@ -108,18 +108,21 @@ def quotes_found(quotes: DataFrame, documents: DataFrame, quote_id: str, quote:
     quote begins with are kept (a Bloom filter drops most others before the shuffle, at no loss where Spark thinks it pays), only texts of candidates are compared.
     """
     def run(w: Column, i: Column, n: Column) -> Column:
-        return F.xxhash64(F.slice(w, i, n))
+        return F.xxhash64(n, F.slice(w, i, n))
 
     q = quotes.select(F.col(quote_id).alias("q_id"), X.normalise(F.col(quote)).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
     q = q.withColumn("n", F.least(F.size("w"), F.lit(words))).select("q_id", "q", "n", run(F.col("w"), F.lit(1), F.col("n")).alias("k"))
     lengths = sorted(r[0] for r in q.select("n").distinct().collect())  # `words` values at most
     t = documents.select(F.col(doc_id).alias("d_id"), X.normalise(F.col(text)).alias("t"))
 
-    def of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), run(F.col("w"), i, F.lit(n)).alias("k")))
+    def of(w: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: run(w, i, F.lit(n)))
 
-    runs = F.flatten(F.array(*[of(n) for n in lengths])) if lengths else F.array().cast("array<struct<n:int,k:bigint>>")
-    looked = t.select("d_id", F.split("t", " ").alias("w")).select("d_id", F.explode(F.array_distinct(runs)).alias("r")).select("d_id", "r.n", "r.k")
-    pairs = looked.join(q.select("q_id", "n", "k"), ["n", "k"]).select("q_id", "d_id").distinct()
+    def runs(w: Column) -> Column:
+        return F.array_distinct(F.flatten(F.array(*[of(w, n) for n in lengths]))) if lengths else F.array().cast("array<bigint>")
+
+    # a one-element array binds the words once; else each run would split the text again
+    looked = t.select("d_id", F.explode(F.get(F.transform(F.array(F.split("t", " ")), runs), F.lit(0))).alias("k"))
+    pairs = looked.join(q.select("q_id", "k"), "k").select("q_id", "d_id").distinct()
     found = pairs.join(q.select("q_id", "q"), "q_id").join(t, "d_id").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))))
     return found.select(F.col("q_id").alias(quote_id), F.col("d_id").alias(doc_id))

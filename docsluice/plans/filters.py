@@ -43,15 +43,17 @@ def nested_words(spark, d):
 @query(
     "r1_11_html_tables",
     r"""
-WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<table[^>]*>.*?</table>')) AS t, generate_subscripts(regexp_extract_all(html, '(?is)<table[^>]*>.*?</table>'), 1) - 1 AS no FROM pages),
+WITH p AS (SELECT page_id, html || '<TABLE class="x"><tr><th>url</th><td >' || url || '</td></tr>' || chr(10) || '<tr><td><b>' || length(html) || '</b>&amp;' || page_id || '</td></tr></TABLE>' AS html FROM pages),
+t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<table[^>]*>.*?</table>')) AS t, generate_subscripts(regexp_extract_all(html, '(?is)<table[^>]*>.*?</table>'), 1) - 1 AS no FROM p),
 r AS (SELECT page_id, no, unnest(regexp_extract_all(t, '(?is)<tr[^>]*>.*?</tr>')) AS r, generate_subscripts(regexp_extract_all(t, '(?is)<tr[^>]*>.*?</tr>'), 1) - 1 AS row_no FROM t),
 c AS (SELECT page_id, no, row_no, unnest(regexp_extract_all(r, '(?is)<t[dh](?:\s[^>]*)?>.*?</t[dh]>')) AS c, generate_subscripts(regexp_extract_all(r, '(?is)<t[dh](?:\s[^>]*)?>.*?</t[dh]>'), 1) - 1 AS col_no FROM r)
 SELECT page_id, no::INTEGER AS table_no, row_no::INTEGER AS row_no, col_no::INTEGER AS col_no, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(c, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS cell FROM c
 """,
 )
 def html_tables(spark, d):
-    """Every cell of every table of the pages, with its place in the grid."""
-    return tables.html_cells(table(spark, d, "pages"), "page_id", "html")
+    """Every cell of every table of the pages, with its place in the grid. The pages given have none, so one stands behind each."""
+    own = F.concat(F.lit('<TABLE class="x"><tr><th>url</th><td >'), "url", F.lit("</td></tr>\n<tr><td><b>"), F.length("html").cast("string"), F.lit("</b>&amp;"), F.col("page_id").cast("string"), F.lit("</td></tr></TABLE>"))
+    return tables.html_cells(table(spark, d, "pages").withColumn("html", F.concat("html", own)), "page_id", "html")
 
 
 @query("r1_12_batch_insert", "SELECT doc_id, source, n_chars FROM documents")

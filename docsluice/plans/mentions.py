@@ -103,7 +103,7 @@ def box_search(spark, d):
     "r8_49_mentions",
     r"""
 SELECT 'made' AS source, s_suppkey AS id, unnest(['Shri Ravi Supplier', 'Ring Makers Ltd', 'High Court of Delhi', 'Anna Bolt']) AS mention, unnest([0.9, 0.85, 0.85, 0.6])::DOUBLE AS confidence FROM supplier
-UNION ALL SELECT DISTINCT 'document', doc_id, m, 0.6 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b', 1)) AS m, text FROM documents
+UNION ALL SELECT DISTINCT 'document', doc_id, m, 0.6 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b', 1)) AS m, text FROM (SELECT doc_id, regexp_replace(text, '[À-ɏ]', '_', 'g') AS text FROM documents) -- letters past ASCII are word characters
     WHERE NOT regexp_matches(text, '(?i)\b(shri|smt|kumari|dr|adv|advocate|hon|justice|mr|mrs|ms)\b|court|tribunal|authority|commission|board|council') AND NOT regexp_matches(text, '\b(Ltd|Limited|Pvt|Private|Corp|Corporation|Inc|Bank|Company|Association|Trust|Foundation|Board)\b')) WHERE length(m) > 5
 """,
 )
