@@ -15,19 +15,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles and a Jaccard similarity of 0.8 or more, exactly: BK-trees propose, prefix filtering completes."""
+    """Five-word shingles and a Jaccard similarity of 0.8 or more, exactly: BK-trees propose, prefix filtering completes. Rows count
+    for themselves: of equal ids with different texts one may go; rows without an id come last; texts without words are alike."""
     return simhash.keep_one(docs, find=overlap.groups)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with a benchmark item; null and empty texts stay, an empty benchmark removes nothing."""
     return winnowing.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with the raked probability of their cell; repeated rows are drawn together, rows without an id by their text."""
     return mixing.sample(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in ascending order of ids, read back; null and empty texts have the end id only, rows without an id come first."""
     return tokens.write_and_read(docs)
 
 
