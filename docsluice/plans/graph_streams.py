@@ -52,18 +52,13 @@ def components(spark, d):
     return E.components(_edges(spark, d), _save)
 
 
-@query("r9_04_closure", "SELECT c_custkey - c_custkey % 7 AS a, c_custkey AS b, 0.75::DOUBLE AS confidence FROM customer WHERE c_custkey % 7 >= 2")
+@query("r9_04_closure", "WITH n AS (SELECT DISTINCT unnest([c_custkey - 1, c_custkey]) AS k FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey >= 1) SELECT a.k AS a, b.k AS b, 0.75::DOUBLE AS confidence FROM n a JOIN n b ON a.k - a.k % 7 = b.k - b.k % 7 AND b.k - a.k >= 2")
 def closure(spark, d):
+    """Every pair of a chain of seven that is no link of it."""
     e = _edges(spark, d)
     return E.closure_pairs(e, E.components(e, _save))
 
 
-def _entities(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("alias "), F.col("s_suppkey").cast("string"))).alias("aliases"), F.lit(1).cast("long").alias("mentions"))
-    pairs = e.where("id % 3 <> 0").select((F.col("id") - F.col("id") % 3).alias("kept"), F.col("id").alias("merged"))
-    return e, pairs
-
-
 @query("r9_05_soft_merge", "SELECT k.s_suppkey AS id, 'alias ' || k.s_suppkey || coalesce(',' || (SELECT string_agg(m.s_name || ',alias ' || m.s_suppkey, ',' ORDER BY m.s_suppkey) FROM supplier m WHERE m.s_suppkey % 3 <> 0 AND m.s_suppkey - m.s_suppkey % 3 = k.s_suppkey), '') AS aliases, 1 + (SELECT count(*) FROM supplier m WHERE m.s_suppkey % 3 <> 0 AND m.s_suppkey - m.s_suppkey % 3 = k.s_suppkey) AS mentions, CASE WHEN k.s_suppkey % 3 <> 0 THEN k.s_suppkey - k.s_suppkey % 3 END AS merged_into FROM supplier k")
 def soft_merge(spark, d):
     return E.merge(*_entities(spark, d)).select("id", F.array_join("aliases", ",").alias("aliases"), "mentions", "merged_into")

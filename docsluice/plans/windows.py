@@ -186,5 +186,4 @@ def set_inequality(spark, d):
 
 @query("r7_05_distinct_entities", "SELECT DISTINCT CAST(ts AS DATE)::VARCHAR AS day, user_id FROM events")
 def distinct_entities(spark, d):
-    g = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set("user_id").alias("u"))
-    return g.select("day", F.explode("u").alias("user_id"))
+    return table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id").distinct()

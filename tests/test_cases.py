@@ -357,3 +357,20 @@ def test_streamed_limit_with_late_events_and_timeout(spark, tmp_path):
     out = S.run_to_table(S.streamed_limit(stream, "user_id", "ts", "event_id", 2, 3600, late="2 hours"), f"{tmp_path}/out")
     got = {r.event_id: (r.in_window, r.allowed) for r in out.collect()}
     assert got == {0: (1, True), 1: (2, True), 2: (4, False), 3: (2, True), 4: (5, False), 5: (1, True), 6: (1, True)}
+
+
+def test_closure_of_stars_chains_and_large_groups(spark):
+    """Against plain union-find: hubs, a long chain, a pair, and a group above the limit, which gives a star."""
+    from itertools import combinations
+
+    from docsluice.operators import entities as E
+    from docsluice.plans.graph_streams import _save
+
+    edges = [(0, i) for i in range(1, 6)] + [(i, i + 1) for i in range(20, 50)] + [(100, 101)] + [(205, i) for i in range(200, 205)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    groups = {r.node: r.root for r in E.components(df, _save).collect()}
+    assert {groups[i] for i in range(6)} == {0} and {groups[i] for i in range(20, 51)} == {20} and {groups[i] for i in range(200, 206)} == {200}
+    have = {tuple(sorted(e)) for e in edges}
+    missing = lambda xs: {p for p in combinations(xs, 2) if p not in have}
+    got = {(r.a, r.b) for r in E.closure_pairs(df, E.components(df, _save), most=10).collect()}
+    assert got == missing(range(6)) | missing(range(200, 206)) | {(20, i) for i in range(22, 51)}
