@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; a batch is also closed at Spark's own limit of bytes.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -35,6 +35,8 @@ CROWD, ROUNDS = 64, 4
 #: Hashes a part of the hashes' range, of which a set has a power of two: LEAST_PARTS to MOST_PARTS. The sum of the smaller
 #: counts in all parts bounds what two sets share.
 PART, LEAST_PARTS, MOST_PARTS = 2, 32, 1 << 14
+#: Hashes that a worker sends at once.
+SENT = 1 << 18
 #: At the first shingle that x and y share, at most the shorter rest of the two lists is shared: J >= 4/5 needs 9 * shared >= 4 * (n + n).
 BOUND = "9 * least(x.n - x.at, y.n - y.at) >= 4 * (x.n + y.n)"
 
@@ -54,24 +56,30 @@ def counts(h: np.ndarray) -> np.ndarray:
     return np.bincount((h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int16)
 
 
-def sets(df: DataFrame, text_col: str, keep: list) -> DataFrame:
-    """The columns `keep` of df, the digest s of each row's set, its size n and its sorted hashes."""
+def sets(df: DataFrame, text_col: str) -> DataFrame:
+    """(s, n, hashes) of each row of df: the digest of its set, its size and its sorted hashes."""
 
-    @F.pandas_udf("s long, n int, hashes array<long>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = [shingles(t) for t in texts]
-            yield pd.DataFrame({"s": np.array([_digest(h) for h in rows], np.uint64).view(np.int64), "n": np.array([len(h) for h in rows], np.int32), "hashes": rows})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out, size = [], 0
+            for t in pdf["text"]:
+                h = shingles(t)
+                out.append((np.uint64(_digest(h)).astype(np.int64), len(h), h))
+                size += len(h)
+                if size >= SENT:
+                    yield pd.DataFrame(out, columns=["s", "n", "hashes"])
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["s", "n", "hashes"])
 
-    f = df.select(*keep, found(utf8(text_col)).alias("f"))
-    return f.select(*[c for c in f.columns if c != "f"], "f.s", "f.n", "f.hashes")
+    return df.select(utf8(text_col).alias("text")).mapInPandas(run, "s long, n int, hashes array<long>")
 
 
 def frequent(df: DataFrame, text_col: str) -> np.ndarray:
     """Shingles of several texts of the sample, rarer ones first. The sample goes by the texts, so it is the same on every run."""
     every = max(1, df.count() // SAMPLE)
     some = df.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    listed = sets(some, "text", []).dropDuplicates(["s"]).select(F.explode("hashes").alias("h"))
+    listed = sets(some, "text").dropDuplicates(["s"]).select(F.explode("hashes").alias("h"))
     top = listed.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).collect()
     return np.array([r["h"] for r in reversed(top)], dtype=np.int64)
 
@@ -169,7 +177,7 @@ def checked(pairs: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_
     keys = save(first.select(F.col("k.id").alias("key_id"), F.col("k.x").alias("key_x"), F.col("k.y").alias("key_y")), "candidates")
     texts = df.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(keys) if few(3 * keys.count()) else keys, same_key("key_"), "left_semi")
-    whole = save(sets(texts, "text", []).groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole")
+    whole = save(sets(texts, "text").groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole")
     one, two = whole.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), whole.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     out = save(pairs.join(one, "a").join(two, "b").where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "similar")
     discard(pairs, keys, whole)
