@@ -32,7 +32,7 @@ def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in ascending order of ids, read back; null and empty texts have the end id only, rows without an id come first."""
-    return tokens.write_and_read(docs)
+    return tokens.write_and_read(docs, remember=False)
 
 
 STAGES = [
