@@ -31,8 +31,8 @@ from .base import MOST_TASKS, new_dir, read, save, shard_count, shard_of, splitt
 
 #: Bytes of text that a shard aims at, and bytes of a data file from which on the next document begins another one.
 SHARD_BYTES, FILE_BYTES = 24 << 20, 48 << 20
-#: Words, and pieces of words, whose ids a worker remembers; then it forgets all of them and starts anew.
-CACHE_WORDS, CACHE_PIECES = 400_000, 100_000
+#: Words whose ids a worker remembers, and a quarter as many pieces of words; then it forgets all of them and starts anew.
+CACHE_WORDS = 400_000
 MASK_DELTA = 0xA282EAD8
 ENTRY = np.dtype([("null", "<u1"), ("id", "<i8"), ("offset", "<u8"), ("n", "<u4")])
 END_ID = 1
@@ -101,7 +101,7 @@ class Encoder:
 
         class Pieces(dict):
             def __missing__(self, piece: str, alphabet=self.alphabet) -> bytes:
-                if len(self) >= CACHE_PIECES:
+                if len(self) >= CACHE_WORDS // 4:
                     self.clear()
                 ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(alphabet))]
                 out = self[piece] = np.array(ids, dtype=dtype).tobytes()
