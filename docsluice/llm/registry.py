@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, licences, mixing, pii, quality, repetition, simhash, tokens, warc, winnowing
+from . import chat, hnsw, licences, mixing, pii, quality, repetition, rtree, simhash, tokens, warc, whitening, winnowing
 
 QUERIES = {
     "op1_licence_scan": licences.op1_licence_scan,
@@ -17,9 +17,12 @@ QUERIES = {
     "op8_repetition_rules": repetition.op8_repetition_rules,
     "op9_token_files": tokens.op9_token_files,
     "op10_decontamination": winnowing.op10_decontamination,
+    "op11_hnsw_neighbours": hnsw.op11_hnsw_neighbours,
+    "op12_rtree_hard_negatives": rtree.op12_rtree_hard_negatives,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op2_warc_archive": warc.SQL, "op4_chat_format": chat.SQL, "op10_decontamination": winnowing.SQL}
+SQL = {"op2_warc_archive": warc.SQL, "op4_chat_format": chat.SQL, "op10_decontamination": winnowing.SQL, "op12_rtree_hard_negatives": rtree.SQL}
 
 
 if corpus_pipeline.ORACLE_SQL:
