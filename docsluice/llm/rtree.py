@@ -9,7 +9,7 @@ or whose best is strictly below its k-th score so far (equal ones may hold a sma
 
 Anchors are taken in blocks of bounded size, which every task holds while it walks its trees, first for the positives, then
 for the negatives in the windows that the positives give. All arithmetic is on integers: in doubles while every sum is below 2 ** 53,
-else in longs; scores that would not fit a long are an error. In many dimensions boxes are wide and little is pruned; the result is exact all the same.
+else in longs or Python's integers; a score that does not fit a long is an error. In many dimensions boxes are wide and little is pruned; the result is exact all the same.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .vectors import BLOCK_ROWS, blocks, fixed_point, matrix, shard_count, shard
 
 #: Rows of a tree at most, rows of a leaf, boxes under a box, anchors that search a tree at once.
 SHARD_ROWS, LEAF, FAN, AT_ONCE = 16_384, 64, 8, 256
-LOWEST = np.iinfo(np.int64).min
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def tile(x: np.ndarray, label: np.ndarray, leaf: int = LEAF) -> np.ndarray:
@@ -135,12 +135,10 @@ def best_first(tree: dict, anchors: np.ndarray, wants, keeps, best: Best, lists:
     offset = np.concatenate([[0], np.cumsum(tree["sizes"])]).astype(np.int64)
     x, lo, hi = tree["x"].reshape(-1, dim), tree["lo"].reshape(-1, dim), tree["hi"].reshape(-1, dim)
     largest = max(int(np.abs(v).max(initial=0)) for v in (lo, hi)) * int(np.abs(anchors).max(initial=0)) * dim
-    if largest >= 1 << 62:
-        raise OverflowError("scores must fit in a long")
-    kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64
+    kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64 if largest < 1 << 62 else object
     a, points = anchors.astype(kind), x.astype(kind)
     # bounds of all boxes of a tree for all anchors are two products of matrices; which of them are looked at is up to the search
-    least, most = (v.astype(np.int64) for v in bounds(a, lo.astype(kind), hi.astype(kind)))
+    least, most = (np.clip(v, LOWEST + 1, HIGHEST).astype(np.int64) if kind is object else v.astype(np.int64) for v in bounds(a, lo.astype(kind), hi.astype(kind)))
     good = wants(tree["first"], tree["last"])
     queued = np.full((n, len(lo)), LOWEST)
     queued[:, offset[top]] = np.where(good[:, offset[top]], most[:, offset[top]], LOWEST)
@@ -172,7 +170,7 @@ def best_first(tree: dict, anchors: np.ndarray, wants, keeps, best: Best, lists:
                 rows = which[:, None] * LEAF + np.arange(LEAF)
                 real = rows < len(points)
                 rows = np.where(real, rows, 0)
-                score = np.einsum("brd,bd->br", points[rows], a[who]).astype(np.int64)
+                score = np.einsum("brd,bd->br", points[rows], a[who]).astype(np.int64)  # an error where one does not fit
                 ok = real & keeps(who, rows)
                 opened += len(who)
                 for w in range(lists.shape[1]):
@@ -236,7 +234,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
     spark, trees, out = rows.sparkSession, index(rows, shard_rows), None
     for t in blocks(anchors, "id", block_rows):
         n = len(t)
-        everything = np.full((n, 1), LOWEST + 1), np.full((n, 1), np.iinfo(np.int64).max)
+        everything = np.full((n, 1), LOWEST + 1), np.full((n, 1), HIGHEST)
         near = save(_search(trees, t, *everything, positives, True), "positives")
         p = near.toArrow()  # block_rows * positives at most
         score, pid, window = np.zeros((n, positives), np.int64), np.zeros((n, positives), np.int64), np.zeros((n, positives), bool)
