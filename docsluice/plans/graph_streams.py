@@ -9,6 +9,7 @@ from docsluice.catalog import query
 from docsluice.operators import entities as E
 from docsluice.sources.tables import own_folder, table
 from docsluice.streaming import jobs as S
+from docsluice.streaming.folds import RateLimit, Sessions, fold, fold_stream
 
 
 def _save(df: DataFrame) -> DataFrame:
@@ -93,9 +94,68 @@ def graph_view(spark, d):
     return table(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(v, "l_partkey", "left_semi").join(s, "l_suppkey", "left_semi").distinct()
 
 
-@query("r10_02_rate_limit", "SELECT user_id, event_id, in_window, in_window <= 3 AS allowed FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS in_window FROM events)")
+_LIMIT = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (
+    SELECT user_id, event_id, ts, i, [ts] AS q, CAST(0 AS BIGINT) AS n, CAST(0.0 AS DOUBLE) AS w FROM e WHERE i = 1
+    UNION ALL
+    SELECT user_id, event_id, ts, i, CASE WHEN len(live) < 2 THEN list_append(live, ts) ELSE live END, len(live), CASE WHEN len(live) < 2 THEN 0.0 ELSE greatest(0.1, (epoch_us(live[1]) + 86400000000 - epoch_us(ts)) / 1000000.0) END
+    FROM (SELECT e.user_id, e.event_id, e.ts, e.i, list_filter(f.q, lambda t: t > e.ts - INTERVAL 24 HOUR) AS live FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+)
+SELECT user_id, event_id, CAST(n AS INTEGER) AS in_window, n < 2 AS allowed, round(w, 3) AS wait_seconds FROM f"""
+#: What the watermark of a stream has passed when all is read: it is an hour behind the latest event, in whole milliseconds.
+_PASSED = " WHERE epoch_us(ts) <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events) * 1000"
+
+
+@query("r10_02_rate_limit", _LIMIT)
 def rate_limit(spark, d):
-    return S.rate_decisions(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 6 * 3600)
+    """At most two admitted events of a user in a day, each decided after those before it."""
+    out = fold(table(spark, d, "events"), ["user_id"], "ts", "event_id", RateLimit(2, 24 * 3600))
+    return out.withColumn("wait_seconds", F.round("wait_seconds", 3))
+
+
+@query("r10_02_streamed_limit", _LIMIT + _PASSED)
+def streamed_limit(spark, d):
+    """The same limiter as the state of each user of a stream."""
+    out = fold_stream(S.stream_table(spark, d, "events"), ["user_id"], "ts", "event_id", RateLimit(2, 24 * 3600))
+    return S.run_to_table(out, own_folder(spark)).withColumn("wait_seconds", F.round("wait_seconds", 3))
+
+
+_LIVES = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'error' AS stop, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (
+    SELECT user_id, event_id, t, i, CAST(CASE WHEN stop THEN 0 ELSE 1 END AS INTEGER) AS n, NOT stop AS live, t AS created, t + 43200000000 AS expires, CAST(0 AS INTEGER) AS extended, false AS over, CAST(CASE WHEN stop THEN 0 ELSE 1 END AS INTEGER) AS messages,
+        CAST(0 AS INTEGER) AS archive, CAST(0 AS INTEGER) AS had, CASE WHEN stop THEN 'none' ELSE 'created' END AS outcome, CAST(NULL AS INTEGER) AS origin
+    FROM e WHERE i = 1
+    UNION ALL
+    SELECT user_id, event_id, t, i, CASE WHEN o IN ('created', 'restored') THEN n + 1 ELSE n END, o NOT IN ('ended', 'none'), CASE WHEN o IN ('created', 'restored') THEN t ELSE created END,
+        CASE WHEN o IN ('created', 'restored', 'extended') THEN t + 43200000000 ELSE expires END, CASE WHEN o IN ('created', 'restored') THEN 0 WHEN o = 'extended' THEN extended + 1 ELSE extended END, o IN ('limit', 'kept'),
+        CASE o WHEN 'created' THEN 1 WHEN 'restored' THEN least(had, 5) + 1 WHEN 'ended' THEN messages WHEN 'none' THEN messages ELSE least(20, messages + 1) END,
+        CASE WHEN o = 'ended' THEN n ELSE archive END, CASE WHEN o = 'ended' THEN messages ELSE had END, o, CASE WHEN o = 'restored' THEN archive END
+    FROM (
+        SELECT *, CASE WHEN stop AND alive THEN 'ended' WHEN stop THEN 'none' WHEN NOT alive AND archive > 0 THEN 'restored' WHEN NOT alive THEN 'created' WHEN over THEN 'kept' WHEN t - created >= 129600000000 THEN 'limit' ELSE 'extended' END AS o
+        FROM (SELECT e.user_id, e.event_id, e.t, e.i, e.stop, f.n, f.created, f.expires, f.extended, f.over, f.messages, f.live AND e.t < f.expires AS alive,
+                CASE WHEN f.live AND e.t >= f.expires THEN f.n ELSE f.archive END AS archive, CASE WHEN f.live AND e.t >= f.expires THEN f.messages ELSE f.had END AS had
+            FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+    )
+)
+SELECT user_id, event_id, CASE WHEN outcome <> 'none' THEN n END AS session, outcome, CASE WHEN outcome <> 'none' THEN extended END AS extended, CASE WHEN outcome <> 'none' THEN messages END AS messages, origin AS restored_from,
+    CASE WHEN outcome NOT IN ('none', 'ended') THEN expires END AS expires_us FROM f"""
+
+
+def _lives(events):
+    return events.withColumn("ends", F.col("event_type") == "error")
+
+
+@query("r10_03_session_lives", _LIVES)
+def session_lives(spark, d):
+    """Sessions of twelve hours without an access and of a day and a half at most; an error ends one."""
+    return fold(_lives(table(spark, d, "events")), ["user_id"], "ts", "event_id", Sessions(12 * 3600, 36 * 3600), ends="ends")
+
+
+@query("r10_03_streamed_lives", _LIVES + _PASSED.replace("epoch_us(ts)", "t"))
+def streamed_lives(spark, d):
+    """The same sessions as the state of each user of a stream."""
+    out = fold_stream(_lives(S.stream_table(spark, d, "events")), ["user_id"], "ts", "event_id", Sessions(12 * 3600, 36 * 3600), ends="ends")
+    return S.run_to_table(out, own_folder(spark))
 
 
 _SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)

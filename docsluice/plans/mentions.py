@@ -12,7 +12,6 @@ from docsluice.operators import timeline as T
 from docsluice.operators.retrieval import tokens
 from docsluice.sources import tables
 from docsluice.sources.tables import own_folder, table
-from docsluice.streaming import jobs as S
 
 
 @query("r1_09_json_source", "SELECT n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -136,9 +135,3 @@ def injection_spans(spark, d):
 @query("r8_62_word_counts", "SELECT item_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS n FROM benchmark")
 def word_counts(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(tokens("text")).cast("long").alias("n"))
-
-
-@query("r10_02_streamed_limit", "SELECT user_id, event_id, in_window, in_window <= 3 AS allowed FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS in_window FROM events)")
-def streamed_limit(spark, d):
-    """The limiter on a stream, its recent times kept as state of each key."""
-    return S.run_to_table(S.streamed_limit(S.stream_table(spark, d, "events"), "user_id", "ts", "event_id", 3, 6 * 3600), own_folder(spark))

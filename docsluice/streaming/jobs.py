@@ -26,12 +26,6 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def rate_decisions(df: DataFrame, key: str, at: str, id_col: str, most: int, seconds: int) -> DataFrame:
-    """Events of a key in the window of `seconds` up to and with each event, and whether they exceed the limit."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.select(key, id_col, F.count("*").over(w).alias("in_window")).withColumn("allowed", F.col("in_window") <= most)
-
-
 def sessions(df: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     """Runs of events of a key with less than the gap between neighbours. Works on a stream with a watermark too."""
     return df.groupBy(key, F.session_window(at, gap).alias("s")).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
@@ -60,40 +54,3 @@ def recover_stale(df: DataFrame, status: str, since: str, attempts: str, as_of:
     stale = (F.col(status) == "P") & (F.col(since) < F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {minutes} MINUTE"))
     again = F.col(attempts) < most
     return df.withColumns({"next_status": F.when(stale & again, "O").when(stale, "X").otherwise(F.col(status)), "next_attempts": F.when(stale & again, F.col(attempts) + 1).otherwise(F.col(attempts))})
-
-
-def streamed_limit(df: DataFrame, key: str, at: str, id_col: str, most: int, seconds: int, late: str = "1 hour") -> DataFrame:
-    """rate_decisions on a stream. A key's state is the sorted times of its last `seconds` before the watermark, so it is
-    bounded by the key's rate, and it goes once the watermark has passed all of them.
-
-    The events of a micro-batch are taken in the order of time and id. An event that comes late, but not behind the watermark,
-    is counted with those up to its own time only; decisions on later events that are already out do not change.
-    """
-    from bisect import bisect_left, bisect_right, insort
-
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    span = seconds * 1_000_000
-
-    def update(keys, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches))
-        pdf = pdf.sort_values(["at_us", "id"])
-        counts = []
-        for t in pdf["at_us"].tolist():
-            insort(times, t)
-            counts.append(bisect_right(times, t) - bisect_left(times, t - span))
-        mark = state.getCurrentWatermarkMs() * 1000
-        times = times[bisect_left(times, mark - span) :]  # no event before the watermark is still to come
-        state.update((times,))
-        state.setTimeoutTimestamp(max((times[-1] if times else mark) + span, mark + 1_000_000) // 1000 + 1)
-        yield pd.DataFrame({key: [keys[0]] * len(counts), id_col: pdf["id"].to_numpy(), "in_window": counts, "allowed": [c <= most for c in counts]})
-
-    timed = df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
-    part = timed.select(key, at, F.unix_micros(at).alias("at_us"), F.col(id_col).alias("id"))
-    kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    return part.groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {id_col} {kind[id_col]}, in_window long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -343,22 +343,6 @@ def test_referents(spark):
     assert [tuple(r) for r in got] == [(1, None, None, None, None, None), (2, 1, None, None, 1, 1), (3, 1, 2, None, 2, 2), (4, 1, 2, 3, 3, 3), (5, 4, 4, 4, 4, 4)]
 
 
-def test_streamed_limit_with_late_events_and_timeout(spark, tmp_path):
-    """Events in three files, one a batch: a late event counts up to its own time only, one behind the watermark is dropped with its state."""
-    import datetime as dt
-
-    from docsluice.streaming import jobs as S
-
-    t0 = dt.datetime(2024, 1, 1)
-    batches = [[(1, 0, 0), (1, 1, 10)], [(1, 2, 50), (1, 3, 5)], [(1, 4, 55), (2, 5, 100_000)], [(1, 6, 100_001)]]
-    for k, rows in enumerate(batches):
-        spark.createDataFrame([(u, i, t0 + dt.timedelta(minutes=m)) for u, i, m in rows], "user_id int, event_id int, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema("user_id int, event_id int, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", "false").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    out = S.run_to_table(S.streamed_limit(stream, "user_id", "ts", "event_id", 2, 3600, late="2 hours"), f"{tmp_path}/out")
-    got = {r.event_id: (r.in_window, r.allowed) for r in out.collect()}
-    assert got == {0: (1, True), 1: (2, True), 2: (4, False), 3: (2, True), 4: (5, False), 5: (1, True), 6: (1, True)}
-
-
 def test_closure_of_stars_chains_and_large_groups(spark):
     """Against plain union-find: hubs, a long chain, a pair, and a group above the limit, which gives a star."""
     from itertools import combinations
