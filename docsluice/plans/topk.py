@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsluice.catalog import query
+from docsluice.operators import centroids as C
+from docsluice.operators import postings as P
 from docsluice.operators import retrieval as R
 from docsluice.operators import timeline as T
-from docsluice.sources.tables import table
+from docsluice.sources.tables import stored, table
 
 Q = "the license version"
 _W = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
@@ -20,6 +22,29 @@ def query_vector(spark, d) -> list[float]:
     return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
 
 
+def words_index(spark, d):
+    """The stored postings of documents; the first search of a version of the table builds them."""
+    return P.open_index(spark, stored(spark, d, "documents", "postings", lambda df, path: P.build(df, "doc_id", "text", path, "source")))
+
+
+def vector_index(spark, d):
+    return C.open_index(spark, stored(spark, d, "embeddings", "lists", lambda df, path: C.build(df, "embedding", path)), table(spark, d, "embeddings").schema)
+
+
+def lexical_side(spark, d, n, mode="tf", tenant=None):
+    return P.lexical(words_index(spark, d), Q, n, mode, tenant=tenant)
+
+
+def vector_side(spark, d, n, least=None, where=None):
+    return C.search(vector_index(spark, d), "vec_id", "embedding", query_vector(spark, d), n, least, where=where)
+
+
+def fused(spark, d, n, weights=(1.0, 1.0), tenant=None, where=None):
+    """Both sides from their stored indexes, fused."""
+    side = R.candidates(n)
+    return R.fuse(lexical_side(spark, d, side, tenant=tenant), vector_side(spark, d, side, where=where), n, weights=weights)
+
+
 def _lex(n: int, where: str = "true") -> str:
     return f"SELECT doc_id AS id, {_TF}::DOUBLE AS score, row_number() OVER (ORDER BY {_TF} DESC, doc_id) AS lexical_rank FROM documents WHERE {where} AND {_TF} > 0 QUALIFY lexical_rank <= {n}"
 
@@ -39,33 +64,32 @@ def long_ranks(df):
 @query("hybrid_search", _rrf(_lex(20), _vec(20), 10))
 def hybrid_search(spark, d):
     """The flagship: lexical and vector ranks fused."""
-    return long_ranks(R.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), Q, query_vector(spark, d), 10))
+    return long_ranks(fused(spark, d, 10))
 
 
 @query("r6_01_vector_topk", f"SELECT vec_id AS id, s AS similarity FROM ({_VEC}) WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 10")
 def vector_topk(spark, d):
-    return R.vector(table(spark, d, "embeddings"), "vec_id", "embedding", query_vector(spark, d), 10, 0.1).select("id", "similarity")
+    return vector_side(spark, d, 10, 0.1).select("id", "similarity")
 
 
 @query("r6_02_filtered_vector_topk", f"SELECT vec_id AS id, s AS similarity FROM ({_VEC}) WHERE s >= 0.0 AND label IN (1, 2, 3) ORDER BY s DESC, vec_id LIMIT 15")
 def filtered_vector_topk(spark, d):
-    return R.vector(table(spark, d, "embeddings").where("label IN (1, 2, 3)"), "vec_id", "embedding", query_vector(spark, d), 15, 0.0).select("id", "similarity")
+    return vector_side(spark, d, 15, 0.0, "label IN (1, 2, 3)").select("id", "similarity")
 
 
 @query("r6_03_lexical_topk", _lex(30))
 def lexical_topk(spark, d):
-    return long_ranks(R.lexical(table(spark, d, "documents"), "doc_id", "text", Q, 30))
+    return long_ranks(lexical_side(spark, d, 30))
 
 
 @query("r6_04_rrf_topk", _rrf(_lex(60), _vec(60), 30, 60, 0.5, 1.5))
 def rrf_topk(spark, d):
-    return long_ranks(R.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), Q, query_vector(spark, d), 30, weights=(0.5, 1.5)))
+    return long_ranks(fused(spark, d, 30, (0.5, 1.5)))
 
 
 @query("r6_05_tenant_hybrid", _rrf(_lex(20, "source = 'src1'"), _vec(20, "label = 1"), 10))
 def tenant_hybrid(spark, d):
-    docs, vecs = table(spark, d, "documents").where("source = 'src1'"), table(spark, d, "embeddings").where("label = 1")
-    return long_ranks(R.hybrid(docs, vecs, Q, query_vector(spark, d), 10))
+    return long_ranks(fused(spark, d, 10, tenant="src1", where="label = 1"))
 
 
 @query("r6_06_bm25_search", f"""WITH t AS (SELECT doc_id, len({_W}) AS n, {', '.join(f"len(list_filter({_W}, lambda x: x = '{t}'))::DOUBLE AS f{i}" for i, t in enumerate(Q.split()))} FROM documents),
@@ -73,21 +97,21 @@ def tenant_hybrid(spark, d):
  s AS (SELECT doc_id AS id, round({' + '.join(f'ln(1 + (docs - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / mean))' for i in range(3))}, 6) AS score FROM t, g)
  SELECT id, score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 30""")
 def bm25_search(spark, d):
-    return R.lexical(table(spark, d, "documents"), "doc_id", "text", Q, 30, "bm25").select("id", F.round("score", 6).alias("score"))
+    return lexical_side(spark, d, 30, "bm25").select("id", F.round("score", 6).alias("score"))
 
 
 @query("r6_07_semantic_search", f"SELECT vec_id AS id, label, s AS similarity, row_number() OVER (ORDER BY s DESC, vec_id) AS place FROM ({_VEC}) ORDER BY place LIMIT 20")
 def semantic_search(spark, d):
     """With the tenant and the rank in the result."""
     e = table(spark, d, "embeddings")
-    top = R.vector(e, "vec_id", "embedding", query_vector(spark, d), 20)
+    top = vector_side(spark, d, 20)
     return top.join(e.select(F.col("vec_id").alias("id"), "label"), "id").select("id", "label", "similarity", F.col("vector_rank").cast("long").alias("place"))
 
 
 @query("r6_08_rerank", f"WITH h AS ({_rrf(_lex(20), _vec(20), 10)}) SELECT id, row_number() OVER (ORDER BY n_chars, id) AS place FROM h JOIN documents ON doc_id = id QUALIFY place <= 5")
 def rerank(spark, d):
     """Candidates re-ordered by a scorer that is a column (stand-in: shorter is better); top five."""
-    h = R.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), Q, query_vector(spark, d), 10)
+    h = fused(spark, d, 10)
     j = h.join(table(spark, d, "documents"), F.col("id") == F.col("doc_id"))
     top = j.orderBy("n_chars", "id").limit(5)
     return top.select("id", F.row_number().over(Window.orderBy("n_chars", "id")).cast("long").alias("place"))
@@ -95,15 +119,14 @@ def rerank(spark, d):
 
 @query("r6_09_rerank_fallback", f"SELECT id, round(1.0 - 0.1 * (row_number() OVER (ORDER BY rrf_score DESC, id) - 1), 4)::DOUBLE AS score FROM ({_rrf(_lex(20), _vec(20), 10)})")
 def rerank_fallback(spark, d):
-    h = R.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), Q, query_vector(spark, d), 10)
+    h = fused(spark, d, 10)
     return h.select("id", F.round(1.0 - 0.1 * (F.row_number().over(Window.orderBy(F.desc("rrf_score"), "id")) - 1), 4).alias("score"))
 
 
 @query("r6_10_search_with_library", f"SELECT * FROM (SELECT 'matter' AS origin, id, rrf_score FROM ({_rrf(_lex(20), _vec(20), 10)}) UNION ALL SELECT 'library', id, round(1.0::DOUBLE / (60 + vector_rank), 9) FROM ({_vec(10, 'label = 5')})) ORDER BY rrf_score DESC, origin, id LIMIT 12")
 def search_with_library(spark, d):
-    q = query_vector(spark, d)
-    m = R.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), Q, q, 10).select(F.lit("matter").alias("origin"), "id", "rrf_score")
-    lib = R.vector(table(spark, d, "embeddings").where("label = 5"), "vec_id", "embedding", q, 10)
+    m = fused(spark, d, 10).select(F.lit("matter").alias("origin"), "id", "rrf_score")
+    lib = vector_side(spark, d, 10, where="label = 5")
     both = m.unionByName(lib.select(F.lit("library").alias("origin"), "id", F.round(F.lit(1.0) / (60 + F.col("vector_rank")), 9).alias("rrf_score")))
     return both.orderBy(F.desc("rrf_score"), "origin", "id").limit(12)
 
@@ -111,8 +134,7 @@ def search_with_library(spark, d):
 @query("r6_11_cross_tenant_rrf", f"WITH s AS (SELECT source, doc_id, {_TF} AS score FROM documents WHERE {_TF} > 0), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place FROM s QUALIFY place <= 10) SELECT source, doc_id, place, round(1.0::DOUBLE / (60 + place), 9) AS rrf_score FROM r")
 def cross_tenant_rrf(spark, d):
     """The best ten of every tenant in one window, no loop over tenants."""
-    w = R.tokens("text")
-    s = table(spark, d, "documents").select("source", "doc_id", F.size(F.filter(w, lambda x: x.isin(*R.query_terms(Q)))).alias("score")).where("score > 0")
+    s = P.term_counts(words_index(spark, d), Q).toDF("source", "doc_id", "score")
     return R.rank_in_tenants(s, "source", "doc_id", "score").select("source", "doc_id", F.col("place").cast("long").alias("place"), "rrf_score")
 
 
@@ -189,12 +211,12 @@ def recent_events(spark, d):
 @query("r6_22_search_inspector", f"SELECT coalesce(l.id, v.id) AS id, lexical_rank, vector_rank FROM ({_lex(20)}) l FULL OUTER JOIN ({_vec(20)}) v ON l.id = v.id")
 def search_inspector(spark, d):
     """Both branches with their ranks; the same functions as the search itself."""
-    lex, vec = R.lexical(table(spark, d, "documents"), "doc_id", "text", Q, 20), R.vector(table(spark, d, "embeddings"), "vec_id", "embedding", query_vector(spark, d), 20)
+    lex, vec = lexical_side(spark, d, 20), vector_side(spark, d, 20)
     return long_ranks(lex.select("id", "lexical_rank").join(vec.select("id", "vector_rank"), "id", "full_outer"))
 
 
 @query("r6_23_fusion_counts", f"SELECT count(*) FILTER (lexical_rank IS NOT NULL AND vector_rank IS NOT NULL) AS n_both, count(*) FILTER (vector_rank IS NULL) AS n_lexical, count(*) FILTER (lexical_rank IS NULL) AS n_vector FROM (SELECT lexical_rank, vector_rank FROM ({_lex(60)}) l FULL OUTER JOIN ({_vec(60)}) v ON l.id = v.id)")
 def fusion_counts(spark, d):
-    h = R.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), Q, query_vector(spark, d), 1000, per_side=60)
+    h = R.fuse(lexical_side(spark, d, 60), vector_side(spark, d, 60), 1000)
     both = F.col("lexical_rank").isNotNull() & F.col("vector_rank").isNotNull()
     return h.agg(F.count_if(both).alias("n_both"), F.count_if(F.col("vector_rank").isNull()).alias("n_lexical"), F.count_if(F.col("lexical_rank").isNull()).alias("n_vector"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,30 @@ def own_folder(spark: SparkSession) -> str:
     return f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/docsluice/{uuid.uuid4().hex}"
 
 
+def version(spark: SparkSession, path: str) -> str:
+    """Changes when the files of a table do: names, sizes and times."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
+    return hashlib.sha256(repr((path, files)).encode()).hexdigest()[:32]
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, what: str, build: Callable[[DataFrame, str], object]) -> str:
+    """The folder of an index of a table, under the shared one; build(table, folder) makes it where this version of the table has none.
+
+    It is built beside its place and renamed when whole, so an unfinished one is never read; of two builders the first wins.
+    """
+    path = f"{own_folder(spark).rsplit('/', 1)[0]}/{what}-{version(spark, f'{sf_dir.rstrip("/")}/{name}.parquet')}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        part = f"{path}-{uuid.uuid4().hex}"
+        build(table(spark, sf_dir, name), part)
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(part), at) and not fs.exists(at):
+            raise OSError(f"{path} could not be put in place")
+    return path
+
+
 def for_tenant(df: DataFrame, column: str, tenant: object) -> DataFrame:
     """The rows of one tenant. A missing tenant is an error, never an empty or a full result."""
     if tenant is None:
