@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import tokens
+from docsluice.functions.alignment import Text
 
-PAGE_LINES, WINDOW, LEAST_WORDS = 5, 6, 3
+#: Lines of a page; the indel ratio from which a stretch is a chunk's; words that a box and a chunk must share.
+PAGE_LINES, LEAST_RATIO, LEAST_WORDS = 5, 0.65, 3
 
 
 def line_boxes(docs: DataFrame) -> DataFrame:
@@ -25,49 +29,88 @@ def line_chunks(docs: DataFrame, chars: int = 400) -> DataFrame:
     return docs.select("doc_id", F.posexplode(cut).alias("chunk", "chunk_text"))
 
 
-def neighbours(text: str) -> Column:
-    """Distinct hashes of the pairs of neighbouring words of a text."""
+def normal(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
 
-    def pairs(w: Column) -> Column:
-        n = F.greatest(F.size(w) - 1, F.lit(0))
-        return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
 
-    return F.get(F.transform(F.array(tokens(text)), pairs), F.lit(0))
+def _linked(chunk: str, at: tuple[int, int], starts: np.ndarray, ends: np.ndarray, words: list[set]) -> list[int]:
+    """Boxes in the stretch that share LEAST_WORDS words with the chunk, or all their words."""
+    mine = set(chunk.split())
+    some = range(int(np.searchsorted(ends, at[0], "right")), int(np.searchsorted(starts, at[1], "left")))
+    return [i for i in some if words[i] and len(words[i] & mine) >= min(LEAST_WORDS, len(words[i]))]
 
 
-def runs(pairs: DataFrame) -> DataFrame:
-    """(doc_id, w, first_place, last_place): ranges of windows' first boxes, whose windows have a word pair.
+def _candidates(mine: set, words: dict[int, set], most: int) -> list[int]:
+    """The pages that share most words with a chunk, the lower of equals, in the order of pages; none that shares nothing."""
+    shared = sorted((-len(mine & w), p) for p, w in words.items())
+    return sorted(p for n, p in shared[:most] if n)
+
+
+LINKS = "chunk int, ratio double, places array<int>, page long"
 
-    A box at p is in the windows that start at p - WINDOW + 1 to p. Places with no more than WINDOW between them give one range, so
-    a pair that fills a document has one row, and no window holds a pair twice.
-    """
-    by = Window.partitionBy("doc_id", "w").orderBy("place")
-    new = F.col("place") - F.lag("place").over(by) > WINDOW
-    numbered = pairs.select("doc_id", "w", "place", new.alias("new")).withColumn("run", F.sum(F.when(F.col("new"), 1).otherwise(0)).over(by))
-    return numbered.groupBy("doc_id", "w", "run").agg(F.greatest(F.min("place") - WINDOW + 1, F.lit(0)).alias("first_place"), F.max("place").alias("last_place")).drop("run")
 
+def link_boxes(chunks: DataFrame, boxes: DataFrame, least: float = LEAST_RATIO, pages: int | None = None) -> DataFrame:
+    """(doc_id, chunk, ratio, places, page): the boxes of each chunk's text, and the page that most of them are on, the lower of equals.
 
-def link_boxes(chunks: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(doc_id, chunk, first_place, last_place, page, shared): the run of boxes that a chunk's words are in.
+    A chunk is looked for in the text of its document's boxes, case and white space aside: as it is, else by the stretch of its length that is most like it, from an
+    indel ratio of `least` on. Of the boxes that this stretch touches, those that share LEAST_WORDS words with the chunk, or all their own, are its boxes. Stretch and
+    chunk are compared whole, so a chunk over many short boxes has them all. Chunks without a place have none: no boxes, null ratio and page.
 
-    Pairs of neighbouring words of chunk and boxes meet by an equi join inside the document (single words
-    would meet in every chunk and box of a long document). A window of WINDOW boxes scores the chunk's distinct
-    pairs in it; the best window (the first of equals) is kept if it has LEAST_WORDS. The page is the one with
-    the most of the window's shared pairs, the lowest of equals. (doc_id, chunk) and (doc_id, place) are keys.
+    pages: look in the boxes of that many pages only, those that share most words with the chunk. (doc_id, chunk) and
+    (doc_id, place) are keys; a document's chunks and boxes are one task's work.
+    """
 
-    Scores rise where a pair's range of windows begins and fall behind its end, so the running sum of both
-    has the score of every window without a row for each pair and window.
+    def one(_key, c: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("place")
+        text, page, place = [normal(t) for t in b["box"].to_pylist()], b["page"].to_pylist(), b["place"].to_pylist()
+        words = [set(t.split()) for t in text]
+        by_page: dict[int, set] = {}
+        for p, w in zip(page, words, strict=True):
+            by_page.setdefault(p, set()).update(w)
+        made: dict[tuple, tuple] = {}
+
+        def among(some: list[int] | None) -> tuple:
+            key = tuple(some) if some is not None else ()
+            if key not in made:
+                rows = [i for i in range(len(text)) if some is None or page[i] in some]
+                size = np.array([len(text[i]) + 1 for i in rows], np.int64)
+                starts = np.cumsum(size) - size
+                if some is not None:
+                    made.clear()  # neighbouring chunks look in the same pages
+                made[key] = rows, Text(" ".join(text[i] for i in rows)), starts, starts + size - 1, [words[i] for i in rows]
+            return made[key]
+
+        out = []
+        for k, t in zip(c["chunk"].to_pylist(), c["chunk_text"].to_pylist(), strict=True):
+            t = normal(t)
+            rows, whole, starts, ends, w = among(_candidates(set(t.split()), by_page, pages) if pages else None)
+            at = whole.place(t, least)
+            mine = [rows[i] for i in _linked(t, at[:2], starts, ends, w)] if at else []
+            on = Counter(page[i] for i in mine)
+            out.append((k, round(at[2], 6) if at else None, [place[i] for i in mine], min(on, key=lambda p: (-on[p], p)) if on else None))
+        if not len(c):
+            return pa.table({"doc_id": c["doc_id"], "chunk": pa.array([], pa.int32()), "ratio": pa.array([], pa.float64()), "places": pa.array([], pa.list_(pa.int32())), "page": pa.array([], pa.int64())})
+        k, ratio, places, on = zip(*out, strict=True)
+        return pa.table({"doc_id": c["doc_id"], "chunk": pa.array(k, pa.int32()), "ratio": pa.array(ratio, pa.float64()), "places": pa.array(places, pa.list_(pa.int32())), "page": pa.array(on, pa.int64())})
+
+    kind = dict(chunks.select("doc_id").dtypes)["doc_id"]
+    return chunks.groupBy("doc_id").cogroup(boxes.groupBy("doc_id")).applyInArrow(one, f"doc_id {kind}, {LINKS}")
+
+
+def candidate_pages(chunks: DataFrame, boxes: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, chunk, page, shared): the pages of a document that share most words with a chunk, the lower of equals first.
+
+    Words are counted by equi joins inside a document; words that are the same on every page cost their pages and chunks.
     """
-    cw = chunks.select("doc_id", "chunk", F.explode(neighbours("chunk_text")).alias("w"))
-    bw = boxes.select("doc_id", "place", "page", F.explode(neighbours("box")).alias("w"))
-    edges = F.explode(F.array(F.struct(F.col("first_place").alias("at"), F.lit(1).alias("by")), F.struct((F.col("last_place") + 1).alias("at"), F.lit(-1).alias("by")))).alias("e")
-    steps = cw.join(runs(bw), ["doc_id", "w"]).select("doc_id", "chunk", edges).select("doc_id", "chunk", "e.*")
-    scored = steps.withColumn("shared", F.sum("by").over(Window.partitionBy("doc_id", "chunk").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    best = scored.groupBy("doc_id", "chunk").agg(F.max(F.struct("shared", -F.col("at"))).alias("b")).select("doc_id", "chunk", (-F.col("b.col2")).alias("first_place"), F.col("b.shared").alias("shared")).where(F.col("shared") >= LEAST_WORDS)
-    inside = best.select("doc_id", "chunk", F.explode(F.sequence("first_place", F.col("first_place") + WINDOW - 1)).alias("place"))
-    pages = cw.join(inside, ["doc_id", "chunk"]).join(bw, ["doc_id", "w", "place"]).groupBy("doc_id", "chunk", "page").agg(F.count("*").alias("n"))
-    modal = pages.groupBy("doc_id", "chunk").agg((-F.max(F.struct("n", -F.col("page")))["col2"]).alias("page"))
-    return best.join(modal, ["doc_id", "chunk"]).select("doc_id", "chunk", "first_place", (F.col("first_place") + WINDOW - 1).alias("last_place"), "page", "shared")
+
+    def words(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+        low = F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " ")), " ")
+        return df.select(*keys, F.explode(F.array_distinct(low)).alias("w")).where("w <> ''").distinct()
+
+    j = words(chunks, ["doc_id", "chunk"], "chunk_text").join(words(boxes, ["doc_id", "page"], "box"), ["doc_id", "w"])
+    n = j.groupBy("doc_id", "chunk", "page").agg(F.count("*").alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "chunk").orderBy(F.desc("shared"), "page"))
+    return n.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
 def _tiers(box: Column, phrase: str, patterns: list[str], least: int) -> tuple[Column, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsluice.catalog import query
+from docsluice.operators import linking as L
 from docsluice.operators import pairs as J
 from docsluice.operators import timeline as T
 from docsluice.sources.tables import table
@@ -168,34 +169,43 @@ def page_range_join(spark, d):
     return J.range_join(points, ranges, "k", "c_custkey", "s", "e").select("p_partkey", "c_custkey")
 
 
+_BOXES = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+c AS (SELECT doc_id, CAST((s - 1) // 400 AS INTEGER) AS chunk, trim(regexp_replace(lower(substr(replace(x, chr(10), ' '), s, 400)), '\s+', ' ', 'g')) AS t FROM (SELECT doc_id, x, unnest(range(1, greatest(length(x), 1) + 1, 400)) AS s FROM d)),
+b AS (SELECT doc_id, i - 1 AS place, (i - 1) // 5 AS page, trim(regexp_replace(lower(l[i]), '\s+', ' ', 'g')) AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(x, chr(10)) AS l FROM d)))
+"""
+
+
 @query(
     "r3_23_chunk_boxes",
-    r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
-c AS (SELECT doc_id, (s - 1) // 400 AS chunk, regexp_extract_all(lower(substr(replace(x, chr(10), ' '), s, 400)), '[\p{L}\p{N}]+') AS w FROM (SELECT doc_id, x, unnest(range(1, greatest(length(x), 1) + 1, 400)) AS s FROM d)),
-b AS (SELECT doc_id, i - 1 AS place, (i - 1) // 5 AS page, regexp_extract_all(lower(l[i]), '[\p{L}\p{N}]+') AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(x, chr(10)) AS l FROM d))),
-cw AS (SELECT DISTINCT doc_id, chunk, w[i] || ' ' || w[i + 1] AS p FROM (SELECT *, unnest(range(1, len(w))) AS i FROM c)),
-bw AS (SELECT DISTINCT doc_id, place, page, w[i] || ' ' || w[i + 1] AS p FROM (SELECT *, unnest(range(1, len(w))) AS i FROM b)),
-h AS (SELECT doc_id, chunk, p, page, unnest(range(greatest(place - 5, 0), place + 1)) AS f FROM cw JOIN bw USING (doc_id, p)),
-k AS (SELECT doc_id, chunk, f, count(DISTINCT p) AS shared FROM h GROUP BY doc_id, chunk, f QUALIFY row_number() OVER (PARTITION BY doc_id, chunk ORDER BY shared DESC, f) = 1),
-g AS (SELECT doc_id, chunk, page, count(*) AS n FROM h JOIN k USING (doc_id, chunk, f) GROUP BY doc_id, chunk, page QUALIFY row_number() OVER (PARTITION BY doc_id, chunk ORDER BY n DESC, page) = 1)
-SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(f AS INTEGER) AS first_place, CAST(f + 5 AS INTEGER) AS last_place, page, shared FROM k JOIN g USING (doc_id, chunk) WHERE shared >= 3
+    _BOXES + """, o AS (SELECT *, list_distinct(string_split(t, ' ')) AS w, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(t) - 1 AS start FROM b),
+u AS (SELECT doc_id, string_agg(t, ' ' ORDER BY place) AS whole FROM b GROUP BY doc_id),
+p AS (SELECT doc_id, chunk, t, list_distinct(string_split(t, ' ')) AS w, CASE WHEN t <> '' THEN strpos(whole, t) - 1 END AS at FROM c JOIN u USING (doc_id)),
+l AS (SELECT p.doc_id, p.chunk, o.place, o.page FROM p JOIN o ON o.doc_id = p.doc_id AND o.start < p.at + length(p.t) AND o.start + length(o.t) > p.at WHERE o.t <> '' AND len(list_intersect(o.w, p.w)) >= least(3, len(o.w))),
+m AS (SELECT doc_id, chunk, page FROM (SELECT doc_id, chunk, page, count(*) AS n FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id, chunk ORDER BY n DESC, page) = 1)
+SELECT p.doc_id, p.chunk, CASE WHEN p.at IS NOT NULL THEN 1.0 END AS ratio, coalesce((SELECT string_agg(place, ',' ORDER BY place) FROM l WHERE l.doc_id = p.doc_id AND l.chunk = p.chunk), '') AS places, m.page FROM p LEFT JOIN m ON m.doc_id = p.doc_id AND m.chunk = p.chunk
 """,
 )
 def chunk_boxes(spark, d):
-    """Lines of a document linked to its chunks: sliding windows of lines, partial ratio, then word overlap."""
-    from docsluice.operators.linking import link_boxes, line_boxes, line_chunks
+    """Lines of a document linked to its chunks. Chunks stand in their document as they are, which SQL can say too."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return L.link_boxes(L.line_chunks(docs), L.line_boxes(docs)).withColumn("places", F.array_join("places", ","))
 
+
+@query("r3_24_candidate_pages", _BOXES + """, cw AS (SELECT DISTINCT doc_id, chunk, unnest(string_split(t, ' ')) AS w FROM c), bw AS (SELECT DISTINCT doc_id, page, unnest(string_split(t, ' ')) AS w FROM b),
+n AS (SELECT doc_id, chunk, page, count(*) AS shared FROM cw JOIN bw USING (doc_id, w) WHERE w <> '' GROUP BY ALL)
+SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, chunk ORDER BY shared DESC, page) <= 3""")
+def candidate_pages(spark, d):
+    """The three pages of five lines that share most words with each chunk."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return link_boxes(line_chunks(docs), line_boxes(docs))
+    return L.candidate_pages(L.line_chunks(docs), L.line_boxes(docs))
 
 
-@query("r3_24_page_indexed_boxes", "SELECT d.doc_id, CAST(floor((i - 1) / 5) AS BIGINT) AS page, count(*) AS n_boxes FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) d GROUP BY 1, 2")
+@query("r3_24_page_indexed_boxes")
 def page_indexed_boxes(spark, d):
-    """Boxes of each page of five lines: the equi-join key that limits where a chunk is looked for."""
-    from docsluice.operators.linking import line_boxes
-
-    return line_boxes(table(spark, d, "documents").select("doc_id", "text")).groupBy("doc_id", "page").agg(F.count("*").alias("n_boxes"))
+    """Links of chunks whose every second word has a slip, looked for in their three best pages."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    slips = L.line_chunks(docs).withColumn("chunk_text", F.regexp_replace("chunk_text", r"(\S+ \S)\S", "$1~"))
+    return L.link_boxes(slips, L.line_boxes(docs), pages=3)
 
 
 @query("r3_25_word_index_candidates", "WITH w AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: len(x) >= 6))) AS w FROM benchmark), p AS (SELECT page_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(html), '[^\\p{L}\\p{N}]+'), lambda x: len(x) >= 6))) AS w FROM pages) SELECT item_id, page_id, count(*) AS shared FROM w JOIN p USING (w) GROUP BY 1, 2 HAVING count(*) >= 4")

@@ -208,33 +208,6 @@ def test_library_works_without_the_llm_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
 
 
-def test_boxes_are_linked_to_their_chunks(spark):
-    from docsluice.operators.linking import LEAST_WORDS, WINDOW, line_boxes, line_chunks, link_boxes
-
-    random.seed(5)
-    docs = [(i, "\n".join(" ".join(random.choice(["the", "of", *(f"w{k}" for k in range(60))]) for _ in range(8)) for _ in range(random.randrange(1, 25)))) for i in range(12)] + [(50, ""), (51, None)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.doc_id, r.chunk): (r.first_place, r.page, r.shared) for r in link_boxes(line_chunks(df), line_boxes(df)).collect()}
-    pair = lambda t: set(zip(t.split(), t.split()[1:]))
-    want = {}
-    for i, t in docs:
-        lines = (t or "").split("\n")
-        flat = (t or "").replace("\n", " ")
-        for c in range((max(len(flat), 1) + 399) // 400):
-            chunk, best = pair(flat[400 * c : 400 * c + 400]), None
-            hits = [pair(x) & chunk for x in lines]
-            for s in range(len(lines)):
-                shared = set().union(*hits[s : s + WINDOW])
-                if shared and (best is None or len(shared) > best[0]):
-                    best = (len(shared), s)
-            if best and best[0] >= LEAST_WORDS:
-                pages = {}
-                for k in range(best[1], min(len(lines), best[1] + WINDOW)):
-                    pages[k // 5] = pages.get(k // 5, 0) + len(hits[k])
-                want[i, c] = (best[1], min(pages, key=lambda p: (-pages[p], p)), best[0])
-    assert got == want
-
-
 def test_acts_and_mentions(spark):
     assert column(spark, ["The Sale of Goods Act, 1930, which", "Rules of X; more", "no name"], X.clean_act) == ["The Sale of Goods Act, 1930", "Rules", "no name"]
     known = {"sale_of_goods_act_1930": "A"}
