@@ -249,8 +249,9 @@ def markdown_table(rows: Column, width: int) -> Column:
 
 
 def severity(kind: Column, confidence: Column) -> Column:
-    """Below 0.6 low; dates and amounts from 0.8 high; else medium."""
-    return F.when(confidence < 0.6, "low").when(kind.isin("date_mismatch", "amount_mismatch") & (confidence >= 0.8), "high").otherwise("medium")
+    """Below 0.6 low; dates, amounts and facts from 0.8 high; else medium. A missing confidence counts as 0.7."""
+    sure = F.coalesce(confidence, F.lit(0.7))
+    return F.when(sure < 0.6, "low").when(kind.isin("date_mismatch", "amount_mismatch", "factual_contradiction") & (sure >= 0.8), "high").otherwise("medium")
 
 
 # ---- acts and mentions

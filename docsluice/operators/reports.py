@@ -56,16 +56,26 @@ def ocr_quality(c: Column) -> Column:
     return F.when(c >= 0.85, "good").when(c >= 0.70, "fair").otherwise("poor")
 
 
-def usage_trend(daily: DataFrame, key: str, day: str, amount: str, limit: float) -> DataFrame:
-    """Trend of daily usage: mean of the later half against the earlier one, with a tenth to either side as stable;
-    fewer than four days give no trend. days_left: whole days until `limit` at the mean rate, null beyond a year."""
+def usage_trend(daily: DataFrame, key: str, day: str, amount: str, limit: float, current: DataFrame, as_of: str) -> DataFrame:
+    """(key, n_days, trend, exhausted): trend of daily usage, and the day on which the daily limit would be used up.
+
+    trend: mean of the later half of the days against the earlier one, with a tenth to either side as stable; fewer than four
+    days are stable. exhausted: as_of plus what the day's own usage, `current` (key, used), leaves of the limit over the mean of a
+    day; as_of itself if it leaves nothing; null for a mean of nothing, beyond a year, or without a limit, which gives no trend either.
+    """
+    if not limit:
+        return daily.groupBy(key).agg(F.count("*").alias("n_days")).select(key, "n_days", F.lit("stable").alias("trend"), F.lit(None).cast("date").alias("exhausted"))
     w, all_days = Window.partitionBy(key).orderBy(day), Window.partitionBy(key)
     d = daily.select(key, F.row_number().over(w).alias("i"), F.count("*").over(all_days).alias("n"), F.col(amount).alias("x"))
     first = F.col("i") <= F.floor(F.col("n") / 2)
-    out = d.groupBy(key).agg(F.max("n").alias("n_days"), F.avg(F.when(first, F.col("x"))).alias("a"), F.avg(F.when(~first, F.col("x"))).alias("b"), F.sum("x").alias("total"))
+    out = d.groupBy(key).agg(F.max("n").alias("n_days"), F.avg(F.when(first, F.col("x"))).alias("a"), F.avg(F.when(~first, F.col("x"))).alias("b"), F.avg("x").alias("mean"))
     trend = F.when(F.col("n_days") < 4, "stable").when(F.col("b") > F.col("a") * 1.1, "increasing").when(F.col("b") < F.col("a") * 0.9, "decreasing").otherwise("stable")
-    left = F.floor((F.lit(limit) - F.col("total")) / (F.col("total") / F.col("n_days")))
-    return out.select(key, "n_days", trend.alias("trend"), F.when((F.col("total") > 0) & (left >= 0) & (left <= 365), left).alias("days_left"))
+    out = out.join(current, key, "left").withColumn("left", F.lit(limit) - F.coalesce("used", F.lit(0)))
+    days = F.col("left") / F.col("mean")
+    moment = F.to_timestamp(F.lit(as_of))
+    later = F.to_date(F.timestamp_micros(F.unix_micros(moment) + F.round(days * 86_400_000_000).cast("long")))
+    exhausted = F.when(F.col("mean") > 0, F.when(F.col("left") <= 0, F.to_date(moment)).when(days <= 365, later))
+    return out.select(key, "n_days", trend.alias("trend"), exhausted.alias("exhausted"))
 
 
 def eta_range(pages: Column, seconds_a_page: Column, workers: Column, samples: Column) -> list[Column]:

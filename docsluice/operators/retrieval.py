@@ -122,10 +122,16 @@ def rank_in_tenants(df: DataFrame, tenant: str, id_col: str, score: str, k: int
 
 
 def snippet(text: Column, q: str, width: int = 100) -> Column:
-    """`width` characters around the first place of the query, else of its first word of three letters or more that
-    occurs, with dots where text is cut; else the beginning."""
-    words = [q.lower(), *[w for w in query_terms(q) if len(w) >= 3]]
-    at = F.coalesce(*[F.nullif(F.locate(w, F.lower(text)), F.lit(0)) for w in words], F.lit(1))
-    start = F.greatest(F.lit(1), at - width // 2)
-    cut = F.substr(text, start, F.lit(width))
-    return F.concat(F.when(start > 1, "...").otherwise(""), cut, F.when(start + width - 1 < F.length(text), "...").otherwise(""))
+    """At most `width` characters around the first place of the query, else of its first word of three letters or more (words end at white
+    space) that occurs, moved back near the end of the text; three characters give way to dots where text is cut. The beginning, without dots, if nothing occurs; null
+    texts are empty."""
+    c = F.coalesce(text, F.lit(""))
+    asked = q.lower()
+    found = F.coalesce(*[F.nullif(F.locate(w, F.lower(c)), F.lit(0)) for w in [asked, *[w for w in asked.split() if len(w) >= 3]] if w])
+    n = F.length(c)
+    end = F.least(n, F.greatest(F.lit(0), found - 1 - width // 2) + width)
+    start = F.greatest(F.lit(0), F.least(F.greatest(F.lit(0), found - 1 - width // 2), end - width))
+    cut = F.substr(c, start + 1, end - start)
+    cut = F.when(start > 0, F.concat(F.lit("..."), F.substr(cut, F.lit(4)))).otherwise(cut)
+    cut = F.when(end < n, F.concat(F.substr(cut, F.lit(1), F.greatest(F.lit(0), F.length(cut) - 3)), F.lit("..."))).otherwise(cut)
+    return F.when(found.isNull(), F.substr(c, F.lit(1), F.lit(width))).otherwise(cut)

@@ -226,14 +226,18 @@ def usage_last_week(spark, d):
     return table(spark, d, "events").where("ts >= '2024-01-09' AND ts < '2024-01-16'").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), R.money("value").alias("cost"))
 
 
-@query("r4_33_projection_and_trend", """WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS x FROM events GROUP BY 1, 2),
+@query("r4_33_projection_and_trend", """WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS x FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-20' GROUP BY 1, 2), t AS (SELECT user_id, count(*) AS used FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-20' GROUP BY 1),
  d AS (SELECT user_id, x, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM g),
- a AS (SELECT user_id, max(n) AS n_days, avg(x) FILTER (i <= n // 2) AS a, avg(x) FILTER (i > n // 2) AS b, sum(x) AS total FROM d GROUP BY 1)
+ a AS (SELECT user_id, max(n) AS n_days, avg(x) FILTER (i <= n // 2) AS a, avg(x) FILTER (i > n // 2) AS b, avg(x) AS mean FROM d GROUP BY 1), l AS (SELECT a.*, 5 - coalesce(used, 0) AS rest FROM a LEFT JOIN t USING (user_id))
  SELECT user_id, n_days, CASE WHEN n_days < 4 THEN 'stable' WHEN b > a * 1.1 THEN 'increasing' WHEN b < a * 0.9 THEN 'decreasing' ELSE 'stable' END AS trend,
- CASE WHEN floor((1000.0 - total) / (total / n_days)) BETWEEN 0 AND 365 THEN CAST(floor((1000.0 - total) / (total / n_days)) AS BIGINT) END AS days_left FROM a""")
+ strftime(CASE WHEN rest <= 0 THEN DATE '2024-01-20' WHEN rest / mean <= 365 THEN CAST(TIMESTAMP '2024-01-20 12:00:00' + to_microseconds(CAST(round(rest / mean * 86400000000) AS BIGINT)) AS DATE) END, '%Y-%m-%d') AS exhausted FROM l""")
 def projection_and_trend(spark, d):
-    daily = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("x"))
-    return R.usage_trend(daily, "user_id", "day", "x", 1000.0)
+    """Days before the 20th are the history, that day's events the current usage; five a day is the limit, which some have used up."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    daily = e.where("day < DATE '2024-01-20'").groupBy("user_id", "day").agg(F.count("*").alias("x"))
+    today = e.where("day = DATE '2024-01-20'").groupBy("user_id").agg(F.count("*").alias("used"))
+    out = R.usage_trend(daily, "user_id", "day", "x", 5, today, "2024-01-20 12:00:00")
+    return out.withColumn("exhausted", F.date_format("exhausted", "yyyy-MM-dd"))
 
 
 @query("r4_34_threshold_breach", "SELECT l_suppkey, round(CAST(sum(CAST(l_quantity AS DECIMAL(9,2))) AS DOUBLE) / 20000 * 100, 4) AS percent, CAST(sum(CAST(l_quantity AS DECIMAL(9,2))) AS DOUBLE) / 20000 * 100 >= 80 AS breached FROM lineitem GROUP BY 1")

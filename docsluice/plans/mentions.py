@@ -24,29 +24,55 @@ def json_source(spark, d):
     return table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("n"))
 
 
-@query("r8_22_name_parts", "SELECT c_custkey, 'dr' AS title, CASE c_custkey % 2 WHEN 0 THEN 'n' ELSE 'anna' END AS first, 'customer' || c_custkey AS last, CASE c_custkey % 2 WHEN 0 THEN 3 ELSE 2 END AS n FROM customer")
+#: Names in six forms, made of the words of parts' names: titles, initials, run-together initials, middle names, suffixes, last names only.
+_NAMES = """SELECT p_partkey, p_brand, p_size, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'LARGE' THEN 3 WHEN 'MEDIUM' THEN 4 WHEN 'STANDARD' THEN 5 ELSE 6 END AS form FROM part"""
+_PARTS = f"""SELECT p_partkey, p_brand, p_size, form, CASE form WHEN 1 THEN 'Dr.' END AS title, CASE WHEN form IN (1, 3) THEN upper(a[1]) || '.' WHEN form = 4 THEN NULL ELSE a END AS first,
+    CASE form WHEN 1 THEN 'B.' WHEN 5 THEN 'B.' WHEN 6 THEN 'bold' END AS middle, b AS last, CASE form WHEN 5 THEN 'Jr.' END AS suffix,
+    CASE form WHEN 1 THEN 'Dr. ' || upper(a[1]) || '.B. ' || b WHEN 2 THEN a || ' ' || b WHEN 3 THEN upper(a[1]) || '. ' || b WHEN 4 THEN b WHEN 5 THEN a || ' B. ' || b || ' Jr.' ELSE a || ' bold ' || b END AS said FROM ({_NAMES})"""
+_SCORES = f"""WITH n AS ({_PARTS}), x AS (SELECT *, replace(coalesce(first, ''), '.', '') AS f, replace(coalesce(middle, ''), '.', '') AS m, concat_ws(' ', first, middle, last) AS plain, form IN (1, 3, 5) AS short, upper(coalesce(first[1], '') || coalesce(middle[1], '') || last[1]) AS letters FROM n),
+p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.said AS sa, b.said AS sb, jaro_winkler_similarity(a.last, b.last) AS last, a.short AS short_a, b.short AS short_b, a.letters = b.letters AS equal_letters, lower(a.plain) AS pa, lower(b.plain) AS pb,
+    CASE WHEN a.f <> '' AND b.f <> '' THEN CASE WHEN length(a.f) = 1 OR length(b.f) = 1 THEN CASE WHEN lower(a.f[1]) = lower(b.f[1]) THEN 0.8 ELSE 0.0 END ELSE jaro_winkler_similarity(a.f, b.f) END WHEN a.f <> '' OR b.f <> '' THEN 0.2 END AS first,
+    CASE WHEN a.m <> '' AND b.m <> '' THEN CASE WHEN length(a.m) = 1 OR length(b.m) = 1 THEN CASE WHEN lower(a.m[1]) = lower(b.m[1]) THEN 0.7 ELSE 0.0 END ELSE jaro_winkler_similarity(a.m, b.m) END END AS middle,
+    CASE WHEN a.f <> '' AND b.f <> '' THEN CASE WHEN lower(a.f[1]) = lower(b.f[1]) THEN 1 ELSE 0 END END AS first_agrees, CASE WHEN a.m <> '' AND b.m <> '' THEN CASE WHEN lower(a.m[1]) = lower(b.m[1]) THEN 1 ELSE 0 END END AS middle_agrees
+    FROM x a JOIN x b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),
+s AS (SELECT a, b, sa, sb, least(1, (1.5 * last + coalesce(first, 0) + coalesce(middle, 0)) / (1 + (first IS NOT NULL)::INT + (middle IS NOT NULL)::INT)) AS components,
+    CASE WHEN short_a = short_b THEN equal_letters::INT::DOUBLE ELSE (coalesce(first_agrees, 0) + coalesce(middle_agrees, 0) + (last > 0.9)::INT)::DOUBLE / (1 + (first_agrees IS NOT NULL)::INT + (middle_agrees IS NOT NULL)::INT) END AS initials, jaro_winkler_similarity(pa, pb) AS titleless FROM p)
+"""
+
+
+def names(spark, d):
+    """The names of _NAMES as they are written."""
+    a, b = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    initial, sp = F.concat(F.upper(F.left(a, F.lit(1))), F.lit(".")), F.lit(" ")
+    kind = F.col("p_type")
+    said = F.when(kind == "ECONOMY", F.concat(F.lit("Dr. "), initial, F.lit("B. "), b)).when(kind == "SMALL", F.concat(a, sp, b)).when(kind == "LARGE", F.concat(initial, sp, b)).when(kind == "MEDIUM", b)
+    said = said.when(kind == "STANDARD", F.concat(a, F.lit(" B. "), b, F.lit(" Jr."))).otherwise(F.concat(a, F.lit(" bold "), b))
+    return table(spark, d, "part").select("p_partkey", F.struct("p_brand", "p_size").alias("block"), said.alias("said"))
+
+
+def name_pairs(spark, d):
+    """Pairs of names of parts of one brand and size."""
+    from docsluice.operators.pairs import statement_pairs
+
+    return statement_pairs(names(spark, d), "block", "p_partkey").select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.col("a.said").alias("x"), F.col("b.said").alias("y"))
+
+
+@query("r8_21_name_similarity", _SCORES + "SELECT a, b, round(CASE WHEN lower(sa) = lower(sb) THEN 1 ELSE least(1, 0.4 * jaro_winkler_similarity(lower(sa), lower(sb)) + 0.3 * components + 0.2 * initials + 0.1 * titleless) END, 6) AS score FROM s")
+def name_similarity(spark, d):
+    """Weighted similarity of names, with titles, initials and missing parts."""
+    return name_pairs(spark, d).select("a", "b", F.round(E.name_score_column(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+@query("r8_22_name_parts", f"SELECT p_partkey, title, first, middle, last, suffix FROM ({_PARTS})")
 def name_parts(spark, d):
-    """Title, first and last name; run-together initials are split."""
-    said = F.concat(F.when(F.col("c_custkey") % 2 == 0, "Dr. N.D. Customer").otherwise("Dr Anna Customer"), F.col("c_custkey").cast("string"))
-    return table(spark, d, "customer").select("c_custkey", E.name_parts(said).alias("p")).select("c_custkey", "p.title", "p.first", "p.last", "p.n")
+    """Title, first, middle and last name and suffix; run-together initials are split."""
+    return names(spark, d).select("p_partkey", E.name_parts(F.col("said")).alias("p")).select("p_partkey", "p.*")
 
 
-@query(
-    "r8_23_component_scores",
-    r"""
-WITH s AS (SELECT s_nationkey, s_suppkey, lower(s_name) AS n FROM supplier)
-SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(least(1, (1.5 * jaro_winkler_similarity(a.n, b.n) + 1) / 2), 6) AS components,
-    CASE WHEN a.n[1] = b.n[1] THEN 1.0 ELSE 0.5 END::DOUBLE AS initials, round(jaro_winkler_similarity('a ' || a.n, 'a ' || b.n), 6) AS titleless
-FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
-""",
-)
+@query("r8_23_component_scores", _SCORES + "SELECT a, b, round(components, 6) AS components, round(initials, 6) AS initials, round(titleless, 6) AS titleless FROM s")
 def component_scores(spark, d):
-    """Component, initial and title-free scores of the names of one nation's suppliers; the SQL says what they come to for names of one word after an initial."""
-    from docsluice.operators.pairs import statement_pairs
-
-    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.concat(F.lit("Dr. A. "), F.col("s_name")).alias("name"))
-    p = statement_pairs(s, "s_nationkey", "s_suppkey")
-    return p.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), E.part_scores(F.col("a.name"), F.col("b.name")).alias("s")).select("a", "b", *[F.round(f"s.{c}", 6).alias(c) for c in ("components", "initials", "titleless")])
+    """Component, initial and title-free scores of names."""
+    return name_pairs(spark, d).select("a", "b", E.part_scores(F.col("x"), F.col("y")).alias("s")).select("a", "b", *[F.round(f"s.{c}", 6).alias(c) for c in ("components", "initials", "titleless")])
 
 
 @query(

@@ -143,10 +143,11 @@ def evidence_kinds(spark, d):
     return table(spark, d, "events").select("event_id", X.contradiction_of(F.try_element_at(evidence, F.col("event_type"))).alias("kind"))
 
 
-@query("r8_17_severity", "SELECT event_id, CASE WHEN least(value / 100, 1) < 0.6 THEN 'low' WHEN event_type IN ('click', 'view') AND least(value / 100, 1) >= 0.8 THEN 'high' ELSE 'medium' END AS severity FROM events")
+@query("r8_17_severity", "SELECT event_id, CASE WHEN least(value / 100, 1) < 0.6 THEN 'low' WHEN event_type IN ('click', 'view', 'error') AND least(value / 100, 1) >= 0.8 THEN 'high' ELSE 'medium' END AS severity FROM events")
 def severity(spark, d):
-    kind = F.when(F.col("event_type") == "click", "date_mismatch").when(F.col("event_type") == "view", "amount_mismatch").otherwise("semantic")
-    return table(spark, d, "events").select("event_id", X.severity(kind, F.least(F.col("value") / 100, F.lit(1.0))).alias("severity"))
+    """Four kinds of contradiction (of events), three of which can be high, and none."""
+    kind = F.create_map(*[F.lit(x) for x in ("click", "date_mismatch", "view", "amount_mismatch", "error", "factual_contradiction", "purchase", "semantic_contradiction")])
+    return table(spark, d, "events").select("event_id", X.severity(F.try_element_at(kind, F.col("event_type")), F.least(F.col("value") / 100, F.lit(1.0))).alias("severity"))
 
 
 @query("r8_18_excerpt", "SELECT doc_id, left(replace(text, chr(10), ' '), 200) AS excerpt FROM documents")
@@ -168,24 +169,6 @@ def first_dates(spark, d):
     return lines.select("o_custkey", F.size(found).cast("long").alias("n"))
 
 
-@query(
-    "r8_21_name_similarity",
-    r"""
-WITH s AS (SELECT s_nationkey, s_suppkey, lower(s_name) AS n FROM supplier),
-p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, jaro_winkler_similarity(a.n, b.n) AS j, a.n[1] = b.n[1] AS same FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)
-SELECT a, b, round(0.5 * j + 0.3 * least(1, 1.5 * j) + CASE WHEN same THEN 0.2 ELSE 0 END, 6) AS score FROM p
-""",
-)
-def name_similarity(spark, d):
-    """Weighted similarity of names of one nation; components and initials are tested on cases."""
-    from docsluice.operators.entities import name_score_column
-    from docsluice.operators.pairs import statement_pairs
-
-    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name")
-    p = statement_pairs(s, "s_nationkey", "s_suppkey")
-    return p.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.round(name_score_column(F.col("a.s_name"), F.col("b.s_name")), 6).alias("score"))
-
-
 @query("r8_26_numbered_roles", "SELECT a.c_custkey AS a, b.c_custkey AS b, a.c_custkey % 3 = b.c_custkey % 3 AS may_merge FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND b.c_custkey = a.c_custkey + 25 * (a.c_nationkey + 1)")
 def numbered_roles(spark, d):
     """The same role with another number is never the same person."""
@@ -236,9 +219,12 @@ def chunk_checksum(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.substring(X.sha(F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey")), 1, 16).alias("checksum"))
 
 
-@query("r8_35_snippet", "WITH s AS (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'license version'), 0), nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'version'), 0), 1) AS a FROM documents), t AS (SELECT *, greatest(1, a - 50) AS s FROM s) SELECT doc_id, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(text, s, 100) || CASE WHEN s + 99 < length(text) THEN '...' ELSE '' END AS snippet FROM t")
+@query("r8_35_snippet", """WITH s AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, coalesce(nullif(instr(lower(text), 'the license version'), 0), nullif(instr(lower(text), 'the'), 0), nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'version'), 0)) - 1 AS a FROM documents),
+e AS (SELECT *, greatest(0, a - 50) AS b, least(n, greatest(0, a - 50) + 100) AS z FROM s), r AS (SELECT *, CASE WHEN z - b < 100 THEN greatest(0, z - 100) ELSE b END AS f FROM e),
+c AS (SELECT *, substr(t, f + 1, z - f) AS x FROM r), h AS (SELECT *, CASE WHEN f > 0 THEN '...' || substr(x, 4) ELSE x END AS y FROM c)
+SELECT doc_id, CASE WHEN a IS NULL THEN left(t, 100) WHEN z < n THEN left(y, greatest(0, length(y) - 3)) || '...' ELSE y END AS snippet FROM h""")
 def snippets(spark, d):
-    return table(spark, d, "documents").select("doc_id", snippet(F.col("text"), "license version").alias("snippet"))
+    return table(spark, d, "documents").select("doc_id", snippet(F.col("text"), "the license version").alias("snippet"))
 
 
 @query(

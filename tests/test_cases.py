@@ -100,15 +100,49 @@ def test_policing_and_injection(spark):
 def test_eta_and_trend(spark):
     r = spark.createDataFrame([(100.0, 3.0, 1, 10)], "p double, s double, w int, n int").select(*R.eta_range(F.col("p"), F.col("s"), F.col("w"), F.col("n"))).first()
     assert (r.best, r.least, r.most) == (300, 230, 390)
-    d = spark.createDataFrame([("p", i, x) for i, x in enumerate([100, 100, 120, 120])], "k string, d int, x int")
-    assert R.usage_trend(d, "k", "d", "x", 1e9).first().trend == "increasing"
+    import datetime as dt
+
+    def trend(limit, used, history=(100, 100, 120, 120)):
+        d = spark.createDataFrame([("p", i, x) for i, x in enumerate(history)], "k string, d int, x int")
+        r = R.usage_trend(d, "k", "d", "x", limit, spark.createDataFrame([("p", used)], "k string, used int"), "2024-03-01 18:00:00").first()
+        return r.trend, r.exhausted
+
+    assert trend(1e9, 0) == ("increasing", None) and trend(0, 5) == ("stable", None)  # beyond a year; no limit
+    assert trend(500, 60) == ("increasing", dt.date(2024, 3, 5)) and trend(500, 500) == trend(500, 900) == ("increasing", dt.date(2024, 3, 1))
+    assert trend(500, 0, (0, 0, 0))[1] is None and trend(50, 0, (120, 120, 100, 100)) == ("decreasing", dt.date(2024, 3, 2))
 
 
 def test_roles_and_names(spark):
     rows = spark.createDataFrame([("Respondent No. 2", "Respondent No.3"), ("Respondent No. 2", "respondent 2"), ("Anna", "Hanna")], "a string, b string")
     assert [r[0] for r in rows.select(E.may_merge(F.col("a"), F.col("b"))).collect()] == [False, True, True]
     assert E.name_score("Dr. N.D. Sharma", "N. D. Sharma") > 0.85 > E.name_score("Asha Rao", "Peter Klein")
-    assert E.component_score([], ["a"]) == 0 and E.component_score(["a", "rao"], ["asha", "rao"]) <= 1
+    p = E.parse_name
+    assert p("Dr. N.D. Shah Jr.") == ("Dr.", "N.", "D.", "Shah", "Jr.") and p("Shri") == ("Shri", "", "", "", "") and p("A. B. C. Rao").middle == "B. C." and p(None) == p("") == p("  ")
+    score = lambda a, b: round(E.component_score(p(a), p(b)), 6)
+    assert score("A. B. Shah", "A. C. Shah") == round(2.3 / 3, 6) and score("A. B. Shah", "A. B. Shah") == 1 and score("Shah", "Anna Shah") == 0.85
+    assert score("N. Shah", "Nirav Shah") == 1 and score("", "Shah") == 0 and score("N. Shah", "M. Shah") == 0.75
+    first = lambda a, b: round(E.initial_score(p(a), p(b)), 6)
+    assert first("N.D. Shah", "Nirav Dinesh Shah") == 1 and first("N.D. Shah", "Nirav Kumar Shah") == round(2 / 3, 6) and first("Anna Shah", "Arun Shah") == 1 and first("Anna Shah", "Bela Shah") == 0
+
+
+def test_severity_of_every_kind(spark):
+    from docsluice.functions.text import severity
+
+    rows = [(k, c) for k in ("date_mismatch", "amount_mismatch", "factual_contradiction", "semantic_contradiction", None) for c in (0.59, 0.6, 0.8, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "k string, c double").select(severity(F.col("k"), F.col("c"))).collect()]
+    assert got == ["low", "medium", "high", "medium"] * 3 + ["low", "medium", "medium", "medium"] * 2
+
+
+def test_snippets(spark):
+    from docsluice.operators.retrieval import snippet
+
+    long = "a" * 200 + " Needle " + "b" * 200
+    rows = [(long,), ("x" * 150 + "needle",), ("needle" + "y" * 150,), ("short needle",), ("z" * 300,), (None,), ("",), ("q" * 120 + " a pin " + "r" * 40,)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(snippet(F.col("t"), "needle a pin")).collect()]
+    assert got[0] == "..." + "a" * 46 + " Needle " + "b" * 40 + "..." and all(len(g) <= 100 for g in got)
+    assert got[1] == "..." + "x" * 91 + "needle" and got[2] == "needle" + "y" * 91 + "..." and got[3:7] == ["short needle", "z" * 100, "", ""]
+    assert got[7] == "..." + "q" * 50 + " a pin " + "r" * 40
 
 
 def test_similarity_against_plain_forms():
