@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +28,13 @@ from .components import components
 from .simhash import SEED, print_links, shingle_hashes, vote
 
 SHINGLE = 5
-#: Texts of the sample for the order, and the most frequent shingles that it may name.
-SAMPLE, MOST_FREQUENT = 4_000, 100_000
+#: Texts of the sample for the order, which has one text of RATE at least however many there are, and the most frequent shingles that it may name.
+SAMPLE, RATE, MOST_FREQUENT = 4_000, 1_000, 100_000
 #: Where sets meet at a shingle each is first compared with one of them: once, and again, up to ROUNDS times, while a set still meets
-#: more than CROWD others on average. Then all that are left are compared.
+#: more than CROWD others on average and a turn leaves at most half of the places. Then all that are left are compared.
 CROWD, ROUNDS = 64, 4
+#: Of crowds then left, sets of up to SMALL hashes are compared inside tasks, TILE against TILE sets; larger ones are as many words of text each.
+SMALL, TILE = 2_048, 1_024
 #: Hashes a part of the hashes' range, of which a set has a power of two: LEAST_PARTS to MOST_PARTS. The sum of the smaller
 #: counts in all parts bounds what two sets share.
 PART, LEAST_PARTS, MOST_PARTS = 2, 32, 1 << 14
@@ -76,8 +79,9 @@ def sets(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def frequent(df: DataFrame, text_col: str) -> np.ndarray:
-    """Shingles of several texts of the sample, rarer ones first. The sample goes by the texts, so it is the same on every run."""
-    every = max(1, df.count() // SAMPLE)
+    """Shingles of several texts of the sample, rarer ones first. The sample goes by the texts, so it is the same on every run; what stands in several
+    thousand texts is seen in it, whatever the size of the table."""
+    every = min(RATE, max(1, df.count() // SAMPLE))
     some = df.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
     listed = sets(some, "text").dropDuplicates(["s"]).select(F.explode("hashes").alias("h"))
     top = listed.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).collect()
@@ -135,15 +139,85 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
 
 
+def labels(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(s, root): smaller labels for linked sets, two steps along the links from those that they have; not yet the components, but never
+    the same for sets that are not connected."""
+    known = links.sparkSession.createDataFrame([], "s long, root long") if roots is None else roots
+    one, two = known.toDF("a", "ra"), known.toDF("b", "rb")
+    e = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v")).where("u <> v")
+    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = e.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("m"))
+    far = e.join(near.toDF("v", "mv"), "v").groupBy("u").agg(F.min("mv").alias("m")).unionByName(near).groupBy("u").agg(F.min("m").alias("m"))
+    named = links.select(F.col("a").alias("s")).unionByName(links.select(F.col("b").alias("s"))).unionByName(known.select("s")).distinct().join(known, "s", "left")
+    return save(named.withColumn("u", F.coalesce("root", "s")).join(far, "u", "left").select("s", F.coalesce("m", "u").alias("root")), "labels")
+
+
 def with_one(live: DataFrame) -> DataFrame:
     """Candidates (a, b): each set with the one that its shingle names. Rows grow with the places, not with their pairs."""
     return _ordered(live.where(f"x.c <> y.c AND {BOUND}"))
 
 
-def with_all(live: DataFrame) -> DataFrame:
+def with_all(live: DataFrame, where: str = "true") -> DataFrame:
     """Candidates (a, b): all sets of different components that meet at a shingle within the bound."""
-    x, y = live.select("h", "x"), live.select("h", F.col("x").alias("y")).where("9 * y.at <= y.n")
-    return _ordered(x.join(y, "h").where(f"x.c <> y.c AND {BOUND}"))
+    x, y = live.select("h", "x", "k"), live.select("h", F.col("x").alias("y")).where("9 * y.at <= y.n")
+    return _ordered(x.join(y, "h").where(f"x.c <> y.c AND {BOUND}").where(where))
+
+
+def _bits(hashes: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(hashes), width), np.float32)
+    for i, h in enumerate(hashes):
+        out[i, (h.view(np.uint64) % np.uint64(width)).astype(np.int64)] = 1
+    return out
+
+
+def linked(s: np.ndarray, n: np.ndarray, c: np.ndarray, block: np.ndarray, hashes: list[np.ndarray], i: int, j: int) -> list[tuple[int, int]]:
+    """Similar pairs of block i with block j, so many as connect what is similar: sets of one component, or connected already, are not compared.
+
+    Products of bit rows, with what collides inside a set added, bound what two sets share; only pairs that the bound leaves are intersected.
+    """
+    own = {v: v for v in c.tolist()}
+
+    def root(v: int) -> int:
+        while own[v] != v:
+            own[v] = own[own[v]]
+            v = own[v]
+        return v
+
+    bits = _bits(hashes, 1 << int(np.clip(16 * int(n.max()), 1_024, 8_192)).bit_length() - 1)
+    lost = n - bits.sum(axis=1)
+    one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    most = bits[one] @ bits[two].T + np.minimum(lost[one][:, None], lost[two][None, :])
+    may = (9 * most >= 4 * (n[one][:, None] + n[two][None, :])) & (c[one][:, None] != c[two][None, :])
+    if i == j:
+        may &= np.arange(len(one))[:, None] < np.arange(len(two))[None, :]
+    out = []
+    for x, y in zip(*(v[k] for v, k in zip((one, two), np.nonzero(may), strict=True)), strict=True):
+        a, b = root(int(c[x])), root(int(c[y]))
+        if a != b and 9 * len(np.intersect1d(hashes[x], hashes[y], assume_unique=True)) >= 4 * (n[x] + n[y]):
+            own[max(a, b)] = min(a, b)
+            out.append((int(s[x]), int(s[y])))
+    return out
+
+
+def in_tiles(live: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between the small sets of crowds, k sets that meet at one shingle. A crowd's sets are dealt to blocks, and each pair of blocks is one
+    task's work with the sets whole, so no pair becomes a row unless it is a link."""
+    crowd = live.where((F.col("k") > CROWD) & (F.col("x.n") <= SMALL) & F.expr("5 * (x.n - x.at) >= 4 * x.n")).select("h", "x.s", "x.n", "x.c", F.ceil(F.col("k") / TILE).cast("int").alias("blocks"))
+    whole = _whole(crowd.select("s").distinct(), df, rows, id_col, text_col)
+    mine = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    placed = crowd.withColumn("block", mine).withColumn("cell", F.explode(cells)).select("h", "cell.i", "cell.j", "block", "s", "n", "c")
+
+    def tile(key, t):
+        h = t["hashes"].combine_chunks()
+        flat, ends = h.flatten().to_numpy(), h.offsets.to_numpy() - h.offsets[0].as_py()
+        sets_ = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        pairs = linked(*(t[x].to_numpy() for x in ("s", "n", "c", "block")), sets_, key[1].as_py(), key[2].as_py())
+        return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
+
+    out = save(placed.join(whole.select("s", "hashes"), "s").groupBy("h", "i", "j").applyInArrow(tile, "a long, b long").distinct(), "tiles")
+    discard(whole)
+    return out
 
 
 def _counts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -166,6 +240,17 @@ def possible(pairs: DataFrame, counted: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(near).where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _whole(named: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(s, n, hashes) of the named sets, made of one text of each, saved."""
+    first = rows.join(named, "s", "left_semi").groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "x", "y")).alias("k"))
+    keys = save(first.select(F.col("k.id").alias("key_id"), F.col("k.x").alias("key_x"), F.col("k.y").alias("key_y")), "candidates")
+    texts = df.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(keys) if few(3 * keys.count()) else keys, same_key("key_"), "left_semi")
+    whole = save(sets(texts, "text").groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole")
+    discard(keys)
+    return whole
+
+
 def checked(pairs: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose whole sets have the similarity. Only the sets of texts in a possible pair are made and moved."""
     proposed = save(pairs, "pairs")
@@ -173,14 +258,10 @@ def checked(pairs: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_
     pairs = save(possible(proposed, counted), "possible")
     discard(proposed, counted)
     named = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    first = rows.join(named, "s", "left_semi").groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "x", "y")).alias("k"))
-    keys = save(first.select(F.col("k.id").alias("key_id"), F.col("k.x").alias("key_x"), F.col("k.y").alias("key_y")), "candidates")
-    texts = df.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(keys) if few(3 * keys.count()) else keys, same_key("key_"), "left_semi")
-    whole = save(sets(texts, "text").groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole")
+    whole = _whole(named, df, rows, id_col, text_col)
     one, two = whole.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha")), whole.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     out = save(pairs.join(one, "a").join(two, "b").where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "similar")
-    discard(pairs, keys, whole)
+    discard(pairs, whole)
     return out
 
 
@@ -207,22 +288,26 @@ def groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
     sets.
     """
     rows = lookups(df, id_col, text_col)
-    places, roots, links = shared(rows), None, None
+    places, roots, links, left = shared(rows), None, None, 0
     for turn in range(ROUNDS + 1):
         before, live = places, _live(places, roots, turn)
         discard(before)
-        n, crowd = live.agg(F.count("*"), F.avg("k")).first()
+        n, crowd, largest = live.agg(F.count("*"), F.avg("k"), F.max("k")).first()
         if turn and not n:
             break
-        final = turn and (turn == ROUNDS or crowd <= CROWD)
-        pairs = with_all(live) if final else with_one(live)
+        final = turn and (turn == ROUNDS or crowd <= CROWD or 2 * n > left)
+        left = n
+        # of a crowd no pair becomes a row: its small sets are compared in tiles
+        pairs = with_all(live.where(f"k <= {CROWD} OR 5 * x.n >= 4 * {SMALL}"), f"k <= {CROWD} OR greatest(x.n, y.n) > {SMALL}") if final else with_one(live)
         found = checked(pairs if turn else proposals(rows).unionByName(pairs).distinct(), df, rows, id_col, text_col)
+        if final and largest > CROWD:
+            found = found.unionByName(in_tiles(live, df, rows, id_col, text_col))
         links = found if links is None else links.unionByName(found)
-        if not turn or not found.isEmpty():
-            roots = save(components(links).select(F.col("node").alias("s"), "root"), "roots")
         if final:
             break
+        roots = labels(found, roots)
         places = live
+    roots = components(links).select(F.col("node").alias("s"), "root")
     small = save(rows.select("id", "x", "y", F.col("s").alias("g")), "rows")
     discard(live, rows)
     return small, roots.select(F.col("s").alias("g"), "root")

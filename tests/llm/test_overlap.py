@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,66 @@ def test_pairs_of_edited_copies_are_those_of_brute_force(spark, order, monkeypat
     assert got == brute_pairs(texts) and len(got) > 50
 
 
+@pytest.mark.parametrize(("crowd", "rounds", "order", "small"), [(0, 4, "hash", 2048), (0, 1, "sample", 2048), (5, 1, "hash", 60), (10**9, 4, "hash", 2048)])
+def test_stage_keeps_the_same_rows_however_many_turns_it_takes(spark, crowd, rounds, order, small, monkeypatch):
+    """A group of near copies in a chain of edits, texts of a passage and little else, and others."""
+    monkeypatch.setattr(O, "CROWD", crowd)
+    monkeypatch.setattr(O, "ROUNDS", rounds)
+    monkeypatch.setattr(O, "SMALL", small)
+    monkeypatch.setattr(O, "TILE", 7)
+    if order == "hash":
+        monkeypatch.setattr(O, "MOST_FREQUENT", 0)
+    rng = random.Random(rounds)
+    texts, words = edited(seed=5, groups=8), [f"c{k}" for k in range(120)]
+    for k in range(60):
+        words[rng.randrange(len(words))] = f"e{k}"
+        texts[2000 + k] = " ".join(words)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts |= {3000 + k: passage + " " + " ".join(f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 30))) for k in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    small, roots = O.groups(df, "doc_id", "text")
+    root = {r.g: r.root for r in roots.collect()}
+    ids = {}
+    for r in small.collect():
+        ids.setdefault(root.get(r.g, r.g), set()).add(r.id)
+    least = {i: i for i in texts}
+    pairs = brute_pairs(texts)
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    want = {}
+    for i, v in least.items():
+        want.setdefault(v, set()).add(i)
+    assert sorted(map(sorted, ids.values())) == sorted(map(sorted, want.values()))
+
+
+def test_tiles_link_what_is_similar():
+    """Every block against every block gives pairs that are similar, enough of them to connect all that are, none inside a component."""
+    rng = np.random.default_rng(4)
+    base, sets_ = np.arange(300), []
+    for k in range(90):
+        own = base[rng.random(300) > rng.choice([0.02, 0.1, 0.2])]
+        sets_.append(np.unique(np.concatenate([own * 7919 * (1 << 40), rng.integers(-(2**62), 2**62, rng.integers(0, 40))])))
+    n, s = np.array([len(x) for x in sets_]), np.arange(90) + 1000
+    alike = {(i, j) for i in range(90) for j in range(i + 1, 90) if 9 * len(np.intersect1d(sets_[i], sets_[j])) >= 4 * (n[i] + n[j])}
+    block, c = s % 3, s.copy()
+    c[10:14] = 1010
+    got = {tuple(sorted((a - 1000, b - 1000))) for i in range(3) for j in range(i, 3) for a, b in O.linked(s, n, c, block, sets_, i, j)}
+    assert got <= alike and len(alike) > 100 and not any(10 <= a < 14 and 10 <= b < 14 for a, b in got)
+
+    def groups(pairs):
+        own = {i: {i} for i in range(90)}
+        for a, b in pairs:
+            if own[a] is not own[b]:
+                own[a] |= own[b]
+                for x in own[b]:
+                    own[x] = own[a]
+        return {frozenset(x) for x in own.values()}
+
+    known = {(10, 11), (11, 12), (12, 13)}
+    assert groups(got | known) == groups(alike | known)
+
+
 def test_stage_drops_edited_copies(spark, tmp_path):
     texts = edited(seed=8)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("lang", F.lit("en"))
