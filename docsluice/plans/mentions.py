@@ -9,6 +9,7 @@ from docsluice.functions import text as X
 from docsluice.operators import entities as E
 from docsluice.operators import linking as L
 from docsluice.operators import timeline as T
+from docsluice.operators.fuzzy import named_in, similar_names
 from docsluice.operators.retrieval import tokens
 from docsluice.sources import tables
 from docsluice.sources.tables import own_folder, table
@@ -88,11 +89,40 @@ def name_consistency(spark, d):
     return table(spark, d, "part").select("p_partkey", E.same_name(F.col("p_name"), F.lit("Red Ring")).alias("same"))
 
 
-@query("r8_30_fuzzy_many", "SELECT p_partkey, 100.0::DOUBLE AS score, true AS is_exact FROM part WHERE contains('the red ring and a blue bolt', lower(p_name))")
+def _measured(question: str) -> str:
+    """SQL of the scores of all parts' names against a question. The longest common subsequence of every pair of strings that a ratio needs is
+    worked out row by row of its table: recursive over the characters of one string, a running maximum over the other."""
+    words = sorted(set(question.split()))
+    return f"""WITH RECURSIVE n AS (SELECT DISTINCT lower(p_name) AS n FROM part), q AS (SELECT '{question}' AS q, {words!r} AS qw),
+w AS (SELECT n, q, list_sort(list_distinct(string_split(n, ' '))) AS nw, qw FROM n, q),
+k AS (SELECT n, q, array_to_string(list_filter(nw, lambda x: list_contains(qw, x)), ' ') AS common, array_to_string(list_filter(nw, lambda x: NOT list_contains(qw, x)), ' ') AS own, array_to_string(list_filter(qw, lambda x: NOT list_contains(nw, x)), ' ') AS other FROM w),
+s AS (SELECT *, trim(common || ' ' || own) AS l, trim(common || ' ' || other) AS r, CASE WHEN length(n) <= length(q) THEN n ELSE q END AS short, CASE WHEN length(n) <= length(q) THEN q ELSE n END AS long FROM k),
+pairs AS (SELECT n, l AS a, r AS b FROM s UNION SELECT n, common, l FROM s WHERE common <> '' UNION SELECT n, common, r FROM s WHERE common <> ''
+    UNION SELECT n, short, substr(long, greatest(i, 0) + 1, length(short) + least(i, 0)) FROM (SELECT *, unnest(range(1 - length(short), length(long))) AS i FROM s)),
+t AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: CAST(0 AS BIGINT)) AS row FROM (SELECT DISTINCT a, b FROM pairs)
+    UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(step[1:j])) FROM (SELECT a, b, i, list_transform(range(1, length(b) + 2), lambda j: CASE WHEN j > 1 AND b[j - 1] = a[i + 1] THEN row[j - 1] + 1 ELSE row[j] END) AS step FROM t WHERE i < length(a))),
+m AS (SELECT a, b, 2.0 * row[length(b) + 1] / (length(a) + length(b)) AS ratio FROM t WHERE i = length(a) AND length(a) + length(b) > 0),
+score AS (SELECT s.n, CASE WHEN contains(q, s.n) OR (common <> '' AND (own = '' OR other = '')) THEN 1.0 ELSE best END * 100 AS score, contains(q, s.n) AS is_exact FROM s JOIN (SELECT n, max(ratio) AS best FROM pairs JOIN m USING (a, b) GROUP BY n) USING (n))
+SELECT p_partkey, round(score, 4) AS score, is_exact FROM part JOIN score ON n = lower(p_name) WHERE score >= 85"""
+
+
+@query("r8_29_fuzzy_match", _measured("red ringg"))
+def fuzzy_match(spark, d):
+    """All parts whose names are like a name with a slip, by the better of two ratios."""
+    return named_in(table(spark, d, "part"), "red ringg", "p_partkey", "p_name").withColumn("score", F.round("score", 4))
+
+
+@query("r8_30_fuzzy_many", _measured("the red ring, a blu bolt and old gizmos"))
 def fuzzy_many(spark, d):
-    """All parts that a question names, exactly or nearly, best first. The SQL has the exact ones; near ones are in r8_29 and in the cases."""
-    found = E.named_in(table(spark, d, "part"), "the red ring and a blue bolt", "p_partkey", "p_name")
-    return found.where("is_exact").select("p_partkey", "score", "is_exact")
+    """All parts that a question names, exactly or nearly."""
+    return named_in(table(spark, d, "part"), "the red ring, a blu bolt and old gizmos", "p_partkey", "p_name").withColumn("score", F.round("score", 4))
+
+
+@query("r8_29_similar_names")
+def alike(spark, d):
+    """All pairs of written names with an indel ratio of 0.85 or more, whatever their blocks."""
+    n = names(spark, d)
+    return similar_names(n, n, "said", "said", 0.85)
 
 
 @query("r8_37_act_name", "SELECT p_partkey, 'The ' || p_name || ' Act' AS act FROM part")

@@ -187,18 +187,6 @@ def learned_adjustment(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.round(F.greatest(F.lit(-0.3), F.least(F.lit(0.3), 0.1 * net)), 2).alias("adjustment"))
 
 
-@query("r8_29_fuzzy_match")
-def fuzzy_match(spark, d):
-    """Contained names score 100 without the measure; the others by the better of two ratios."""
-    from docsluice.functions.columns import partial_ratio_column, token_set_ratio_column
-
-    p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    q = F.lit("red ring")
-    sure = p.where(F.contains("name", q)).withColumn("score", F.lit(100.0))
-    rest = p.where(~F.contains("name", q)).withColumn("score", F.greatest(token_set_ratio_column(F.col("name"), q), partial_ratio_column(F.col("name"), q)) * 100)
-    return sure.unionByName(rest.where("score >= 85")).select("p_partkey", F.round("score", 4).alias("score"))
-
-
 @query("r8_31_alias_normaliser", "SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM customer")
 def alias_normaliser(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.normalise(F.col("c_name")).alias("name"))

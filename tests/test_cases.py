@@ -321,7 +321,9 @@ def test_names_boxes_and_quotes(spark):
     names = ["Nirav D. Jobalia", "nirav jobalia", "Nirav Mehta", None]
     assert column(spark, names, lambda c: E.same_name(c, F.lit("Jobalia Nirav"))) == [True, True, False, None]
     df = spark.createDataFrame([(1, "Nirav D. Jobalia"), (2, "Mehta"), (3, "Nirav Joballa"), (4, "Someone Else"), (5, None)], "id int, name string")
-    got = [(r.id, r.is_exact) for r in E.named_in(df, "what did Nirav Jobalia and Mehta say", "id", "name").collect()]
+    from docsluice.operators.fuzzy import named_in
+
+    got = [(r.id, r.is_exact) for r in named_in(df, "what did Nirav Jobalia and Mehta say", "id", "name").collect()]
     assert got[0] == (2, True) and {i for i, _ in got} >= {1, 2, 3} and 4 not in {i for i, _ in got}
     boxes = spark.createDataFrame([(1, 0, 7, "Some text"), (1, 1, 8, "Section 205(C) of the Act"), (2, 0, 3, "the section 205(c)"), (3, 0, 4, "many words in one line here"), (4, 0, -1, "Section 205(C) of the Act")], "doc int, i int, page int, t string")
     pages = {r.doc: r.page for r in L.phrase_page(boxes, ["doc"], "t", "page", ["i"], "section 205(c) of the act", [r"section \d+\(\w\)"]).collect()}
