@@ -277,7 +277,7 @@ def mentions(c: Column) -> Column:
     def of(pattern: str, group: int, kind: str, sure: float, longer: int = 0, needs: str | None = None) -> Column:
         found = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
         found = F.when(c.rlike(needs), found).otherwise(F.array().cast("array<string>")) if needs else found  # a cheap test that loses nothing
-        said = F.transform(found, lambda m: F.struct(F.trim(m).alias("mention"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence")))
+        said = F.transform(found, lambda m: F.struct(F.regexp_replace(m, r"^\s+|\s+$", "").alias("mention"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence")))
         return F.filter(said, lambda m: F.length(m["mention"]) > longer)
 
     # the titles' case does not matter, that of the names does

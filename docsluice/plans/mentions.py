@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsluice.catalog import query
+from docsluice.functions import fixed as V
 from docsluice.functions import text as X
 from docsluice.operators import entities as E
 from docsluice.operators import linking as L
@@ -154,22 +155,24 @@ def box_search(spark, d):
     return found.select("doc_id", F.col("i").alias("box"), "tier")
 
 
-@query(
-    "r8_49_mentions",
-    r"""
-SELECT 'made' AS source, s_suppkey AS id, unnest(['Shri Ravi Supplier', 'Ring Makers Ltd', 'High Court of Delhi', 'Anna Bolt']) AS mention, unnest([0.9, 0.85, 0.85, 0.6])::DOUBLE AS confidence FROM supplier
-UNION ALL SELECT DISTINCT 'document', doc_id, m, 0.6 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b', 1)) AS m, text FROM (SELECT doc_id, regexp_replace(text, '[À-ɏ]', '_', 'g') AS text FROM documents) -- letters past ASCII are word characters
-    WHERE NOT regexp_matches(text, '(?i)\b(shri|smt|kumari|dr|adv|advocate|hon|justice|mr|mrs|ms)\b|court|tribunal|authority|commission|board|council') AND NOT regexp_matches(text, '\b(Ltd|Limited|Pvt|Private|Corp|Corporation|Inc|Bank|Company|Association|Trust|Foundation|Board)\b')) WHERE length(m) > 5
-""",
-)
+def _mentions() -> str:
+    """SQL of every family over whole documents; of a name in several families or cases of its letters the first is listed."""
+    titles = "(?i:" + "|".join(V.TITLES) + ")"
+    families = [(rf"({titles}\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,3}})", "person", 0.9, 0)] + [(rf"([A-Z][A-Za-z\s&]+\s*{x})", "org", 0.85, 3) for x in V.ORG_INDICATORS]
+    families += [("((?i:" + "|".join(V.INSTITUTIONS) + r")[^,\.]*)", "institution", 0.85, 5), (r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b", "person", 0.6, 5)]
+    quoted = [(p.replace("'", "''"), k, c, n) for p, k, c, n in families]
+    # letters past ASCII are word characters, which RE2 does not know
+    each = [f"SELECT doc_id, {f} AS family, generate_subscripts(m, 1) AS place, unnest(m) AS raw, '{k}' AS kind, {c} AS confidence, {n} AS longer FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 1) AS m FROM d)" for f, (p, k, c, n) in enumerate(quoted)]
+    common = ", ".join(f"'{x}'" for x in V.COMMON_PHRASES)
+    return f"""WITH d AS (SELECT doc_id, regexp_replace(text, '[À-ɏ]', '_', 'g') AS t FROM documents), e AS ({" UNION ALL ".join(each)}), x AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS mention FROM e)
+SELECT doc_id, mention, kind, CAST(confidence AS DOUBLE) AS confidence FROM x WHERE length(mention) > longer AND NOT (family = {len(families) - 1} AND lower(mention) IN ({common})) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(mention) ORDER BY family, place) = 1"""
+
+
+@query("r8_49_mentions", _mentions())
 def mentions(spark, d):
-    """All four families in one sentence, and proper nouns in the whole documents that have nothing of the other families."""
-    said = F.lit("paid by Shri Ravi Supplier, to Ring Makers Ltd. before the High Court of Delhi, seen by Anna Bolt")
-    made = table(spark, d, "supplier").select(F.lit("made").alias("source"), F.col("s_suppkey").alias("id"), F.explode(X.mentions(said)).alias("m"))
-    other = F.col("text").rlike(r"(?i)\b(shri|smt|kumari|dr|adv|advocate|hon|justice|mr|mrs|ms)\b|court|tribunal|authority|commission|board|council") | F.col("text").rlike(r"\b(Ltd|Limited|Pvt|Private|Corp|Corporation|Inc|Bank|Company|Association|Trust|Foundation|Board)\b")
-    read = table(spark, d, "documents").where(~other).select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.explode(X.mentions(F.col("text"))).alias("m"))
-    # of one name in several cases of its letters the first is listed; the SQL lists each
-    return made.unionByName(read).select("source", "id", "m.mention", "m.confidence")
+    """All families of mentions in whole documents."""
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[À-ɏ]", "_").alias("text"))
+    return docs.select("doc_id", F.explode(X.mentions(F.col("text"))).alias("m")).select("doc_id", "m.*")
 
 
 _INJECTED = "(?im)" + "|".join(f"(?:{p})" for p in X.V.INJECTION)
