@@ -9,8 +9,8 @@ from docsluice.llm.base import read, save
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject. It learns from the labels of these documents; the quantile
-    is the share that the scores expect to be bad, and nothing that is predicted to be good goes."""
+    """Documents that the quality classifier does not reject. It learns from the labels of these documents; what goes is
+    below the quantile that cuts off the share that the scores expect to be bad."""
     return quality.keep_by_quantile(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 

@@ -199,14 +199,23 @@ def linked(s: np.ndarray, n: np.ndarray, c: np.ndarray, block: np.ndarray, hashe
     return out
 
 
+def _hashes(text: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles(t) for t in texts], dtype=object)
+
+    return run(text)
+
+
 def in_tiles(live: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between the small sets of crowds, k sets that meet at one shingle. A crowd's sets are dealt to blocks, and each pair of blocks is one
-    task's work with the sets whole, so no pair becomes a row unless it is a link."""
+    task's work with the sets whole, so no pair becomes a row unless it is a link. A set is made where its text is and moves once for each of its places."""
     crowd = live.where((F.col("k") > CROWD) & (F.col("x.n") <= SMALL) & F.expr("5 * (x.n - x.at) >= 4 * x.n")).select("h", "x.s", "x.n", "x.c", F.ceil(F.col("k") / TILE).cast("int").alias("blocks"))
-    whole = _whole(crowd.select("s").distinct(), df, rows, id_col, text_col)
     mine = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    placed = crowd.withColumn("block", mine).withColumn("cell", F.explode(cells)).select("h", "cell.i", "cell.j", "block", "s", "n", "c")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct("h", F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), "block", "n", "c"))
+    placed = save(crowd.withColumn("block", mine).groupBy("s").agg(F.flatten(F.collect_list(cells)).alias("cells")), "placed")
+    made = _texts(placed, df, rows, id_col, text_col).select("s", "cells", _hashes(utf8("text")).alias("hashes"))
 
     def tile(key, t):
         h = t["hashes"].combine_chunks()
@@ -215,8 +224,9 @@ def in_tiles(live: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_
         pairs = linked(*(t[x].to_numpy() for x in ("s", "n", "c", "block")), sets_, key[1].as_py(), key[2].as_py())
         return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
 
-    out = save(placed.join(whole.select("s", "hashes"), "s").groupBy("h", "i", "j").applyInArrow(tile, "a long, b long").distinct(), "tiles")
-    discard(whole)
+    each = made.select("s", F.explode("cells").alias("cell"), "hashes").select("s", "cell.*", "hashes")
+    out = save(each.groupBy("h", "i", "j").applyInArrow(tile, "a long, b long").distinct(), "tiles")
+    discard(placed)
     return out
 
 
@@ -240,15 +250,22 @@ def possible(pairs: DataFrame, counted: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(near).where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _texts(named: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The named sets' rows (s and whatever else) with the text of one row of each. Texts stay where they are if the sets are few; only if one of
+    those rows is repeated as it is are texts shuffled to drop the others."""
+    each = rows.join(named, "s", "left_semi").groupBy("s", "id", "x", "y").agg(F.count("*").alias("times"))
+    first = each.groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "x", "y", "times")).alias("k"))
+    keys = save(named.join(first.select("s", F.col("k.id").alias("key_id"), F.col("k.x").alias("key_x"), F.col("k.y").alias("key_y"), "k.times"), "s"), "candidates")
+    more = F.sum(6 * F.size("cells")) if "cells" in named.columns else F.lit(0)
+    n, values, times = keys.agg(F.count("*"), 4 * F.count("*") + F.coalesce(more, F.lit(0)), F.max("times")).first()
+    texts = df.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    found = texts.join(F.broadcast(keys) if few(values) else keys, same_key("key_"), "inner").select(*named.columns, "text")
+    return found.dropDuplicates(["s"]) if n and times > 1 else found
+
+
 def _whole(named: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(s, n, hashes) of the named sets, made of one text of each, saved."""
-    first = rows.join(named, "s", "left_semi").groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "x", "y")).alias("k"))
-    keys = save(first.select(F.col("k.id").alias("key_id"), F.col("k.x").alias("key_x"), F.col("k.y").alias("key_y")), "candidates")
-    texts = df.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(keys) if few(3 * keys.count()) else keys, same_key("key_"), "left_semi")
-    whole = save(sets(texts, "text").groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole")
-    discard(keys)
-    return whole
+    return save(sets(_texts(named, df, rows, id_col, text_col), "text"), "whole")
 
 
 def checked(pairs: DataFrame, df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

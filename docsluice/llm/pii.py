@@ -30,10 +30,12 @@ BASE = {
 # Generators of further candidates.
 _TOKEN = "[A-Za-z0-9+/_-]"
 MORE = {
-    "handle": r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]++(?:\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?[A-Za-z0-9-]++)++",
-    "number": r"[0-9(](?<![0-9A-Za-z.+(-][0-9(])[0-9 ().-]{6,19}[0-9](?![0-9A-Za-z])",
+    "handle": r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]++(?:\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?[A-Za-z0-9-]++)++",
+    "number": r"[0-9(](?<![0-9A-Za-z.+(-][0-9(])(?<=(?=[0-9(][0-9 ().-]{7}).)[0-9]*+(?![0-9A-Za-z])(?:[ ().-]{1,4}+[0-9]++(?![A-Za-z]))*+",
     "secret": rf"{_TOKEN}(?<!{_TOKEN}{_TOKEN})(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{9,}}+",
 }
+#: Characters of a number at least; shorter matches of its generator are no candidates.
+NUMBER = 8
 #: What a text must have for a generator to find anything: a cheap test that loses nothing.
 NEEDS = {"email": "@", "phone": "+"}
 CONTEXT = 24
@@ -147,7 +149,7 @@ def _samples(seed: int = 7, n: int = 1500) -> list[tuple[str, str, int]]:
     filler = lambda: " ".join(chars("aeinorstlhdu", int(rng.integers(2, 9))) for _ in range(int(rng.integers(1, 5))))
     d, lower, upper = string.digits, string.ascii_lowercase, string.ascii_uppercase
     word = lambda: chars("aeinorstlhdu", int(rng.integers(4, 9)))
-    number = lambda: f"{chars(d[2:], 1)}{chars(d, 2)}{pick('-. ')}{chars(d, 3)}-{chars(d, 4)}"
+    number = lambda: f"{chars(d[2:], 1)}{chars(d, 2)}{pick('-. ')}{chars(d, 3)}{pick('-. ')}{chars(d, 4)}"
     year = lambda: f"{pick(['19', '20'])}{chars(d, 2)}"
     make = {
         ("secret", 1): [
@@ -160,10 +162,10 @@ def _samples(seed: int = 7, n: int = 1500) -> list[tuple[str, str, int]]:
             lambda: f"{word()}-{word()}-{word()}{chars(d, 2)}", lambda: f"{word()}_{year()}_{word()}_v{chars(d, 1)}", lambda: f"{pick(['model', 'part', 'item'])} {chars(upper, 2)}{chars(d, 4)}-{word()}",
             lambda: f"{year()}-{chars('01', 1)}{chars('12', 1)}-{chars('012', 1)}{chars('123', 1)}T{chars('01', 1)}{chars(d, 1)}", lambda: f"version {word()}-{chars(d, 5)}", lambda: f"{word()}{word()}{chars(d, 2)}", lambda: f"order {chars(d, 12)}", lambda: f"{word()}/{word()}/{chars(d, 3)}/{word()}", lambda: f"{chars(d, int(rng.integers(10, 18)))}", lambda: f"commit {chars('0123456789abcdef', 14)}1a",
         ],
-        ("number", 1): [lambda: f"{pick(['phone', 'tel:', 'call', 'mobile', 'fax', 'cell'])} {number()}", lambda: f"({chars(d[2:], 1)}{chars(d, 2)}) {chars(d, 3)}-{chars(d, 4)}", lambda: f"{pick(['SSN', 'social security', 'passport', ''])} {chars(d, 3)}-{chars(d, 2)}-{chars(d, 4)}", lambda: f"{pick(['account', 'phone', 'whatsapp'])} {chars(d, int(rng.integers(9, 13)))}"],
-        ("number", 0): [lambda: f"{year()}-{year()} {chars(d, 2)}", lambda: f"{chars(d, 2)} {chars(d, 2)} {chars(d, 2)} {chars(d, 2)}", lambda: f"{pick(['ISBN', 'order', 'item', 'page', 'total', ''])} {chars(d, int(rng.integers(8, 17)))}", lambda: f"{chars(d, 4)}.{chars(d, 4)}.{chars(d, 2)}", lambda: f"{year()}-{chars('01', 1)}{chars('12', 1)}-{chars('012', 1)}{chars('123', 1)}", lambda: f"{chars(d, 3)} {chars(d, 3)} {chars(d, 3)}.{chars(d, 2)}"],
-        ("handle", 1): [lambda: f"{word()}{pick(['', '.', '_'])}{word()} {pick(['(at)', '[at]', '( at )'])} {word()} {pick(['(dot)', '[dot]', '.'])} {pick(['com', 'org', 'net', 'de'])}"],
-        ("handle", 0): [lambda: f"{word()} (at) {chars(d, 1)}.{chars(d, 2)}", lambda: f"{chars(d, 1)} [at] {chars(d, 2)}.{chars(d, 1)}"],
+        ("number", 1): [lambda: f"{pick(['phone', 'tel:', 'call', 'mobile', 'fax', 'cell'])} {number()}", lambda: f"{pick(['', 'fax', 'tel.'])} ({chars(d[2:], 1)}{chars(d, 2)}) {chars(d, 3)}{pick('- ')}{chars(d, 4)}", lambda: f"{pick(['SSN', 'social security', 'passport', ''])} {chars(d, 3)}-{chars(d, 2)}-{chars(d, 4)}", lambda: f"{pick(['account', 'phone', 'whatsapp'])} {chars(d, int(rng.integers(9, 13)))}", lambda: f"{pick(['account', 'IBAN', 'passport', 'account no'])} {' '.join(chars(d, 4) for _ in range(int(rng.integers(3, 40))))}"],
+        ("number", 0): [lambda: f"{pick(['', 'table', 'total', 'page'])} {' '.join(chars(d, int(rng.integers(1, 4))) for _ in range(int(rng.integers(5, 60))))}", lambda: f"{year()}-{year()} {chars(d, 2)}", lambda: f"{chars(d, 2)} {chars(d, 2)} {chars(d, 2)} {chars(d, 2)}", lambda: f"{pick(['ISBN', 'order', 'item', 'page', 'total', ''])} {chars(d, int(rng.integers(8, 17)))}", lambda: f"{chars(d, 4)}.{chars(d, 4)}.{chars(d, 2)}", lambda: f"{year()}-{chars('01', 1)}{chars('12', 1)}-{chars('012', 1)}{chars('123', 1)}", lambda: f"{chars(d, 3)} {chars(d, 3)} {chars(d, 3)}.{chars(d, 2)}"],
+        ("handle", 1): [lambda: (lambda a, b: f"{word()}{pick(['', '', '.', '_', '-'])}{pick(['', word()])}{a}{pick(['(at)', '[at]', '( at )'])}{a}{pick([word(), chars(lower, int(rng.integers(2, 5)))])}{b}{pick(['(dot)', '[dot]', '.'])}{b}{pick(['com', 'org', 'net', 'de'])}")(pick([" ", ""]), pick([" ", ""]))],
+        ("handle", 0): [lambda: f"{word()}{pick(['', word()])}{pick([' ', ''])}(at){pick([' ', ''])}{chars(d, 1)}.{chars(d, 2)}", lambda: f"{chars(d, 1)} [at] {chars(d, 2)}.{chars(d, 1)}"],
     }
     keys = list(make)
     return [(kind, f"{filler()} {pick(make[kind, label])()} {filler()}", label) for kind, label in (pick(keys) for _ in range(n))]
@@ -176,6 +178,10 @@ def candidates(text: Column, kind: str) -> tuple[Column, str]:
     return F.when(need, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")), pattern
 
 
+def long_enough(kind: str, s: Column) -> Column:
+    return s["end"] - s["start"] >= NUMBER if kind == "number" else F.lit(True)
+
+
 @cache
 def _models(spark: SparkSession) -> dict[str, tuple[boosting.Boosted, float]]:
     """Trees and threshold of each kind, fitted on made-up lines whose features Spark computes."""
@@ -184,7 +190,7 @@ def _models(spark: SparkSession) -> dict[str, tuple[boosting.Boosted, float]]:
     for kind in MORE:
         matches, pattern = candidates(F.col("text"), kind)
         found = rows.where(F.col("kind") == kind).withColumn("m", matches).withColumn("c", F.get(located(F.col("text"), F.col("m"), pattern), F.lit(0))).where("c is not null")
-        got = found.select("label", F.array(*features(F.col("c"))).alias("x")).collect()
+        got = found.where(long_enough(kind, F.col("c"))).select("label", F.array(*features(F.col("c"))).alias("x")).collect()
         x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got])
         model = boosting.boost(x, y)
         held = np.arange(len(x)) % 3 == 2
@@ -260,7 +266,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def selected(k: str) -> Column:
         model, least = models[k]
         scored = F.transform(F.col(f"s_{k}"), lambda s: span(k, s, model.column(features(s))))
-        return F.filter(scored, lambda s: s["score"] >= F.lit(least))
+        return F.filter(scored, lambda s: (s["score"] >= F.lit(least)) & long_enough(k, s))
 
     base, chosen = [checked(k) for k in BASE], [selected(k) for k in MORE]
     out = out.select("id", "text", F.concat(*base).alias("base"), F.concat(*chosen).alias("chosen"))

@@ -21,7 +21,7 @@ from .base import KEY, among, read, row_key, save, utf8
 
 #: Bounds of the fit: labelled documents of each label, and partners that each of them is paired with.
 SAMPLE_PER_LABEL, PARTNERS = 10_000, 8
-#: Scores from this on are predicted to be good; no quantile cuts them off.
+#: Scores from this on are predicted to be good.
 CUT = 0.3
 #: Scores are counted in so many equal bins to find an exact quantile of the bins.
 BINS = 10_000
@@ -184,13 +184,12 @@ def score(model: Model, text_col: str = "text") -> Column:
 
 
 def _cut(counts: list, level: float) -> float:
+    """Lower edge of the bin that holds the quantile: at most `level` of the scores are below it, ties in a bin stay together."""
     total, below = sum(r["count"] for r in counts), 0
-    if level <= 0:
-        return 0.0
     for r in sorted(counts):
         below += r["count"]
-        if below >= level * total:
-            return (r["bin"] + 1) / BINS
+        if below > level * total:
+            return r["bin"] / BINS
     return 1.0
 
 
@@ -199,23 +198,23 @@ def _bins(scores: DataFrame, column: str) -> DataFrame:
 
 
 def quantile(scores: DataFrame, column: str, level: float) -> float:
-    """Upper edge of the first bin at which at least `level` of the scores are below; counts go to BINS + 1 bins at most."""
+    """Lower edge of the bin below which at most `level` of the scores are; counts go to BINS + 1 bins at most."""
     return _cut(_bins(scores, column).select("bin", "count").collect(), level)
 
 
 def threshold(scores: DataFrame, column: str, level: float | None = None) -> float:
-    """The quantile of the scores from which on documents are kept, CUT at most.
+    """The quantile of the scores from which on documents are kept.
 
-    level: the share of documents to cut off. Without one it is the share that the scores, which are calibrated
-    probabilities, expect to be bad; it is taken over all documents. CUT is the floor of what is kept: a row that is predicted to be
-    good stays, however large the level. No scores: CUT.
+    level: the largest share of documents to cut off. Without one it is the share that the scores, which are calibrated
+    probabilities, expect to be bad; it is taken over all documents. So at least 1 - level of them are kept, and all of scores that are alike. No
+    scores: 0.
     """
     counts = _bins(scores, column).collect()
     total = sum(r["count"] for r in counts)
     if not total:
-        return CUT
+        return 0.0
     expected = round(sum(r["bad"] for r in sorted(counts)) / total, 9)
-    return min(_cut(counts, expected if level is None else level), CUT)
+    return _cut(counts, expected if level is None else level)
 
 
 def keep_by_quantile(documents: DataFrame, model: Model, level: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
