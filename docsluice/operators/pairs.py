@@ -2,22 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def statement_pairs(df: DataFrame, key: str, id_col: str, apart: str | None = None) -> DataFrame:
+#: Rows of a key that are paired with as many others in one task.
+TILE = 4096
+
+
+def statement_pairs(df: DataFrame, key: str, id_col: str, apart: str | None = None, tile: int = TILE) -> DataFrame:
     """(key, a, b) with a.id < b.id for rows of one key, from different values of `apart` if given.
 
-    The number of pairs is quadratic in a key's rows by definition; the key must be fine enough. Rows with a
-    null key pair with nothing.
+    The number of pairs is quadratic in a key's rows by definition, the work is not one task's: a key of more than `tile` rows is dealt to blocks by the
+    hash of the id, and each pair of blocks is a cell of an equi join. Rows with a null key pair with nothing.
     """
     s = F.struct(*df.columns)
-    a, b = df.select(key, s.alias("a")), df.select(F.col(key).alias("_k"), s.alias("b"))
-    cond = (F.col(key) == F.col("_k")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}"))
+    sized = df.groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count("*") / tile).cast("int").alias("_n")).where("_n > 1")
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), s.alias("_row"), F.xxhash64(id_col).alias("_h"))
+    rows = rows.join(sized, F.col("_key") == F.col("_k"), "left").select("_key", "_row", F.coalesce("_n", F.lit(1)).alias("_n"), F.pmod("_h", F.coalesce("_n", F.lit(1)).cast("long")).cast("int").alias("_b"))
+    # a block meets itself and those behind it as their left side, itself and those before it as their right side
+    left = rows.withColumn("_o", F.explode(F.sequence("_b", F.col("_n") - 1))).select("_key", F.col("_b").alias("_i"), F.col("_o").alias("_j"), F.col("_row").alias("x"))
+    right = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), "_b"))).select("_key", F.col("_o").alias("_i"), F.col("_b").alias("_j"), F.col("_row").alias("y"))
+    x, y = F.col(f"x.{id_col}"), F.col(f"y.{id_col}")
+    cond = (F.col("_i") != F.col("_j")) & (x != y) | (x < y)
     if apart:
-        cond = cond & (F.col(f"a.{apart}") != F.col(f"b.{apart}"))
-    return a.join(b, cond).select(key, "a", "b")
+        cond = cond & (F.col(f"x.{apart}") != F.col(f"y.{apart}"))
+    met = left.join(right, ["_key", "_i", "_j"]).where(cond)
+    return met.select(F.col("_key").alias(key), F.when(x < y, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(x < y, F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
+def _first(df: DataFrame, keys: list[str], id_col: str, n: int) -> DataFrame:
+    """The first n rows by id of each group; tasks keep no more of a group before they shuffle."""
+    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(id_col))).where(F.col("_place") <= n).drop("_place")
+
+
+def top_suspicious(df: DataFrame, key: str, id_col: str, dates: str, amounts: str, k: int) -> DataFrame:
+    """(key, a, b, score): the first k pairs of statements of each key by falling suspiciousness, then a, then b (ids, a < b).
+
+    The score depends on the sets of dates and amounts only: 0.4 for different dates, 0.5 for different amounts, 0.1 where both have values. So of
+    statements that agree in both sets only the first k + 1 can be in a result. The highest score, 1, needs both to differ. For it, 2k + 1 statements of one set of dates are
+    enough, since at most k + 1 of them have the amounts of any other statement; likewise 2k + 1 of one set of amounts; and of what is left 5k + 2 of a key, since at
+    most 2k + 1 agree with any other in dates and as many in amounts. A key whose pairs of these give k results is done; for the others, which hardly have pairs that differ in
+    both, the first k + 1 of each combination are all paired, by tiles. Ids are unique; rows with a null key or id pair with nothing.
+    """
+    norm = lambda c: F.array_sort(F.array_distinct(F.coalesce(F.col(c), F.array())))
+    rows = df.where(F.col(key).isNotNull() & F.col(id_col).isNotNull()).select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), norm(dates).alias("_d"), norm(amounts).alias("_m"))
+    some = _first(rows, ["_key", "_d", "_m"], "_id", k + 1)
+    whole = some.where((F.size("_d") > 0) & (F.size("_m") > 0))
+    few = _first(_first(_first(whole, ["_key", "_d"], "_id", 2 * k + 1), ["_key", "_m"], "_id", 2 * k + 1), ["_key"], "_id", 5 * k + 2)
+    score = suspiciousness([(F.col("a._d"), F.col("b._d"), 0.4), (F.col("a._m"), F.col("b._m"), 0.5)])
+
+    def best(some_pairs: DataFrame) -> DataFrame:
+        p = some_pairs.select("_key", F.col("a._id").alias("a"), F.col("b._id").alias("b"), score.alias("score"))
+        rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("score"), "a", "b"))
+        return p.withColumn("_place", rank).where(F.col("_place") <= k).drop("_place")
+
+    sure = best(statement_pairs(few, "_key", "_id").where((F.col("a._d") != F.col("b._d")) & (F.col("a._m") != F.col("b._m"))))
+    done = sure.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") == k).select("_key")
+    rest = best(statement_pairs(some.join(done, "_key", "left_anti"), "_key", "_id"))
+    return sure.join(done, "_key", "left_semi").unionByName(rest).select(F.col("_key").alias(key), "a", "b", "score")
 
 
 def suspiciousness(parts: list[tuple[Column, Column, float]]) -> Column:

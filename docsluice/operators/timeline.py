@@ -6,9 +6,13 @@ never read: what depends on it takes an as_of.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsluice.functions.similarity import indel_ratio
+
 
 def sequence_violations(df: DataFrame, key: str, at: str, kind: str, order: dict[str, int], id_col: str) -> DataFrame:
     """Consecutive events of the ordered kinds whose place in the workflow goes back; severity by how far."""
@@ -69,26 +73,49 @@ def contiguity_errors(df: DataFrame, key: str, index: str, start: str, end: str)
     return df.withColumn("expected", want).where(F.col(start) != F.col("expected"))
 
 
-def leader_clusters(df: DataFrame, key: str, text: str, score: str, id_col: str, ratio: float) -> DataFrame:
-    """Per key, rows in the order of ids join the first leader whose text has at least `ratio` of the longer one's
-    Indel similarity (2 LCS / both lengths), else lead a cluster of their own; the best score of a cluster is kept.
+#: Buckets of characters whose counts bound what two texts have in common.
+BAG = 32
+
+
+def first_leaders(texts: list[str], ratio: float) -> list[int]:
+    """For each text the place of the first leader before it that is alike by `ratio` or more, its own if none is: such a text leads.
 
-    The result depends on that order, so each key's rows are taken in turn by one Python call on a sorted group;
-    a key is one day of one tenant, which bounds the group.
+    What two texts have in common is at most what the counts of their characters have; leaders that this bound rules out are passed over all at once,
+    the others are measured in order. Equal texts have equal leaders.
     """
-    import pandas as pd
+    bags, sizes, leaders = np.zeros((256, BAG), np.uint16), np.zeros(256), []
+    seen: dict[str, int] = {}
+    out = []
+    for i, t in enumerate(texts):
+        if t not in seen:
+            bag = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % BAG, minlength=BAG).astype(np.uint16)
+            n = len(leaders)
+            common = np.minimum(bags[:n], bag).sum(axis=1, dtype=np.int64)
+            may = np.flatnonzero(2 * common >= ratio * (sizes[:n] + len(t)) - 1e-9)
+            home = next((leaders[j] for j in may.tolist() if indel_ratio(texts[leaders[j]], t) >= ratio), None)
+            if home is None:
+                if n == len(bags):
+                    bags, sizes = np.concatenate([bags, np.zeros_like(bags)]), np.concatenate([sizes, np.zeros_like(sizes)])
+                bags[n], sizes[n], home = bag, len(t), i
+                leaders.append(i)
+            seen[t] = home
+        out.append(seen[t])
+    return out
 
-    from docsluice.functions.similarity import indel_ratio
 
+def leader_clusters(df: DataFrame, key: str, text: str, score: str, id_col: str, ratio: float) -> DataFrame:
+    """Per key, rows in the order of ids join the first leader whose text has at least `ratio` of the longer one's
+    Indel similarity (2 LCS / both lengths), else lead a cluster of their own; the best score of a cluster is kept, the first of equals.
+
+    The result depends on that order, so a key's rows are one task's work; a key is one day of one tenant. Texts that share too few
+    characters with a leader are not measured, and each distinct text is placed once. Null texts are empty; null scores come last.
+    """
     schema = df.select(key, id_col, score).schema
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[str, list[int]]] = []
         pdf = pdf.sort_values(id_col).reset_index(drop=True)
-        for i, t in enumerate(pdf[text].fillna("")):
-            home = next((m for lead, m in leaders if indel_ratio(lead, t) >= ratio), None)
-            home.append(i) if home is not None else leaders.append((t, [i]))
-        best = [max(m, key=lambda i: (pdf[score].iloc[i], -i)) for _, m in leaders]
-        return pdf.iloc[best][[key, id_col, score]]
+        pdf["_leader"] = first_leaders(pdf[text].fillna("").tolist(), ratio)
+        best = pdf.sort_values(score, ascending=False, kind="stable", na_position="last").drop_duplicates("_leader").sort_values("_leader")
+        return best[[key, id_col, score]]
 
     return df.select(key, id_col, score, text).groupBy(key).applyInPandas(one, schema)

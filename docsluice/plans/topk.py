@@ -156,12 +156,10 @@ def alias_expansion(spark, d):
 @query("r6_14_suspicious_pairs", """WITH p AS (SELECT a.user_id, a.event_id AS a, b.event_id AS b, round(CASE WHEN CAST(a.ts AS DATE) <> CAST(b.ts AS DATE) THEN 0.4 ELSE 0 END + CASE WHEN a.value <> b.value THEN 0.5 ELSE 0 END + 0.1, 2)::DOUBLE AS score FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type = b.event_type WHERE a.event_type = 'purchase')
  SELECT user_id, a, b, score FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, a, b) <= 5""")
 def suspicious_pairs(spark, d):
-    from docsluice.operators.pairs import statement_pairs, suspiciousness
+    from docsluice.operators.pairs import top_suspicious
 
-    e = table(spark, d, "events").where("event_type = 'purchase'").select("user_id", "event_id", F.to_date("ts").alias("day"), "value")
-    p = statement_pairs(e, "user_id", "event_id")
-    p = p.select("user_id", F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"), suspiciousness([(F.array("a.day"), F.array("b.day"), 0.4), (F.array("a.value"), F.array("b.value"), 0.5)]).alias("score"))
-    return T.last_n(p, ["user_id"], [F.desc("score"), F.col("a"), F.col("b")], 5)
+    e = table(spark, d, "events").where("event_type = 'purchase'").select("user_id", "event_id", F.array(F.to_date("ts")).alias("days"), F.array("value").alias("values"))
+    return top_suspicious(e, "user_id", "event_id", "days", "values", 5)
 
 
 @query("r6_15_merge_suggestions", """WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaccard(a.p_name, b.p_name), 2) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey) SELECT * FROM p WHERE similarity >= 0.6 ORDER BY similarity DESC, a, b LIMIT 100""")
