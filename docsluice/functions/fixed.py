@@ -112,3 +112,14 @@ PRONOUNS = {"he": ("person", "male", "unknown"), "him": ("person", "male", "unkn
 # ---- fixed values: kinds of evidence and of contradiction
 
 CONTRADICTIONS = {"date_mismatch": "date_mismatch", "amount_mismatch": "amount_mismatch", "factual_conflict": "factual_contradiction", "semantic_conflict": "semantic_contradiction"}
+
+# ---- fixed values: order of events
+
+#: Kinds of which the first may not come before the second: such violations are high, all others medium.
+CRITICAL_SEQUENCES = [("hearing", "filing"), ("order", "filing"), ("order", "hearing")]
+#: Years after today, and before the middle of a timeline (warning, critical), from which a date is an outlier; kinds that may lie ahead.
+YEARS_AHEAD, YEARS_BEFORE = 2, (10, 30)
+AHEAD_KINDS = ["hearing", "deadline"]
+#: Windows of a text in which citations are looked for: length, overlap, the stretch at the end in which a sentence may end, and the ends in order.
+CITATION_WINDOW, CITATION_OVERLAP, CITATION_BACK = 5000, 500, 1000
+SENTENCE_ENDS = [". ", ".\n", ".\r\n", "? ", "! "]

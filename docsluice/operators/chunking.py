@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsluice.functions.fixed import CITATION_BACK, CITATION_OVERLAP, CITATION_WINDOW, SENTENCE_ENDS
+
 #: Where to split, the coarsest first.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
 
@@ -101,10 +103,27 @@ def windows(text: str, size: int = 5000, overlap: int = 500, back: int = 1000) -
     return out
 
 
-def sentence_windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def citation_windows(text: str, size: int = CITATION_WINDOW, overlap: int = CITATION_OVERLAP, back: int = CITATION_BACK) -> list[str]:
+    """Windows of `size` characters that overlap by `overlap`. One ends at the last of the first kind of SENTENCE_ENDS that its last `back` characters have, if
+    that is behind its middle."""
+    if len(text) <= size:
+        return [text]
+    out, at = [], 0
+    while at + size < len(text):
+        end, low = at + size, max(at, at + size - back)
+        cut = next((k + len(s) for s in SENTENCE_ENDS if (k := text.rfind(s, low, end)) >= 0), 0)
+        end = cut if cut > at + size // 2 else end
+        out.append(text[at:end])
+        at = end - overlap
+    return [*out, text[at:]]
+
+
+def sentence_windows(df: DataFrame, id_col: str, text_col: str, cut: Callable[[str], list[str]] = windows) -> DataFrame:
+    """(id, place, piece) of the windows of each text; null texts are empty."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, w) for i, t in zip(pdf["id"], pdf["text"], strict=True) for k, w in enumerate(windows(t or ""))]
+            rows = [(i, k, w) for i, t in zip(pdf["id"], pdf["text"], strict=True) for k, w in enumerate(cut(t or ""))]
             yield pd.DataFrame(rows, columns=["id", "place", "piece"])
 
     part = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

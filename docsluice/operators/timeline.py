@@ -11,17 +11,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsluice.functions.fixed import AHEAD_KINDS, CRITICAL_SEQUENCES, YEARS_AHEAD, YEARS_BEFORE
 from docsluice.functions.similarity import indel_ratio
 
 
-def sequence_violations(df: DataFrame, key: str, at: str, kind: str, order: dict[str, int], id_col: str) -> DataFrame:
-    """Consecutive events of the ordered kinds whose place in the workflow goes back; severity by how far."""
+def sequence_violations(df: DataFrame, key: str, at: str, kind: str, order: dict[str, int], id_col: str, critical: list[tuple[str, str]] = CRITICAL_SEQUENCES) -> DataFrame:
+    """Consecutive events of the ordered kinds whose place in the workflow goes back; high if the pair of kinds is critical, else medium."""
     rank = F.coalesce(*[F.when(F.col(kind) == k, v) for k, v in order.items()])
     w = Window.partitionBy(key).orderBy(at, id_col)
     e = df.where(F.col(kind).isin(*order)).select(key, at, kind, id_col, rank.alias("r"))
     e = e.select("*", F.lead(F.struct("r", kind, id_col)).over(w).alias("next"))
     back = F.col("r") - F.col("next.r")
-    return e.where(back > 0).select(key, F.col(id_col).alias("first_id"), F.col(f"next.{id_col}").alias("next_id"), F.col(kind).alias("first_kind"), F.col(f"next.{kind}").alias("next_kind"), F.when(back >= 2, "high").otherwise("medium").alias("severity"))
+    return e.where(back > 0).select(key, F.col(id_col).alias("first_id"), F.col(f"next.{id_col}").alias("next_id"), F.col(kind).alias("first_kind"), F.col(f"next.{kind}").alias("next_kind"), F.when(F.concat_ws("\0", kind, f"next.{kind}").isin(*["\0".join(p) for p in critical]), "high").otherwise("medium").alias("severity"))
 
 
 def gaps(df: DataFrame, key: str, at: str, kind: str, id_col: str, limits: DataFrame, default: tuple[int, int] = (180, 365)) -> DataFrame:
@@ -36,16 +37,24 @@ def gaps(df: DataFrame, key: str, at: str, kind: str, id_col: str, limits: DataF
     return j.where(F.col("gap") > F.col("days")).select(key, "first_id", "first_kind", "next_kind", "gap", F.when(F.col("gap") > F.col("critical"), "high").otherwise("medium").alias("severity"))
 
 
-def quartile_outliers(df: DataFrame, key: str, at: str, id_col: str, near_days: int, far_days: int) -> DataFrame:
-    """Events far from the middle half of their tenant's dates (the rows at n // 4 and 3n // 4 in order; the first and
-    last row for fewer than three). Medium beyond near_days, high beyond far_days."""
-    w, whole = Window.partitionBy(key).orderBy(at, id_col), Window.partitionBy(key)
-    e = df.select(key, id_col, F.col(at).cast("date").alias("day"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(whole).alias("n"))
-    low = F.when(F.col("n") >= 3, F.floor(F.col("n") / 4)).otherwise(0)
-    high = F.when(F.col("n") >= 3, F.floor(F.col("n") * 3 / 4)).otherwise(F.col("n") - 1)
-    e = e.withColumns({"q1": F.max(F.when(F.col("i") == low, F.col("day"))).over(whole), "q3": F.max(F.when(F.col("i") == high, F.col("day"))).over(whole)})
-    e = e.withColumn("far", F.greatest(F.datediff("q1", "day"), F.datediff("day", "q3")))
-    return e.where(F.col("far") > near_days).select(key, id_col, "far", F.when(F.col("far") > far_days, "high").otherwise("medium").alias("severity"))
+def date_outliers(df: DataFrame, key: str, at: str, kind: str, id_col: str, as_of: str, ahead: float = YEARS_AHEAD, before: tuple[float, float] = YEARS_BEFORE, may_lie_ahead: list[str] = AHEAD_KINDS) -> DataFrame:
+    """(key, id, rule, days, severity) of dates that cannot be right, at most one rule for each event.
+
+    future: later than as_of, except kinds that may lie ahead, up to `ahead` years; days after as_of; high beyond `ahead` years, else medium.
+    past: more than before[0] years ahead of the middle half of the key's dates (the row at n // 4 in order, the first of fewer than three);
+    days before it; high beyond before[1] years, else medium. A year has 365.25 days. Rows without a date are no outliers.
+    """
+    w, whole = Window.partitionBy(key).orderBy("day", id_col), Window.partitionBy(key)
+    e = df.select(key, id_col, F.col(kind).alias("kind"), F.col(at).cast("date").alias("day")).where("day IS NOT NULL")
+    e = e.select("*", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(whole).alias("n"))
+    q1 = F.max(F.when(F.col("i") == F.when(F.col("n") >= 3, F.floor(F.col("n") / 4)).otherwise(0), F.col("day"))).over(whole)
+    today = F.lit(as_of).cast("date")
+    e = e.withColumns({"later": F.datediff("day", today), "early": F.datediff(q1, "day")})
+    allowed = F.col("kind").isin(*may_lie_ahead) & (F.col("later") <= int(ahead * 365.25))
+    far = lambda c, years: F.col(c) / 365.25 > years
+    rule = F.when(F.col("later") > 0, F.when(~F.coalesce(allowed, F.lit(False)), "future")).when(far("early", before[0]), "past")
+    severity = F.when(F.when(F.col("later") > 0, far("later", ahead)).otherwise(far("early", before[1])), "high").otherwise("medium")
+    return e.select(key, id_col, rule.alias("rule"), F.when(F.col("later") > 0, F.col("later")).otherwise(F.col("early")).alias("days"), severity.alias("severity")).where("rule IS NOT NULL")
 
 
 def best_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

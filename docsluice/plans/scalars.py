@@ -51,12 +51,17 @@ def fast_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.floor(F.length("text") / 4).alias("n"))
 
 
-@query("r8_05_window_splitter", "SELECT doc_id, i // 4500 AS window, length(substr(text, i + 1, 5000)) AS n FROM (SELECT doc_id, text, unnest(range(0, greatest(1, length(text) - 500), 4500)) AS i FROM documents)")
+@query("r8_05_window_splitter", """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s(i, sep) AS (VALUES (1, '. '), (2, '.' || chr(10)), (3, '.' || chr(13) || chr(10)), (4, '? '), (5, '! ')),
+w AS (SELECT doc_id, t, 0 AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS z, false AS last FROM d
+    UNION ALL SELECT doc_id, t, k + 1, a, CASE WHEN a + 5000 >= length(t) THEN length(t) WHEN cut > a + 2500 THEN cut ELSE a + 5000 END, a + 5000 >= length(t)
+    FROM (SELECT doc_id, t, k, a, (SELECT arg_min(a + 4000 + 1000 - strpos(reverse(substr(t, a + 4001, 1000)), reverse(sep)) + 1, i) FROM s WHERE contains(substr(t, a + 4001, 1000), sep)) AS cut FROM (SELECT doc_id, t, k, CASE WHEN k = 0 THEN 0 ELSE z - 500 END AS a FROM w WHERE NOT last)))
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS place, z - a AS n, md5(substr(t, a + 1, z - a)) AS piece FROM w WHERE k > 0""")
 def window_splitter(spark, d):
-    """Windows of 5000 characters that overlap by 500."""
-    start = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - 501), F.lit(4500)))
-    w = table(spark, d, "documents").select("doc_id", "text", start.alias("i"))
-    return w.select("doc_id", F.floor(F.col("i") / 4500).alias("window"), F.length(F.substr("text", F.col("i") + 1, F.lit(5000))).cast("long").alias("n"))
+    """Windows of 5000 characters that overlap by 500 and end with a sentence where one ends in their last 1000."""
+    from docsluice.operators.chunking import citation_windows, sentence_windows
+
+    w = sentence_windows(table(spark, d, "documents"), "doc_id", "text", citation_windows)
+    return w.select("doc_id", "place", F.length("piece").cast("long").alias("n"), F.md5("piece").alias("piece"))
 
 
 @query("r8_06_sentence_windows")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsluice.catalog import query
+from docsluice.functions import fixed as V
 from docsluice.operators import timeline as T
 from docsluice.sources.tables import table
 
@@ -32,9 +33,11 @@ def rank_by_distance(spark, d):
 
 @query("r5_03_sequence_violations", f"""WITH e AS (SELECT user_id, event_id, event_type, {_RANK} AS r, ts FROM events WHERE event_type IN ('signup', 'view', 'click', 'purchase')),
  n AS (SELECT *, lead(r) OVER w AS nr, lead(event_type) OVER w AS nk, lead(event_id) OVER w AS ni FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
- SELECT user_id, event_id AS first_id, ni AS next_id, event_type AS first_kind, nk AS next_kind, CASE WHEN r - nr >= 2 THEN 'high' ELSE 'medium' END AS severity FROM n WHERE r > nr""")
+ SELECT user_id, event_id AS first_id, ni AS next_id, event_type AS first_kind, nk AS next_kind, CASE WHEN (event_type, nk) IN (('click', 'view'), ('purchase', 'view'), ('purchase', 'click')) THEN 'high' ELSE 'medium' END AS severity FROM n WHERE r > nr""")
 def sequence_violations(spark, d):
-    return T.sequence_violations(table(spark, d, "events"), "user_id", "ts", "event_type", ORDER, "event_id")
+    """Sign-ups, views, clicks and purchases stand for notices, filings, hearings and orders."""
+    said = dict(zip(("notice", "filing", "hearing", "order"), ("signup", "view", "click", "purchase"), strict=True))
+    return T.sequence_violations(table(spark, d, "events"), "user_id", "ts", "event_type", ORDER, "event_id", [(said[a], said[b]) for a, b in V.CRITICAL_SEQUENCES])
 
 
 def gap_limits(spark):
@@ -58,12 +61,14 @@ def threshold_lookup(spark, d):
     return j.groupBy("event_type", F.coalesce("days", F.lit(180)).alias("days")).agg(F.count("*").alias("n"))
 
 
-@query("r5_06_quartile_outliers", """WITH e AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
- q AS (SELECT *, max(day) FILTER (i = CASE WHEN n >= 3 THEN n // 4 ELSE 0 END) OVER (PARTITION BY o_custkey) AS q1, max(day) FILTER (i = CASE WHEN n >= 3 THEN 3 * n // 4 ELSE n - 1 END) OVER (PARTITION BY o_custkey) AS q3 FROM e),
- f AS (SELECT o_custkey, o_orderkey, CAST(greatest(q1 - day, day - q3) AS INTEGER) AS far FROM q)
- SELECT *, CASE WHEN far > 900 THEN 'high' ELSE 'medium' END AS severity FROM f WHERE far > 365""")
-def quartile_outliers(spark, d):
-    return T.quartile_outliers(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", 365, 900)
+@query("r5_06_date_outliers", """WITH e AS (SELECT o_custkey, o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+ q AS (SELECT *, max(day) FILTER (i = CASE WHEN n >= 3 THEN n // 4 ELSE 0 END) OVER (PARTITION BY o_custkey) - day AS early, day - DATE '2000-01-01' AS later FROM e)
+ SELECT o_custkey, o_orderkey, CASE WHEN later > 0 THEN 'future' ELSE 'past' END AS rule, CAST(CASE WHEN later > 0 THEN later ELSE early END AS INTEGER) AS days,
+ CASE WHEN (later > 0 AND later / 365.25 > 1) OR (later <= 0 AND early / 365.25 > 2) THEN 'high' ELSE 'medium' END AS severity FROM q
+ WHERE (later > 0 AND NOT (o_orderpriority IN ('1-URGENT', '2-HIGH') AND later <= 365)) OR (later <= 0 AND early / 365.25 > 1)""")
+def date_outliers(spark, d):
+    """Dates of orders after the first day of 2000, urgent ones of that year aside, and dates a year or two before the middle of a customer's."""
+    return T.date_outliers(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderpriority", "o_orderkey", "2000-01-01", 1, (1, 2), ["1-URGENT", "2-HIGH"])
 
 
 @query("r5_07_all_anomalies", "SELECT user_id, 'sequence' AS kind, count(*) AS n FROM (" + """SELECT user_id, r, lead(r) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nr FROM (SELECT *, """ + _RANK + """ AS r FROM events) WHERE r IS NOT NULL) WHERE r > nr GROUP BY 1

@@ -225,7 +225,7 @@ def test_reading_order(spark, sf_dir):
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "m string, id int, at date, kind string")
     assert T.sequence_violations(e, "m", "at", "kind", {"a": 1}, "id").count() == 0
-    assert T.quartile_outliers(e, "m", "at", "id", 1, 2).count() == 0
+    assert T.date_outliers(e, "m", "at", "kind", "id", "2024-01-01").count() == 0
     assert C.chunks(spark.createDataFrame([], "i long, t string"), "i", "t", 5, 1).count() == 0
 
 
@@ -367,3 +367,23 @@ def test_closure_of_stars_chains_and_large_groups(spark):
     missing = lambda xs: {p for p in combinations(xs, 2) if p not in have}
     got = {(r.a, r.b) for r in E.closure_pairs(df, E.components(df, _save), most=10).collect()}
     assert got == missing(range(6)) | missing(range(200, 206)) | {(20, i) for i in range(22, 51)}
+
+
+def test_date_outliers(spark):
+    rows = [("m", 1, "1985-01-01", "order"), ("m", 2, "2012-01-01", "filing"), ("m", 3, "2023-05-01", "order"), ("m", 4, "2023-06-01", "order"), ("m", 5, "2024-06-01", "hearing"), ("m", 6, "2027-01-01", "hearing"), ("m", 7, "2024-02-01", "order"), ("m", 8, "2030-01-01", None), ("m", 9, None, "order"), ("m", 10, "2023-07-01", "order"), ("k", 11, "1900-01-01", "order")]
+    df = spark.createDataFrame(rows, "k string, id int, at string, kind string")
+    got = {r.id: (r.rule, r.severity) for r in T.date_outliers(df, "k", "at", "kind", "id", "2024-01-01").collect()}
+    assert got == {1: ("past", "high"), 2: ("past", "medium"), 6: ("future", "high"), 7: ("future", "medium"), 8: ("future", "high")}
+    assert T.date_outliers(df, "k", "at", "kind", "id", "2024-01-01", before=(1, 40)).where("id = 1").first().severity == "medium"
+
+
+def test_citation_windows_end_with_sentences():
+    from docsluice.operators.chunking import citation_windows
+
+    assert citation_windows("") == [""] and citation_windows("x" * 5000) == ["x" * 5000]
+    hard = citation_windows("x" * 9000)
+    assert [len(w) for w in hard] == [5000, 4500]
+    text = "y" * 4200 + "? " + "y" * 300 + "! " + "z" * 3000
+    a, b = citation_windows(text)
+    assert a.endswith("? ") and len(a) == 4202 and b.startswith("y" * 498 + "? ")
+    assert citation_windows("y" * 4500 + ". " + "y" * 300 + "? " + "z" * 3000)[0].endswith(". ")
