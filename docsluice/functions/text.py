@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
+from .arrays import bound, chunks, running, stretch
 
 L = "[\\p{L}\\p{N}_]"
 
@@ -197,8 +198,12 @@ def injection_spans(c: Column) -> Column:
     characters of context on each side."""
     spans = match_spans(c, "(?im)" + "|".join(f"(?:{p})" for p in V.INJECTION))
     n = V.INJECTION_CONTEXT
-    cut = lambda a, z: F.substr(c, (a + 1).cast("int"), (z - a).cast("int"))
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), cut(s["start"], s["end"]).alias("pattern"), cut(F.greatest(F.lit(0), s["start"] - n), F.least(F.length(c), s["end"] + n)).alias("context")))
+
+    def shown(parts: Column, size: Column) -> Column:
+        context = lambda s: stretch(parts, F.greatest(F.lit(0), s["start"] - n), F.least(size, s["end"] + n))
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), stretch(parts, s["start"], s["end"]).alias("pattern"), context(s).alias("context")))
+
+    return bound(chunks(c), lambda p: bound(F.length(c).cast("bigint"), lambda size: shown(p, size)))
 
 
 def guard(c: Column) -> Column:
@@ -297,13 +302,11 @@ def mentions(c: Column) -> Column:
 
 
 def match_spans(c: Column, pattern: str) -> Column:
-    """array<struct<start, end>> of a pattern's matches in code points, from the lengths of what lies between."""
-    pieces, hits = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    first = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+    """array<struct<start, end>> of a pattern's matches in code points, from running sums of the lengths of the matches and of what lies between."""
+    zero = F.lit(0).cast("bigint")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
+    def placed(hits: Column, pieces: Column) -> Column:
+        ends = running(F.transform(hits, lambda m, i: (F.length(F.get(pieces, i)) + F.length(m)).cast("bigint")), lambda a, b: a + b, zero)
+        return bound(ends, lambda e: F.transform(hits, lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("start"), F.get(e, i).alias("end"))))
 
-    return F.aggregate(F.transform(hits, lambda m, i: F.struct(m.alias("m"), F.get(pieces, i).alias("gap"))), first, step, lambda a: a["out"])
+    return bound(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda h: bound(F.split(c, pattern, -1), lambda p: placed(h, p)))
