@@ -86,12 +86,30 @@ def relationships(spark, d):
     return out.count().unionByName(into.count()).select(F.lit(5).alias("node"), "other", F.col("count").alias("n"))
 
 
-@query("r9_08_graph_view", "WITH v AS (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND p_name ILIKE '%ring%'), s AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (FROM v) AND l_suppkey IN (FROM s)")
+_GRAPH = """WITH e AS (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem), n AS (SELECT 'p' || p_partkey AS id, p_type AS kind, p_name AS name, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS mentions FROM part
+    UNION ALL SELECT 's' || s_suppkey, 'SUPPLIER', s_name, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) FROM supplier), """
+
+
+def graph(spark, d):
+    """Parts and suppliers with how often they are mentioned in orders, and an edge for each that meet there."""
+    li = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"))
+    parts = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"))
+    n = parts.unionByName(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("SUPPLIER").alias("kind"), F.col("s_name").alias("name")))
+    times = li.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("mentions"))
+    return n.join(times, "id", "left").withColumn("mentions", F.coalesce("mentions", F.lit(0))), li.distinct()
+
+
+@query("r9_08_graph_view", _GRAPH + "v AS (SELECT id FROM n WHERE kind IN ('ECONOMY', 'PROMO', 'SUPPLIER') AND contains(lower(name), 'r') AND mentions >= 20) SELECT source, target FROM e WHERE source IN (FROM v) AND target IN (FROM v)")
 def graph_view(spark, d):
-    """Edges whose two nodes pass the view's filters."""
-    v = table(spark, d, "part").where((F.col("p_type") == "ECONOMY") & F.col("p_name").ilike("%ring%")).select(F.col("p_partkey").alias("l_partkey"))
-    s = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return table(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(v, "l_partkey", "left_semi").join(s, "l_suppkey", "left_semi").distinct()
+    """Edges whose two nodes pass the view's filters on kind, name and mentions."""
+    return E.graph_view(*graph(spark, d), ["ECONOMY", "PROMO", "SUPPLIER"], " R ", 20)[1].select("source", "target")
+
+
+@query("r9_08_neighbours", _GRAPH + "v AS (SELECT id FROM n WHERE contains(lower(name), 'red ring')) SELECT DISTINCT id, neighbour FROM (SELECT source AS id, target AS neighbour FROM e UNION ALL SELECT target, source FROM e) WHERE id IN (FROM v)")
+def graph_neighbours(spark, d):
+    """The neighbours of the nodes that a search finds."""
+    nodes, edges = graph(spark, d)
+    return E.connected(edges, E.graph_view(nodes, edges, search="Red Ring")[0])
 
 
 _LIMIT = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

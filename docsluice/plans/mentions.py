@@ -90,6 +90,20 @@ def name_consistency(spark, d):
     return table(spark, d, "part").select("p_partkey", E.same_name(F.col("p_name"), F.lit("Red Ring")).alias("same"))
 
 
+@query("r8_28_learned_adjustment", """WITH c AS (SELECT p_brand, p_partkey, CASE WHEN p_type IN ('ECONOMY', 'SMALL', 'LARGE') THEN 1 WHEN p_type IN ('PROMO', 'STANDARD') THEN -1 END AS worth, p_name AS alias, split_part(p_name, ' ', 2) AS merged FROM part),
+ p AS (SELECT DISTINCT a.p_brand, lower(a.p_name) AS a, lower(b.p_name) AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
+ SELECT p.p_brand AS tenant, p.a, p.b, round(greatest(-0.3, least(0.3, 0.1 * coalesce((SELECT sum(worth) FROM c WHERE c.p_brand = p.p_brand AND (alias IN (p.a, p.b) OR merged IN (p.a, p.b))), 0))), 2)::DOUBLE AS adjustment FROM p""")
+def learned_adjustment(spark, d):
+    """What corrections of names say about pairs of names; parts stand for corrections, their kinds for adding, merging and removing."""
+    from docsluice.operators.pairs import statement_pairs
+
+    p = table(spark, d, "part")
+    kind = F.when(F.col("p_type").isin("ECONOMY", "SMALL"), "add").when(F.col("p_type") == "LARGE", "merge").when(F.col("p_type").isin("PROMO", "STANDARD"), "remove").otherwise("view")
+    said = p.select(F.col("p_brand").alias("tenant"), F.col("p_partkey").alias("id"), kind.alias("kind"), F.upper("p_name").alias("alias"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("merged"))
+    pairs = statement_pairs(p.select(F.struct("p_brand", "p_size").alias("block"), "p_partkey", "p_name"), "block", "p_partkey")
+    return E.learned_adjustments(pairs.select("block.p_brand", "a.p_name", "b.p_name").toDF("tenant", "a", "b"), said)
+
+
 def _measured(question: str) -> str:
     """SQL of the scores of all parts' names against a question. The longest common subsequence of every pair of strings that a ratio needs is
     worked out row by row of its table: recursive over the characters of one string, a running maximum over the other."""

@@ -185,13 +185,6 @@ def numbered_roles(spark, d):
     return j.select(F.col("c_custkey").alias("a"), "b", may_merge(F.col("role"), F.col("role_b")).alias("may_merge"))
 
 
-@query("r8_28_learned_adjustment", "SELECT user_id, round(greatest(-0.3, least(0.3, 0.1 * (count(*) FILTER (event_type = 'click') - count(*) FILTER (event_type = 'error')))), 2)::DOUBLE AS adjustment FROM events GROUP BY 1")
-def learned_adjustment(spark, d):
-    """A tenth for each net correction, 0.3 at most (stand-in corrections: clicks for, errors against)."""
-    net = F.count_if(F.col("event_type") == "click") - F.count_if(F.col("event_type") == "error")
-    return table(spark, d, "events").groupBy("user_id").agg(F.round(F.greatest(F.lit(-0.3), F.least(F.lit(0.3), 0.1 * net)), 2).alias("adjustment"))
-
-
 @query("r8_31_alias_normaliser", "SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM customer")
 def alias_normaliser(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.normalise(F.col("c_name")).alias("name"))
