@@ -114,6 +114,15 @@ def hybrid(docs: DataFrame, vectors: DataFrame, q: str, qv: list[float] | None,
     return fuse(lex, vec, limit, k, weights)
 
 
+def rerank(found: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
+    """(id, rrf_score, relevance, place) of the first rows of a fused result by the relevance that a model gave (scores: id, relevance), best first; rows
+    that it did not score come behind those, in the order of the fusion and with a null relevance. A model that failed has scored nothing, so the fusion's order stays."""
+    best = scores.where("relevance IS NOT NULL").groupBy("id").agg(F.max("relevance").alias("relevance"))
+    order = [F.desc_nulls_last("relevance"), F.desc("rrf_score"), F.col("id")]
+    top = found.select("id", "rrf_score").join(best, "id", "left").orderBy(*order).limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most `limit` rows
+
+
 def rank_in_tenants(df: DataFrame, tenant: str, id_col: str, score: str, k: int = 60, per_tenant: int = 10) -> DataFrame:
     """The best of every tenant with their reciprocal ranks, in one window over all tenants."""
     w = Window.partitionBy(tenant).orderBy(F.desc(score), id_col)

@@ -108,13 +108,11 @@ def semantic_search(spark, d):
     return top.join(e.select(F.col("vec_id").alias("id"), "label"), "id").select("id", "label", "similarity", F.col("vector_rank").cast("long").alias("place"))
 
 
-@query("r6_08_rerank", f"WITH h AS ({_rrf(_lex(20), _vec(20), 10)}) SELECT id, row_number() OVER (ORDER BY n_chars, id) AS place FROM h JOIN documents ON doc_id = id QUALIFY place <= 5")
+@query("r6_08_rerank", f"WITH h AS ({_rrf(_lex(20), _vec(20), 10)}), s AS (SELECT id, rrf_score, CASE WHEN lang <> 'en' THEN round(1.0 / n_chars, 9) END AS relevance FROM h LEFT JOIN documents ON doc_id = id) SELECT id, rrf_score, relevance, row_number() OVER (ORDER BY relevance DESC NULLS LAST, rrf_score DESC, id) AS place FROM s QUALIFY place <= 7")
 def rerank(spark, d):
-    """Candidates re-ordered by a scorer that is a column (stand-in: shorter is better); top five."""
-    h = fused(spark, d, 10)
-    j = h.join(table(spark, d, "documents"), F.col("id") == F.col("doc_id"))
-    top = j.orderBy("n_chars", "id").limit(5)
-    return top.select("id", F.row_number().over(Window.orderBy("n_chars", "id")).cast("long").alias("place"))
+    """Candidates by a given relevance (of texts that are not English; shorter is better), then the others as the fusion has them."""
+    scores = table(spark, d, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("id"), F.round(1.0 / F.col("n_chars"), 9).alias("relevance"))
+    return R.rerank(fused(spark, d, 10), scores, 7).withColumn("place", F.col("place").cast("long"))
 
 
 @query("r6_09_rerank_fallback", f"SELECT id, round(1.0 - 0.1 * (row_number() OVER (ORDER BY rrf_score DESC, id) - 1), 4)::DOUBLE AS score FROM ({_rrf(_lex(20), _vec(20), 10)})")
