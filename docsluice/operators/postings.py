@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .retrieval import query_terms, tokens
 
 #: Documents of a range on average, and folders of terms.
-RANGE_DOCS, BUCKETS = 2048, 64
+RANGE_DOCS, BUCKETS = 2048, 32
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,8 @@ def build(docs: DataFrame, id_col: str, text_col: str, path: str, tenant_col: st
     spark = docs.sparkSession
     tenant = F.col(tenant_col).cast("string") if tenant_col else F.lit(None).cast("string")
     words = docs.select(F.col(id_col).alias("id"), tenant.alias("tenant"), tokens(F.col(text_col)).alias("w"))
-    stats = words.agg(F.count("*").alias("docs"), F.avg(F.when(F.col("w").isNotNull(), F.size("w"))).alias("mean")).first()
+    # lengths are counted without splitting the texts
+    stats = docs.agg(F.count("*").alias("docs"), F.avg(F.regexp_count(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"))).alias("mean")).first()
     ranges = max(1, math.ceil(stats["docs"] / range_docs))
     counted = words.select("id", "tenant", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "tenant", "len", "term").agg(F.count("*").cast("int").alias("n"))
     placed = counted.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
