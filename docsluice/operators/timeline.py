@@ -7,7 +7,7 @@ never read: what depends on it takes an as_of.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,12 +119,37 @@ def leader_clusters(df: DataFrame, key: str, text: str, score: str, id_col: str,
     The result depends on that order, so a key's rows are one task's work; a key is one day of one tenant. Texts that share too few
     characters with a leader are not measured, and each distinct text is placed once. Null texts are empty; null scores come last.
     """
-    schema = df.select(key, id_col, score).schema
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col).reset_index(drop=True)
-        pdf["_leader"] = first_leaders(pdf[text].fillna("").tolist(), ratio)
-        best = pdf.sort_values(score, ascending=False, kind="stable", na_position="last").drop_duplicates("_leader").sort_values("_leader")
-        return best[[key, id_col, score]]
-
-    return df.select(key, id_col, score, text).groupBy(key).applyInPandas(one, schema)
+    schema, columns = df.select(key, id_col, score).schema, [key, id_col, score]
+
+    def best(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1:
+            return [rows[0][:3]]
+        first: dict[int, tuple] = {}
+        for r, leader in zip(rows, first_leaders([r[3] or "" for r in rows], ratio), strict=True):
+            s, b = r[2], first.get(leader)
+            # null and NaN come last; of equals the first stays
+            if b is None or (s is not None and s == s and (b[2] is None or b[2] != b[2] or s > b[2])):
+                first[leader] = r
+        return [first[k][:3] for k in sorted(first)]
+
+    def run(batches):
+        held, kinds = [], None
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], columns)
+
+        for b in batches:
+            kinds, done = b.schema.types, []
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and held[0][0] != r[0]:
+                    done += best(held)
+                    held = []
+                held.append(r)
+            if done:
+                yield table(done)
+        if held:
+            yield table(best(held))
+
+    # many small keys share a task's batches; a key's rows follow each other in the order of ids
+    rows = df.select(key, id_col, score, text).repartition(key).sortWithinPartitions(key, id_col)
+    return rows.mapInArrow(run, schema)

@@ -41,3 +41,20 @@ def test_ranges_meet_points_in_buckets(spark):
     want = sorted((x[1], y[1]) for x in points for y in ranges if x[0] == y[0] and y[2] <= x[1] <= y[3])
     assert sorted((x["at"], x["id"]) for x in j.collect()) == want
     assert "BroadcastHashJoin" not in plan(j)
+
+
+def test_leaders_of_small_keys_share_a_task(spark):
+    r = random.Random(7)
+    rows = [(r.randrange(60) if i % 9 else None, i, r.choice([None, float("nan"), 1.0, 2.0]), r.choice([None, "abcd", "abce", "xyz"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, id long, s double, t string").repartition(3)
+    made = timeline.leader_clusters(df, "k", "t", "s", "id", 0.7)
+    want = set()
+    for k in {x[0] for x in rows}:
+        mine = [x for x in rows if x[0] == k]
+        group = {}
+        for x, leader in zip(mine, timeline.first_leaders([x[3] or "" for x in mine], 0.7), strict=True):
+            group.setdefault(leader, []).append(x)
+        want |= {max(g, key=lambda x: (x[2] if x[2] is not None and x[2] == x[2] else -1.0, -x[1]))[1] for g in group.values()}
+    got = [x["id"] for x in made.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "FlatMapGroups" not in plan(made)
