@@ -58,3 +58,10 @@ def test_leaders_of_small_keys_share_a_task(spark):
     got = [x["id"] for x in made.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "FlatMapGroups" not in plan(made)
+
+
+def test_pairs_of_small_rows_are_many_tasks_work(spark):
+    df = spark.createDataFrame([(f"k{i % 40}", i) for i in range(2000)], "k string, id long")
+    p = pairs.statement_pairs(df, "k", "id")
+    assert p.count() == 40 * 50 * 49 // 2
+    assert p.select(F.spark_partition_id().alias("p")).distinct().count() > 1
