@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +22,16 @@ def _pairwise(measure: Callable[[str, str], float]):
 
 def jaro_winkler_column(a: Column, b: Column) -> Column:
     """Null where either text is null."""
-    return _pairwise(similarity.jaro_winkler)(a, b)
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a.notna() & b.notna()).to_numpy()
+        place, names = pd.factorize(pd.concat([a[known], b[known]], ignore_index=True))
+        out = np.full(len(a), np.nan)
+        out[known] = similarity.many_jaro_winkler(list(names), place[: known.sum()], place[known.sum() :])
+        return pd.Series(out).where(known, None)
+
+    return run(a, b)
 
 
 def indel_ratio_column(a: Column, b: Column) -> Column:

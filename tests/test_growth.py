@@ -43,6 +43,14 @@ def test_ranges_meet_points_in_buckets(spark):
     assert "BroadcastHashJoin" not in plan(j)
 
 
+def test_many_pairs_of_names_as_one_by_one():
+    r = random.Random(3)
+    names = ["", "a", "b", "ab", "ba", "é€𝄞x", "x" * 63, "x" * 64] + ["".join(r.choice("abcé 1") for _ in range(r.randrange(r.choice([4, 12, 70])))) for _ in range(150)]
+    a, b = (np.array([r.randrange(len(names)) for _ in range(20_000)]) for _ in range(2))
+    assert S.many_jaro_winkler(names, a, b).tolist() == [S.jaro_winkler(names[i], names[j]) for i, j in zip(a, b, strict=True)]
+    assert S.many_jaro_winkler([], a[:0], b[:0]).tolist() == []
+
+
 def test_leaders_of_small_keys_share_a_task(spark):
     r = random.Random(7)
     rows = [(r.randrange(60) if i % 9 else None, i, r.choice([None, float("nan"), 1.0, 2.0]), r.choice([None, "abcd", "abce", "xyz"])) for i in range(300)]
