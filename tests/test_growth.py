@@ -51,6 +51,18 @@ def test_many_pairs_of_names_as_one_by_one():
     assert S.many_jaro_winkler([], a[:0], b[:0]).tolist() == []
 
 
+def test_corrections_do_not_meet_pairs(spark):
+    r = random.Random(6)
+    said = [("t", i, r.choice(["add", "merge", "remove", "view"]), f"N{r.randrange(5)}", f"n{r.randrange(5)}") for i in range(300)]
+    met = [("t", f"n{i}", f"n{j}") for i in range(6) for j in range(6)]
+    a, b = spark.createDataFrame(met, "tenant string, a string, b string"), spark.createDataFrame(said, "tenant string, id long, kind string, alias string, merged string")
+    df = E.learned_adjustments(a, b)
+    worth = {"add": 1, "merge": 1, "remove": -1, "view": 0}
+    want = {(x, y): round(max(-0.3, min(0.3, 0.1 * sum(worth[s[2]] for s in said if {s[3].lower(), s[4]} & {x, y}))), 2) for _, x, y in met}
+    assert {(x["a"], x["b"]): x["adjustment"] for x in df.collect()} == want
+    assert moved(spark, df.collect) < 4000
+
+
 def test_leaders_of_small_keys_share_a_task(spark):
     r = random.Random(7)
     rows = [(r.randrange(60) if i % 9 else None, i, r.choice([None, float("nan"), 1.0, 2.0]), r.choice([None, "abcd", "abce", "xyz"])) for i in range(300)]
