@@ -51,6 +51,21 @@ def test_many_pairs_of_names_as_one_by_one():
     assert S.many_jaro_winkler([], a[:0], b[:0]).tolist() == []
 
 
+def test_scores_are_measured_once_for_two_names(spark):
+    rows = [("k", f"n{i % 3}", i) for i in range(60)] + [("l", "n1", 100), ("l", "n9", 99), ("l", None, 98)]
+    df = spark.createDataFrame(rows, "k string, n string, id long")
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def both(x, y):
+        asked.add(1)
+        return x + y
+
+    got = sorted(tuple(x) for x in pairs.scored_pairs(df, "k", "n", "id", lambda x, y: [both(x, y).alias("s")]).collect())
+    want = sorted((p[2], q[2], p[1] + q[1]) for p, q in itertools.permutations([x for x in rows if x[1]], 2) if p[0] == q[0] and p[2] < q[2])
+    assert got == want and asked.value == 10
+
+
 def test_corrections_do_not_meet_pairs(spark):
     r = random.Random(6)
     said = [("t", i, r.choice(["add", "merge", "remove", "view"]), f"N{r.randrange(5)}", f"n{r.randrange(5)}") for i in range(300)]
