@@ -163,10 +163,10 @@ def suspicious_pairs(spark, d):
 @query("r6_15_merge_suggestions", """WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaccard(a.p_name, b.p_name), 2) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey) SELECT * FROM p WHERE similarity >= 0.6 ORDER BY similarity DESC, a, b LIMIT 100""")
 def merge_suggestions(spark, d):
     """Pairs of one block (brand and size) by the overlap of their names' characters."""
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.array_distinct(F.filter(F.split("p_name", ""), lambda c: c != "")).alias("c"))
-    j = p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    s = F.round(F.size(F.array_intersect("a.c", "b.c")) / F.size(F.array_union("a.c", "b.c")), 2)
-    return j.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), s.alias("similarity")).where("similarity >= 0.6").orderBy(F.desc("similarity"), "a", "b").limit(100)
+    from docsluice.operators.pairs import top_similar
+
+    p = table(spark, d, "part").where("p_brand IS NOT NULL AND p_size IS NOT NULL").select("p_partkey", F.struct("p_brand", "p_size").alias("block"), F.array_distinct(F.filter(F.split("p_name", ""), lambda c: c != "")).alias("c"))
+    return top_similar(p, "block", "p_partkey", "c", 0.6, 100)
 
 
 @query("r6_16_source_merge", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_quantity) = 1")

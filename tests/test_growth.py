@@ -66,6 +66,19 @@ def test_scores_are_measured_once_for_two_names(spark):
     assert got == want and asked.value == 10
 
 
+@pytest.mark.parametrize("n", [1, 7, 40, 10_000])
+def test_top_similar_sets_are_those_of_all_pairs(spark, n):
+    r = random.Random(5)
+    rows = [(r.randrange(3), i, sorted(r.sample("abcdef", r.choice([1, 2, 2, 3])))) for i in range(150)]
+    want = []
+    for (k, i, x), (m, j, y) in itertools.combinations(rows, 2):
+        s = round(len(set(x) & set(y)) / len(set(x) | set(y)) + 1e-12, 2)
+        want += [(-s, i, j)] if k == m and s >= 0.4 else []
+    df = spark.createDataFrame([*rows, (0, 500, []), (0, 501, [])], "k int, id long, c array<string>").repartition(3)
+    got = pairs.top_similar(df, "k", "id", "c", 0.4, n)
+    assert [(x["similarity"], x["a"], x["b"]) for x in got.collect()] == [(-s, a, b) for s, a, b in sorted(want)[:n]]
+
+
 def test_corrections_do_not_meet_pairs(spark):
     r = random.Random(6)
     said = [("t", i, r.choice(["add", "merge", "remove", "view"]), f"N{r.randrange(5)}", f"n{r.randrange(5)}") for i in range(300)]
