@@ -104,12 +104,15 @@ def may_be_named(name: Column, question: str, t: float) -> Column:
 def named_in(df: DataFrame, question: str, id_col: str, name_col: str, least: float = 85.0) -> DataFrame:
     """(id, score, is_exact) of the rows whose name a question has, best first: 100 where it is contained, else the better of the
     token-set and the partial ratio, from `least` on (above 50). Of several names of one id the best counts. Names that are not contained are measured only where a
-    bound does not rule them out; no match is lost. Null names match nothing."""
+    bound does not rule them out, each distinct name once; no match is lost. Null names match nothing."""
     q = question.lower()
     rows = df.select(F.col(id_col), F.lower(F.col(name_col)).alias("n")).where(F.col("n").isNotNull())
-    inside = F.contains(F.lit(q), F.col("n"))
-    near = rows.where(~inside & may_be_named(F.col("n"), q, least / 100))
-    score = F.round(F.greatest(token_set_ratio_column(F.col("n"), F.lit(q)), partial_ratio_column(F.col("n"), F.lit(q))) * 100, DIGITS)
-    found = rows.where(inside).select(id_col, F.lit(100.0).alias("score"), F.lit(True).alias("is_exact")).unionByName(near.select(id_col, score.alias("score"), F.lit(False).alias("is_exact")).where(F.col("score") >= least))
+    # m is n: a filter on the grouping column would move below the grouping and over to the other side of the join, and measure every row
+    every, rows = rows, rows.groupBy("n").agg(F.first("n").alias("m"))
+    inside = F.contains(F.lit(q), F.col("m"))
+    near = rows.where(~inside & may_be_named(F.col("m"), q, least / 100))
+    score = F.round(F.greatest(token_set_ratio_column(F.col("m"), F.lit(q)), partial_ratio_column(F.col("m"), F.lit(q))) * 100, DIGITS)
+    found = rows.where(inside).select("n", F.lit(100.0).alias("score"), F.lit(True).alias("is_exact")).unionByName(near.select("n", score.alias("score"), F.lit(False).alias("is_exact")).where(F.col("score") >= least))
+    found = every.join(found, "n")
     best = found.groupBy(id_col).agg(F.max(F.struct("score", "is_exact")).alias("b")).select(id_col, "b.*")
     return best.orderBy(F.desc("score"), id_col)

@@ -107,6 +107,22 @@ def test_corrections_do_not_meet_pairs(spark):
     assert moved(spark, df.collect) < 4000
 
 
+def test_names_of_a_question_are_measured_once(spark, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+
+    def measure(a, b):
+        @F.pandas_udf("double")
+        def run(x, y):
+            asked.add(len(x))
+            return x.str.len() * 0.0 + 0.9
+
+        return run(a, b)
+
+    monkeypatch.setattr(fuzzy, "partial_ratio_column", measure)
+    df = spark.createDataFrame([(i, "red rung") for i in range(100)], "id long, n string").repartition(4)
+    assert fuzzy.named_in(df, "the red ring", "id", "n").count() == 100 and 1 <= asked.value <= 3
+
+
 def test_leaders_of_small_keys_share_a_task(spark):
     r = random.Random(7)
     rows = [(r.randrange(60) if i % 9 else None, i, r.choice([None, float("nan"), 1.0, 2.0]), r.choice([None, "abcd", "abce", "xyz"])) for i in range(300)]
