@@ -100,17 +100,34 @@ def link_boxes(chunks: DataFrame, boxes: DataFrame, least: float = LEAST_RATIO,
 def candidate_pages(chunks: DataFrame, boxes: DataFrame, most: int = 3) -> DataFrame:
     """(doc_id, chunk, page, shared): the pages of a document that share most words with a chunk, the lower of equals first.
 
-    Words are counted by equi joins inside a document; words that are the same on every page cost their pages and chunks.
+    Chunks and boxes are moved as sets of words, not word by word; their words meet inside the task that has their document. Words that are the same on every page cost
+    their pages and chunks. A document's chunks and boxes are one task's work.
     """
 
     def words(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         low = F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " ")), " ")
-        return df.select(*keys, F.explode(F.array_distinct(low)).alias("w")).where("w <> ''").distinct()
+        return df.where("doc_id IS NOT NULL").select(*keys, F.filter(F.array_distinct(low), lambda w: w != "").alias("w"))
 
-    j = words(chunks, ["doc_id", "chunk"], "chunk_text").join(words(boxes, ["doc_id", "page"], "box"), ["doc_id", "w"])
-    n = j.groupBy("doc_id", "chunk", "page").agg(F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "chunk").orderBy(F.desc("shared"), "page"))
-    return n.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+    c, b = words(chunks, ["doc_id", "chunk"], "chunk_text"), words(boxes, ["doc_id", "page"], "box")
+
+    def one(_key, c: pa.Table, b: pa.Table) -> pa.Table:
+        pages: dict[str, set] = {}
+        for p, w in zip(b["page"].to_pylist(), b["w"].to_pylist(), strict=True):
+            for x in w or []:
+                pages.setdefault(x, set()).add(p)
+        mine: dict[object, set] = {}
+        for k, w in zip(c["chunk"].to_pylist(), c["w"].to_pylist(), strict=True):
+            mine.setdefault(k, set()).update(w or [])
+        out = []
+        for k, w in mine.items():
+            shared = Counter(p for x in w for p in pages.get(x, ()))
+            out += [(k, p, n) for p, n in sorted(shared.items(), key=lambda s: (-s[1], s[0]))[:most]]
+        k, p, n = zip(*out, strict=True) if out else ((), (), ())
+        doc = (c if len(c) else b)["doc_id"]
+        return pa.table({"doc_id": pa.array([doc[0].as_py()] * len(out), doc.type), "chunk": pa.array(k, c["chunk"].type), "page": pa.array(p, b["page"].type), "shared": pa.array(n, pa.int64())})
+
+    kinds = dict(c.dtypes) | dict(b.dtypes)
+    return c.groupBy("doc_id").cogroup(b.groupBy("doc_id")).applyInArrow(one, f"doc_id {kinds['doc_id']}, chunk {kinds['chunk']}, page {kinds['page']}, shared long")
 
 
 def _tiers(box: Column, phrase: str, patterns: list[str], least: int) -> tuple[Column, Column]:

@@ -140,6 +140,24 @@ def test_leaders_of_small_keys_share_a_task(spark):
     assert "FlatMapGroups" not in plan(made)
 
 
+def test_candidate_pages_move_sets_not_words(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join(f"w{r.randrange(90)}" for _ in range(n))
+    docs = spark.createDataFrame([(i, "\n".join(text(12) for _ in range(30))) for i in range(20)] + [(50, ""), (51, None)], "doc_id long, text string").persist()
+    chunks, boxes = linking.line_chunks(docs), linking.line_boxes(docs)
+    found = linking.candidate_pages(chunks, boxes)
+    want = set()
+    for doc in docs.collect():
+        words = {}
+        for x in boxes.where(F.col("doc_id") == doc["doc_id"]).collect() if doc["doc_id"] < 3 else []:
+            words.setdefault(x["page"], set()).update(x["box"].split())
+        for x in chunks.where(F.col("doc_id") == doc["doc_id"]).collect() if words else []:
+            shared = sorted((-len(w & set(x["chunk_text"].split())), p) for p, w in words.items())
+            want |= {(doc["doc_id"], x["chunk"], p, -n) for n, p in shared[:3] if n}
+    assert {tuple(x) for x in found.where("doc_id < 3").collect()} == want
+    assert moved(spark, found.collect) <= 22 * (31 + 5)
+
+
 def test_pairs_of_small_rows_are_many_tasks_work(spark):
     df = spark.createDataFrame([(f"k{i % 40}", i) for i in range(2000)], "k string, id long")
     p = pairs.statement_pairs(df, "k", "id")
