@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ from docsluice.functions.fixed import CITATION_BACK, CITATION_OVERLAP, CITATION_
 #: Where to split, the coarsest first.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
 
+#: Characters of windows that a task holds before it hands them on.
+HELD = 1 << 20
+
 
 def words(text: str) -> int:
     """The default measure of a chunk; a tokenizer's count may be passed instead."""
@@ -118,13 +122,31 @@ def citation_windows(text: str, size: int = CITATION_WINDOW, overlap: int = CITA
     return [*out, text[at:]]
 
 
+def cut_batches(cut: Callable[[str], list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text) batches to (id, place, piece) batches of about HELD characters."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        i, k, w = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int32()), pa.array(w, pa.string())], ["id", "place", "piece"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, held = [], 0
+            for i, t in zip(b.column(0), b.column(1), strict=True):  # one text at a time is a Python object
+                for k, w in enumerate(cut(t.as_py() or "")):
+                    rows.append((i.as_py(), k, w))
+                    held += len(w)
+                    if held >= HELD:
+                        yield batch(rows)
+                        rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return run
+
+
 def sentence_windows(df: DataFrame, id_col: str, text_col: str, cut: Callable[[str], list[str]] = windows) -> DataFrame:
     """(id, place, piece) of the windows of each text; null texts are empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, k, w) for i, t in zip(pdf["id"], pdf["text"], strict=True) for k, w in enumerate(cut(t or ""))]
-            yield pd.DataFrame(rows, columns=["id", "place", "piece"])
-
     part = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return part.mapInPandas(run, "id long, place int, piece string").withColumnRenamed("id", id_col)
+    return part.mapInArrow(cut_batches(cut), "id long, place int, piece string").withColumnRenamed("id", id_col)

@@ -140,6 +140,13 @@ def test_leaders_of_small_keys_share_a_task(spark):
     assert "FlatMapGroups" not in plan(made)
 
 
+def test_windows_are_handed_on_in_small_batches():
+    texts = [f"{i} " * 400_000 if i < 6 else None for i in range(7)]
+    made = list(chunking.cut_batches(chunking.windows)([pa.RecordBatch.from_pydict({"id": list(range(7)), "text": texts})]))
+    assert [tuple(x.values()) for b in made for x in b.to_pylist()] == [(i, k, w) for i, t in enumerate(texts) for k, w in enumerate(chunking.windows(t or ""))]
+    assert max(b.nbytes for b in made) < 2 * chunking.HELD
+
+
 def test_candidate_pages_move_sets_not_words(spark):
     r = random.Random(8)
     text = lambda n: " ".join(f"w{r.randrange(90)}" for _ in range(n))
