@@ -21,6 +21,8 @@ from .retrieval import query_terms, tokens
 
 #: Documents of a range on average, and folders of terms.
 RANGE_DOCS, BUCKETS = 2048, 32
+#: Ranges whose blocks of a folder are sorted and written by one task.
+FILE_RANGES = 32
 
 
 @dataclass(frozen=True)
@@ -41,19 +43,23 @@ def bucket(term: Column, buckets: int) -> Column:
 def build(docs: DataFrame, id_col: str, text_col: str, path: str, tenant_col: str | None = None, range_docs: int = RANGE_DOCS, buckets: int = BUCKETS) -> Postings:
     """Write the index of a table under `path` and open it. Ids are keys; null and empty texts are documents without terms, of which only the empty ones have a length.
 
-    Words are counted inside each document by a partial aggregate, before anything moves; one shuffle brings a term's postings of a range together.
+    Texts move once, to their range, where words are counted and blocks are made; finished blocks move once more, to their folder, as arrays of numbers. What moves is
+    so a small multiple of the texts, however large they are.
     """
     spark = docs.sparkSession
     tenant = F.col(tenant_col).cast("string") if tenant_col else F.lit(None).cast("string")
-    words = docs.select(F.col(id_col).alias("id"), tenant.alias("tenant"), tokens(F.col(text_col)).alias("w"))
     # lengths are counted without splitting the texts
     stats = docs.agg(F.count("*").alias("docs"), F.avg(F.regexp_count(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"))).alias("mean")).first()
     ranges = max(1, math.ceil(stats["docs"] / range_docs))
-    counted = words.select("id", "tenant", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "tenant", "len", "term").agg(F.count("*").cast("int").alias("n"))
-    placed = counted.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
-    block = placed.groupBy("term", "range").agg(F.collect_list(F.struct("id", "n", "len", "tenant")).alias("postings"))
-    block = block.select("term", "range", F.size("postings").alias("size"), F.array_max("postings.n").alias("most"), F.array_min("postings.len").alias("shortest"), F.array_max(F.transform("postings", lambda p: p["n"] / p["len"])).alias("densest"), "postings")
-    out = block.withColumn("bucket", bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term", "range")
+    rows = docs.select(F.col(id_col).alias("id"), tenant.alias("tenant"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(ranges)).cast("int").alias("range"))
+    words = rows.repartition(min(ranges, 1 << 14), "range").select("range", "id", "tenant", tokens("text").alias("w"))
+    # a range's rows are together, so neither aggregate moves them again
+    counted = words.select("range", "id", "tenant", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("range", "id", "tenant", "len", "term").agg(F.count("*").cast("int").alias("n"))
+    block = counted.groupBy("term", "range").agg(F.collect_list(F.struct("id", "n", "len", "tenant")).alias("p"))
+    block = block.select("term", "range", F.size("p").alias("size"), F.array_max("p.n").alias("most"), F.array_min("p.len").alias("shortest"), F.array_max(F.transform("p", lambda p: p["n"] / p["len"])).alias("densest"), *[F.col(f"p.{c}").alias(c) for c in ("id", "n", "len", "tenant")])
+    block = block.withColumns({"bucket": bucket(F.col("term"), buckets), "_part": F.floor(F.col("range") / FILE_RANGES)})
+    out = block.repartition(min(buckets * math.ceil(ranges / FILE_RANGES), 1 << 14), "bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term", "range")
+    out = out.withColumn("postings", F.arrays_zip("id", "n", "len", "tenant")).drop("id", "n", "len", "tenant")
     out.write.partitionBy("bucket").option("parquet.block.size", 1 << 22).parquet(f"{path}/blocks")
     spark.createDataFrame([(stats["docs"], float(stats["mean"] or 0), ranges, buckets)], "docs long, mean double, ranges int, buckets int").coalesce(1).write.parquet(f"{path}/stats")
     return open_index(spark, path)

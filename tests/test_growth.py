@@ -32,6 +32,14 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_an_index_moves_texts_and_blocks_not_words(spark, tmp_path):
+    r = random.Random(1)
+    df = spark.createDataFrame([(i, " ".join(f"w{r.randrange(200)}" for _ in range(400)), "t") for i in range(200)], "id long, text string, tenant string").repartition(4).persist()
+    df.count()
+    n = moved(spark, lambda: postings.build(df, "id", "text", f"{tmp_path}/p", "tenant", range_docs=50, buckets=4))
+    assert n < 200 + 4 * 200 + 300  # texts, blocks of 200 words in 4 ranges, and a few; words by themselves are over 30,000
+
+
 def test_ranges_meet_points_in_buckets(spark):
     r = random.Random(2)
     points = [(r.randrange(3), r.randrange(-300, 300)) for _ in range(300)]
