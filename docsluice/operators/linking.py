@@ -106,18 +106,18 @@ def candidate_pages(chunks: DataFrame, boxes: DataFrame, most: int = 3) -> DataF
 
     def words(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         low = F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " ")), " ")
-        return df.where("doc_id IS NOT NULL").select(*keys, F.filter(F.array_distinct(low), lambda w: w != "").alias("w"))
+        return df.where("doc_id IS NOT NULL").select(*keys, F.array_join(F.filter(F.array_distinct(low), lambda w: w != ""), " ").alias("w"))
 
     c, b = words(chunks, ["doc_id", "chunk"], "chunk_text"), words(boxes, ["doc_id", "page"], "box")
 
     def one(_key, c: pa.Table, b: pa.Table) -> pa.Table:
         pages: dict[str, set] = {}
         for p, w in zip(b["page"].to_pylist(), b["w"].to_pylist(), strict=True):
-            for x in w or []:
+            for x in w.split(" ") if w else ():
                 pages.setdefault(x, set()).add(p)
         mine: dict[object, set] = {}
         for k, w in zip(c["chunk"].to_pylist(), c["w"].to_pylist(), strict=True):
-            mine.setdefault(k, set()).update(w or [])
+            mine.setdefault(k, set()).update(w.split(" ") if w else ())
         out = []
         for k, w in mine.items():
             shared = Counter(p for x in w for p in pages.get(x, ()))
