@@ -28,13 +28,15 @@ from .components import components
 from .simhash import SEED, print_links, shingle_hashes, vote
 
 SHINGLE = 5
-#: Texts of the sample for the order, which has one text of RATE at least however many there are, and the most frequent shingles that it may name.
-SAMPLE, RATE, MOST_FREQUENT = 4_000, 1_000, 100_000
+#: Texts of the sample for the order, which has one text of RATE at least however many there are, and the most frequent shingles that it may name. With one of 32
+#: a shingle of a hundred texts is seen twice, so what only chance brings together is no crowd, whatever the size of the table.
+SAMPLE, RATE, MOST_FREQUENT = 4_000, 32, 100_000
 #: Where sets meet at a shingle each is first compared with one of them: once, and again, up to ROUNDS times, while a set still meets
 #: more than CROWD others on average and a turn leaves at most half of the places. Then all that are left are compared.
 CROWD, ROUNDS = 64, 4
-#: Of crowds then left, sets of up to SMALL hashes are compared inside tasks, TILE against TILE sets; larger ones are as many words of text each.
-SMALL, TILE = 2_048, 1_024
+#: Of crowds then left, sets of up to SMALL hashes are compared inside tasks, TILE against TILE sets and there STRIP against STRIP; larger ones are as many words of text each.
+#: Hashes that several sets of a tile have are columns of a matrix if they are WIDE or fewer, and products of it are exact.
+SMALL, TILE, STRIP, WIDE = 2_048, 2_048, 1_024, 8_192
 #: Hashes a part of the hashes' range, of which a set has a power of two: LEAST_PARTS to MOST_PARTS. The sum of the smaller
 #: counts in all parts bounds what two sets share.
 PART, LEAST_PARTS, MOST_PARTS = 2, 32, 1 << 14
@@ -79,12 +81,12 @@ def sets(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def frequent(df: DataFrame, text_col: str) -> np.ndarray:
-    """Shingles of several texts of the sample, rarer ones first. The sample goes by the texts, so it is the same on every run; what stands in several
-    thousand texts is seen in it, whatever the size of the table."""
+    """Shingles of several texts of the sample, rarer ones first. The sample goes by the texts, so it is the same on every run; what stands in some
+    hundred texts is seen in it, whatever the size of the table."""
     every = min(RATE, max(1, df.count() // SAMPLE))
     some = df.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
     listed = sets(some, "text").dropDuplicates(["s"]).select(F.explode("hashes").alias("h"))
-    top = listed.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).collect()
+    top = listed.groupBy("h").count().where("count >= 2").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).collect()
     return np.array([r["h"] for r in reversed(top)], dtype=np.int64)
 
 
@@ -122,7 +124,8 @@ def shared(rows: DataFrame) -> DataFrame:
     one = rows.groupBy("s").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
     keys = one.select("s", "n", F.posexplode("hashes").alias("at", "h")).repartition("h")
     # of two sets the smaller one meets the bound only in the first ninth of its list
-    several = keys.where("9 * at <= n").groupBy("h").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    first = F.when(9 * F.col("at") <= F.col("n"), F.col("s"))  # no filter, so both sides of the join have one exchange
+    several = keys.groupBy("h").agg(F.min(first).alias("low"), F.max(first).alias("high"))
     return save(keys.join(several, "h").where("s <> low OR low <> high").select("h", "s", "n", "at"), "shared")
 
 
@@ -163,17 +166,32 @@ def with_all(live: DataFrame, where: str = "true") -> DataFrame:
     return _ordered(x.join(y, "h").where(f"x.c <> y.c AND {BOUND}").where(where))
 
 
-def _bits(hashes: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(hashes), width), np.float32)
-    for i, h in enumerate(hashes):
-        out[i, (h.view(np.uint64) % np.uint64(width)).astype(np.int64)] = 1
+def _columns(hashes: list[np.ndarray]) -> tuple[list[np.ndarray], int, bool]:
+    """(columns of each set, their number, whether products of them are exact): a column for each hash that several sets have; if these are too many, one for
+    each remainder of the hashes."""
+    values, at, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    several = times > 1
+    if exact := int(several.sum()) <= WIDE:
+        width, at, kept = max(1, int(several.sum())), (np.cumsum(several) - 1)[at], several[at]
+    else:
+        width = 1 << int(np.clip(16 * max(map(len, hashes)), 1_024, WIDE)).bit_length() - 1
+        at, kept = (values.view(np.uint64) % np.uint64(width)).astype(np.int64)[at], np.ones(len(at), bool)
+    ends = np.cumsum([len(h) for h in hashes])
+    return [at[b - len(h) : b][kept[b - len(h) : b]] for b, h in zip(ends.tolist(), hashes, strict=True)], width, exact
+
+
+def _bits(columns: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(columns), width), np.float32)
+    for i, c in enumerate(columns):
+        out[i, c] = 1
     return out
 
 
 def linked(s: np.ndarray, n: np.ndarray, c: np.ndarray, block: np.ndarray, hashes: list[np.ndarray], i: int, j: int) -> list[tuple[int, int]]:
     """Similar pairs of block i with block j, so many as connect what is similar: sets of one component, or connected already, are not compared.
 
-    Products of bit rows, with what collides inside a set added, bound what two sets share; only pairs that the bound leaves are intersected.
+    Products of bit rows, a strip at a time, are what two sets share. If there are too many hashes for that they bound it, with what collides inside a set added;
+    only pairs that the bound leaves are intersected.
     """
     own = {v: v for v in c.tolist()}
 
@@ -183,19 +201,29 @@ def linked(s: np.ndarray, n: np.ndarray, c: np.ndarray, block: np.ndarray, hashe
             v = own[v]
         return v
 
-    bits = _bits(hashes, 1 << int(np.clip(16 * int(n.max()), 1_024, 8_192)).bit_length() - 1)
-    lost = n - bits.sum(axis=1)
-    one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    most = bits[one] @ bits[two].T + np.minimum(lost[one][:, None], lost[two][None, :])
-    may = (9 * most >= 4 * (n[one][:, None] + n[two][None, :])) & (c[one][:, None] != c[two][None, :])
-    if i == j:
-        may &= np.arange(len(one))[:, None] < np.arange(len(two))[None, :]
+    columns, width, exact = _columns(hashes)
+    lost = np.zeros(len(s), np.int64) if exact else n - np.array([len(np.unique(x)) for x in columns])
     out = []
-    for x, y in zip(*(v[k] for v, k in zip((one, two), np.nonzero(may), strict=True)), strict=True):
-        a, b = root(int(c[x])), root(int(c[y]))
-        if a != b and 9 * len(np.intersect1d(hashes[x], hashes[y], assume_unique=True)) >= 4 * (n[x] + n[y]):
-            own[max(a, b)] = min(a, b)
-            out.append((int(s[x]), int(s[y])))
+
+    def strip(one: np.ndarray, two: np.ndarray, bits: np.ndarray, same: bool) -> None:
+        now = np.array([root(v) for v in c.tolist()])
+        other = bits if same else _bits([columns[k] for k in two], width)
+        most = bits @ other.T + np.minimum(lost[one][:, None], lost[two][None, :])
+        may = (9 * most >= 4 * (n[one][:, None] + n[two][None, :])) & (now[one][:, None] != now[two][None, :])
+        if same:
+            may &= np.arange(len(one))[:, None] < np.arange(len(two))[None, :]
+        for x, y in zip(*(v[k].tolist() for v, k in zip((one, two), np.nonzero(may), strict=True)), strict=True):
+            a, b = root(int(c[x])), root(int(c[y]))
+            if a != b and (exact or 9 * len(np.intersect1d(hashes[x], hashes[y], assume_unique=True)) >= 4 * (n[x] + n[y])):
+                own[max(a, b)] = min(a, b)
+                out.append((int(s[x]), int(s[y])))
+
+    first, second = ([v[k : k + STRIP] for k in range(0, len(v), STRIP)] for v in (np.flatnonzero(block == i), np.flatnonzero(block == j)))
+    for x, one in enumerate(first):
+        bits = _bits([columns[k] for k in one], width)
+        for y, two in enumerate(second):
+            if i != j or x <= y:
+                strip(one, two, bits, i == j and x == y)
     return out
 
 

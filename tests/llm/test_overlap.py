@@ -125,3 +125,24 @@ def test_stage_drops_edited_copies(spark, tmp_path):
     out = dict(C.STAGES)["SimHash near-dedup"](spark, df, str(tmp_path))
     want = kept(texts)
     assert {r.doc_id for r in out.collect()} == want and len(want) < 100
+
+
+@pytest.mark.parametrize(("strip", "wide"), [(1024, 8192), (7, 8192), (7, 64)])
+def test_strips_and_columns_do_not_change_the_links(strip, wide, monkeypatch):
+    monkeypatch.setattr(O, "STRIP", strip)
+    monkeypatch.setattr(O, "WIDE", wide)
+    test_tiles_link_what_is_similar()
+
+
+def test_the_order_knows_what_stands_in_a_twentieth_of_many_texts(spark, monkeypatch):
+    """Else such a shingle's texts are a crowd that grows with the table. With one text of 400, as before, none of it is named."""
+    monkeypatch.setattr(O, "SAMPLE", 10)
+    rng = random.Random(8)
+    texts = [(i, ("this stands in some of them " if i % 20 == 0 else "") + " ".join(f"w{rng.randrange(10**6)}" for _ in range(8))) for i in range(4000)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    assert set(O.shingles(b"this stands in some of them").tolist()) <= set(O.frequent(df, "text").tolist())
+
+
+def test_places_are_dealt_by_shingle_once(spark):
+    rows = spark.createDataFrame([(1, 9, [1, 2]), (2, 9, [1, 3]), (2, 9, [1, 3])], "s long, n int, hashes array<long>")
+    assert sorted(map(tuple, O.shared(rows).collect())) == [(1, 1, 9, 0), (1, 2, 9, 0)]
