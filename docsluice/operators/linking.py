@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from docsluice.functions.alignment import Text
+from docsluice.functions.alignment import Text, places
 
 #: Lines of a page; the indel ratio from which a stretch is a chunk's; words that a box and a chunk must share.
 PAGE_LINES, LEAST_RATIO, LEAST_WORDS = 5, 0.65, 3
+#: Chunks, of several documents, that are looked for at once.
+JOBS = 512
 
 
 def line_boxes(docs: DataFrame) -> DataFrame:
@@ -60,41 +65,58 @@ def link_boxes(chunks: DataFrame, boxes: DataFrame, least: float = LEAST_RATIO,
     (doc_id, place) are keys; a document's chunks and boxes are one task's work.
     """
 
-    def one(_key, c: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.sort_by("place")
-        text, page, place = [normal(t) for t in b["box"].to_pylist()], b["page"].to_pylist(), b["place"].to_pylist()
+    kinds = dict(chunks.dtypes) | dict(boxes.dtypes)
+    c, b = [F.col(x).alias(x) for x in ("chunk", "chunk_text")], [F.col(x).alias(x) for x in ("place", "page", "box")]
+    sides = [(chunks, F.struct(*c), F.lit(None)), (boxes, F.lit(None), F.struct(*b))]
+    kind = f"struct<chunk:{kinds['chunk']},chunk_text:string>", f"struct<place:{kinds['place']},page:{kinds['page']},box:string>"
+    rows = [df.select("doc_id", x.cast(kind[0]).alias("c"), y.cast(kind[1]).alias("b")) for df, x, y in sides]
+    docs = rows[0].unionByName(rows[1]).groupBy("doc_id").agg(F.collect_list("c").alias("c"), F.sort_array(F.collect_list("b")).alias("b")).where(F.size("c") > 0)
+
+    def prepared(c: list[dict], b: list[dict]) -> tuple[list, list]:
+        """What the links need of a document, and its jobs (text, chunk); jobs of the same pages share a text."""
+        text, page = [normal(x["box"]) for x in b], [x["page"] for x in b]
         words = [set(t.split()) for t in text]
         by_page: dict[int, set] = {}
         for p, w in zip(page, words, strict=True):
             by_page.setdefault(p, set()).update(w)
-        made: dict[tuple, tuple] = {}
-
-        def among(some: list[int] | None) -> tuple:
-            key = tuple(some) if some is not None else ()
-            if key not in made:
-                rows = [i for i in range(len(text)) if some is None or page[i] in some]
-                size = np.array([len(text[i]) + 1 for i in rows], np.int64)
+        key, made = None, None
+        kept, jobs = [], []
+        for x in c:
+            t = normal(x["chunk_text"])
+            some = tuple(_candidates(set(t.split()), by_page, pages)) if pages else ()
+            if made is None or some != key:
+                mine = [i for i in range(len(text)) if not pages or page[i] in some]
+                size = np.array([len(text[i]) + 1 for i in mine], np.int64)
                 starts = np.cumsum(size) - size
-                if some is not None:
-                    made.clear()  # neighbouring chunks look in the same pages
-                made[key] = rows, Text(" ".join(text[i] for i in rows)), starts, starts + size - 1, [words[i] for i in rows]
-            return made[key]
-
+                key, made = some, (mine, starts, starts + size - 1, [words[i] for i in mine], Text(" ".join(text[i] for i in mine)))
+            kept.append((x["chunk"], t, made))
+            jobs.append((made[4], t))
+        return kept, jobs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, jobs = [], []
+            for k in range(batch.num_rows):
+                b = batch["b"][k].as_py()
+                kept, mine = prepared(batch["c"][k].as_py(), b)
+                held += [(batch["doc_id"][k].as_py(), b, *x) for x in kept]
+                jobs += mine
+                if len(jobs) >= JOBS or k == batch.num_rows - 1:
+                    yield linked(held, places(jobs, least))
+                    held, jobs = [], []
+
+    def linked(held: list, found: list) -> pa.RecordBatch:
         out = []
-        for k, t in zip(c["chunk"].to_pylist(), c["chunk_text"].to_pylist(), strict=True):
-            t = normal(t)
-            rows, whole, starts, ends, w = among(_candidates(set(t.split()), by_page, pages) if pages else None)
-            at = whole.place(t, least)
-            mine = [rows[i] for i in _linked(t, at[:2], starts, ends, w)] if at else []
-            on = Counter(page[i] for i in mine)
-            out.append((k, round(at[2], 6) if at else None, [place[i] for i in mine], min(on, key=lambda p: (-on[p], p)) if on else None))
-        if not len(c):
-            return pa.table({"doc_id": c["doc_id"], "chunk": pa.array([], pa.int32()), "ratio": pa.array([], pa.float64()), "places": pa.array([], pa.list_(pa.int32())), "page": pa.array([], pa.int64())})
-        k, ratio, places, on = zip(*out, strict=True)
-        return pa.table({"doc_id": c["doc_id"], "chunk": pa.array(k, pa.int32()), "ratio": pa.array(ratio, pa.float64()), "places": pa.array(places, pa.list_(pa.int32())), "page": pa.array(on, pa.int64())})
-
-    kind = dict(chunks.select("doc_id").dtypes)["doc_id"]
-    return chunks.groupBy("doc_id").cogroup(boxes.groupBy("doc_id")).applyInArrow(one, f"doc_id {kind}, {LINKS}")
+        for (doc, b, k, t, (rows, starts, ends, words, _)), at in zip(held, found, strict=True):
+            mine = [rows[i] for i in _linked(t, at[:2], starts, ends, words)] if at else []
+            on = Counter(b[i]["page"] for i in mine)
+            out.append((doc, k, round(at[2], 6) if at else None, [b[i]["place"] for i in mine], min(on, key=lambda p: (-on[p], p)) if on else None))
+        columns = zip(*out, strict=True) if out else ([],) * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    out = f"doc_id {kinds['doc_id']}, {LINKS}"
+    schema = to_arrow_schema(StructType.fromDDL(out))
+    return docs.mapInArrow(run, out)
 
 
 def candidate_pages(chunks: DataFrame, boxes: DataFrame, most: int = 3) -> DataFrame:

@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from docsluice.functions.alignment import RUN, Text, codes, distances
-from docsluice.functions.similarity import indel_ratio
+from docsluice.functions.alignment import RUN, Text, codes, distances, many_distances, many_lcs, places
+from docsluice.functions.similarity import indel_ratio, lcs
 from docsluice.operators.linking import candidate_pages, line_boxes, line_chunks, link_boxes
 
 VOCABULARY = [f"{a}{b}{c}" for a in ("con", "re", "pre", "ad") for b in ("tract", "ject", "vise", "mand", "port") for c in ("ed", "ing", "ion", "or")]
@@ -109,3 +109,31 @@ def test_distances_are_those_of_the_full_table():
         got = distances(codes(a), codes(b)).tolist()
         for e in range(len(b) + 1):
             assert got[e] == min(len(a) + len(x) - round(indel_ratio(a, x) * (len(a) + len(x))) for x in (b[s:e] for s in range(e + 1)))
+
+
+def test_many_texts_are_found_as_one_by_one():
+    r = random.Random(7)
+    texts = [Text(" ".join(r.choice(VOCABULARY) for _ in range(n))) for n in (0, 3, 40, 150)] + [Text("\U0001f600é" * 60)]
+    jobs = []
+    for _ in range(150):
+        t = r.choice(texts)
+        k = r.randrange(max(1, len(t.text) - 60))
+        jobs.append((t, slip(t.text[k : k + r.choice([0, 5, 64, 65, 300])], r)))
+    assert places(jobs, 0.65) == [t.place(a, 0.65) for t, a in jobs] and places([], 0.65) == []
+
+
+def test_many_common_subsequences_and_distances_at_once():
+    r = random.Random(9)
+    some = ["".join(r.choice("abc\U0001f600") for _ in range(r.choice([1, 63, 64, 65, 128, 200]))) for _ in range(20)]
+    pairs = [(r.randrange(20), r.choice([*some, "", "zzz"])) for _ in range(80)]
+    assert many_lcs([codes(a) for a in some], [(k, codes(b)) for k, b in pairs]).tolist() == [lcs(some[k], b) for k, b in pairs]
+    got = many_distances([(codes(some[k]), codes(b)) for k, b in pairs])
+    assert all(x.tolist() == distances(codes(some[k]), codes(b)).tolist() for x, (k, b) in zip(got, pairs, strict=True))
+
+
+def test_documents_share_batches(spark):
+    """One call of Python for many documents, null ids too; a call for each document was most of the time of small ones."""
+    df = spark.createDataFrame([(None if i == 3 else i, f"some line {i}\nanother line of {i}") for i in range(50)], "doc_id long, text string")
+    got = link_boxes(line_chunks(df), line_boxes(df))
+    assert "CoGroup" not in got._jdf.queryExecution().toString()
+    assert sorted((r["doc_id"] or 3, r["ratio"], r["places"], r["page"]) for r in got.where("doc_id IS NULL OR doc_id > 0").collect()) == [(i, 1.0, [0, 1], 0) for i in range(1, 50)]
