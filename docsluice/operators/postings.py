@@ -14,13 +14,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .retrieval import query_terms, tokens
+from .retrieval import query_terms
 
 #: Documents of a range on average, and folders of terms.
 RANGE_DOCS, BUCKETS = 2048, 32
+#: Bytes of the texts of a range on average: a task holds one range.
+RANGE_BYTES = 1 << 23
 #: Ranges whose blocks of a folder are sorted and written by one task.
 FILE_RANGES = 32
 
@@ -40,28 +45,53 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build(docs: DataFrame, id_col: str, text_col: str, path: str, tenant_col: str | None = None, range_docs: int = RANGE_DOCS, buckets: int = BUCKETS) -> Postings:
+def _blocks(table: pa.Table) -> pa.Table:
+    """The blocks of one range, from its documents (range, id, tenant, words; words: set apart by single spaces)."""
+    own = table["range"][0].as_py()
+    table = table.filter(pc.not_equal(table["words"], "")).combine_chunks().sort_by("id")
+    words = pc.split_pattern(table["words"].combine_chunks(), " ")
+    length = pc.list_value_length(words).to_numpy()
+    terms = pc.dictionary_encode(words.flatten())
+    # a word of a document is one number, term before document: equal ones are counted, those of a term lie together
+    docs = len(table)
+    key, n = np.unique(terms.indices.to_numpy().astype(np.int64) * docs + np.repeat(np.arange(docs), length), return_counts=True)
+    term, doc = np.divmod(key, docs)
+    start = np.flatnonzero(np.diff(term, prepend=-1))
+    offsets = pa.array(np.append(start, len(key)), pa.int32())
+    n, length = n.astype(np.int32), length.astype(np.int32)[doc]
+    lists = {"id": table["id"].combine_chunks().take(pa.array(doc)), "n": pa.array(n), "len": pa.array(length), "tenant": table["tenant"].combine_chunks().take(pa.array(doc))}
+    columns = {
+        "term": terms.dictionary.take(pa.array(term[start])), "range": pa.array(np.full(len(start), own, np.int32)), "size": pa.array(np.diff(offsets.to_numpy())),
+        "most": pa.array(np.maximum.reduceat(n, start)), "shortest": pa.array(np.minimum.reduceat(length, start)), "densest": pa.array(np.maximum.reduceat(n / length, start)), "words": pa.array(np.add.reduceat(n, start, dtype=np.int64)),
+    }
+    return pa.table(columns | {c: pa.ListArray.from_arrays(offsets, x) for c, x in lists.items()})
+
+
+def build(docs: DataFrame, id_col: str, text_col: str, path: str, tenant_col: str | None = None, range_docs: int = RANGE_DOCS, buckets: int = BUCKETS, range_bytes: int = RANGE_BYTES) -> Postings:
     """Write the index of a table under `path` and open it. Ids are keys; null and empty texts are documents without terms, of which only the empty ones have a length.
 
-    Texts move once, to their range, where words are counted and blocks are made; finished blocks move once more, to their folder, as arrays of numbers. What moves is
-    so a small multiple of the texts, however large they are.
+    Texts move once, as words, to their range, whose blocks are made at once from arrays; finished blocks move once more, to their folder, as arrays of numbers. What moves is
+    so a small multiple of the texts, however large they are, and a task holds a range, which has neither many documents nor long texts.
     """
     spark = docs.sparkSession
     tenant = F.col(tenant_col).cast("string") if tenant_col else F.lit(None).cast("string")
-    # lengths are counted without splitting the texts
-    stats = docs.agg(F.count("*").alias("docs"), F.avg(F.regexp_count(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"))).alias("mean")).first()
-    ranges = max(1, math.ceil(stats["docs"] / range_docs))
-    rows = docs.select(F.col(id_col).alias("id"), tenant.alias("tenant"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(ranges)).cast("int").alias("range"))
-    words = rows.repartition(min(ranges, 1 << 14), "range").select("range", "id", "tenant", tokens("text").alias("w"))
-    # a range's rows are together, so neither aggregate moves them again
-    counted = words.select("range", "id", "tenant", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("range", "id", "tenant", "len", "term").agg(F.count("*").cast("int").alias("n"))
-    block = counted.groupBy("term", "range").agg(F.collect_list(F.struct("id", "n", "len", "tenant")).alias("p"))
-    block = block.select("term", "range", F.size("p").alias("size"), F.array_max("p.n").alias("most"), F.array_min("p.len").alias("shortest"), F.array_max(F.transform("p", lambda p: p["n"] / p["len"])).alias("densest"), *[F.col(f"p.{c}").alias(c) for c in ("id", "n", "len", "tenant")])
+    text = F.col(text_col)
+    stats = docs.agg(F.count("*").alias("docs"), F.count(text).alias("texts"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    ranges = max(1, math.ceil(stats["docs"] / range_docs), math.ceil((stats["bytes"] or 0) / range_bytes))
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(ranges)).cast("int").alias("range"), F.col(id_col).cast("long").alias("id"), tenant.alias("tenant"), words.alias("words"))
+    lists = "id array<long>, n array<int>, len array<int>, tenant array<string>"
+    # documents without words are left out by the function: a filter would be pushed below the exchange and clean every text twice
+    moved = rows.repartition(min(ranges, 1 << 14), "range")
+    block = moved.groupBy("range").applyInArrow(_blocks, f"term string, range int, size int, most int, shortest int, densest double, words long, {lists}")
     block = block.withColumns({"bucket": bucket(F.col("term"), buckets), "_part": F.floor(F.col("range") / FILE_RANGES)})
     out = block.repartition(min(buckets * math.ceil(ranges / FILE_RANGES), 1 << 14), "bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term", "range")
     out = out.withColumn("postings", F.arrays_zip("id", "n", "len", "tenant")).drop("id", "n", "len", "tenant")
     out.write.partitionBy("bucket").option("parquet.block.size", 1 << 22).parquet(f"{path}/blocks")
-    spark.createDataFrame([(stats["docs"], float(stats["mean"] or 0), ranges, buckets)], "docs long, mean double, ranges int, buckets int").coalesce(1).write.parquet(f"{path}/stats")
+    # words are counted in the blocks, so texts are split once
+    total = spark.read.schema("words long").parquet(f"{path}/blocks").agg(F.sum("words").alias("words")).first()["words"] if stats["bytes"] else None
+    mean = (total or 0) / (stats["texts"] or 1)
+    spark.createDataFrame([(stats["docs"], mean, ranges, buckets)], "docs long, mean double, ranges int, buckets int").coalesce(1).write.parquet(f"{path}/stats")
     return open_index(spark, path)
 
 

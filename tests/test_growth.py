@@ -40,6 +40,21 @@ def test_an_index_moves_texts_and_blocks_not_words(spark, tmp_path):
     assert n < 200 + 4 * 200 + 300  # texts, blocks of 200 words in 4 ranges, and a few; words by themselves are over 30,000
 
 
+def test_an_index_makes_no_row_of_a_word_and_its_ranges_hold_few_bytes(spark, tmp_path):
+    sizes = [400_000 + i for i in range(24)]
+    df = spark.createDataFrame([(i, "Word " * (n - 1) + f"w{i}", "t") for i, n in enumerate(sizes)], "id long, text string, tenant string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    ix = postings.build(df, "id", "text", f"{tmp_path}/p", "tenant")
+    done = store.executionsList()
+    plans = [done.apply(i).physicalPlanDescription() for i in range(before, done.size())]
+    assert any("FlatMapGroupsInArrow" in p for p in plans)
+    assert not any("Generate" in p or "ObjectHashAggregate" in p for p in plans)
+    assert ix.ranges == -(-sum(5 * n for n in sizes) // postings.RANGE_BYTES)  # last words are shorter by a few bytes
+    assert ix.mean == sum(sizes) / len(sizes)
+    assert [tuple(r) for r in postings.lexical(ix, "word w3", 2).collect()] == [(23, 400_022.0, 1), (22, 400_021.0, 2)]
+
+
 def test_ranges_meet_points_in_buckets(spark):
     r = random.Random(2)
     points = [(r.randrange(3), r.randrange(-300, 300)) for _ in range(300)]
