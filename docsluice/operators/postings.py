@@ -12,6 +12,7 @@ scan: no document is lost, and ties go by id.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,35 +43,72 @@ class Postings:
 
 
 def bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return (F.crc32(term.cast("binary")) % buckets).cast("int")
+
+
+#: What a range gives to a folder: its terms, set apart by spaces, the postings of each (how many, which of the row's documents, how often), and those documents.
+PACKED = "bucket int, part long, range int, terms string, size array<int>, doc array<int>, n array<int>, id array<long>, len array<int>, tenant array<string>"
+POSTINGS = "array<struct<id:long,n:int,len:int,tenant:string>>"
+
+
+def _packed(buckets: int):
+    """The postings of one range, a row for each folder, from its documents (range, id, tenant, words; words: set apart by single spaces)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, out = table["range"][0].as_py(), []
+        table = table.filter(pc.not_equal(table["words"], "")).combine_chunks().sort_by("id")
+        words = pc.split_pattern(table["words"].combine_chunks(), " ")
+        length = pc.list_value_length(words).to_numpy()
+        terms, docs = pc.dictionary_encode(words.flatten()), len(table)
+        names = np.array(terms.dictionary.to_pylist(), object)
+        folder = np.array([zlib.crc32(t.encode()) % buckets for t in names], np.int64)
+        # terms are numbered by folder and then as they sort
+        order = np.lexsort((np.argsort(pc.sort_indices(terms.dictionary).to_numpy()), folder))
+        names, folder, place = names[order], folder[order], np.argsort(order)
+        # a word of a document is one number, term before document: equal ones are counted, those of a term lie together
+        key, n = np.unique(place[terms.indices.to_numpy()] * docs + np.repeat(np.arange(docs), length), return_counts=True)
+        term, doc = np.divmod(key, docs)
+        size = np.bincount(term, minlength=len(names))
+        ends, columns = np.append(0, np.cumsum(size)), {c: table[c].combine_chunks() for c in ("id", "tenant")}
+        for k in np.unique(folder):
+            i, j = np.searchsorted(folder, [k, k + 1])
+            some, mine = np.unique(doc[ends[i] : ends[j]], return_inverse=True)
+            values = {"size": size[i:j], "doc": mine, "n": n[ends[i] : ends[j]], "len": length[some]}
+            out.append({"bucket": k, "part": own // FILE_RANGES, "range": own, "terms": " ".join(names[i:j])} | {c: v.astype(np.int32) for c, v in values.items()} | {c: v.take(pa.array(some)).to_pylist() for c, v in columns.items()})
+        i32, kinds = pa.list_(pa.int32()), {"bucket": pa.int32(), "part": pa.int64(), "range": pa.int32(), "terms": pa.string()}
+        kinds |= {"size": i32, "doc": i32, "n": i32, "id": pa.list_(pa.int64()), "len": i32, "tenant": pa.list_(pa.string())}
+        return pa.table({c: pa.array([r[c] for r in out], t) for c, t in kinds.items()})
+
+    return run
 
 
 def _blocks(table: pa.Table) -> pa.Table:
-    """The blocks of one range, from its documents (range, id, tenant, words; words: set apart by single spaces)."""
-    own = table["range"][0].as_py()
-    table = table.filter(pc.not_equal(table["words"], "")).combine_chunks().sort_by("id")
-    words = pc.split_pattern(table["words"].combine_chunks(), " ")
-    length = pc.list_value_length(words).to_numpy()
-    terms = pc.dictionary_encode(words.flatten())
-    # a word of a document is one number, term before document: equal ones are counted, those of a term lie together
-    docs = len(table)
-    key, n = np.unique(terms.indices.to_numpy().astype(np.int64) * docs + np.repeat(np.arange(docs), length), return_counts=True)
-    term, doc = np.divmod(key, docs)
-    start = np.flatnonzero(np.diff(term, prepend=-1))
-    offsets = pa.array(np.append(start, len(key)), pa.int32())
-    n, length = n.astype(np.int32), length.astype(np.int32)[doc]
-    lists = {"id": table["id"].combine_chunks().take(pa.array(doc)), "n": pa.array(n), "len": pa.array(length), "tenant": table["tenant"].combine_chunks().take(pa.array(doc))}
-    columns = {
-        "term": terms.dictionary.take(pa.array(term[start])), "range": pa.array(np.full(len(start), own, np.int32)), "size": pa.array(np.diff(offsets.to_numpy())),
+    """The blocks of one folder and some ranges, by term and range, from their packed rows."""
+    table = table.combine_chunks()
+    flat = {c: table[c].combine_chunks().flatten() for c in ("size", "doc", "n", "id", "len", "tenant")}
+    each = [t.split(" ") for t in table["terms"].to_pylist()]
+    of_row = [pc.list_value_length(table[c]).to_numpy() for c in ("doc", "id")]
+    found = pa.table({"term": pa.array([t for x in each for t in x], pa.string()), "range": pa.array(np.repeat(table["range"].to_numpy(), [len(x) for x in each]).astype(np.int32))})
+    order = pc.sort_indices(found, sort_keys=[("term", "ascending"), ("range", "ascending")]).to_numpy()
+    size = flat["size"].to_numpy().astype(np.int64)
+    first = (np.cumsum(size) - size)[order]
+    size = size[order]
+    start = np.cumsum(size) - size
+    at = np.repeat(first - start, size) + np.arange(size.sum())
+    doc = pa.array((flat["doc"].to_numpy() + np.repeat(np.cumsum(of_row[1]) - of_row[1], of_row[0]))[at])
+    n, length = flat["n"].to_numpy()[at], flat["len"].take(doc).to_numpy()
+    p = pa.StructArray.from_arrays([flat["id"].take(doc), pa.array(n), pa.array(length), flat["tenant"].take(doc)], names=["id", "n", "len", "tenant"])
+    return pa.table({
+        "bucket": pa.array(np.full(len(size), table["bucket"][0].as_py(), np.int32)), "term": found["term"].take(pa.array(order)), "range": found["range"].take(pa.array(order)), "size": pa.array(size.astype(np.int32)),
         "most": pa.array(np.maximum.reduceat(n, start)), "shortest": pa.array(np.minimum.reduceat(length, start)), "densest": pa.array(np.maximum.reduceat(n / length, start)), "words": pa.array(np.add.reduceat(n, start, dtype=np.int64)),
-    }
-    return pa.table(columns | {c: pa.ListArray.from_arrays(offsets, x) for c, x in lists.items()})
+        "postings": pa.ListArray.from_arrays(pa.array(np.append(start, len(at)), pa.int32()), p),
+    })
 
 
 def build(docs: DataFrame, id_col: str, text_col: str, path: str, tenant_col: str | None = None, range_docs: int = RANGE_DOCS, buckets: int = BUCKETS, range_bytes: int = RANGE_BYTES) -> Postings:
     """Write the index of a table under `path` and open it. Ids are keys; null and empty texts are documents without terms, of which only the empty ones have a length.
 
-    Texts move once, as words, to their range, whose blocks are made at once from arrays; finished blocks move once more, to their folder, as arrays of numbers. What moves is
+    Texts move once, as words, to their range, whose words are counted in arrays; the postings of a range move once more, a row for each folder, where blocks are made. What moves is
     so a small multiple of the texts, however large they are, and a task holds a range, which has neither many documents nor long texts.
     """
     spark = docs.sparkSession
@@ -80,13 +118,10 @@ def build(docs: DataFrame, id_col: str, text_col: str, path: str, tenant_col: st
     ranges = max(1, math.ceil(stats["docs"] / range_docs), math.ceil((stats["bytes"] or 0) / range_bytes))
     words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
     rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(ranges)).cast("int").alias("range"), F.col(id_col).cast("long").alias("id"), tenant.alias("tenant"), words.alias("words"))
-    lists = "id array<long>, n array<int>, len array<int>, tenant array<string>"
     # documents without words are left out by the function: a filter would be pushed below the exchange and clean every text twice
-    moved = rows.repartition(min(ranges, 1 << 14), "range")
-    block = moved.groupBy("range").applyInArrow(_blocks, f"term string, range int, size int, most int, shortest int, densest double, words long, {lists}")
-    block = block.withColumns({"bucket": bucket(F.col("term"), buckets), "_part": F.floor(F.col("range") / FILE_RANGES)})
-    out = block.repartition(min(buckets * math.ceil(ranges / FILE_RANGES), 1 << 14), "bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term", "range")
-    out = out.withColumn("postings", F.arrays_zip("id", "n", "len", "tenant")).drop("id", "n", "len", "tenant")
+    packed = rows.repartition(min(ranges, 1 << 14), "range").groupBy("range").applyInArrow(_packed(buckets), PACKED)
+    moved = packed.repartition(min(buckets * math.ceil(ranges / FILE_RANGES), 1 << 14), "bucket", "part").groupBy("bucket", "part")
+    out = moved.applyInArrow(_blocks, f"bucket int, term string, range int, size int, most int, shortest int, densest double, words long, postings {POSTINGS}").sortWithinPartitions("bucket", "term", "range")
     out.write.partitionBy("bucket").option("parquet.block.size", 1 << 22).parquet(f"{path}/blocks")
     # words are counted in the blocks, so texts are split once
     total = spark.read.schema("words long").parquet(f"{path}/blocks").agg(F.sum("words").alias("words")).first()["words"] if stats["bytes"] else None
@@ -97,7 +132,7 @@ def build(docs: DataFrame, id_col: str, text_col: str, path: str, tenant_col: st
 
 def open_index(spark: SparkSession, path: str) -> Postings:
     s = spark.read.parquet(f"{path}/stats").first()
-    kind = "term string, range int, size int, most int, shortest int, densest double, postings array<struct<id:long,n:int,len:int,tenant:string>>, bucket int"
+    kind = f"term string, range int, size int, most int, shortest int, densest double, postings {POSTINGS}, bucket int"
     return Postings(spark.read.schema(kind).parquet(f"{path}/blocks") if s["docs"] and s["mean"] else spark.createDataFrame([], kind), s["docs"], s["mean"], s["ranges"], s["buckets"])
 
 

@@ -24,7 +24,7 @@ def query_vector(spark, d) -> list[float]:
 
 def words_index(spark, d):
     """The stored postings of documents; the first search of a version of the table builds them."""
-    return P.open_index(spark, stored(spark, d, "documents", "postings", lambda df, path: P.build(df, "doc_id", "text", path, "source")))
+    return P.open_index(spark, stored(spark, d, "documents", "blocks", lambda df, path: P.build(df, "doc_id", "text", path, "source")))
 
 
 def vector_index(spark, d):

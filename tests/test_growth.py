@@ -40,6 +40,13 @@ def test_an_index_moves_texts_and_blocks_not_words(spark, tmp_path):
     assert n < 200 + 4 * 200 + 300  # texts, blocks of 200 words in 4 ranges, and a few; words by themselves are over 30,000
 
 
+def test_an_index_moves_a_row_for_each_range_and_folder(spark, tmp_path):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50)), "t") for i in range(200)], "id long, text string, tenant string").repartition(4).persist()
+    df.count()
+    n = moved(spark, lambda: postings.build(df, "id", "text", f"{tmp_path}/p", "tenant", range_docs=50, buckets=4))
+    assert n < 200 + 4 * 4 + 300  # each of the 10,000 words is a block of its own
+
+
 def test_an_index_makes_no_row_of_a_word_and_its_ranges_hold_few_bytes(spark, tmp_path):
     sizes = [400_000 + i for i in range(24)]
     df = spark.createDataFrame([(i, "Word " * (n - 1) + f"w{i}", "t") for i, n in enumerate(sizes)], "id long, text string, tenant string")
