@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,8 +133,10 @@ def fit(measured: DataFrame, targets: dict[str, dict[str, float]], share: float)
 
 
 def probabilities(spark: SparkSession, fitted: Fit) -> DataFrame:
-    """(source, lang, topic, probability) of each cell."""
-    return spark.createDataFrame(fitted.cells, "source string, lang string, topic string, probability double")
+    """(source, lang, topic, probability) of each cell. From an Arrow table: a list of rows would go through Python workers of a kind of
+    its own, which executors then keep beside those of the UDFs."""
+    kinds = [*[(a, pa.string()) for a in AXES], ("probability", pa.float64())]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([c[k] for c in fitted.cells], kind) for k, (_, kind) in enumerate(kinds)], schema=pa.schema(kinds)))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] = TARGETS, columns: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import discard, few, row_key, same_key, save, utf8
+from .base import discard, few, give_back, row_key, same_key, save, utf8
 from .components import components
 from .simhash import SEED, print_links, shingle_hashes, vote
 
@@ -76,6 +76,7 @@ def sets(df: DataFrame, text_col: str) -> DataFrame:
                     out, size = [], 0
             if out:
                 yield pd.DataFrame(out, columns=["s", "n", "hashes"])
+        give_back()
 
     return df.select(utf8(text_col).alias("text")).mapInPandas(run, "s long, n int, hashes array<long>")
 
@@ -114,6 +115,7 @@ def lookups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h = np.unique(np.concatenate([*pieces, np.zeros(0, "<u8")]).view("<i8"))
                 rows.append((np.uint64(_digest(h)).astype(np.int64), len(h), vote(pieces), counts(h), prefix(h)))
             yield pd.DataFrame(rows, columns=["s", "n", "p", "counts", "hashes"])
+        give_back()
 
     f = df.select(*row_key(id_col, text_col), found(utf8(text_col)).alias("f"))
     return save(f.select("id", "x", "y", "f.s", "f.n", "f.p", "f.counts", "f.hashes"), "lookups")
@@ -145,7 +147,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def labels(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(s, root): smaller labels for linked sets, two steps along the links from those that they have; not yet the components, but never
     the same for sets that are not connected."""
-    known = links.sparkSession.createDataFrame([], "s long, root long") if roots is None else roots
+    known = links.select(F.col("a").alias("s"), F.col("a").alias("root")).limit(0) if roots is None else roots
     one, two = known.toDF("a", "ra"), known.toDF("b", "rb")
     e = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v")).where("u <> v")
     e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -27,12 +27,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import MOST_TASKS, new_dir, read, save, shard_count, shard_of, splitters
+from .base import MOST_TASKS, give_back, new_dir, read, save, shard_count, shard_of, splitters
 
 #: Bytes of text that a shard aims at, and bytes of a data file from which on the next document begins another one.
 SHARD_BYTES, FILE_BYTES = 24 << 20, 48 << 20
 #: Words whose ids a worker remembers, and a quarter as many pieces of words; then it forgets all of them and starts anew.
 CACHE_WORDS = 400_000
+#: The same where other stages of a job run in the same workers.
+FEW_WORDS = 100_000
 MASK_DELTA = 0xA282EAD8
 ENTRY = np.dtype([("null", "<u1"), ("id", "<i8"), ("offset", "<u8"), ("n", "<u4")])
 END_ID = 1
@@ -78,7 +80,8 @@ class Encoder:
     plain = re.compile("[\t\n\r -~¡-¬®-ÿŒœ‘-„–—…€]*")
     pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿœ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿœ0-9²³¹¼-¾]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
+        most = CACHE_WORDS if most is None else most
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -101,7 +104,7 @@ class Encoder:
 
         class Pieces(dict):
             def __missing__(self, piece: str, alphabet=self.alphabet) -> bytes:
-                if len(self) >= CACHE_WORDS // 4:
+                if len(self) >= most // 4:
                     self.clear()
                 ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(alphabet))]
                 out = self[piece] = np.array(ids, dtype=dtype).tobytes()
@@ -109,7 +112,7 @@ class Encoder:
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
-                if len(self) >= CACHE_WORDS // 4:
+                if len(self) >= most // 4:
                     self.clear()
                 out = self[word] = np.array(encode(word, add_special_tokens=False).ids, dtype=dtype).tobytes()
                 return out
@@ -118,7 +121,7 @@ class Encoder:
 
         class Plain(dict):
             def __missing__(self, word: str) -> bytes:
-                if len(self) >= CACHE_WORDS:
+                if len(self) >= most:
                     self.clear()
                 out = self[word] = b"".join(map(seen.__getitem__, find(word.lower())))
                 return out
@@ -138,14 +141,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each tokenizer file and worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int | None = None) -> Encoder:
+    """One encoder for each tokenizer file, bound and worker process."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
 def store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -190,8 +193,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
 
     Null texts are empty and have the end id only; rows without an id come first; rows with equal ids are in
     the order of their texts, equal rows are all written. The manifest has the number of ids before each
-    file (start). Without remember a worker forgets its words after each task: some tenths slower, but other stages of a job
-    that run in the same workers have the memory (up to 350 MB each). An empty table writes nothing. Texts are shuffled once.
+    file (start). Without remember a worker remembers FEW_WORDS at most, forgets them after each task and gives their memory, and
+    what earlier stages left, back to the system: a sixth slower, but stages of a job share the memory of an executor. An empty table writes nothing. Texts are shuffled once.
     """
     part = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n, size = part.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
@@ -200,7 +203,9 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
     dealt = dealt.select("shard", F.col("id").cast("string").alias("id"), "text")  # exact in pandas beside nulls
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+        if not remember:
+            give_back()
+        encode = encoder(tokenizer, None if remember else FEW_WORDS)
         end = np.array([end_id], dtype=encode.dtype).tobytes()
         out = None
         for pdf in batches:
@@ -216,6 +221,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
         if not remember:
             encode.forget()
             _encoders.clear()
+            encode = None
+            give_back()
 
     manifest = save(dealt.mapInPandas(run, MANIFEST), "token-manifest")
     return commit(manifest, path)
