@@ -18,7 +18,7 @@ from docsluice.functions.alignment import Text, places
 #: Lines of a page; the indel ratio from which a stretch is a chunk's; words that a box and a chunk must share.
 PAGE_LINES, LEAST_RATIO, LEAST_WORDS = 5, 0.65, 3
 #: Chunks, of several documents, that are looked for at once.
-JOBS = 512
+JOBS = 2048
 
 
 def line_boxes(docs: DataFrame) -> DataFrame:

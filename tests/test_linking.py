@@ -1,9 +1,11 @@
 """Chunks and their boxes: slips, short boxes, repeats; alignment against plain windows."""
 
 import random
+import re
 
 import pytest
 
+from docsluice.functions import alignment
 from docsluice.functions.alignment import RUN, Text, codes, distances, many_distances, many_lcs, places
 from docsluice.functions.similarity import indel_ratio, lcs
 from docsluice.operators.linking import candidate_pages, line_boxes, line_chunks, link_boxes
@@ -137,3 +139,19 @@ def test_documents_share_batches(spark):
     got = link_boxes(line_chunks(df), line_boxes(df))
     assert "CoGroup" not in got._jdf.queryExecution().toString()
     assert sorted((r["doc_id"] or 3, r["ratio"], r["places"], r["page"]) for r in got.where("doc_id IS NULL OR doc_id > 0").collect()) == [(i, 1.0, [0, 1], 0) for i in range(1, 50)]
+
+
+def test_texts_with_all_known_characters_in_order_are_not_searched(monkeypatch):
+    """A stretch that has every character of a text that can be had is the best one; a text with too few of them has no place. Neither needs a table or other stretches."""
+    monkeypatch.setattr(alignment, "_searched", lambda jobs, least: pytest.fail("searched"))
+    r = random.Random(13)
+    for n in (40, 120):
+        line = " ".join(r.choice(VOCABULARY) for _ in range(n // 4))
+        t = Text(" ".join([line, *(r.choice(VOCABULARY) for _ in range(n)), line]))
+        for k in [0, len(t.text) - len(line), *(r.randrange(len(t.text) - 90) for _ in range(12))]:
+            a = re.sub(r"(\S+ \S)\S", r"\1~", t.text[k : k + 90])
+            a += "" if k % 2 else "~"
+            windows = [(indel_ratio(a, t.text[s : s + len(a)]), -s) for s in range(len(t.text) - len(a) + 1)]
+            ratio, s = max(windows)
+            assert places([(t, a)], 0.65) == [(-s, -s + len(a), ratio)]
+    assert places([(Text("abc" * 50), "abc~~~~~~" * 5), (Text("ab"), "a~~~~~~~~")], 0.65) == [None, None]
