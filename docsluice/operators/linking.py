@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from docsluice.functions.alignment import Text, places
+from docsluice.operators.pairs import spread
 
 #: Lines of a page; the indel ratio from which a stretch is a chunk's; words that a box and a chunk must share.
 PAGE_LINES, LEAST_RATIO, LEAST_WORDS = 5, 0.65, 3
@@ -38,9 +39,8 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def _linked(chunk: str, at: tuple[int, int], starts: np.ndarray, ends: np.ndarray, words: list[set]) -> list[int]:
-    """Boxes in the stretch that share LEAST_WORDS words with the chunk, or all their words."""
-    mine = set(chunk.split())
+def _linked(mine: set, at: tuple[int, int], starts: np.ndarray, ends: np.ndarray, words: list[set]) -> list[int]:
+    """Boxes in the stretch that share LEAST_WORDS words with a chunk, or all their words."""
     some = range(int(np.searchsorted(ends, at[0], "right")), int(np.searchsorted(starts, at[1], "left")))
     return [i for i in some if words[i] and len(words[i] & mine) >= min(LEAST_WORDS, len(words[i]))]
 
@@ -70,27 +70,30 @@ def link_boxes(chunks: DataFrame, boxes: DataFrame, least: float = LEAST_RATIO,
     sides = [(chunks, F.struct(*c), F.lit(None)), (boxes, F.lit(None), F.struct(*b))]
     kind = f"struct<chunk:{kinds['chunk']},chunk_text:string>", f"struct<place:{kinds['place']},page:{kinds['page']},box:string>"
     rows = [df.select("doc_id", x.cast(kind[0]).alias("c"), y.cast(kind[1]).alias("b")) for df, x, y in sides]
-    docs = rows[0].unionByName(rows[1]).groupBy("doc_id").agg(F.collect_list("c").alias("c"), F.sort_array(F.collect_list("b")).alias("b")).where(F.size("c") > 0)
+    docs = spread(rows[0].unionByName(rows[1]), "doc_id").groupBy("doc_id").agg(F.collect_list("c").alias("c"), F.sort_array(F.collect_list("b")).alias("b")).where(F.size("c") > 0)
 
     def prepared(c: list[dict], b: list[dict]) -> tuple[list, list]:
         """What the links need of a document, and its jobs (text, chunk); jobs of the same pages share a text."""
         text, page = [normal(x["box"]) for x in b], [x["page"] for x in b]
         words = [set(t.split()) for t in text]
         by_page: dict[int, set] = {}
-        for p, w in zip(page, words, strict=True):
+        on_page: dict[int, list[int]] = {}
+        for i, (p, w) in enumerate(zip(page, words, strict=True)):
             by_page.setdefault(p, set()).update(w)
-        key, made = None, None
+            on_page.setdefault(p, []).append(i)
+        made: dict[tuple, tuple] = {}
         kept, jobs = [], []
         for x in c:
-            t = normal(x["chunk_text"])
-            some = tuple(_candidates(set(t.split()), by_page, pages)) if pages else ()
-            if made is None or some != key:
-                mine = [i for i in range(len(text)) if not pages or page[i] in some]
+            said = normal(x["chunk_text"])
+            own = set(said.split(" "))
+            some = tuple(_candidates(own, by_page, pages)) if pages else ()
+            if some not in made:
+                mine = sorted(i for p in some for i in on_page[p]) if pages else range(len(text))
                 size = np.array([len(text[i]) + 1 for i in mine], np.int64)
                 starts = np.cumsum(size) - size
-                key, made = some, (mine, starts, starts + size - 1, [words[i] for i in mine], Text(" ".join(text[i] for i in mine)))
-            kept.append((x["chunk"], t, made))
-            jobs.append((made[4], t))
+                made[some] = mine, starts, starts + size - 1, [words[i] for i in mine], Text(" ".join(text[i] for i in mine))
+            kept.append((x["chunk"], own, made[some]))
+            jobs.append((made[some][4], said))
         return kept, jobs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +110,8 @@ def link_boxes(chunks: DataFrame, boxes: DataFrame, least: float = LEAST_RATIO,
 
     def linked(held: list, found: list) -> pa.RecordBatch:
         out = []
-        for (doc, b, k, t, (rows, starts, ends, words, _)), at in zip(held, found, strict=True):
-            mine = [rows[i] for i in _linked(t, at[:2], starts, ends, words)] if at else []
+        for (doc, b, k, own, (rows, starts, ends, words, _)), at in zip(held, found, strict=True):
+            mine = [rows[i] for i in _linked(own, at[:2], starts, ends, words)] if at else []
             on = Counter(b[i]["page"] for i in mine)
             out.append((doc, k, round(at[2], 6) if at else None, [b[i]["place"] for i in mine], min(on, key=lambda p: (-on[p], p)) if on else None))
         columns = zip(*out, strict=True) if out else ([],) * len(schema)

@@ -155,3 +155,15 @@ def test_texts_with_all_known_characters_in_order_are_not_searched(monkeypatch):
             ratio, s = max(windows)
             assert places([(t, a)], 0.65) == [(-s, -s + len(a), ratio)]
     assert places([(Text("abc" * 50), "abc~~~~~~" * 5), (Text("ab"), "a~~~~~~~~")], 0.65) == [None, None]
+
+
+def test_a_searched_text_has_its_best_stretch_at_its_first_place():
+    """Texts of which a part stands elsewhere: the result is that of comparing all stretches, and none where no stretch is alike enough."""
+    r = random.Random(5)
+    for _ in range(80):
+        t = Text(" ".join(r.choice(VOCABULARY[: r.choice([3, 60])]) for _ in range(r.choice([1, 3, 20, 60]))))
+        k = r.randrange(max(1, len(t.text) - 30))
+        a = (r.choice(["", "zebra quiz ", "zebra quiz zebra quiz "]) + slip(t.text[k : k + r.choice([5, 12, 40, 90])], r))[:90]
+        n = min(len(a), len(t.text))
+        ratio, s = max((indel_ratio(a, t.text[s : s + n]), -s) for s in range(len(t.text) - n + 1))
+        assert a in t.text or places([(t, a)], 0.65) == [(-s, -s + n, ratio) if ratio >= 0.65 else None]
