@@ -112,6 +112,29 @@ def test_scores_are_measured_once_for_two_names(spark):
     assert got == want and asked.value == 10
 
 
+@pytest.mark.parametrize(("tile", "few"), [(3, 500_000), (4096, 500_000), (3, 20), (4096, 20)])
+def test_scored_pairs_are_all_pairs(spark, monkeypatch, tile, few):
+    """By place where names are few, by a join where they are not; in one tile and in many; equal ids and nulls too."""
+    monkeypatch.setattr(pairs, "FEW_SCORES", few)
+    r = random.Random(9)
+    rows = [(r.choice(["k", "l", None]), r.choice(["a", "b", "c", "d", None]), r.choice([i, i, i, None])) for i in range(60)] + [("m", "a", 7), ("m", "b", 7), ("m", "z", 6)]
+    df = spark.createDataFrame(rows, "k string, n string, id long").repartition(3)
+    got = sorted(tuple(x) for x in pairs.scored_pairs(df, "k", "n", "id", lambda x, y: [F.concat(x, y).alias("s"), F.when(x != y, 1).alias("t")], tile).collect())
+    whole = [x for x in rows if None not in x]
+    assert [x[:3] for x in got] == sorted((p[2], q[2], p[1] + q[1]) for p, q in itertools.permutations(whole, 2) if p[0] == q[0] and p[2] < q[2])
+    assert all(t == (1 if s[0] != s[1] else None) for _, _, s, t in got)
+    assert pairs.scored_pairs(df.limit(0), "k", "n", "id", lambda x, y: [F.concat(x, y).alias("s")], tile).count() == 0
+
+
+def test_pairs_of_rows_take_their_scores_by_place(spark, sf_dir):
+    """Nothing is worked out, and no name is looked for, for a pair of rows."""
+    from docsluice import catalog
+
+    p = plan(catalog.queries()["r8_23_component_scores"](spark, sf_dir)).split("== Physical Plan ==")[1]
+    ends = p[: p.index("posexplode")]
+    assert "round(" not in p and "Join" not in ends
+
+
 @pytest.mark.parametrize("n", [1, 7, 40, 10_000])
 def test_top_similar_sets_are_those_of_all_pairs(spark, n):
     r = random.Random(5)
