@@ -81,6 +81,36 @@ def test_many_pairs_of_names_as_one_by_one():
     assert S.many_jaro_winkler([], a[:0], b[:0]).tolist() == []
 
 
+@pytest.mark.parametrize(("first", "many", "cells", "wide", "kinds"), [(16, 1 << 18, 1 << 21, 1024, 64), (1, 4, 10, 1024, 4), (3, 50, 100, 0, 64)])
+def test_best_of_many_names_is_that_of_all(monkeypatch, first, many, cells, wide, kinds):
+    for k, v in zip(("FIRST", "PAIRS", "BOUNDS", "WIDE", "KINDS"), (first, many, cells, wide, kinds), strict=True):
+        monkeypatch.setattr(S, k, v)
+    r = random.Random(10)
+    for _ in range(25):
+        signs, longest = r.choice(["ab", "abc12", "0123456789", "abcdefghij é"]), r.choice([3, 6, 12, 70])
+        mine, others = ([r.choice(["", "x", "same"])] + ["".join(r.choice(signs) for _ in range(r.randrange(longest))) for _ in range(r.randrange(25))] for _ in range(2))
+        for slack in (2e-9, 0.1):
+            want = []
+            for i, x in enumerate(mine):
+                values = [S.jaro_winkler(x, y) for y in others]
+                near = {}
+                for k, v in enumerate(values):
+                    if v >= max(values) - slack:
+                        near.setdefault(v, k)
+                want += [(i, k, v) for v, k in sorted(near.items())]
+            assert list(zip(*(x.tolist() for x in S.best_jaro_winkler(mine, others, slack)), strict=True)) == want
+    assert [len(x) for x in S.best_jaro_winkler([], ["a"], 0.1)] == [len(x) for x in S.best_jaro_winkler(["a"], [], 0.1)] == [0, 0, 0]
+
+
+def test_best_names_measure_few_of_all_pairs(monkeypatch):
+    measured, many = [], S.many_jaro_winkler
+    monkeypatch.setattr(S, "many_jaro_winkler", lambda names, a, b: measured.append(len(a)) or many(names, a, b))
+    r = random.Random(11)
+    mine, others = [f"Customer#{r.randrange(900_000):09}" for _ in range(2000)], [f"Supplier#{i * 37 % 60_000:09}" for i in range(2000)]
+    assert len(S.best_jaro_winkler(mine, others, 2e-9)[0]) >= 2000
+    assert 0 < sum(measured) < 2000 * 2000 / 4
+
+
 def test_best_names_are_those_of_all_pairs(spark):
     r = random.Random(4)
     name = lambda: "".join(r.choice("abc") for _ in range(r.randrange(1, 7)))
