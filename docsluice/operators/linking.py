@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from docsluice.operators.pairs import spread
 #: Lines of a page; the indel ratio from which a stretch is a chunk's; words that a box and a chunk must share.
 PAGE_LINES, LEAST_RATIO, LEAST_WORDS = 5, 0.65, 3
 #: Chunks, of several documents, that are looked for at once.
-JOBS = 2048
+JOBS = 8192
 
 
 def line_boxes(docs: DataFrame) -> DataFrame:
@@ -35,19 +36,22 @@ def line_chunks(docs: DataFrame, chars: int = 400) -> DataFrame:
     return docs.select("doc_id", F.posexplode(cut).alias("chunk", "chunk_text"))
 
 
-def normal(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+def normal(text: str | None) -> list[str]:
+    """The words of a text, case aside."""
+    return (text or "").lower().split()
 
 
-def _linked(mine: set, at: tuple[int, int], starts: np.ndarray, ends: np.ndarray, words: list[set]) -> list[int]:
+def _linked(mine: set, at: tuple[int, int], starts: list[int], ends: list[int], words: list[set]) -> list[int]:
     """Boxes in the stretch that share LEAST_WORDS words with a chunk, or all their words."""
-    some = range(int(np.searchsorted(ends, at[0], "right")), int(np.searchsorted(starts, at[1], "left")))
+    some = range(bisect_right(ends, at[0]), bisect_left(starts, at[1]))
     return [i for i in some if words[i] and len(words[i] & mine) >= min(LEAST_WORDS, len(words[i]))]
 
 
 def _candidates(mine: set, words: dict[int, set], most: int) -> list[int]:
     """The pages that share most words with a chunk, the lower of equals, in the order of pages; none that shares nothing."""
-    shared = sorted((-len(mine & w), p) for p, w in words.items())
+    if len(words) <= most:
+        return sorted(p for p, w in words.items() if not mine.isdisjoint(w))
+    shared = sorted([(-len(mine & w), p) for p, w in words.items()])
     return sorted(p for n, p in shared[:most] if n)
 
 
@@ -72,10 +76,10 @@ def link_boxes(chunks: DataFrame, boxes: DataFrame, least: float = LEAST_RATIO,
     rows = [df.select("doc_id", x.cast(kind[0]).alias("c"), y.cast(kind[1]).alias("b")) for df, x, y in sides]
     docs = spread(rows[0].unionByName(rows[1]), "doc_id").groupBy("doc_id").agg(F.collect_list("c").alias("c"), F.sort_array(F.collect_list("b")).alias("b")).where(F.size("c") > 0)
 
-    def prepared(c: list[dict], b: list[dict]) -> tuple[list, list]:
+    def prepared(c: tuple[list, list], page: list, box: list) -> tuple[list, list]:
         """What the links need of a document, and its jobs (text, chunk); jobs of the same pages share a text."""
-        text, page = [normal(x["box"]) for x in b], [x["page"] for x in b]
-        words = [set(t.split()) for t in text]
+        split = [normal(x) for x in box]
+        text, words = [" ".join(x) for x in split], [set(x) for x in split]
         by_page: dict[int, set] = {}
         on_page: dict[int, list[int]] = {}
         for i, (p, w) in enumerate(zip(page, words, strict=True)):
@@ -83,26 +87,26 @@ def link_boxes(chunks: DataFrame, boxes: DataFrame, least: float = LEAST_RATIO,
             on_page.setdefault(p, []).append(i)
         made: dict[tuple, tuple] = {}
         kept, jobs = [], []
-        for x in c:
-            said = normal(x["chunk_text"])
-            own = set(said.split(" "))
+        for number, chunk in zip(*c, strict=True):
+            said = normal(chunk)
+            own = set(said)
             some = tuple(_candidates(own, by_page, pages)) if pages else ()
             if some not in made:
                 mine = sorted(i for p in some for i in on_page[p]) if pages else range(len(text))
-                size = np.array([len(text[i]) + 1 for i in mine], np.int64)
-                starts = np.cumsum(size) - size
-                made[some] = mine, starts, starts + size - 1, [words[i] for i in mine], Text(" ".join(text[i] for i in mine))
-            kept.append((x["chunk"], own, made[some]))
-            jobs.append((made[some][4], said))
+                starts = [0, *accumulate(len(text[i]) + 1 for i in mine)]
+                made[some] = mine, starts[:-1], [x - 1 for x in starts[1:]], [words[i] for i in mine], Text(" ".join([text[i] for i in mine]))
+            kept.append((number, own, made[some]))
+            jobs.append((made[some][4], " ".join(said)))
         return kept, jobs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, jobs = [], []
             for k in range(batch.num_rows):
-                b = batch["b"][k].as_py()
-                kept, mine = prepared(batch["c"][k].as_py(), b)
-                held += [(batch["doc_id"][k].as_py(), b, *x) for x in kept]
+                c, b = batch["c"][k].values, batch["b"][k].values
+                page, place = b.field("page").to_pylist(), b.field("place").to_pylist()
+                kept, mine = prepared((c.field("chunk").to_pylist(), c.field("chunk_text").to_pylist()), page, b.field("box").to_pylist())
+                held += [(batch["doc_id"][k].as_py(), page, place, *x) for x in kept]
                 jobs += mine
                 if len(jobs) >= JOBS or k == batch.num_rows - 1:
                     yield linked(held, places(jobs, least))
@@ -110,10 +114,10 @@ def link_boxes(chunks: DataFrame, boxes: DataFrame, least: float = LEAST_RATIO,
 
     def linked(held: list, found: list) -> pa.RecordBatch:
         out = []
-        for (doc, b, k, own, (rows, starts, ends, words, _)), at in zip(held, found, strict=True):
+        for (doc, page, place, k, own, (rows, starts, ends, words, _)), at in zip(held, found, strict=True):
             mine = [rows[i] for i in _linked(own, at[:2], starts, ends, words)] if at else []
-            on = Counter(b[i]["page"] for i in mine)
-            out.append((doc, k, round(at[2], 6) if at else None, [b[i]["place"] for i in mine], min(on, key=lambda p: (-on[p], p)) if on else None))
+            on = Counter([page[i] for i in mine])
+            out.append((doc, k, round(at[2], 6) if at else None, [place[i] for i in mine], min(on, key=lambda p: (-on[p], p)) if on else None))
         columns = zip(*out, strict=True) if out else ([],) * len(schema)
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
